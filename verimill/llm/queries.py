@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding
+from . import bpe, language_id, license_scan, matroska, mixing, quality_rules, sharding, simhash
 from .common import documents
 
 QUERIES = {
     "op1_mixing": lambda spark, sf_dir: mixing.op1_mixing(documents(spark, sf_dir, "doc_id", "text", "source")),
     "op3_quality_rules": lambda spark, sf_dir: quality_rules.op3_quality_rules(documents(spark, sf_dir, "doc_id", "text", "lang", "source")),
+    "op4_matroska": lambda spark, sf_dir: matroska.op4_matroska(documents(spark, sf_dir, "doc_id", "text")),
+    "op5_license_scan": lambda spark, sf_dir: license_scan.op5_license_scan(documents(spark, sf_dir, "doc_id", "text")),
+    "op6_language_id": lambda spark, sf_dir: language_id.op6_language_id(documents(spark, sf_dir, "doc_id", "text", "lang")),
+    "op8_simhash": lambda spark, sf_dir: simhash.op8_simhash(documents(spark, sf_dir, "doc_id", "text")),
+    "op9_bpe": lambda spark, sf_dir: bpe.op9_bpe(documents(spark, sf_dir, "doc_id", "text")),
     "op10_sharding": lambda spark, sf_dir: sharding.op10_sharding(documents(spark, sf_dir, "doc_id", "text")),
 }
 
