@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, license_scan, matroska, mixing, quality_rules, sharding, simhash
+from . import bpe, language_id, license_scan, matroska, mixing, quality_rules, sharding, simhash, suffix_dedup
 from .common import documents
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_matroska": lambda spark, sf_dir: matroska.op4_matroska(documents(spark, sf_dir, "doc_id", "text")),
     "op5_license_scan": lambda spark, sf_dir: license_scan.op5_license_scan(documents(spark, sf_dir, "doc_id", "text")),
     "op6_language_id": lambda spark, sf_dir: language_id.op6_language_id(documents(spark, sf_dir, "doc_id", "text", "lang")),
+    "op7_suffix_dedup": lambda spark, sf_dir: suffix_dedup.op7_suffix_dedup(documents(spark, sf_dir, "doc_id", "text")),
     "op8_simhash": lambda spark, sf_dir: simhash.op8_simhash(documents(spark, sf_dir, "doc_id", "text")),
     "op9_bpe": lambda spark, sf_dir: bpe.op9_bpe(documents(spark, sf_dir, "doc_id", "text")),
     "op10_sharding": lambda spark, sf_dir: sharding.op10_sharding(documents(spark, sf_dir, "doc_id", "text")),
