@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, license_scan, matroska, mixing, quality_rules, sharding, simhash, suffix_dedup
+from . import bpe, language_id, license_scan, matroska, mixing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup
 from .common import documents
 
 QUERIES = {
     "op1_mixing": lambda spark, sf_dir: mixing.op1_mixing(documents(spark, sf_dir, "doc_id", "text", "source")),
+    "op2_substring_dedup": lambda spark, sf_dir: substring_dedup.op2_substring_dedup(documents(spark, sf_dir, "doc_id", "text")),
     "op3_quality_rules": lambda spark, sf_dir: quality_rules.op3_quality_rules(documents(spark, sf_dir, "doc_id", "text", "lang", "source")),
     "op4_matroska": lambda spark, sf_dir: matroska.op4_matroska(documents(spark, sf_dir, "doc_id", "text")),
     "op5_license_scan": lambda spark, sf_dir: license_scan.op5_license_scan(documents(spark, sf_dir, "doc_id", "text")),
