@@ -194,20 +194,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and decoded."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+def digest(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and decoded; with_ids adds ids, 4 bytes each."""
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    sql = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = pa.schema([*fields, ("ids", pa.binary())] if with_ids else fields)
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         v = vocabulary(path)
         out: dict[str, list] = {k: [] for k in schema.names}
         for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
             data, decoded, n = v.encode(text or "")
-            for k, x in zip(schema.names, (doc_id, n, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()), strict=True):
+            made = (doc_id, n, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), data)
+            for k, x in zip(schema.names, made, strict=False):
                 out[k].append(x)
         return out
 
-    return in_arrow(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", work, schema)
+    return in_arrow(docs.select("doc_id", "text"), sql + ", ids binary" * with_ids, work, schema)
 
 
 def op9_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -72,6 +72,22 @@ def salted_lookup(left: DataFrame, table: DataFrame, keys: list[str], spread: Co
     return a.join(b, on, "left").drop("__salt", "__salt_of", *[f"__{k}" for k in keys])
 
 
+#: A table of at most so many rows is broadcast.
+BROADCAST_ROWS = 10_000
+
+
+def lookup(left: DataFrame, table: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+    """salted_lookup(), but with `table` broadcast if its rows, counted first, are at most BROADCAST_ROWS: then `left` isn't shuffled at all."""
+    table = cut(table, "lookup")
+    if table.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return salted_lookup(left, table, keys, spread)
+    b = F.broadcast(table.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in table.columns if c not in keys]))
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(b[f"__{k}"])
+    return left.join(b, on, "left").drop(*[f"__{k}" for k in keys])
+
+
 def in_arrow(df: DataFrame, schema: str | object, work: Callable[[dict[str, list]], dict[str, list]], arrow_schema: pa.Schema, max_chars: int = 4_000_000, text: str = "text") -> DataFrame:
     """mapInArrow in slices of about `max_chars` characters of `text`. work() takes and returns columns as lists."""
 

@@ -13,8 +13,8 @@ from .common import in_arrow
 PROFILE = 300
 #: Labelled documents that a language's profile is counted on, at most about so many: a seeded hash of the id picks them.
 SAMPLE = 2000
-#: A document is und without a letter; the pipeline also rejects those further than this share of the largest distance from every profile.
-FAR = 0.93
+#: accepted() rejects documents further than this share of the largest distance from every profile.
+FAR = 0.85
 MOST_LANGUAGES = 4096
 
 
@@ -88,7 +88,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, most: int = PROFILE) -> dict[
     return {lang: [g for _, g in sorted(v)] for lang, v in sorted(model.items())}
 
 
-def distances(text: str, table: np.ndarray, places: np.ndarray, languages: int, most: int = PROFILE) -> np.ndarray:
+def distances(text: str, table: np.ndarray, places: np.ndarray, most: int = PROFILE) -> np.ndarray:
     """Out-of-place distances of a text to all profiles, as a share of the largest possible one.
 
     `table` has the sorted codes of all profiles, `places` their rank in each language (`most`: absent). A code absent from a profile
@@ -101,30 +101,53 @@ def distances(text: str, table: np.ndarray, places: np.ndarray, languages: int,
     return cost.sum(axis=0) / (most * max(1, len(own)))
 
 
+def arrays(model: dict[str, list[int]], most: int = PROFILE) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, the sorted codes of all profiles, and the rank of each code in each language."""
+    names = sorted(model)
+    table = np.unique(np.concatenate([np.asarray(model[x], dtype=np.int64) for x in names])) if names else np.empty(0, np.int64)
+    places = np.full((len(table), len(names)), most)
+    for k, x in enumerate(names):
+        places[np.searchsorted(table, model[x]), k] = np.arange(len(model[x]))
+    return names, table, places
+
+
+def predicted(text: str | None, names: list[str], table: np.ndarray, places: np.ndarray, most: int = PROFILE) -> tuple[str, float, float]:
+    """Language, score and distance of one text."""
+    if not len(table) or not has_letter(text):
+        return "und", 0.0, 1.0
+    d = distances(text, table, places, most)
+    best = int(np.argmin(d))
+    far = float(d[best])
+    other = float(np.partition(d, 1)[1]) if len(d) > 1 else 1.0
+    return names[best], 1 - far / other if other > 0 else 0.0, far
+
+
+def accepted(docs: DataFrame, model: dict[str, list[int]], most: int = PROFILE, far: float = FAR) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a letter and is within `far` of some language. Without a model: those with a letter."""
+    names, table, places = arrays(model, most)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            keep = [has_letter(x) if not names else predicted(x, names, table, places, most)[2] <= far and has_letter(x) for x in (t.as_py() for t in texts)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: dict[str, list[int]], most: int = PROFILE) -> DataFrame:
     """doc_id, lang_pred, score and distance (to the predicted language) of every whole text, from the text alone.
 
     und with score 0 and distance 1 where the text is null or has no letter, or where nothing has been learned. Ties go to the first
     language by code point. score is 1 less the ratio of the smallest distance to the second smallest (of one language: 1 less distance).
     """
-    names = sorted(model)
-    table = np.unique(np.concatenate([np.asarray(model[x], dtype=np.int64) for x in names])) if names else np.empty(0, np.int64)
-    places = np.full((len(table), len(names)), most)
-    for k, x in enumerate(names):
-        places[np.searchsorted(table, model[x]), k] = np.arange(len(model[x]))
+    names, table, places = arrays(model, most)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("distance", pa.float64())])
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in schema.names}
         for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-            lang, score, far = "und", 0.0, 1.0
-            if len(table) and has_letter(text):
-                d = distances(text, table, places, len(names), most)
-                best = int(np.argmin(d))
-                far = float(d[best])
-                other = float(np.partition(d, 1)[1]) if len(d) > 1 else 1.0
-                lang, score = names[best], 1 - far / other if other > 0 else 0.0
-            for k, v in zip(schema.names, (doc_id, lang, score, far), strict=True):
+            for k, v in zip(schema.names, (doc_id, *predicted(text, names, table, places, most)), strict=True):
                 out[k].append(v)
         return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted_lookup, word_count
+from .common import lookup, word_count
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -48,13 +48,13 @@ def mix_plan(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGH
     Rows with one doc_id have one draw. No row is lost: documents that the mix leaves out have 0 copies. Null sources are one source.
     """
     table = source_targets(docs.select("source", "size"), weights, most)
-    rows = salted_lookup(docs, table, ["source"], F.col("doc_id"))
+    rows = lookup(docs, table, ["source"], F.col("doc_id"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     return rows.withColumn("__rate", rate).withColumn("copies", F.least(F.lit(most), F.floor("__rate") + (draw(F.col("doc_id"), seed) < F.col("__rate") - F.floor("__rate")).cast("long")).cast("int")).drop("__rate")
 
 
 def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """The mixed documents themselves, with the columns of docs; needs doc_id, text and source. Texts aren't shuffled by source but salted."""
+    """The mixed documents themselves, with the columns of docs; needs doc_id, text and source. Texts aren't shuffled by source."""
     named = docs.withColumn("__doc", F.struct(*docs.columns)).select("__doc", "doc_id", "source", word_count(F.col("text")).alias("size"))
     planned = mix_plan(named, seed, weights, most).filter("copies > 0")
     return planned.select("__doc", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("__doc.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, salted_lookup, words
+from .common import BLANKS, cut, lookup, words
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -91,7 +91,7 @@ def judge(docs: DataFrame) -> DataFrame:
     Null languages and sources are groups of their own. Documents without a word fail the base rules.
     """
     measured = measures(cut(features(docs), "features"))
-    rows = salted_lookup(measured, fences(measured), ["lang", "source"], F.col("doc_id"))
+    rows = lookup(measured, fences(measured), ["lang", "source"], F.col("doc_id"))
     inside = F.lit(True)
     for k in LEAST_SLACK:
         inside = inside & F.coalesce((F.col(k) <= F.col(f"{k}_high")) & ((F.col(k) >= F.col(f"{k}_low")) if k == "length_bin" else F.lit(True)), F.lit(True))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,7 @@ from .common import cut, drop_cut, in_arrow
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-BLOCKS = 4
-#: Fingerprints that share a 16-bit block and are more than this are told apart by further 12 bits.
+#: Nodes that share a key and are more than this are told apart by further bits.
 BLOCK_LIMIT = 4096
 #: Rows that are compared at a time, and buckets that are small enough for comparison by offset.
 ROWS, SMALL = 32_768, 48
@@ -113,17 +113,24 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def link(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is linked inside the buckets: at most one for each row, from a fingerprint to its set's first one.
+def link(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS, more: np.ndarray | None = None, more_radius: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what is linked inside the buckets: at most one for each row, from its place to that of its set's first row.
 
     bucket is sorted. Rows of small buckets are compared with the row 1, 2, ... places on, all at a time; a large bucket's rows block by
-    block with the whole bucket. Linked pairs are never listed beyond one block.
+    block with the whole bucket. Linked pairs are never listed beyond one block. `more`, a second fingerprint, has to be near too.
     """
     n = len(fps)
     label = np.arange(n)
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     size = np.diff(np.r_[start, n])
     rows = np.flatnonzero(np.repeat(size <= SMALL, size))
+
+    def joined(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if more is not None:
+            near = np.bitwise_count(more[i] ^ more[j]) <= more_radius
+            i, j = i[near], j[near]
+        return unite(label, i, j) if len(i) else label
+
     if len(rows) > 1:
         small = planes(fps[rows])
         words = -(-len(rows) // 64)
@@ -140,10 +147,9 @@ def link(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.
             shifted = ahead[:, q : q + words] >> np.uint64(r)
             if r:
                 shifted = shifted | ahead[:, q + 1 : q + 1 + words] << np.uint64(64 - r)
-            row, bit = pairs_of(*within(small, shifted, on, on, valid[on], radius)) if len(on) else (on, on)
-            if len(row):
-                at = on[row] * 64 + bit
-                label = unite(label, rows[at], rows[at + step])
+            row, bit = pairs_of(*within(small, shifted, on, on, valid[on], radius))
+            at = on[row] * 64 + bit
+            label = joined(rows[at], rows[at + step])
     for s, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         whole = planes(fps[s : s + m])
         words = -(-m // 64)
@@ -155,65 +161,78 @@ def link(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.
             ai = np.tile(np.arange(from_word, words), several)
             bi = np.repeat(np.arange(several), words - from_word)
             row, bit = pairs_of(*within(whole, bits[:, q : q + several], ai, bi, filled[ai], radius))
-            if len(row):
-                label = unite(label, s + q + bi[row], s + ai[row] * 64 + bit)
+            label = joined(s + q + bi[row], s + ai[row] * 64 + bit)
     moved = np.flatnonzero(label != np.arange(n))
-    return fps[moved], fps[label[moved]]
+    return moved, label[moved]
 
 
-def block(fp: Column, t: int) -> Column:
-    return F.shiftrightunsigned(fp, 16 * t).bitwiseAND(0xFFFF)
+def bits_of(fp: Column, low: int, high: int) -> Column:
+    """Bits low to high - 1, as a number."""
+    return F.shiftrightunsigned(fp, low).bitwiseAND((1 << high - low) - 1)
 
 
-def rest(fp: Column, t: int) -> Column:
-    """The 48 bits besides block t."""
-    low = fp.bitwiseAND((1 << 16 * t) - 1) if t else F.lit(0).cast("long")
-    high = F.shiftrightunsigned(fp, 16 * (t + 1)) if t < BLOCKS - 1 else F.lit(0).cast("long")
-    return F.shiftleft(high, 16 * t).bitwiseOR(low)
+def glued(fp: Column, ranges: list[tuple[int, int]]) -> tuple[Column, int]:
+    """The bits of several ranges as one number, and how many they are."""
+    out, width = F.lit(0).cast("long"), 0
+    for low, high in ranges:
+        out, width = out.bitwiseOR(F.shiftleft(bits_of(fp, low, high), width)), width + high - low
+    return out, width
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) of fingerprints within the radius, enough of them to join every linked set; `distinct` has each fp once.
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = RADIUS + 1, more_radius: int = 64) -> DataFrame:
+    """Links (a, b) between nodes (structs of fp and more) within the radius, enough to join every linked set; `distinct` has each node once.
 
-    Of four 16-bit blocks, at most three hold a difference, so linked fingerprints share a block. Those of a block that more than
-    BLOCK_LIMIT fingerprints share are dealt out anew by four 12-bit parts of the other bits, one of which linked ones share too: no pair is
-    lost, and buckets stay small as the corpus grows. The counts of blocks are at most 4 * 65,536 rows.
+    Of `blocks` blocks of bits, at most `radius` hold a difference, so linked fingerprints agree in some choice of the others. Those of a
+    choice and value that more than BLOCK_LIMIT nodes share are dealt out anew by radius + 1 parts of the remaining bits, one of which linked
+    ones share too: no pair is lost, and buckets stay small as the corpus grows. The counts of large buckets, which are broadcast, are at
+    most as many as there are choices and values: 2^18 with four blocks.
     """
-    if radius >= BLOCKS:
-        raise ValueError("four blocks find pairs of at most three differing bits")
-    of = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(t).cast("long").alias("t"), block(F.col("fp"), t).alias("key"), rest(F.col("fp"), t).alias("rest")) for t in range(BLOCKS)])).alias("x")).select("fp", F.shiftleft("x.key", 2).bitwiseOR(F.col("x.t")).alias("key"), "x.rest")
+    if 64 * (blocks - radius) // blocks > 18:
+        raise ValueError("too few blocks: keys are of 20 bits at most")
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    spans = list(zip(edges, edges[1:], strict=False))
+    choices = list(combinations(range(blocks), blocks - radius))
+    fp, entries = F.col("fp"), []
+    for number, chosen in enumerate(choices):
+        key, width = glued(fp, [spans[k] for k in chosen])
+        rest, left = glued(fp, [x for k, x in enumerate(spans) if k not in chosen])
+        entries.append(F.struct(key.bitwiseOR(F.lit(number << 20)).alias("key"), F.lit(left).alias("left"), rest.alias("rest")))
+    of = distinct.select("fp", "more", F.explode(F.array(*entries)).alias("x")).select("fp", "more", "x.*")
     large = of.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_LIMIT).select("key", F.lit(True).alias("large"))
-    parts = F.array(*[F.struct(F.lit(u + 1).cast("long").alias("u"), F.shiftrightunsigned("rest", 12 * u).bitwiseAND(0xFFF).alias("part")) for u in range(4)])
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("part")))
-    dealt = of.join(F.broadcast(large), "key", "left").select("fp", "key", F.explode(F.when(F.col("large"), parts).otherwise(whole)).alias("y"))
-    bucket = F.shiftleft(F.col("key"), 15).bitwiseOR(F.shiftleft("y.u", 12)).bitwiseOR(F.col("y.part"))
-    rows = dealt.select(bucket.alias("bucket"), "fp").repartition("bucket").sortWithinPartitions("bucket")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    cut_at = [F.floor(F.col("left") * u / (radius + 1)).cast("int") for u in range(radius + 2)]
+    parts = F.array(*[F.struct(F.lit(u + 1).cast("long").alias("u"), F.expr("rest").alias("r"), cut_at[u].alias("low"), cut_at[u + 1].alias("high")) for u in range(radius + 1)])
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("r"), F.lit(0).alias("low"), F.lit(0).alias("high")))
+    dealt = of.join(F.broadcast(large), "key", "left").select("fp", "more", "key", F.explode(F.when(F.col("large"), parts).otherwise(whole)).alias("y"))
+    part = F.expr("shiftrightunsigned(y.r, y.low) & (shiftleft(1L, y.high - y.low) - 1)")
+    bucket = F.shiftleft(F.col("key"), 20).bitwiseOR(F.shiftleft("y.u", 16)).bitwiseOR(part)
+    rows = dealt.select(bucket.alias("bucket"), "fp", "more").repartition("bucket").sortWithinPartitions("bucket")
+    schema = pa.schema([(k, pa.int64()) for k in ("a", "a_more", "b", "b_more")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, f in whole_buckets(batches):
-            one, other = link(b, f.view(np.uint64), radius)
-            if len(one):
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(other.view(np.int64))], schema=schema)
+        for b, f, m in whole_buckets(batches):
+            i, j = link(b, f.view(np.uint64), radius, m.view(np.uint64) if more_radius < 64 else None, more_radius)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (f[i], m[i], f[j], m[j])], schema=schema)
 
-    return rows.mapInArrow(run, "a long, b long")
+    found = rows.mapInArrow(run, "a long, a_more long, b long, b_more long")
+    return found.select(F.struct(F.col("a").alias("fp"), F.col("a_more").alias("more")).alias("a"), F.struct(F.col("b").alias("fp"), F.col("b_more").alias("more")).alias("b"))
 
 
-def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Arrays of ROWS rows or more that end where a bucket ends, of a stream sorted by bucket."""
-    held_b, held_f, n = [], [], 0
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns in pieces of ROWS rows or more that end where a bucket ends, of a stream sorted by bucket, the first column."""
+    held: list[list[np.ndarray]] = []
+    n = 0
     for batch in batches:
-        held_b.append(batch.column(0).to_numpy(zero_copy_only=False))
-        held_f.append(batch.column(1).to_numpy(zero_copy_only=False))
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
         n += batch.num_rows
         if n >= ROWS:
-            b, f = np.concatenate(held_b), np.concatenate(held_f)
-            end = int(np.searchsorted(b, b[-1]))
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            end = int(np.searchsorted(whole[0], whole[0][-1]))
             if end:
-                yield b[:end], f[:end]
-            held_b, held_f, n = [b[end:]], [f[end:]], len(b) - end
+                yield [x[:end] for x in whole]
+            held, n = [[x[end:] for x in whole]], n - end
     if n:
-        yield np.concatenate(held_b), np.concatenate(held_f)
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -239,22 +258,45 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
+def components_of(own: DataFrame, radius: int, blocks: int, more_radius: int = 64) -> DataFrame:
+    """own (doc_id, fp, more) with component_id. Rows of equal fingerprints are one node, so that copies cost nothing."""
+    node = F.struct("fp", "more")
+    nodes = cut(own.groupBy("fp", "more").agg(F.min("doc_id").alias("first")), "nodes")
+    tree = components(links(nodes.select("fp", "more"), radius, blocks, more_radius))
+    rooted = nodes.join(tree, node == F.col("node"), "left").select("fp", "more", "first", F.coalesce("root", node).alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "of")
+    table = rooted.join(named, F.col("root") == F.col("of")).select(F.col("fp").alias("is"), F.col("more").alias("is_more"), "component_id")
+    return own.join(table, (F.col("fp") == F.col("is")) & (F.col("more") == F.col("is_more"))).drop("is", "is_more")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of every document: the smallest doc_id that links within the radius reach, its own included.
 
-    Documents with equal fingerprints are one node, so that copies cost nothing. Texts without words have fingerprint 0 and are linked
-    like any other. Rows with a null doc_id take part; the smallest id is that of the others, null if there is none.
+    Texts without words have fingerprint 0 and are linked like any other. Rows with a null doc_id take part; the smallest id is that of the
+    others, null if there is none. Repeated rows are copies like any other.
     """
-    own = cut(fingerprints(docs, shingle, seed), "fingerprints")
-    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    tree = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(tree, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "of")
-    table = rooted.join(named, F.col("root") == F.col("of")).select(F.col("fp").alias("is"), "component_id")
-    return own.join(table, F.col("fp") == F.col("is")).select("doc_id", "fp", "component_id")
+    own = cut(fingerprints(docs, shingle, seed).withColumn("more", F.lit(0).cast("long")), "fingerprints")
+    return components_of(own, radius, radius + 1).drop("more")
+
+
+def near_copies(docs: DataFrame, radius: int = 7, shingle: int = 5, shingle_radius: int = 14, blocks: int = 9) -> DataFrame:
+    """doc_id and component_id by two fingerprints: of the distinct words, within `radius`, and of the shingles, within `shingle_radius`.
+
+    14 of 64 bits of five-word shingles is a similarity of 0.8 less 1.6 standard deviations of the estimate. Distinct words are the steadier
+    fingerprint of the two, so candidates come from it: 36 choices of two of nine blocks hold every pair within seven bits.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("more", pa.int64())])
+
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        one = np.array([fingerprint(np.unique(shingle_hashes(x, 1))) for x in rows["text"]], np.uint64)
+        two = np.array([fingerprint(shingle_hashes(x, shingle)) for x in rows["text"]], np.uint64)
+        return {"doc_id": rows["doc_id"], "fp": one.view(np.int64).tolist(), "more": two.view(np.int64).tolist()}
+
+    own = cut(in_arrow(docs.select("doc_id", "text"), "doc_id long, fp long, more long", work, schema), "fingerprints")
+    return components_of(own, radius, blocks, shingle_radius).select("doc_id", "component_id")
 
 
 def op8_simhash(docs: DataFrame) -> DataFrame:
