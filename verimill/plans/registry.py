@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from . import q_basic, q_knowledge  # noqa: E402, F401
+from . import q_basic, q_knowledge, q_more  # noqa: E402, F401
