@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dot, norm, trigrams
@@ -57,20 +59,30 @@ def supersession_conflicts(docs: DataFrame, most: int = 5) -> DataFrame:
     return out.select("document_a_id", "document_b_id", F.lit(0.6).alias("confidence"))
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int = 3, planes: int | None = None, seed: int = 7) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, k: int = 3, planes: int | None = None, tables: int = 6, seed: int = 7) -> DataFrame:
     """(left_id, right_id, distance, rank): the k nearest vectors of right for each of left, cosine, ids differing.
 
-    Exact by default: left, a batch, meets all of right. With `planes`, both are bucketed by that many seeded random hyperplanes and meet
-    inside a bucket and its neighbours at one flipped sign only: approximate, and without a scan of all pairs.
+    Exact by default: left, a batch, meets all of right. With `planes`, both are bucketed in `tables` tables by that many seeded random
+    hyperplanes each, and meet inside a bucket and its neighbours at one flipped sign: approximate, without a scan of all pairs. Take one
+    plane more for each doubling of right beyond a few thousand rows.
     """
     a = left.select(F.col("document_id").alias("left_id"), F.col("embedding").alias("va"), norm(F.col("embedding")).alias("na"))
     b = right.select(F.col("document_id").alias("right_id"), F.col("embedding").alias("vb"), norm(F.col("embedding")).alias("nb"))
     if planes:
-        sign = lambda v, p: dot(v, F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.lit(p), i), F.lit(2001)) / 1000.0 - 1.0)) >= 0
-        code = lambda v: sum((F.when(sign(v, p), 1 << p).otherwise(0) for p in range(1, planes)), F.when(sign(v, 0), 1).otherwise(0))
-        a = a.withColumn("own", code(F.col("va"))).withColumn("bucket", F.explode(F.array(F.col("own"), *[F.col("own").bitwiseXOR(1 << p) for p in range(planes)]))).drop("own")
-        b = b.withColumn("bucket", code(F.col("vb")))
-        pairs = a.join(b, "bucket")
+
+        def sign(v: Column, t: int, p: int) -> Column:
+            normal = F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.lit(t), F.lit(p), i), F.lit(2001)) / 1000.0 - 1.0)
+            return F.when(dot(v, normal) >= 0, 1 << p).otherwise(0)
+
+        def code(v: Column, t: int) -> Column:
+            return reduce(Column.__add__, [sign(v, t, p) for p in range(planes)])
+
+        probes = [0, *[1 << p for p in range(planes)]]
+        keys = lambda v, near: F.explode(F.array(*[F.struct(F.lit(t).alias("t"), code(v, t).bitwiseXOR(x).alias("c")) for t in range(tables) for x in near]))
+        a, b = a.withColumn("bucket", keys(F.col("va"), probes)), b.withColumn("bucket", keys(F.col("vb"), [0]))
+        # ids meet first, once each, and vectors join what has met
+        met = a.select("left_id", "bucket").join(b.select("right_id", "bucket"), "bucket").filter("left_id <> right_id").select("left_id", "right_id").distinct()
+        pairs = met.join(a.drop("bucket").dropDuplicates(["left_id"]), "left_id").join(b.drop("bucket").dropDuplicates(["right_id"]), "right_id")
     else:
         pairs = b.join(F.broadcast(a) if a.limit(5001).count() <= 5000 else a)
     n = F.col("na") * F.col("nb")
