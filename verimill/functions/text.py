@@ -79,8 +79,8 @@ def clean_reply(c: Column) -> Column:
 
 def first_score(c: Column) -> Column:
     """The first number in a text, clamped to [0, 1]; 0.5 if there is none."""
-    number = F.regexp_extract(c, r"(\d+(?:\.\d+)?)", 1)
-    return F.coalesce(F.least(F.greatest(number.try_cast("double"), F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
+    number = F.regexp_extract(c, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
+    return F.when(number.isNull(), 0.5).otherwise(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
 
 
 def register(spark: SparkSession) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,14 @@ def pieces(text: Column, size: int) -> Column:
     out = F.array(text)
     for sep in SEPARATORS:
         pattern = "(?<=" + sep.replace(".", "\\.") + ")"
-        out = F.flatten(F.transform(out, lambda x, p=pattern: F.when(token_count(x) > size, F.split(x, p)).otherwise(F.array(x))))
+        out = F.flatten(F.transform(out, split_large(pattern, size)))
     return F.filter(out, lambda x: F.length(x) > 0)
 
 
+def split_large(pattern: str, size: int) -> Callable[[Column], Column]:
+    return lambda x: F.when(token_count(x) > size, F.split(x, pattern)).otherwise(F.array(x))
+
+
 def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(document_id, chunk_index, chunk_text, tokens): parts packed greedily up to `size` tokens; a new chunk begins with the last parts of
     the one before that fit into `overlap`. Blank chunks are dropped, their numbers stay unused.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as an
 from ..operators import filters as fl
-from .registry import NOW, query
+from .registry import now, query
 
 
 @query("a1_scan_tenant", "SELECT document_id, status, doc_type FROM {docs} WHERE tenant_id = 2")
@@ -98,7 +98,7 @@ def _(v):
     WHERE auto_sync AND coalesce(sync_status, 'idle') <> 'running' AND (last_sync_at IS NULL OR last_sync_at + to_minutes(interval_minutes) < stamp('2024-01-31 00:00:00'))""",
 )
 def _(v):
-    return fl.due_sources(v("sources"), v("cursors"), NOW).select("source_id", "source_type")
+    return fl.due_sources(v("sources"), v("cursors"), now()).select("source_id", "source_type")
 
 
 @query(
@@ -128,7 +128,7 @@ def _(v):
 @query("c12_retention_due", "SELECT document_id FROM {docs} d JOIN {tenants} t ON d.tenant_id = t.tenant_id WHERE d.created_at < stamp('2024-01-31 00:00:00') - to_days(CAST(t.retention_days AS INT))")
 def _(v):
     old = v("docs").join(v("tenants").select("tenant_id", "retention_days"), "tenant_id")
-    return old.filter(F.col("created_at") < NOW - F.make_interval(days=F.col("retention_days"))).select("document_id")
+    return old.filter(F.col("created_at") < now() - F.make_interval(days=F.col("retention_days"))).select("document_id")
 
 
 @query("c13_claims_per_document", "SELECT d.document_id, CAST(count(c.claim_id) AS BIGINT) AS claims FROM {claim_docs} d LEFT JOIN {claims} c ON c.document_id = d.document_id GROUP BY d.document_id")
@@ -159,7 +159,7 @@ for _period, _days in (("day", 1), ("week", 7), ("month", 30)):
 
     @query(f"d4_usage_{_period}", f"SELECT tenant_id, event_type, CAST(sum(quantity) AS BIGINT) AS quantity, CAST(count(*) AS BIGINT) AS events FROM {{usage}} WHERE created_at > stamp('2024-01-31 00:00:00') - to_days({_days}) AND created_at <= stamp('2024-01-31 00:00:00') GROUP BY ALL")
     def _(v, period=_period):
-        return an.usage_summary(v("usage"), NOW, period)
+        return an.usage_summary(v("usage"), now(), period)
 
 
 _QUOTA = """WITH d AS (SELECT tenant_id, count(*) AS n FROM {docs} WHERE status <> 'deleted' GROUP BY 1), q AS (SELECT tenant_id, count(*) AS n, sum(quantity) AS s FROM {usage} WHERE event_type = 'view' AND created_at >= stamp('2024-01-01 00:00:00') AND created_at <= stamp('2024-01-31 00:00:00') GROUP BY 1),
@@ -168,12 +168,12 @@ _QUOTA = """WITH d AS (SELECT tenant_id, count(*) AS n FROM {docs} WHERE status
 
 @query("d5_check_quota", _QUOTA + """SELECT tenant_id, reason IS NULL AS allowed, reason FROM (SELECT tenant_id, CASE WHEN documents >= max_documents THEN 'document limit reached' WHEN queries >= max_queries_per_month THEN 'query limit reached' WHEN sources >= max_sources THEN 'source limit reached' END AS reason FROM u)""")
 def _(v):
-    return an.check_quota(an.quota_view(v("tenants"), v("docs"), v("sources"), v("usage"), NOW)).select("tenant_id", "allowed", "reason")
+    return an.check_quota(an.quota_view(v("tenants"), v("docs"), v("sources"), v("usage"), now())).select("tenant_id", "allowed", "reason")
 
 
 @query("d6_month_to_date", _QUOTA + "SELECT tenant_id, plan, documents, queries, query_quantity, sources FROM u")
 def _(v):
-    return an.quota_view(v("tenants"), v("docs"), v("sources"), v("usage"), NOW).select("tenant_id", "plan", "documents", "queries", "query_quantity", "sources")
+    return an.quota_view(v("tenants"), v("docs"), v("sources"), v("usage"), now()).select("tenant_id", "plan", "documents", "queries", "query_quantity", "sources")
 
 
 @query("d9_source_tree", """WITH t AS (SELECT DISTINCT unnest([document_a_id, document_b_id]) AS document_id FROM {conflicts} WHERE status = 'new'), k AS (SELECT document_id, count(*) AS n FROM {claims} WHERE status = 'active' GROUP BY 1),

@@ -89,7 +89,7 @@ def _(v):
     return v("conversations").select("conv_id", "turn", tx.clean_reply(F.col("text")).alias("cleaned"))
 
 
-@query("f14_first_score", r"SELECT conv_id, turn, coalesce(least(greatest(try_cast(regexp_extract(text, '(\d+(?:\.\d+)?)', 1) AS DOUBLE), 0), 1), 0.5) AS score FROM {conversations}")
+@query("f14_first_score", r"SELECT conv_id, turn, CASE WHEN try_cast(regexp_extract(text, '(\d+(?:\.\d+)?)', 1) AS DOUBLE) IS NULL THEN 0.5 ELSE least(greatest(try_cast(regexp_extract(text, '(\d+(?:\.\d+)?)', 1) AS DOUBLE), 0), 1) END AS score FROM {conversations}")
 def _(v):
     return v("conversations").select("conv_id", "turn", tx.first_score(F.col("text")).alias("score"))
 
@@ -385,7 +385,7 @@ def _(v):
     return cl.extract_claims(v("chunks"), passes=2).select("document_id", "chunk_id", "subject", "predicate", "object_value")
 
 
-@query("i15_parse_claims", """SELECT turn + conv_id * 1000 AS reply_id, concat('S', turn) AS subject, 'says' AS predicate, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 20) AS object_value, CASE WHEN turn % 2 = 0 THEN 0.9 ELSE 0.5 END AS confidence FROM {conversations} WHERE role = 'assistant' AND left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 20) <> ''""")
+@query("i15_parse_claims", """SELECT turn + conv_id * 1000 AS reply_id, concat('S', turn) AS subject, 'says' AS predicate, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 20) AS object_value, CAST(CASE WHEN turn % 2 = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence FROM {conversations} WHERE role = 'assistant' AND left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 20) <> ''""")
 def _(v):
     said = F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 20)
     raw = F.concat(F.lit("<think>hm [no]</think>Here:\n```json\n[{\"subject\": \"S"), F.col("turn"), F.lit("\", \"predicate\": \"says\", \"object_value\": \""), said, F.when(F.col("turn") % 2 == 0, "\", \"confidence\": 0.9}]\n```").otherwise("\"}]\n```"))

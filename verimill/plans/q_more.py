@@ -18,7 +18,7 @@ from ..sources import feeds as fd
 from ..sources import text as st
 from ..streaming import jobs
 from .q_knowledge import _INDEX, _SEARCH, search, search_inputs, titles_as_claims
-from .registry import NOW, query
+from .registry import now, query
 
 _DECIDE = "SELECT conflict_id, CASE conflict_id % 10 WHEN 0 THEN 'keep_a' WHEN 2 THEN 'keep_b' WHEN 4 THEN 'keep_both' WHEN 6 THEN 'reject_both' END AS resolution FROM {conflicts} WHERE conflict_id % 10 < 8"
 _STATES = "de AS (" + _DECIDE + "), stt AS (SELECT document_id, min(s) AS s FROM (SELECT document_a_id AS document_id, CASE resolution WHEN 'keep_b' THEN 'superseded' WHEN 'reject_both' THEN 'rejected' END AS s FROM {conflicts} c JOIN de ON de.conflict_id = c.conflict_id UNION ALL SELECT document_b_id, CASE resolution WHEN 'keep_a' THEN 'superseded' WHEN 'reject_both' THEN 'rejected' END FROM {conflicts} c JOIN de ON de.conflict_id = c.conflict_id) WHERE s IS NOT NULL GROUP BY 1)"
@@ -65,7 +65,7 @@ def _(v):
     return gv.apply_reviews(v("docs"), v("reviews"), decisions)[1].select("task_id", "status")
 
 
-@query("i31_parse_verdicts", "SELECT conv_id * 1000 + turn AS reply_id, CASE turn % 4 WHEN 0 THEN 'keep_a' WHEN 1 THEN 'keep_b' ELSE 'keep_both' END AS resolution, CASE turn % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.7 END AS confidence FROM {conversations}")
+@query("i31_parse_verdicts", "SELECT conv_id * 1000 + turn AS reply_id, CASE turn % 4 WHEN 0 THEN 'keep_a' WHEN 1 THEN 'keep_b' ELSE 'keep_both' END AS resolution, CAST(CASE turn % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.7 END AS DOUBLE) AS confidence FROM {conversations}")
 def _(v):
     t = F.col("turn")
     raw = F.concat(F.lit("<think>{no}</think> so: {\"resolution\": \""), F.when(t % 4 == 0, "keep_a").when(t % 4 == 1, "keep_b").otherwise("maybe"), F.lit("\""), F.when(t % 3 == 0, ", \"confidence\": 7").when(t % 3 == 1, "").otherwise(", \"confidence\": 0.7"), F.lit("} ok"))
@@ -110,13 +110,13 @@ t3 AS (SELECT *, CASE WHEN status = 'indexed' AND k2 IN ('warm', 'cold') AND acc
 
 @query("i43_tier_sweep", f"WITH {_TIER} SELECT document_id, index_tier, new_tier FROM t3")
 def _(v):
-    return gv.tier_sweep(v("docs"), NOW).select("document_id", "index_tier", "new_tier")
+    return gv.tier_sweep(v("docs"), now()).select("document_id", "index_tier", "new_tier")
 
 
 @query("i43_tier_embeddings", f"WITH {_TIER} SELECT chunk_id, new_tier = 'hot' OR (new_tier = 'warm' AND chunk_index = 0) AS kept FROM {{chunks}} c JOIN t3 ON t3.document_id = c.document_id")
 def _(v):
     chunks = v("chunks").select("chunk_id", "document_id", "chunk_index", F.array(F.lit(1.0)).alias("embedding"))
-    return gv.tier_embeddings(chunks, gv.tier_sweep(v("docs"), NOW)).select("chunk_id", F.col("embedding").isNotNull().alias("kept"))
+    return gv.tier_embeddings(chunks, gv.tier_sweep(v("docs"), now())).select("chunk_id", F.col("embedding").isNotNull().alias("kept"))
 
 
 _DUE = "du AS (SELECT document_id FROM {docs} d JOIN {tenants} t ON d.tenant_id = t.tenant_id WHERE d.status = 'deleted' AND d.created_at < stamp('2024-01-31 12:00:00') - to_days(CAST(t.retention_days AS INT)))"
@@ -339,7 +339,7 @@ for _a, _b in st.ENTITIES:
     _HTML = f"replace({_HTML}, '{_a}', '{_b}')"
 
 
-@query("a6_html_to_text", rf"SELECT page_id, sha256(trim(regexp_replace({_HTML}, '\n{{3,}}', chr(10) || chr(10), 'g'))) AS h FROM {{pages}}")
+@query("a6_html_to_text", rf"SELECT page_id, sha256(regexp_replace(regexp_replace({_HTML}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM {{pages}}")
 def _(v):
     return v("pages").select("page_id", F.sha2(st.html_to_text(F.col("html")), 256).alias("h"))
 

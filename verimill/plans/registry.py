@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-NOW = F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'")
+
+
+def now() -> Column:
+    """The moment that queries take for now."""
+    return F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00'")
+
+
 View = Callable[[str], DataFrame]
 
 

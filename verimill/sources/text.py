@@ -22,8 +22,8 @@ def route_by_suffix(df: DataFrame, path: str = "path") -> DataFrame:
 
 
 def ingest_directory(spark: SparkSession, path: str, max_mb: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Files of a directory tree as (path, format, text), and (outcome, n): success, skipped (empty, too large or unknown) or failed (known, but
-    not decoded here)."""
+    """Files of a directory tree as (path, format, text), and (outcome, n): success, skipped (too large or unknown) or failed (known, but not
+    decoded here). Spark's file sources don't list empty files at all."""
     files = route_by_suffix(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
     outcome = F.when((F.col("length") == 0) | (F.col("length") > max_mb * 1024 * 1024) | (F.col("format") == "unknown"), "skipped").when(F.col("format") == "unsupported", "failed").otherwise("success")
     files = files.withColumn("outcome", outcome)
@@ -65,7 +65,7 @@ def html_to_text(html: Column) -> Column:
     c = F.regexp_replace(c, r"<[^>]+>", "")
     for name, char in ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def table_to_markdown(headers: Column, rows: Column) -> Column:
