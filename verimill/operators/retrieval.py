@@ -182,3 +182,12 @@ def retrieval_log(answers: DataFrame, results: DataFrame, queries: DataFrame, no
 def accept_feedback(feedback: DataFrame) -> DataFrame:
     """Feedback with valid: rating from -1 to 1, and an outcome of those known, or none."""
     return feedback.withColumn("valid", F.coalesce(F.col("rating").between(-1, 1), F.lit(False)) & (F.col("outcome").isNull() | F.col("outcome").isin("resolved", "partially_resolved", "unresolved", "escalated")))
+
+
+def embedded_search(docs: DataFrame, texts: DataFrame, postings: DataFrame, queries: DataFrame, embedder: Callable[[Column], Column], top_k: int = 20) -> DataFrame:
+    """hybrid_search() for texts (document_id, text) and queries that have no vectors yet: both are embedded, each distinct text once."""
+    from ..functions.extension import embed
+
+    vectors, cache = embed(texts.select("document_id", "text"), embedder, text="text")
+    asked, _ = embed(queries.select("query_id", "query_text"), embedder, cache, text="query_text")
+    return hybrid_search(docs, vectors.select("document_id", "embedding"), postings, asked.select("query_id", "query_text", "embedding"), top_k=top_k)

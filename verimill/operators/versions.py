@@ -24,6 +24,11 @@ def append_versions(versions: DataFrame, upserted: DataFrame) -> DataFrame:
     return versions.select(*KEY, "version", "content_hash", "content_snapshot").unionByName(fresh)
 
 
+def history(versions: DataFrame) -> DataFrame:
+    """(document_id, versions, contents, latest): how many versions a document has, how many of them differ, and the latest."""
+    return versions.groupBy("document_id").agg(F.count("*").alias("versions"), F.countDistinct(F.sha2("content_snapshot", 256)).alias("contents"), F.max("version").alias("latest"))
+
+
 def version_pairs(versions: DataFrame) -> DataFrame:
     """(document_id, version, content_snapshot, previous): each version with the one before it."""
     w = Window.partitionBy("document_id").orderBy("version")

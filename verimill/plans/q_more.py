@@ -505,3 +505,23 @@ def _(v):
     exact, near = cf.knn_join(left, v("vectors")), cf.knn_join(left, v("vectors"), planes=4)
     hit = exact.join(near, ["left_id", "right_id"], "left_semi").agg(F.count("*").alias("found"))
     return exact.agg(F.count("*").alias("wanted")).join(hit).withColumn("recall", F.round(F.col("found") / F.col("wanted"), 4))
+
+
+@query("i27_retrieval_log", _SEARCH + "SELECT q.query_id, q.query_text, string_agg(r.document_id, ',' ORDER BY r.rank) AS documents_returned, '2024-01-31 00:00:00' AS created_at FROM q LEFT JOIN r ON r.query_id = q.query_id GROUP BY ALL")
+def _(v):
+    q = search_inputs(v)
+    found = search(v, q)
+    answers = rt.confidence(found, q).select("query_id")
+    log = rt.retrieval_log(answers, found, q, now())
+    return log.select("query_id", "query_text", F.array_join("documents_returned", ",").alias("documents_returned"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@query("i23_embedded_search")
+def _(v):
+    d = v("docs")
+    return rt.embedded_search(d, d.select("document_id", F.col("title").alias("text")), v("postings"), search_inputs(v).drop("embedding"), ex.hashed_terms, 10)
+
+
+@query("i40_version_history", "SELECT document_id, CAST(count(*) AS BIGINT) AS versions, CAST(count(DISTINCT content_snapshot) AS BIGINT) AS contents, CAST(max(version) AS BIGINT) AS latest FROM {versions} GROUP BY 1")
+def _(v):
+    return vs.history(v("versions"))
