@@ -10,6 +10,7 @@ import hashlib
 import json
 import re
 import sys
+import unicodedata
 from array import array
 
 import pyarrow as pa
@@ -21,8 +22,13 @@ from .common import in_arrow
 REMEMBERED = 150_000
 #: Stands for the mark of a word's end inside the automaton's strings.
 END = "\x00"
-# The word pattern of this vocabulary, in ASCII.
+# The word pattern of this vocabulary, in ASCII and in text whose white space has become single blanks.
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d a-z0-9]+")
+#: Scripts whose letters and numbers every Unicode version knows: Latin, Greek, Cyrillic and common punctuation. Texts in others are left
+#: to the tokenizers library's own splitting.
+SETTLED = re.compile(r"[\x00-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010-\u2027\u2030-\u205e]*")
+LETTERS, NUMBERS = ("".join(re.escape(chr(c)) for c in range(0x2060) if SETTLED.fullmatch(chr(c)) and unicodedata.category(chr(c))[0] == kind) for kind in "LN")
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^ {LETTERS}{NUMBERS}]+")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -92,39 +98,43 @@ class Vocabulary:
         return self.stands(a) and self.stands(b) and self.apart(a, b, self.rank[token])
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of one word in the byte alphabet. last[n] is (start, token) of the last token of its first n characters."""
-        text = word + END
-        bare = len(word) - 1  # no token may end at the last letter without the word's end
-        last: list[tuple[int, int] | None] = [None] * (len(text) + 1)
+        """Ids of one word. token_at[n] is the last token of its first n characters, in the bytes' alphabet, and start_at[n] where it begins."""
+        text = (word if word.isascii() and word.isprintable() else "".join(self.alphabet[b] for b in word.encode())) + END
+        bare = len(text) - 2  # no token may end at the last letter without the word's end
+        token_at, start_at = [-1] * (len(text) + 1), [0] * (len(text) + 1)
+        fits, apart = self.fits, self.apart
         for at, (size, token) in self.automaton.iter(text):
-            if at == bare or last[at + 1] is not None:
+            end = at + 1
+            if at == bare or token_at[end] >= 0:
                 continue
-            start = at + 1 - size
+            start = end - size
             if start:
-                before = last[start]
-                if before is None:
+                before = token_at[start]
+                if before < 0:
                     continue
-                pair = before[1] << 32 | token
-                fit = self.fits.get(pair)
+                pair = before << 32 | token
+                fit = fits.get(pair)
                 if fit is None:
-                    if len(self.fits) > 3 * REMEMBERED:
-                        self.fits.clear()
-                    fit = self.fits[pair] = self.apart(before[1], token)
+                    if len(fits) > 3 * REMEMBERED:
+                        fits.clear()
+                    fit = fits[pair] = apart(before, token)
                 if not fit:
                     continue
-            last[at + 1] = (start, token)
+            token_at[end], start_at[end] = token, start
         out, at = [], len(text)
         while at:
-            at, token = last[at]  # type: ignore[misc]
-            out.append(token)
+            out.append(token_at[at])
+            at = start_at[at]
         return out[::-1]
 
     def words(self, text: str) -> list[str]:
-        """Words of a text in the byte alphabet: normalised, lower case, white space dropped."""
+        """Words of a text: normalised, lower case, white space dropped."""
         if text.isascii():
-            found = ASCII_WORDS.findall(text.lower())
-            return found if text.isprintable() else [w if w.isprintable() else "".join(self.alphabet[ord(c)] for c in w) for w in found]
-        return [w for w, _ in self.tool.pre_tokenizer.pre_tokenize_str(self.tool.normalizer.normalize_str(text))]
+            return ASCII_WORDS.findall(text.lower())
+        plain = self.tool.normalizer.normalize_str(text)
+        if SETTLED.fullmatch(plain):
+            return WORDS.findall(plain)
+        return [plain[a:b] for _, (a, b) in self.tool.pre_tokenizer.pre_tokenize_str(plain)]
 
     def encode(self, text: str) -> tuple[bytes, str, int]:
         """Ids as little-endian 32-bit integers, the decoded text, and the number of ids."""
@@ -135,19 +145,24 @@ class Vocabulary:
                 ids.append(self.special[part].to_bytes(4, "little"))
                 names.append(part)
                 continue
-            for word in self.words(part):
-                got = self.known.get(word)
-                if got is None:
-                    got = self.older.get(word) or self.encoded(word)
-                    if len(self.known) >= REMEMBERED:
-                        self.known, self.older = {}, self.known
-                    if len(word) < 100:
-                        self.known[word] = got
-                ids.append(got[0])
-                names.append(got[1])
+            words = self.words(part)
+            got = list(map(self.known.get, words))
+            if None in got:
+                for i in [i for i, x in enumerate(got) if x is None]:
+                    got[i] = self.remembered(words[i])
+            ids += [x[0] for x in got]  # type: ignore[index]
+            names += [x[1] for x in got]  # type: ignore[index]
         data = b"".join(ids)
         return data, " ".join(names), len(data) // 4
 
+    def remembered(self, word: str) -> tuple[bytes, str]:
+        got = self.known.get(word) or self.older.get(word) or self.encoded(word)
+        if len(self.known) >= REMEMBERED:
+            self.known, self.older = {}, self.known
+        if len(word) < 100:
+            self.known[word] = got
+        return got
+
     def encoded(self, word: str) -> tuple[bytes, str]:
         ids = self.encode_word(word)
         numbers = array("I", ids)
