@@ -57,19 +57,33 @@ def route(queries: DataFrame) -> DataFrame:
     return queries.withColumns({"query_type": kind.otherwise("rag"), "confidence": sure.otherwise(0.5), "reason": reason.otherwise("default_rag")})
 
 
+def grams_of(c: Column, sizes: Column) -> Column:
+    """Distinct runs of characters of a text, of the given sizes."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))
+    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length(c)), of)))
+
+
 def index_lookup(index: DataFrame, queries: DataFrame, most: int = 5) -> DataFrame:
     """(query_id, subject, predicate, value, confidence, strategy, rank): entries of the index whose predicate holds the normalised query, or
-    else its last two words in order. Queries and predicates meet on words, then the whole pattern is tested."""
+    else its last two words in order.
+
+    Queries and predicates meet on the query's rarest run of three characters (fewer, if a word has fewer), which whatever holds it has too;
+    then the whole pattern is tested.
+    """
     asked = queries.select("query_id", normalize_text(F.col("query_text")).alias("q")).filter("q <> ''").withColumn("w", F.split("q", " "))
-    predicates = index.select("predicate_normalized").distinct().withColumn("word", F.explode(F.array_distinct(F.split("predicate_normalized", " "))))
-    # strategy 1: a substring; its inner words are whole, its only word may be part of one, so words are met by their containing the first query word's text
-    middle = asked.select("query_id", "q", F.when(F.size("w") > 2, F.element_at("w", 2)).alias("key"))
-    whole = middle.filter("key IS NOT NULL").join(predicates, F.col("key") == F.col("word")).filter(F.contains("predicate_normalized", F.col("q")))
-    short = middle.filter("key IS NULL").join(predicates.select("predicate_normalized").distinct(), F.contains("predicate_normalized", F.col("q")))
-    one = whole.select("query_id", "predicate_normalized").unionByName(short.select("query_id", "predicate_normalized")).distinct().withColumn("strategy", F.lit(1))
-    missed = asked.join(one.select("query_id").distinct(), "query_id", "left_anti").filter(F.size("w") >= 2)
-    two = missed.withColumn("a", F.element_at("w", -2)).withColumn("b", F.element_at("w", -1))
-    two = two.join(predicates.select("predicate_normalized").distinct(), F.expr("predicate_normalized LIKE concat('%', a, '%', b, '%')")).select("query_id", "predicate_normalized").withColumn("strategy", F.lit(2))
+    predicates = index.select("predicate_normalized").distinct()
+    have = predicates.select("predicate_normalized", F.explode(grams_of(F.col("predicate_normalized"), F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("gram"))
+    often = have.groupBy("gram").agg(F.count("*").alias("n"))
+
+    def meet(rows: DataFrame, grams: Column) -> DataFrame:
+        handle = rows.select("*", F.explode(grams).alias("gram")).join(often, "gram", "left")
+        rarest = handle.groupBy(*rows.columns).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+        return rarest.select(*rows.columns, F.col("g.gram").alias("gram")).join(have, "gram")
+
+    three = lambda c: grams_of(c, F.array(F.least(F.length(c), F.lit(3))))
+    one = meet(asked.select("query_id", "q"), three(F.col("q"))).filter(F.contains("predicate_normalized", F.col("q"))).select("query_id", "predicate_normalized", F.lit(1).alias("strategy"))
+    missed = asked.join(one.select("query_id").distinct(), "query_id", "left_anti").filter(F.size("w") >= 2).select("query_id", F.element_at("w", -2).alias("a"), F.element_at("w", -1).alias("b"))
+    two = meet(missed, F.concat(three(F.col("a")), three(F.col("b")))).filter(F.expr("predicate_normalized LIKE concat('%', a, '%', b, '%')")).select("query_id", "predicate_normalized", F.lit(2).alias("strategy"))
     hits = one.unionByName(two).join(index, "predicate_normalized")
     top = ranked(hits, ["query_id"], F.desc("confidence"), F.asc("subject"), F.asc("predicate"), most=most)
     return top.select("query_id", "subject", "predicate", "value", "confidence", "strategy", "rank")
