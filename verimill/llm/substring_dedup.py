@@ -25,7 +25,7 @@ WORDS = 13
 #: Batches that a whole table is cut into. An index that is kept takes batches of any size, one after the other.
 BATCHES = 4
 #: Bytes of text of a range of ids, and of a hash range of the index; they set how many of each there are.
-RANGE_BYTES, BUCKET_BYTES, SEGMENT_BYTES = 32_000_000, 24_000_000, 6_000_000
+RANGE_BYTES, BUCKET_BYTES, SEGMENT_BYTES = 32_000_000, 12_000_000, 800_000
 #: Seeds of the hash that windows are found by and of the one that verifies them.
 FIND, VERIFY = 11, 29
 RUN, REPEATED, WANTED, RESULT, PROOF = range(5)
