@@ -117,9 +117,12 @@ def blob_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(BLOB_SCHEMA)], schema=BLOB_SCHEMA)
 
 
-def merge_join(table: pa.Table) -> pa.Table:
-    """One bucket: the batch's hashes with the runs'. Gives the new run, for each segment which of its hashes repeat earlier ones (a bit
-    each, in their order), and for each earlier segment which of its hashes were met."""
+def merge_join(table: pa.Table, keep_run: bool = True) -> pa.Table:
+    """One bucket: the batch's hashes with the runs'.
+
+    Gives the new run (unless no batch will follow), for each segment which of its hashes repeat earlier ones (a bit each, in their order),
+    and for each earlier segment which of its hashes were met.
+    """
     rows = sorted((r for r in table.to_pylist()), key=lambda r: (r["kind"], r["seg"]))
     bucket = rows[0]["bucket"]
     batch = [(r["seg"], unsqueeze(r["hashes"])) for r in rows if r["kind"] == REPEATED]
@@ -140,7 +143,7 @@ def merge_join(table: pa.Table) -> pa.Table:
             old |= hit
     repeated = np.empty(len(h), bool)
     repeated[order] = ~first | old[group]
-    out = [(RUN, bucket, 0, squeeze(distinct[~old]), packed(owner[~old].astype("<i8")))] if not old.all() else []
+    out = [(RUN, bucket, 0, squeeze(distinct[~old]), packed(owner[~old].astype("<i8")))] if keep_run and not old.all() else []
     for (s, x), bits in zip(batch, np.split(repeated, np.cumsum([len(x) for _, x in batch])[:-1]), strict=True):
         if bits.any():
             out.append((REPEATED, bucket, s, packed(np.packbits(bits)), len(x).to_bytes(8, "little")))
@@ -170,13 +173,22 @@ class Index:
     runs: list[tuple[int, DataFrame]] = field(default_factory=list)
 
     def add(self, segs: DataFrame, last: bool = False) -> DataFrame:
-        """Merge-join a batch, whose ids are not below those of earlier ones, and take it in. Returns its answers, rows of BLOB."""
+        """Merge-join a batch, whose ids are not below those of earlier ones, and take it in, unless it is the last one that ever comes.
+
+        Returns the batch's answers, rows of BLOB.
+        """
+
+        def merge(table: pa.Table) -> pa.Table:
+            return merge_join(table, keep_run=not last)
+
         rows = reduce(DataFrame.unionByName, [fingerprint_rows(segs, self.bits), *[run for _, run in self.runs]])
-        done = cut(rows.groupBy("bucket").applyInArrow(merge_join, BLOB), "merged", "kind")
+        done = cut(rows.groupBy("bucket").applyInArrow(merge, BLOB), "merged", "kind")
+        if last:
+            return done
         fresh = done.filter(F.col("kind") == RUN)
         fresh._verimill_path = f"{done._verimill_path}/kind={RUN}"
         self.runs.append((0, fresh))
-        while not last and len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
+        while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
             (level, a), (_, b) = self.runs[-2:]
             self.runs[-2:] = [(level + 1, cut(a.unionByName(b).groupBy("bucket").applyInArrow(compact, BLOB), "run"))]
             drop_cut(a)
