@@ -252,6 +252,37 @@ def test_near_copies(spark):
     assert sum(got[40 + i] == i for i in range(10)) >= 9
 
 
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1])) if any(sets) else 1.0
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Groups are those that pairs with a shingle similarity of 0.8 or more form: none is missed and none is made of less similar texts."""
+    rng = random.Random(9)
+    common = [f"w{i}" for i in range(60)]
+    texts = []
+    for g in range(40):
+        n = rng.choice([3, 5, 12, 60, 150, 400])
+        base = [rng.choice(common) for _ in range(n)]
+        texts.append(base)
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, n // 25))):
+                w[rng.randrange(n)] = rng.choice(common)
+            texts.append(w[: n - rng.randint(0, n // 8)])
+    texts = [" ".join(t) for t in texts] + ["", "  "]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert len(near) > 100
+    label = simhash.unite(np.arange(len(texts)), *np.array(near).T)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(simhash.near_copies(docs).collect())
+    assert [got[i] for i in range(len(texts))] == label.tolist()
+
+
 @pytest.mark.parametrize("op", [substring_dedup.op2_substring_dedup, suffix_dedup.op7_suffix_dedup, simhash.op8_simhash])
 def test_empty(op, empty):
     assert op(empty).collect() == []
