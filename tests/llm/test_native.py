@@ -110,6 +110,23 @@ def test_sharding_of_many_buckets_is_a_seeded_permutation(spark):
     assert 800 < moved < 1200  # a third of the length, for a random permutation
 
 
+def test_sharding_writes_whole_documents_and_spreads_equal_rows(spark, monkeypatch):
+    """Shards on disk hold the texts; a third of equal rows goes to many buckets, of which none is over its size by much."""
+    made = []
+    real = sharding.cut
+    monkeypatch.setattr(sharding, "cut", lambda df, name, *by: made.append((name, real(df, name, *by))) or made[-1][1])
+    monkeypatch.setattr(sharding.shard, "__defaults__", (8, sharding.SEED, 8192, 20_000))
+    docs = spark.createDataFrame([(i, f"text {i} " * 40) for i in range(1000)] + [(-1, "same " * 60)] * 500, "doc_id long, text string")
+    got = sharding.op10_sharding(docs).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((r.doc_id, zlib.crc32(r.text.encode())) for r in docs.collect())
+    shards = dict(made)["shards"]
+    assert Counter((r.doc_id, r.text) for r in shards.collect()) == Counter(map(tuple, docs.collect()))
+    sizes = [r.b for r in dict(made)["scattered"].selectExpr("__bucket", "octet_length(__row.text) as n").groupBy("__bucket").agg({"n": "sum"}).toDF("k", "b").collect()]
+    assert len(sizes) >= 20 and max(sizes) < 40_000
+    place = lambda d: sorted((r.doc_id, r.shard, r.slot) for r in sharding.op10_sharding(d).collect())
+    assert place(docs) == place(docs.repartition(7))
+
+
 @pytest.mark.parametrize("op", [mixing.op1_mixing, quality_rules.op3_quality_rules, sharding.op10_sharding])
 def test_empty(op, empty):
     assert op(empty).collect() == []

@@ -2,39 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 SHARDS = 8
 SEED = 20_240_731
-#: Rows of a bucket: what one task holds at a time while it shuffles.
+#: Rows and bytes of a bucket at most: what one task holds at a time while it shuffles.
 BUCKET_ROWS = 8192
+BUCKET_BYTES = 16_000_000
+#: Equal rows that fill more than this share of a bucket are spread.
+SPREAD = 16
+#: Copies of a row that one task makes at a time.
+COPIES = 4096
 
 
-def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: those of its texts, and 8 for each other column."""
+    long = [F.coalesce(F.octet_length(F.col(f.name).cast("string") if f.dataType.typeName() != "binary" else F.col(f.name)), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    return sum(long, F.lit(8 * len(df.columns))).cast("long")
+
+
+def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """df with shard (int) and slot (long, from 0 without gaps in each shard); shards differ by one row at most.
 
-    Pass 1 scatters rows over ceil(n / bucket_rows) buckets by a seeded hash of the row and writes them. Pass 2 puts each bucket into a
-    fixed order and permutes it with Spark's shuffle(), a seeded Fisher-Yates; buckets in turn then make one permutation of all rows,
-    which is dealt to the shards like cards. The number of buckets follows the input, so that a bucket stays as large as it is. Repeated
-    rows are kept, each with a place of its own; an empty table gives an empty one.
+    Pass 1 scatters whole rows over buckets by a seeded hash of the row. Pass 2 puts each bucket into a fixed order and permutes it with
+    Spark's shuffle(), a seeded Fisher-Yates; buckets in turn then make one permutation of all rows, which is dealt to the shards like cards.
+    The number of buckets follows the rows and bytes of the input, so that a bucket stays as large as it is. Equal rows that would fill
+    much of a bucket are told apart by an occurrence number, which the hash takes too; being equal, they are made from one of them and their
+    count. Repeated rows are kept, each with a place of its own; an empty table gives an empty one.
     """
     columns = df.columns
-    rows = df.count()
-    buckets = max(1, -(-rows // bucket_rows))
-    scattered = cut(df.select(F.struct(*columns).alias("__row"), F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]), F.lit(buckets)).alias("__bucket")), "scattered")
+    row, of = F.struct(*columns), F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
+    hashed = df.select(row.alias("__row"), of.alias("__hash"), row_bytes(df).alias("__bytes"))
+    total = hashed.agg(F.count("*").alias("n"), F.coalesce(F.sum("__bytes"), F.lit(0)).alias("b")).first()
+    buckets = max(1, -(-total.n // bucket_rows), -(-total.b // bucket_bytes))
+    hot = hashed.groupBy("__hash").agg(F.count("*").alias("__n"), F.sum("__bytes").alias("__b"))
+    hot = cut(hot.filter((F.col("__n") > max(1, bucket_rows // SPREAD)) | (F.col("__n") > 1) & (F.col("__b") > bucket_bytes // SPREAD)).select(F.col("__hash").alias("__is")), "hot")
+    few = F.broadcast(hot)  # at most SPREAD of them for each bucket's rows and for its bytes
+    on = F.col("__hash") == F.col("__is")
+    plain = hashed.join(few, on, "left_anti").select("__row", F.pmod("__hash", F.lit(buckets)).alias("__bucket"))
+    equal = hashed.join(few, on, "left_semi").groupBy("__row").agg(F.first("__hash").alias("__hash"), F.count("*").alias("__n"))
+    parts = equal.select("__row", "__hash", "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(COPIES).cast("long"))).alias("__from")).repartition("__hash", "__from")
+    copies = parts.select("__row", "__hash", F.explode(F.sequence("__from", F.least(F.col("__from") + COPIES, F.col("__n")) - 1)).alias("__copy"))
+    spread = copies.select("__row", F.pmod(F.xxhash64("__hash", "__copy"), F.lit(buckets)).alias("__bucket"))
+    scattered = cut(plain.unionByName(spread), "scattered")
     counts = scattered.groupBy("__bucket").agg(F.count("*").alias("__n"))
     first = counts.select(F.col("__bucket").alias("__of"), F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
     dealt = scattered.repartition(buckets, "__bucket").sortWithinPartitions("__bucket").groupBy("__bucket").agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
     shuffled = dealt.select("__bucket", F.shuffle("__rows", F.lit(seed)).alias("__rows"))
-    placed = shuffled.join(first, F.col("__bucket") == F.col("__of")).select("__first", F.posexplode("__rows").alias("__pos", "__row"))
+    placed = shuffled.join(F.broadcast(first), F.col("__bucket") == F.col("__of")).select("__first", F.posexplode("__rows").alias("__pos", "__row"))
     at = F.col("__first") + F.col("__pos")
     return placed.select("__row.*", (at % shards).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot"))
 
 
 def op10_sharding(docs: DataFrame) -> DataFrame:
+    """Whole documents are written to a folder for each shard; size and text_crc32 are those of the texts that are read back from it."""
+    written = cut(shard(docs), "shards", "shard")
     data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    sized = docs.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    return shard(sized).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return written.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
