@@ -202,3 +202,40 @@ def test_bpe_encode_decode_tables(odd):
 @pytest.mark.parametrize("op", [matroska.op4_matroska, license_scan.op5_license_scan, language_id.op6_language_id, bpe.op9_bpe])
 def test_empty(op, empty):
     assert op(empty).collect() == []
+
+
+MIT = """Copyright (c) 2020 Some One
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to
+deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
+sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE."""
+GPL = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free
+Software Foundation; either version 2 of the License, or (at your option) any later version."""
+ISC = license_scan.TEMPLATES.get("template:isc-text", "").replace("<<any:6>>", "THE AUTHOR")
+BSD3 = license_scan.TEMPLATES.get("template:bsd-3-text", "").replace("<<any:8>>", "THE COPYRIGHT HOLDER")
+BSD2 = license_scan.TEMPLATES.get("template:bsd-2-text", "").replace("<<any:8>>", "THE COPYRIGHT HOLDER")
+
+
+@pytest.mark.parametrize(
+    "text,label,word",
+    [(MIT, "mit-text", "sublicense"), (GPL, "gpl-notice", "modify"), (GPL.replace("GNU", "GNU Lesser"), "lgpl-notice", "redistribute"), (GPL.replace("GNU", "GNU Affero"), "agpl-notice", "redistribute")]
+    + [(re.sub("<<[^>]*>>", "", x), label, w) for x, label, w in ((ISC, "isc-text", "purpose"), (BSD2, "bsd-2-text", "retain"), (BSD3, "bsd-3-text", "endorse"))],
+)
+def test_whole_license_texts(text, label, word):
+    """A whole text gets the label of its license alone, and none with one mandatory word changed."""
+    automata = license_scan.compile_templates(license_scan.TEMPLATES)
+    found = lambda t: set(license_scan.scan(license_scan.tokens(f"Some words before. {t} And after."), automata)[0])
+    assert found(text) == {f"template:{label}"}
+    assert word in text
+    assert not found(text.replace(word, "other"))
+
+
+def test_restrictions_are_licenses_of_their_own():
+    automata = license_scan.compile_templates(license_scan.TEMPLATES)
+    for kind in ("", "-SA", "-NC", "-ND", "-NC-SA", "-NC-ND"):
+        found = license_scan.scan(license_scan.tokens(f"Licensed under CC BY{kind} 4.0."), automata)[0]
+        assert set(found) == {f"template:cc-by{kind.lower()}"}

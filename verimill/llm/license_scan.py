@@ -13,12 +13,59 @@ from .common import in_arrow
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Phrases of the base scan and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Templates by label. Text in <<optional>> ... <<end>> may be absent; <<any:n>> stands for up to n words that the licensor fills in.
+#: Templates by label. Text in <<optional>> ... <<end>> may be absent; <<any:n>> stands for up to n words that the licensor fills in:
+#: names, titles, years and numbers of versions. Each restriction of Creative Commons is a license, and so a template, of its own.
+CC = "Licensed under <<optional>>a <<end>><<optional>>the <<end>><<optional>>Creative Commons Attribution {0} <<end>>CC BY {1} 4.0"
+GNU = "This <<any:1>> is licensed under the GNU {0} General Public License<<optional>>, version <<any:2>><<end>>"
+NOTICE = """<<any:6>> is free software: you can redistribute it and/or modify it under the terms of the GNU {0} General Public License as published by
+the Free Software Foundation<<optional>>, either<<end>><<optional>>;<<end>> version <<any:2>> of the License<<optional>>, or (at your option) any
+later version<<end>>"""
+AS_IS = """THIS SOFTWARE IS PROVIDED BY <<any:8>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<any:8>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+<<optional>>1. <<end>>Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+<<optional>>2. <<end>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution. """
 TEMPLATES = {
-    "template:cc-by": "Licensed under <<optional>>a <<end>><<optional>>the <<end>><<optional>>Creative Commons Attribution <<end>>CC BY<<any:2>> 4.0",
-    "template:gpl": "This <<any:1>> is licensed under the GNU <<optional>>Affero <<end>><<optional>>Lesser <<end>>General Public License<<optional>>, version <<any:2>><<end>>",
+    "template:cc-by": CC.format("", ""),
+    "template:cc-by-sa": CC.format("ShareAlike", "SA"),
+    "template:cc-by-nc": CC.format("NonCommercial", "NC"),
+    "template:cc-by-nd": CC.format("NoDerivatives", "ND"),
+    "template:cc-by-nc-sa": CC.format("NonCommercial ShareAlike", "NC-SA"),
+    "template:cc-by-nc-nd": CC.format("NonCommercial NoDerivatives", "NC-ND"),
+    "template:gpl": GNU.format(""),
+    "template:lgpl": GNU.format("Lesser"),
+    "template:agpl": GNU.format("Affero"),
+    "template:gpl-notice": "This " + NOTICE.format(""),
+    "template:lgpl-notice": "This " + NOTICE.format("Lesser"),
+    "template:agpl-notice": "This " + NOTICE.format("Affero"),
     "template:apache": "Licensed under the Apache License<<optional>>, version 2.0<<end>>",
+    "template:apache-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You
+may obtain a copy of the License at <<optional>>http<<end>><<optional>>https<<end>>://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable
+law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "template:mpl-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+this file, You can obtain one at <<optional>>http<<end>><<optional>>https<<end>>://<<optional>>www.<<end>>mozilla.org/MPL/2.0""",
     "template:mit": "<<optional>>The <<end>>MIT License",
+    "template:mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice <<optional>>(including the next paragraph) <<end>>shall be included in all copies or substantial
+portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR
+ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR
+THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "template:isc-text": """Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<any:6>>
+DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<any:6>> BE
+LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "template:bsd-2-text": BSD + AS_IS,
+    "template:bsd-3-text": BSD + """<<optional>>3. <<end>>Neither the name of <<any:8>> nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission. """ + AS_IS,
     "template:reserved": "<<optional>>Copyright <<any:6>><<end>>All rights reserved",
 }
 
