@@ -37,6 +37,7 @@ def test_substring_dedup(odd, rows, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SEGMENT_BYTES", 1500)
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 20_000)
     monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 20_000)
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", 50_000)
     assert Counter(map(tuple, substring_dedup.op2_substring_dedup(odd).collect())) == want
 
 
@@ -45,41 +46,48 @@ def test_substring_dedup_texts(odd, rows):
     assert kept[0] == " ".join(WORD.findall(next(r[1] for r in rows if r[0] == 0)))
 
 
-def segment_of(number, ids, texts):
-    data = [t.encode() for t in texts]
-    return segments.Segment(number, ids, np.cumsum([len(x) for x in data]), b"".join(data))
+def thue_morse(n, flip=False):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(1 << n))
 
 
-def test_clashing_hashes_are_told_apart(monkeypatch):
-    """With a hash of 6 bits everything clashes; the second hash and settled owners give the right answer all the same."""
-    whole = segments.mixed
-    monkeypatch.setattr(substring_dedup, "mixed", whole)
-    real = substring_dedup.windows
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2^64; they are different words all the same."""
+    for n in (10, 11, 12):
+        lead = " ".join(f"w{i}" for i in range(12))
+        rows = [(1, f"{lead} {thue_morse(n)}"), (2, f"{lead} {thue_morse(n, True)}"), (3, f"{lead} {thue_morse(n)}")]
+        got = {r.doc_id: r.n_removed for r in substring_dedup.op2_substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {1: 0, 2: 0, 3: 13}
 
-    def weak(s, seed=substring_dedup.FIND, k=substring_dedup.WORDS):
-        w = real(s, seed, k)
-        if seed == substring_dedup.FIND:
-            w.hashes = w.hashes & np.uint64(0xFC00000000000000)
-        return w
 
-    monkeypatch.setattr(substring_dedup, "windows", weak)
+def test_clashing_hashes_are_told_apart(spark):
+    """With a hash of 6 bits everything clashes; digests and settled ids give the right answer all the same."""
     rng = random.Random(5)
     words = [f"w{i}" for i in range(30)]
-    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(6)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(9)]
     texts[4] = texts[4] + " " + texts[1]
-    s = segment_of(0, list(range(6)), texts)
-    _, again, _, proof = substring_dedup.judge_segment(s, None, 2, None)
-    clash = {int(h) for h, n in Counter(proof[:, 0].tolist()).items() if n > 1}
-    assert clash
-    w = weak(s)
-    settled = {}
-    for i in range(len(w.hashes)):
-        if int(w.hashes[i]) in clash:
-            key = int(w.hashes[i]), int(again.hashes[i])
-            settled[key] = min(settled.get(key, 99), s.ids[w.doc[w.first[i]]])
-    gone = substring_dedup.judge_segment(s, None, 2, settled)[2]
-    assert gone.sum() == 40
-    assert gone[-80:-40].all()
+    texts[7] = texts[2]
+    rows = list(enumerate(texts))
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=True, hash_bits=6)
+    assert Counter(map(tuple, got.collect())) == brute_windows(rows)
+
+
+def test_a_kept_index_is_opened_and_extended(spark, tmp_path):
+    """Three calls, each on an index opened anew, give what one call on everything gives; ids that go back are refused."""
+    rng = random.Random(6)
+    shared = [" ".join(f"s{rng.randrange(999)}" for _ in range(20)) for _ in range(6)]
+    rows = [(i, " ".join([*(f"t{rng.randrange(9999)}" for _ in range(15)), rng.choice(shared), rng.choice(shared)])) for i in range(60)]
+    want = brute_windows(rows)
+    folder = str(tmp_path / "index")
+    substring_dedup.Index.create(spark, folder, 200_000).save()
+    got = Counter()
+    for part in (rows[:20], rows[20:40], rows[40:]):
+        index = substring_dedup.Index.open(spark, folder)
+        got += Counter(map(tuple, substring_dedup.dedup(spark.createDataFrame(part, "doc_id long, text string"), digest=True, index=index).collect()))
+    assert got == want
+    index = substring_dedup.Index.open(spark, folder)
+    assert sorted(level for level, _ in index.runs) == [0, 1]
+    with pytest.raises(ValueError):
+        substring_dedup.dedup(spark.createDataFrame(rows[:2], "doc_id long, text string"), index=index)
 
 
 def test_squeeze():
@@ -88,25 +96,6 @@ def test_squeeze():
         assert (substring_dedup.unsqueeze(substring_dedup.squeeze(a)) == a).all() if len(a) else True
 
 
-def test_index_over_batches(spark):
-    """Batches one by one give what the whole gives, and runs are compacted: four batches leave one run."""
-    texts = [" ".join(f"t{(i * 7 + j) % 50}" for j in range(30)) for i in range(40)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    index, hits = substring_dedup.Index(2), 0
-    for b in range(4):
-        part = segments.segments(docs.filter(f"doc_id div 10 = {b}").coalesce(1).sortWithinPartitions("doc_id"), 500).withColumn("seg", segments_number(b))
-        hits += index.add(part).filter("kind = 1").count()
-    assert [level for level, _ in index.runs] == [2]
-    assert hits
-    index.drop()
-
-
-def segments_number(b):
-    from pyspark.sql import functions as F
-
-    return F.col("seg") + F.lit(b << 30)
-
-
 def brute_bytes(texts, n=200):
     count = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []

@@ -31,15 +31,17 @@ def word_count(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares. Where no spark.checkpoint.dir is set, as in tests, the warehouse's neighbour /tmp is used."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/verimill-scratch"
+    """A new path in the folder that the cluster shares, which spark.checkpoint.dir names. Only a local session may do without: it has a folder of its own."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
+        shared = "/tmp/verimill-scratch"
     return f"{shared.rstrip('/')}/verimill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors, and is computed once."""
+def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
     spark = df.sparkSession
-    path = scratch_dir(spark, name)
     freed = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(freed, "false")
     spark.conf.set(freed, "true")  # what this write shuffled is of no use after it
@@ -47,16 +49,25 @@ def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     finally:
         spark.conf.set(freed, before)
-    out = spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors, and is computed once."""
+    path = scratch_dir(df.sparkSession, name)
+    write_table(df, path, *partition_by)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._verimill_path = path
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete a table that cut() wrote and nothing reads any more."""
-    jvm, path = df.sparkSession._jvm, df._verimill_path
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    delete(df.sparkSession, df._verimill_path)
 
 
 def salted_lookup(left: DataFrame, table: DataFrame, keys: list[str], spread: Column, salts: int = 32) -> DataFrame:

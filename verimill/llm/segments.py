@@ -46,22 +46,23 @@ def unpack(batch: pa.RecordBatch) -> Iterator[Segment]:
         yield Segment(at["seg"][i].as_py(), at["ids"][i].as_py(), np.asarray(at["ends"][i].as_py(), dtype=np.int64), zstandard.decompress(at["data"][i].as_py()))
 
 
-def segments(docs: DataFrame, most: int = SEGMENT_BYTES) -> DataFrame:
+def segments(docs: DataFrame, most: int = SEGMENT_BYTES, first: int = 0) -> DataFrame:
     """Rows of SQL: each partition's documents (doc_id, text) in their order, a null text as an empty one.
 
-    A segment's number is its partition's, times 2^24, and its place there; rows that follow each other with one doc_id stay together.
+    A segment's number is `first`, its partition's, times 2^24, and its place there; rows that follow each other with one doc_id, which isn't
+    null, stay together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        seg = TaskContext.get().partitionId() << 24
+        seg = first + (TaskContext.get().partitionId() << 24)
         ids, texts, n = [], [], 0
         for batch in batches:
             for piece in slices(batch, "text", most):
                 for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                     data = (text or "").encode()
-                    if ids and n + len(data) > most and doc_id != ids[-1]:
+                    if ids and n + len(data) > most and (doc_id is None or doc_id != ids[-1]):
                         yield one(pack(seg, ids, texts))
                         seg, ids, texts, n = seg + 1, [], [], 0
                     ids.append(doc_id)
