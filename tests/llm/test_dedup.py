@@ -236,7 +236,7 @@ def test_near_copies(spark):
     clean = [[word() for _ in range(200)] for _ in range(40)]
     near = [[word() if k in (50, 120) else w for k, w in enumerate(t)] for t in clean[:10]]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(clean + near)], "doc_id long, text string")
-    got = dict(simhash.near_copies(docs).collect())
+    got = dict(simhash.near_copies(docs).select("doc_id", "component_id").collect())
     assert all(got[i] == i for i in range(40))
     assert sum(got[40 + i] == i for i in range(10)) >= 9
 
@@ -268,10 +268,44 @@ def test_near_copies_against_all_pairs(spark):
     assert len(near) > 100
     label = simhash.unite(np.arange(len(texts)), *np.array(near).T)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = dict(simhash.near_copies(docs).collect())
+    got = dict(simhash.near_copies(docs).select("doc_id", "component_id").collect())
     assert [got[i] for i in range(len(texts))] == label.tolist()
 
 
+@pytest.mark.parametrize("tile_bytes", [16_000_000, 20_000])
+def test_a_large_group_of_near_copies_against_all_pairs(spark, monkeypatch, tile_bytes):
+    """Copies of one text, of which some pairs reach 0.8 and some don't: what no star joins is compared in tiles."""
+    monkeypatch.setattr(simhash, "TILE_BYTES", tile_bytes)
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(150)] = f"x{rng.randrange(99999)}"
+        texts.append(" ".join(w))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert 0.1 < len(near) / (300 * 299 / 2) < 0.6
+    label = simhash.unite(np.arange(len(texts)), *np.array(near).T)
+    assert len(set(label.tolist())) > 3
+    got = dict(simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "component_id").collect())
+    assert [got[i] for i in range(len(texts))] == label.tolist()
+
+
+def test_near_dedup_stage_against_all_pairs(spark):
+    """Repeated ids, null ids and repeated rows: rows are what is kept or dropped, one of each group."""
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    prose = lambda n: [f"w{rng.randrange(9999)}" for _ in range(n)]
+    t, u, v = prose(120), prose(120), prose(120)
+    near = [*t[:60], "changed", *t[61:]]
+    rows = [(3, t), (5, t), (5, u), (None, near), (None, v), (None, v), (5, u), (7, near), (9, None), (8, None), (None, None), (2, []), (11, prose(3))]
+    docs = spark.createDataFrame([(i, None if x is None else " ".join(x), "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in p.near_dedup_stage(spark, docs, "").collect())
+    assert got == Counter([(3, " ".join(t)), (5, " ".join(u)), (None, " ".join(v)), (2, ""), (11, " ".join(rows[-1][1]))])
+
+
 @pytest.mark.parametrize("op", [substring_dedup.op2_substring_dedup, suffix_dedup.op7_suffix_dedup, simhash.op8_simhash])
 def test_empty(op, empty):
     assert op(empty).collect() == []

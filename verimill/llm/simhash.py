@@ -25,6 +25,8 @@ BANDS, BAND_ROWS = 16, 4
 PERMUTATIONS = np.random.RandomState(SEED).randint(0, 1 << 63, (2, BANDS * BAND_ROWS), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 #: Sets under this size have fingerprints too rough to go by.
 SMALL_SET = 32
+#: Bytes of shingles of a block of nodes that are compared with each other.
+TILE_BYTES = 16_000_000
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -302,12 +304,14 @@ def band_keys(grams: np.ndarray) -> list[int]:
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, far: int = 20) -> DataFrame:
-    """doc_id and component_id: documents whose sets of five-word shingles have an exact Jaccard similarity of 0.8 or more are linked.
-
-    Rows of equal sets are one node. Candidates share a band key, their sizes allow the similarity, and their SimHash fingerprints differ in
-    `far` bits at most: at 0.8 they differ in 10 with a deviation of 2.9 (sets under SMALL_SET are compared at any distance). Each candidate
-    is checked by the shingles themselves, which are made for documents with candidates only, before it is a link. The first node of each bucket is checked with the others; after that only
-    pairs that no links join yet, so that a group of near copies costs no more than its size.
+    """doc_id, text_hash, component_id and first (doc_id, text_hash) of every row: documents whose sets of five-word shingles have an exact
+    Jaccard similarity of 0.8 or more are linked, and what links reach is a component. first is its row of the smallest doc_id, nulls last,
+    ties by text_hash (XXH64 of the text), which tells rows of one doc_id apart; component_id is the smallest doc_id, null if all are.
+
+    Rows of equal sets are one node; texts without words are one too. Candidates share a band key, their sizes allow the similarity, and
+    their SimHash fingerprints differ in `far` bits at most: at 0.8 they differ in 10 with a deviation of 2.9 (sets under SMALL_SET are
+    compared at any distance). Each is checked by the shingles themselves before it is a link. First every bucket's first node is checked
+    with the others; where that leaves a bucket in parts, whoever isn't in its largest part is compared with all of it in tiles.
     """
     from xxhash import xxh3_128_digest
 
@@ -324,7 +328,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, far:
         for doc_id, text, text_hash in zip(rows["doc_id"], rows["text"], rows["text_hash"], strict=True):
             name, g = named_set(text)
             fp = int(np.array([fingerprint(g)], np.uint64).view(np.int64)[0])
-            for k, v in zip(schema.names, (doc_id, name, fp, len(g), band_keys(g), text_hash), strict=True):
+            for k, v in zip(schema.names, (doc_id, name, fp, len(g), band_keys(g) if len(g) else [], text_hash), strict=True):
                 out[k].append(v)
         return out
 
@@ -334,41 +338,106 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, far:
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     own = cut(in_arrow(texts, "doc_id long, id binary, fp long, n long, keys array<long>, text_hash long", work, schema), "shingles")
-    nodes = cut(own.groupBy("id").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    nodes = cut(own.groupBy("id").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
     dealt = nodes.select("id", "fp", "n", F.explode("keys").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min(F.struct("id", "fp", "n")).alias("pivot"), F.count("*").alias("of")).filter("of > 1").drop("of")
     met = cut(dealt.join(shared, "bucket"), "buckets")
-    wanted = nodes.join(met.select("id").distinct(), "id", "left_semi").select(F.col("one.doc_id").alias("of"), F.col("one.text_hash").alias("of_hash"))
+    wanted = nodes.join(met.select("id").distinct(), "id", "left_semi").select(F.col("first.doc_id").alias("of"), F.col("first.text_hash").alias("of_hash"))
     asked = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")), "left_semi")
     sets = cut(in_arrow(asked.select("text"), "id binary, grams array<long>", work_sets, sets_schema).dropDuplicates(["id"]), "sets")
 
-    def possible(x: str, y: str) -> Column:
-        near = f"bit_count({x}.fp ^ {y}.fp) <= {far} or least({x}.n, {y}.n) < {SMALL_SET}"
-        return F.expr(f"({near}) and least({x}.n, {y}.n) * {whole} >= greatest({x}.n, {y}.n) * {part}")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of ids whose similarity is reached."""
-        one = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
-        two = one.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        return two.filter(both * whole >= (F.size("x") + F.size("y") - both) * part).select("a", "b")
-
-    me = met.withColumn("me", F.struct("id", "fp", "n"))
-    stars = me.filter("pivot.id <> id").filter(possible("me", "pivot")).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
-    found = cut(checked(stars), "stars")
+    near = f"bit_count(me.fp ^ pivot.fp) <= {far} or least(me.n, pivot.n) < {SMALL_SET}"
+    possible = F.expr(f"({near}) and least(me.n, pivot.n) * {whole} >= greatest(me.n, pivot.n) * {part}")
+    stars = met.withColumn("me", F.struct("id", "fp", "n")).filter("pivot.id <> id").filter(possible).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
+    one = stars.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
+    two = one.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    found = cut(two.filter(both * whole >= (F.size("x") + F.size("y") - both) * part).select("a", "b"), "stars")
     tree = cut(components(found), "tree")
-    rooted = met.join(tree, met["id"] == tree["node"], "left").select("bucket", F.coalesce("root", "id").alias("root"), F.struct("id", "fp", "n").alias("me"))
-    apart = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    left = cut(rooted.join(apart, "bucket"), "apart")
-    x, y = left.select("bucket", F.col("root").alias("x_root"), F.col("me").alias("x")), left.select(F.col("bucket").alias("of"), F.col("root").alias("y_root"), F.col("me").alias("y"))
-    rest = x.join(y, (F.col("bucket") == F.col("of")) & (F.col("x_root") != F.col("y_root")) & F.expr("x.id < y.id") & possible("x", "y"))
-    more = checked(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    rooted = met.join(tree, met["id"] == tree["node"], "left").select("bucket", "id", "fp", "n", F.coalesce("root", "id").alias("root"))
+    more = tile_links(rooted, sets, whole, part, far)
     tree = components(found.unionByName(more))
     named = nodes.select("id", "first").join(tree, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "of")
-    table = named.join(least, F.col("root") == F.col("of")).select(F.col("id").alias("is"), "component_id")
-    return own.select("doc_id", "id").join(table, F.col("id") == F.col("is")).select("doc_id", "component_id")
+    least = named.groupBy("root").agg(F.min("first").alias("first")).withColumnRenamed("root", "of")
+    table = named.select("id", "root").join(least, F.col("root") == F.col("of")).select(F.col("id").alias("is"), F.struct("first.doc_id", "first.text_hash").alias("first"))
+    return own.select("doc_id", "text_hash", "id").join(table, F.col("id") == F.col("is")).select("doc_id", "text_hash", F.col("first.doc_id").alias("component_id"), "first")
+
+
+def tile_links(rooted: DataFrame, sets: DataFrame, whole: int, part: int, far: int) -> DataFrame:
+    """Links (a, b) that join what `rooted` (bucket, id, fp, n, root) leaves apart inside its buckets, by an exact similarity of part / whole.
+
+    A bucket's nodes outside its commonest root (its minor ones) are compared with all its nodes. Both are cut into blocks of about
+    TILE_BYTES of shingles, and each pair of blocks, a tile, is one group with its shingles, so a hot bucket is many small tasks. Pairs
+    stay inside the tile: what leaves it are the links of a spanning tree.
+    """
+    size = F.col("n") * 8
+    per = rooted.groupBy("bucket", "root").agg(F.count("*").alias("m"), F.sum(size).alias("bytes"))
+    apart = per.groupBy("bucket").agg(F.count("*").alias("roots"), F.sum("bytes").alias("all_bytes"), F.max(F.struct("m", "root", "bytes")).alias("top")).filter("roots > 1")
+    blocks = lambda b: F.ceil(b / TILE_BYTES).cast("int")
+    apart = apart.select("bucket", F.col("top.root").alias("major"), F.greatest(blocks(F.col("all_bytes") - F.col("top.bytes")), F.lit(1)).alias("minors"), blocks(F.col("all_bytes")).alias("alls"))
+    rows = rooted.join(apart, "bucket")
+    place = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
+    minor = rows.filter("root <> major").select("bucket", "id", "fp", "n", "root", F.lit(True).alias("minor"), place("minors").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"))
+    every = rows.select("bucket", "id", "fp", "n", "root", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), place("alls").alias("j"))
+    dealt = minor.unionByName(every).join(sets, "id")
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def work(table: pa.Table) -> pa.Table:
+        made = tile(table, whole, part, far)
+        return pa.table([pa.array([x for x, _ in made], pa.binary()), pa.array([y for _, y in made], pa.binary())], schema=schema)
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(work, "a binary, b binary")
+
+
+def tile(table: pa.Table, whole: int, part: int, far: int) -> list[tuple[bytes, bytes]]:
+    """Links of a tile, at most one for each two roots that it joins.
+
+    Fingerprints are compared bit-sliced, 64 minor nodes at a time; of what is near and of fitting size, pairs of roots not joined yet are
+    checked by their shingles.
+    """
+    ids, roots = table.column("id").to_pylist(), table.column("root").to_pylist()
+    fp, n = table.column("fp").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    is_minor = np.asarray(table.column("minor"))
+    grams = table.column("grams").combine_chunks()
+    start = np.asarray(grams.offsets)
+    values, codes = np.unique(np.asarray(grams.values)[start[0] : start[-1]], return_inverse=True)
+    start = start - start[0]
+    number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    label = np.array([number[r] for r in roots])
+    ours, theirs = np.flatnonzero(is_minor), np.flatnonzero(~is_minor)
+    if not len(ours) or not len(theirs):
+        return []
+    held = planes(fp[theirs])
+    words = -(-len(theirs) // 64)
+    filled = np.packbits(np.pad(np.ones(len(theirs), bool), (0, words * 64 - len(theirs))), bitorder="little").view("<u8")
+    bits = np.unpackbits(fp[ours].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T.astype(np.uint64) * ~np.uint64(0)
+    inside = np.zeros(len(values), bool)
+    out = []
+    for q in range(0, len(ours), 64):
+        several = min(64, len(ours) - q)
+        near = np.zeros((several, words * 64), bool)
+        ai, bi = np.tile(np.arange(words), several), np.repeat(np.arange(several), words)
+        row, bit = pairs_of(*within(held, bits[:, q : q + several], ai, bi, filled[ai], far))
+        near[bi[row], ai[row] * 64 + bit] = True
+        for k in range(several):
+            x = ours[q + k]
+            fits = np.minimum(n[x], n[theirs]) * whole >= np.maximum(n[x], n[theirs]) * part
+            ys = theirs[(near[k, : len(theirs)] | (np.minimum(n[x], n[theirs]) < SMALL_SET)) & fits & (label[theirs] != label[x])]
+            if not len(ys):
+                continue
+            own = codes[start[x] : start[x + 1]]
+            inside[own] = True
+            for y in ys:
+                if label[y] != label[x]:
+                    both = int(np.count_nonzero(inside[codes[start[y] : start[y + 1]]]))
+                    if both * whole >= (n[x] + n[y] - both) * part:
+                        out.append((ids[x], ids[y]))
+                        label[label == label[y]] = label[x]
+            inside[own] = False
+    return out
 
 
 def op8_simhash(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id. Null, empty, long and repeated texts, null ids, ties and empty tables: see near_duplicates()."""
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
