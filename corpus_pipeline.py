@@ -6,7 +6,7 @@ the last return the columns of `documents`. SQL can't express the stages (finger
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verimill.llm import bpe, language_id, mixing, simhash, suffix_dedup
@@ -19,12 +19,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies, and of repeated rows one. Null ids count as one id."""
-    groups = simhash.near_copies(docs)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.length("text"))
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return kept.withColumn("__again", F.row_number().over(again)).filter("__again = 1").select(*docs.columns)
+    """Keeps one row of each group of near copies: that of the smallest doc_id, nulls last, ties by the hash of the text; of equal rows one."""
+    first = simhash.near_copies(docs).select(F.col("first.doc_id").alias("__kept"), F.col("first.text_hash").alias("__kept_hash")).distinct()
+    once = docs.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"])
+    return once.join(first, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.col("__hash") == F.col("__kept_hash")), "left_semi").select(*docs.columns)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
