@@ -159,10 +159,10 @@ def runs_of(values: np.ndarray) -> list[np.ndarray]:
     return np.split(np.arange(len(values)), np.flatnonzero(np.diff(values)) + 1) if len(values) else []
 
 
-def merge_join(table: pa.Table) -> pa.Table:
+def merge_join(table: pa.Table, keep_run: bool = True) -> pa.Table:
     """One hash range: the batch's hashes with the runs'.
 
-    Gives the new run; for each of the batch's segments which of its hashes repeat earlier ones (a bit each, in their order); and for each
+    Gives the new run, if it is kept; for each of the batch's segments which of its hashes repeat earlier ones (a bit each, in their order); and for each
     earlier segment which of its hashes were met. Answers for the segments of one range of ids come in one row.
     """
     rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["seg"]))
@@ -197,7 +197,7 @@ def merge_join(table: pa.Table) -> pa.Table:
     for part in runs_of(whose):
         s = int(whose[part[0]])
         pieces.setdefault(s >> 24, []).append({"kind": WANTED, "seg": s, "hashes": squeeze(wanted[part])})
-    out = [(RUN, bucket, 0, squeeze(distinct[~old]), planes(owner[~old]), None, None)] if not old.all() else []
+    out = [(RUN, bucket, 0, squeeze(distinct[~old]), planes(owner[~old]), None, None)] if keep_run and not old.all() else []
     out += [(REPEATED, bucket, None, None, None, g, x) for g, x in pieces.items()]
     return pa.Table.from_batches([blob_rows(out)], schema=BLOB_SCHEMA)
 
@@ -280,12 +280,19 @@ class Index:
         self.top_id = ids[1] if ids[1] is not None else self.top_id
         return self.read(name, "seg long, ids array<long>, ends array<long>, data binary")
 
-    def add(self, segs: DataFrame) -> DataFrame:
-        """Merge-join a batch, whose ids are above those of earlier ones, and take it in as a run. Returns the batch's answers, rows of BLOB."""
+    def add(self, segs: DataFrame, keep_run: bool = True) -> DataFrame:
+        """Merge-join a batch, whose ids are above those of earlier ones, and take it in as a run. Returns the batch's answers, rows of BLOB.
+
+        The last batch of an index that is thrown away afterwards needs no run, and no run after it.
+        """
         known = [self.run(name) for _, name in self.runs]
         rows = reduce(DataFrame.unionByName, [fingerprint_rows(segs, self.bits, self.hash_bits), *known])
-        done = self.write(rows.groupBy("bucket").applyInArrow(merge_join, BLOB), "kind")
+        done = self.write(rows.groupBy("bucket").applyInArrow(lambda t: merge_join(t, keep_run), BLOB), "kind")
         self.answers.append(done)
+        if not keep_run:
+            for _, name in self.runs:
+                delete(self.spark, f"{self.folder}/{name}/kind={RUN}")
+            return self.read(done, BLOB).filter(F.col("kind") == REPEATED)
         self.runs.append((0, done))
         while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
             (level, a), (_, b) = self.runs[-2:]
@@ -430,7 +437,7 @@ def dedup(docs: DataFrame, digest: bool = False, batches: int = BATCHES, index:
     answers = []
     for b in range(batches):
         low, high = first_seg + ((top * b // batches) << 24), first_seg + ((top * (b + 1) // batches) << 24)
-        answers.append(own.add(segs.filter((F.col("seg") >= low) & (F.col("seg") < high))))
+        answers.append(own.add(segs.filter((F.col("seg") >= low) & (F.col("seg") < high)), keep_run=index is not None or b < batches - 1))
     pieces = reduce(DataFrame.unionByName, answers).select("grp", "bucket", "pieces").repartition("grp").select("grp", "bucket", F.explode("pieces").alias("p"))
     told = pieces.groupBy("grp", F.col("p.seg").alias("seg")).agg(F.collect_list(F.struct("p.kind", "bucket", "p.hashes")).alias("answers")).drop("grp")
     everything = own.segments()
