@@ -1,5 +1,6 @@
 """Mixing, quality rules, sharding."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -44,6 +45,31 @@ def test_mixing_targets_and_copies(odd, rows):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.op1_mixing(odd.repartition(5)).collect()), key=str)
 
 
+def test_mixing_comes_near_its_targets(spark):
+    """Long-tailed sizes: every source with 20 documents or more is within 5 % of its target, at a small scale too."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * min(500, int(rng.paretovariate(1.1) * 20))), f"s{rng.randrange(30)}") for i in range(1500)]
+    got = mixing.op1_mixing(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by, want = defaultdict(int), {}
+    for r in got:
+        by[rows[r.doc_id][2]] += r.taken
+        want[rows[r.doc_id][2]] = r.target
+    assert all(abs(by[s] / want[s] - 1) < 0.05 for s in want)
+
+
+def test_mixing_probabilities(spark):
+    """Over many seeds a document's extra copies come to the fraction of its source's rate."""
+    rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(n, s) for s in "ab" for n in (5, 9, 30, 31, 200, 900)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).cache()
+    tries, extra, rate = 12, Counter(), {}
+    for k in range(tries):
+        stats = mixing.sized(docs, f"seed {k}").cache()
+        for r in mixing.mix_plan(stats, stats, f"seed {k}").collect():
+            extra[r.doc_id] += r.copies - int(r.target / r.source_size)
+            rate[r.doc_id] = r.target / r.source_size % 1
+    assert all(abs(extra[i] / tries - rate[i]) < 4 * (rate[i] * (1 - rate[i]) / tries) ** 0.5 + 0.1 for i in rate)
+
+
 def test_mix_emits_whole_rows(odd):
     out = mixing.mix(odd)
     assert out.columns == odd.columns

@@ -87,10 +87,10 @@ def salted_lookup(left: DataFrame, table: DataFrame, keys: list[str], spread: Co
 BROADCAST_ROWS = 10_000
 
 
-def lookup(left: DataFrame, table: DataFrame, keys: list[str], spread: Column) -> DataFrame:
-    """salted_lookup(), but with `table` broadcast if its rows, counted first, are at most BROADCAST_ROWS: then `left` isn't shuffled at all."""
+def lookup(left: DataFrame, table: DataFrame, keys: list[str], spread: Column, most: int = BROADCAST_ROWS) -> DataFrame:
+    """salted_lookup(), but with `table` broadcast if its rows, counted first, are at most `most`: then `left` isn't shuffled at all."""
     table = cut(table, "lookup")
-    if table.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    if table.limit(most + 1).count() > most:
         return salted_lookup(left, table, keys, spread)
     b = F.broadcast(table.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in table.columns if c not in keys]))
     on = F.lit(True)
