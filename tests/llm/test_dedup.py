@@ -132,7 +132,7 @@ def test_suffix_dedup(odd, rows):
 
 
 def test_suffix_dedup_in_many_segments_and_buckets(odd, rows, monkeypatch):
-    monkeypatch.setattr(segments.segments, "__defaults__", (1500,))
+    monkeypatch.setattr(segments.segments, "__defaults__", (1500, 0))
     monkeypatch.setattr(suffix_dedup, "BUCKET_SUFFIXES", 20)
     got = Counter(map(tuple, suffix_dedup.op7_suffix_dedup(odd).collect()))
     assert not brute_removed(rows) - got

@@ -8,11 +8,13 @@ and what stands before them read backwards, by multikey quicksort, and the commo
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut
@@ -23,8 +25,10 @@ LENGTH = 200
 GRAM = 100
 #: Suffixes of a bucket, about.
 BUCKET_SUFFIXES = 40_000
+#: Contexts that a task gathers before it sends them.
+GATHERED = 100_000
 #: Leading tokens that splitters are drawn from: so many of each of so many segments. They balance the buckets and decide nothing else.
-SAMPLE_SEGMENTS, SAMPLE_TOKENS = 48, 400
+SAMPLE_SEGMENTS, SAMPLE_TOKENS = 48, 800
 
 
 def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -180,83 +184,94 @@ def first_pass(segs: DataFrame) -> DataFrame:
     return segs.mapInArrow(run, "gram long, seg long, n int")
 
 
-def leading(s: Segment, at: np.ndarray) -> np.ndarray:
-    """The first 8 bytes at each place, as signed numbers in byte order."""
-    b = np.frombuffer(s.data, np.uint8)
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = out << np.uint64(8) | b[at + k]
-    return (out ^ np.uint64(1 << 63)).view(np.int64)
+def flagged_at(s: Segment, grams: pa.Scalar) -> np.ndarray:
+    """Places of the anchors whose gram is among `grams`."""
+    at, h = anchors(s)
+    return at[np.isin(h, np.asarray(grams.as_py(), dtype=np.int64).view(np.uint64))]
 
 
-def splitters(segs: DataFrame, buckets: int) -> np.ndarray:
-    """buckets - 1 leading tokens that cut a sample of all suffixes into equal parts."""
-    n = segs.count()
+def splitters(flagged: DataFrame, buckets: int) -> list[bytes]:
+    """Leading tokens, GRAM bytes each, that cut a sample of the suffixes that are dealt into equal parts, ascending; equal ones are one."""
+    n = flagged.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in unpack(batch):
-                lead = leading(s, anchors(s)[0])
-                lead = lead[:: max(1, len(lead) // SAMPLE_TOKENS)]
-                yield pa.RecordBatch.from_arrays([pa.array(lead)], names=["lead"])
+            grams = batch.column(batch.schema.get_field_index("grams"))
+            for i, s in enumerate(unpack(batch)):
+                at = flagged_at(s, grams[i])
+                at = at[:: max(1, len(at) // SAMPLE_TOKENS)].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([s.data[p : p + GRAM] for p in at], pa.binary())], names=["lead"])
 
-    drawn = segs.filter(F.pmod(F.xxhash64(F.lit("splitters"), "seg"), F.lit(1000)) < max(1, min(1000, 1000 * SAMPLE_SEGMENTS // max(n, 1) + 1)))
-    lead = np.sort(np.array([r["lead"] for r in drawn.mapInArrow(run, "lead long").collect()], np.int64))  # of bounded size, see above
-    return np.unique(lead[np.arange(1, buckets) * len(lead) // buckets]) if len(lead) else lead
+    drawn = flagged.filter(F.pmod(F.xxhash64(F.lit("splitters"), "seg"), F.lit(1000)) < max(1, min(1000, 1000 * SAMPLE_SEGMENTS // max(n, 1) + 1)))
+    lead = sorted(bytes(r["lead"]) for r in drawn.mapInArrow(run, "lead binary").collect())  # of bounded size, see above
+    return sorted({lead[k * len(lead) // buckets] for k in range(1, buckets)}) if lead else []
 
 
-def second_pass(flagged: DataFrame, cuts: np.ndarray) -> DataFrame:
-    """The suffixes at anchors whose gram repeats: bucket, seg, left and right context, and the places where the segment has them."""
-    schema = pa.schema([("bucket", pa.int32()), ("seg", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("places", pa.binary())])
+MEMBER = pa.struct([("seg", pa.int64()), ("places", pa.binary())])
+
+
+def second_pass(flagged: DataFrame, cuts: list[bytes]) -> DataFrame:
+    """The suffixes at anchors whose gram repeats: bucket, left and right context, and the places where segments have them.
+
+    A context comes once for up to GATHERED of a task's, whatever segments they are in, so that a passage in very many documents is few rows.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("members", pa.list_(MEMBER))])
+
+    def rows(found: dict[tuple[bytes, bytes], dict[int, list]]) -> pa.RecordBatch:
+        columns = [
+            pa.array([bisect_right(cuts, b[:GRAM]) for _, b in found], pa.int32()),
+            pa.array([a for a, _ in found], pa.binary()),
+            pa.array([b for _, b in found], pa.binary()),
+            pa.array([[{"seg": s, "places": np.array(at, "<i4").tobytes()} for s, at in m.items()] for m in found.values()], pa.list_(MEMBER)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[bytes, bytes], dict[int, list]] = {}
         for batch in batches:
             grams = batch.column(batch.schema.get_field_index("grams"))
             for i, s in enumerate(unpack(batch)):
-                at, h = anchors(s)
-                at = at[np.isin(h, np.asarray(grams[i].as_py(), dtype=np.int64).view(np.uint64))]
-                bucket = np.searchsorted(cuts, leading(s, at), side="right")
+                at = flagged_at(s, grams[i])
                 doc = np.searchsorted(s.ends, at, side="right")
                 lo, hi = np.maximum(at - (LENGTH - GRAM), s.starts[doc]), np.minimum(at + LENGTH, s.ends[doc])
-                found: dict[tuple[bytes, bytes], list] = {}
-                for a, b, p, k in zip(lo.tolist(), hi.tolist(), at.tolist(), bucket.tolist(), strict=True):
-                    found.setdefault((s.data[a:p], s.data[p:b]), [k]).append(p)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([v[0] for v in found.values()], pa.int32()),
-                        pa.array([s.seg] * len(found), pa.int64()),
-                        pa.array([a for a, _ in found], pa.binary()),
-                        pa.array([b for _, b in found], pa.binary()),
-                        pa.array([np.array(v[1:], "<i4").tobytes() for v in found.values()], pa.binary()),
-                    ],
-                    schema=schema,
-                )
-
-    return flagged.mapInArrow(run, "bucket int, seg long, left binary, right binary, places binary")
+                for a, b, p in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True):
+                    found.setdefault((s.data[a:p], s.data[p:b]), {}).setdefault(s.seg, []).append(p)
+                if len(found) >= GATHERED:
+                    yield rows(found)
+                    found = {}
+        if found:
+            yield rows(found)
+
+    return flagged.mapInArrow(run, "bucket int, left binary, right binary, members array<struct<seg: long, places: binary>>")
 
 
 def judged(suffixes: DataFrame) -> DataFrame:
     """(seg, places, before, behind) of the suffixes that repeated strings cover."""
-    schema = pa.schema([("seg", pa.int64()), ("places", pa.binary()), ("before", pa.int32()), ("behind", pa.int32())])
+    schema = pa.schema([("members", pa.list_(MEMBER)), ("before", pa.int32()), ("behind", pa.int32())])
 
     def work(table: pa.Table) -> pa.Table:
-        places = table.column("places").to_pylist()
-        before, behind = reach(table.column("left").to_pylist(), table.column("right").to_pylist(), np.array([len(x) // 4 for x in places]))
+        members = table.column("members").combine_chunks()
+        offsets = np.asarray(members.offsets)
+        places = np.asarray(pc.binary_length(members.values.field("places")), np.int64) // 4
+        times = np.diff(np.r_[0, np.cumsum(places)][offsets])
+        before, behind = reach(table.column("left").to_pylist(), table.column("right").to_pylist(), times)
         hit = np.flatnonzero(behind)
-        return pa.table([table.column("seg").take(pa.array(hit)), pa.array([places[i] for i in hit], pa.binary()), pa.array(before[hit].astype(np.int32)), pa.array(behind[hit].astype(np.int32))], schema=schema)
+        return pa.table([members.take(pa.array(hit)), pa.array(before[hit].astype(np.int32)), pa.array(behind[hit].astype(np.int32))], schema=schema)
 
-    return suffixes.groupBy("bucket").applyInArrow(work, "seg long, places binary, before int, behind int")
+    made = suffixes.groupBy("bucket").applyInArrow(work, "members array<struct<seg: long, places: binary>>, before int, behind int")
+    return made.select(F.explode("members").alias("m"), "before", "behind").select("m.seg", "m.places", "before", "behind")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """Segments of docs with `spans`: (places, before, behind) of what is repeated in them. For covered()."""
     segs = cut(segments(docs), "segments")
-    own = Window.partitionBy("gram")
-    often = first_pass(segs).withColumn("m", F.sum("n").over(own)).filter("m > 1")
-    grams = cut(often.groupBy("seg").agg(F.collect_list("gram").alias("grams"), F.count("*").alias("n")), "grams")
+    counted = cut(first_pass(segs), "counted")
+    often = counted.groupBy("gram").agg(F.sum("n").alias("m")).filter("m > 1").select("gram")
+    grams = cut(counted.join(often, "gram", "left_semi").groupBy("seg").agg(F.collect_list("gram").alias("grams"), F.sum("n").alias("n")), "grams")
+    drop_cut(counted)
     many = grams.agg(F.sum("n")).first()[0] or 0
-    cuts = splitters(segs, max(1, -(-many // BUCKET_SUFFIXES)))
-    found = judged(second_pass(segs.join(grams.select("seg", "grams"), "seg"), cuts))
+    flagged = segs.join(grams.select("seg", "grams"), "seg")
+    found = judged(second_pass(flagged, splitters(flagged, max(1, -(-many // BUCKET_SUFFIXES)))))
     spans = cut(found.groupBy("seg").agg(F.collect_list(F.struct("places", "before", "behind")).alias("spans")), "spans")
     drop_cut(grams)
     return segs.join(spans, "seg", "left")
@@ -302,7 +317,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op7_suffix_dedup(docs: DataFrame) -> DataFrame:
-    """Documents shorter than 200 bytes lose nothing; null texts are empty. Repeated rows are other places, so they lose what they share."""
+    """Documents shorter than 200 bytes lose nothing; null texts are empty. Repeated rows are other places, so they lose what they share. Null
+    ids stay; an empty table gives none; other columns are not read."""
 
     def work(doc_id, data, gone):
         n = int(np.count_nonzero(gone))
@@ -312,5 +328,3 @@ def op7_suffix_dedup(docs: DataFrame) -> DataFrame:
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     return per_document(repeats(docs), schema, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", work)
-
-
