@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_ROWS, cut
 
 SHARDS = 8
 SEED = 20_240_731
@@ -16,6 +16,8 @@ BUCKET_BYTES = 16_000_000
 SPREAD = 16
 #: Copies of a row that one task makes at a time.
 COPIES = 4096
+#: Buckets of a task, one after the other, and tasks at most: more buckets then follow each other in a task. Buckets that are counted together.
+TASK_BUCKETS, MOST_TASKS, STRIDE = 8, 20_000, 4096
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -31,7 +33,8 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows: in
     Spark's shuffle(), a seeded Fisher-Yates; buckets in turn then make one permutation of all rows, which is dealt to the shards like cards.
     The number of buckets follows the rows and bytes of the input, so that a bucket stays as large as it is. Equal rows that would fill
     much of a bucket are told apart by an occurrence number, which the hash takes too; being equal, they are made from one of them and their
-    count. Repeated rows are kept, each with a place of its own; an empty table gives an empty one.
+    count. Repeated rows are kept, each with a place of its own; nulls are values like others; an empty table gives an empty one. Seed, rows
+    and number of buckets decide the order.
     """
     columns = df.columns
     row, of = F.struct(*columns), F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
@@ -49,14 +52,25 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows: in
     spread = copies.select("__row", F.pmod(F.xxhash64("__hash", "__copy"), F.lit(buckets)).alias("__bucket"))
     scattered = cut(plain.unionByName(spread), "scattered")
     counts = scattered.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    first = counts.select(F.col("__bucket").alias("__of"), F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
-    dealt = scattered.repartition(buckets, "__bucket").sortWithinPartitions("__bucket").groupBy("__bucket").agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
+    first = offsets(counts.withColumnRenamed("__bucket", "__of"))
+    dealt = scattered.repartition(min(-(-buckets // TASK_BUCKETS), MOST_TASKS), "__bucket").sortWithinPartitions("__bucket").groupBy("__bucket").agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
     shuffled = dealt.select("__bucket", F.shuffle("__rows", F.lit(seed)).alias("__rows"))
-    placed = shuffled.join(F.broadcast(first), F.col("__bucket") == F.col("__of")).select("__first", F.posexplode("__rows").alias("__pos", "__row"))
+    placed = shuffled.join(F.broadcast(first) if buckets <= BROADCAST_ROWS else first, F.col("__bucket") == F.col("__of")).select("__first", F.posexplode("__rows").alias("__pos", "__row"))
     at = F.col("__first") + F.col("__pos")
     return placed.select("__row.*", (at % shards).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot"))
 
 
+def offsets(counts: DataFrame) -> DataFrame:
+    """(__of, __first): rows in all buckets before each. Sums over strides of STRIDE buckets first, so that no task sees more than that many, or
+    one row a stride."""
+    stride = F.floor(F.col("__of") / STRIDE)
+    earlier = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = counts.withColumn("__stride", stride)
+    before = inner.groupBy("__stride").agg(F.sum("__n").alias("__n")).select(F.col("__stride").alias("__s"), earlier(Window.orderBy("__stride")).alias("__before"))
+    inner = inner.withColumn("__inside", earlier(Window.partitionBy("__stride").orderBy("__of")))
+    return inner.join(before, F.col("__stride") == F.col("__s")).select("__of", (F.col("__before") + F.col("__inside")).alias("__first"))
+
+
 def op10_sharding(docs: DataFrame) -> DataFrame:
     """Whole documents are written to a folder for each shard; size and text_crc32 are those of the texts that are read back from it."""
     written = cut(shard(docs), "shards", "shard")
