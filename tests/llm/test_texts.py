@@ -65,6 +65,17 @@ def test_matroska_cues_and_unknown_sizes():
     assert (p["track"], p["timestamp_ns"], p["size"]) == ([2], [5_000_000], [4])
 
 
+def test_matroska_damaged_files_give_an_error(spark):
+    whole = matroska.mux(b"x" * 192 * 20)
+    uneven = matroska.element(matroska.CLUSTER, matroska.element(matroska.SIMPLE_BLOCK, b"\x81" + struct.pack(">hB", 0, 0x80 | matroska.FIXED << 1) + b"\x02abcd"))
+    minus = matroska.element(matroska.CLUSTER, matroska.element(matroska.SIMPLE_BLOCK, b"\x81" + struct.pack(">hB", 0, 0x80 | matroska.XIPH << 1) + b"\x01\x09abcd"))
+    rows = [(1, whole), (2, whole[:-5]), (3, b"no such thing"), (4, uneven), (5, minus), (6, None), (7, b"")]
+    got = matroska.packet_table(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert {r.doc_id for r in got if r.error} == {2, 3, 4, 5}
+    assert Counter(r.doc_id for r in got if r.error) == Counter([2, 3, 4, 5])
+    assert sum(r.size for r in got if r.doc_id == 1) == 192 * 20 and {r.doc_id for r in got} == {1, 2, 3, 4, 5}
+
+
 def brute_license(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     places, labels = [], set()

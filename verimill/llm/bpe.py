@@ -229,6 +229,8 @@ def digest(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
 
 def op9_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """One row a row of docs, repeated ones too. Null and empty texts have no token and the digests of nothing; whole texts are encoded, however
+    long; an empty table gives none; null ids stay; other columns are not read."""
     import public_tokenizers
 
     return digest(docs, path or public_tokenizers.path("word_bpe_49k.json"))

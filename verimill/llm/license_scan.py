@@ -202,4 +202,6 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, phra
 
 
 def op5_license_scan(docs: DataFrame) -> DataFrame:
+    """One row a row of docs, repeated ones too. Null and empty texts have no word and no label; whole texts are read, however long; an empty
+    table gives none; other columns are not read."""
     return scan_licenses(docs)

@@ -129,6 +129,8 @@ def lace_sizes(data: bytes, kind: int, at: int, end: int) -> tuple[list[int], in
         return [end - at], at
     n, at = data[at] + 1, at + 1
     if kind == FIXED:
+        if (end - at) % n:
+            raise ValueError(f"a lace of {n} equal frames doesn't fill the block that ends at byte {end}")
         return [(end - at) // n] * n, at
     sizes: list[int] = []
     for i in range(n - 1):
@@ -142,7 +144,10 @@ def lace_sizes(data: bytes, kind: int, at: int, end: int) -> tuple[list[int], in
             if i:
                 size += sizes[-1] - (1 << 7 * length - 1) + 1
         sizes.append(size)
-    return [*sizes, end - at - sum(sizes)], at
+    sizes.append(end - at - sum(sizes))
+    if min(sizes) < 0:
+        raise ValueError(f"the lace of the block that ends at byte {end} has a frame of less than no bytes")
+    return sizes, at
 
 
 def packets(data: bytes) -> dict[str, list]:
@@ -193,32 +198,40 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """One row for each packet of each file in `media` (doc_id, media); null media have none, bytes that aren't EBML raise an error."""
+    """One row for each packet of each file in `media` (doc_id, media); null media have none. A damaged file has one
+    row, with nulls and its error."""
     names = ("track", "timestamp_ns", "keyframe", "lacing", "offset", "size", "cluster")
-    schema = pa.schema([("doc_id", pa.int64()), ("track", pa.int64()), ("timestamp_ns", pa.int64()), ("keyframe", pa.bool_()), ("lacing", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("cluster", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("track", pa.int64()), ("timestamp_ns", pa.int64()), ("keyframe", pa.bool_()), ("lacing", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("cluster", pa.int64()), ("error", pa.string())])
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in schema.names}
         for doc_id, data in zip(rows["doc_id"], rows["media"], strict=True):
-            table = packets(data or b"")
+            try:
+                table, error = packets(data or b""), None
+            except (ValueError, IndexError, struct.error) as e:
+                table, error = {k: [None] for k in names}, f"{type(e).__name__}: {e}"
             out["doc_id"] += [doc_id] * len(table["track"])
+            out["error"] += [error] * len(table["track"])
             for k in names:
-                out[k] += [LACING[x] for x in table[k]] if k == "lacing" else table[k]
+                out[k] += [x if x is None else LACING[x] for x in table[k]] if k == "lacing" else table[k]
         return out
 
-    return in_arrow(media.select("doc_id", "media"), "doc_id long, track long, timestamp_ns long, keyframe boolean, lacing string, offset long, size long, cluster long", work, schema, text="media")
+    return in_arrow(media.select("doc_id", "media"), "doc_id long, track long, timestamp_ns long, keyframe boolean, lacing string, offset long, size long, cluster long, error string", work, schema, text="media")
 
 
 def feature(data: bytes, table: dict[str, list], payload: bytes) -> str:
     """What the packet table and the samples show, in one line."""
     kinds = ",".join(f"{name}:{table['lacing'].count(k)}" for k, name in enumerate(LACING))
-    cued = sum(place in set(table["clusters"]) for _, place in table["cues"])
+    clusters = set(table["clusters"])
+    cued = sum(place in clusters for _, place in table["cues"])
     mean = sum(payload) // len(payload) if payload else 0
     last = table["timestamp_ns"][-1] // 1_000_000 if table["timestamp_ns"] else 0
     return f"bits={table['bits'][0]};rate={table['rate'][0]:.0f};clusters={len(table['clusters'])};cues={cued};packets={len(table['track'])};lacing={kinds};last_ms={last};mean={mean};peak={max(payload, default=0)}"
 
 
 def op4_matroska(docs: DataFrame) -> DataFrame:
+    """One row a row of docs, repeated ones too. A null text is an empty one, whose payload is one unit of spaces; equal texts, also very long
+    ones, have equal values; an empty table gives none; null ids stay; other columns are not read."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def work(rows: dict[str, list]) -> dict[str, list]:

@@ -10,9 +10,10 @@ from .common import BLANKS, cut, lookup, words
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 #: The sketch counts values in bins of equal width, so that sketches of parts add up to the sketch of the whole, exactly. A ratio has 2,000
-#: bins, a mean word length 50 for each character: at most a few thousand bins a sketch, whatever the number of documents.
+#: bins. A mean word length has 50 for each character up to LONGEST, and the last bin holds all above: 10,000 at most, whatever the corpus.
 RATIO_BINS = 2000
 LENGTH_BINS = 50
+LONGEST = 200
 #: A document is far out beyond a quartile by FENCE times the distance between the quartiles, or by the least slack if that is more.
 FENCE = 8.0
 LEAST_SLACK = {"symbol_bin": 0.02 * RATIO_BINS, "line_bin": 0.3 * RATIO_BINS, "repeat_bin": 0.15 * RATIO_BINS, "length_bin": 1.75 * LENGTH_BINS}
@@ -45,7 +46,6 @@ def repeat_words(w: str) -> Column:
     # places of s: x stands at j from 0, its left neighbour at j from 1, its right one at j + 2 from 1; place 0 is an error, so it's asked for as NULL
     repeated = repeated.replace("try_element_at(s, j).h", "try_element_at(s, nullif(j, 0)).h")
     places = f"flatten(transform({repeated}, x -> array(x.i, x.i + 1, x.i + 2)))"
-    counted = f"transform(array({windows}), t -> transform(array(sort_array(t)), s -> size(array_distinct({places})))[0])[0]"
     some = f"size(array_distinct(transform(t, x -> x.h))) < size(t)"
     counted = f"transform(array({windows}), t -> CASE WHEN {some} THEN transform(array(sort_array(t)), s -> size(array_distinct({places})))[0] ELSE 0 END)[0]"
     return F.expr(f"CAST(CASE WHEN {size} < 4 THEN 0 ELSE transform(array({w}), w -> {counted})[0] END AS BIGINT)")
@@ -54,7 +54,7 @@ def repeat_words(w: str) -> Column:
 def measures(df: DataFrame) -> DataFrame:
     """The measured bins; null where a document has no word. Integer arithmetic, so that every engine agrees."""
     ratio = lambda a, b: F.when(F.col(b) > 0, F.floor(F.col(a) * RATIO_BINS / F.col(b))).cast("long")
-    return df.withColumns({"symbol_bin": ratio("n_symbols", "word_chars"), "line_bin": ratio("n_dup_lines", "n_lines"), "repeat_bin": ratio("n_repeat_words", "n_words"), "length_bin": F.when(F.col("n_words") > 0, F.floor(F.col("word_chars") * LENGTH_BINS / F.col("n_words"))).cast("long")})
+    return df.withColumns({"symbol_bin": ratio("n_symbols", "word_chars"), "line_bin": ratio("n_dup_lines", "n_lines"), "repeat_bin": ratio("n_repeat_words", "n_words"), "length_bin": F.when(F.col("n_words") > 0, F.least(F.floor(F.col("word_chars") * LENGTH_BINS / F.col("n_words")), F.lit(LONGEST * LENGTH_BINS))).cast("long")})
 
 
 def fences(measured: DataFrame) -> DataFrame:
@@ -100,12 +100,14 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def op3_quality_rules(docs: DataFrame) -> DataFrame:
+    """One row a row of docs, repeated ones too. Null, empty and blank texts have counts of 0 and fail the base rules; null languages and sources
+    are groups like others; an empty table gives none; other columns are not read."""
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def _oracle() -> str:
     bins = {"symbol_bin": ("n_symbols", "word_chars", RATIO_BINS), "line_bin": ("n_dup_lines", "n_lines", RATIO_BINS), "repeat_bin": ("n_repeat_words", "n_words", RATIO_BINS), "length_bin": ("word_chars", "n_words", LENGTH_BINS)}
-    measured = ", ".join(f"CASE WHEN {b} > 0 THEN {a} * {k} // {b} END AS {m}" for m, (a, b, k) in bins.items())
+    measured = ", ".join(f"CASE WHEN {b} > 0 THEN {f'least({a} * {k} // {b}, {LONGEST * LENGTH_BINS})' if m == 'length_bin' else f'{a} * {k} // {b}'} END AS {m}" for m, (a, b, k) in bins.items())
     stacked = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS bin FROM m WHERE {m} IS NOT NULL" for m in bins)
     slack = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LEAST_SLACK.items()) + " END"
     wide = ", ".join(f"max(CASE WHEN measure = '{k}' THEN {s} END) AS {k}_{s}" for k in LEAST_SLACK for s in ("low", "high"))
