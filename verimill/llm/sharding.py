@@ -16,8 +16,8 @@ BUCKET_BYTES = 16_000_000
 SPREAD = 16
 #: Copies of a row that one task makes at a time.
 COPIES = 4096
-#: Buckets of a task, one after the other, and tasks at most: more buckets then follow each other in a task. Buckets that are counted together.
-TASK_BUCKETS, MOST_TASKS, STRIDE = 8, 20_000, 4096
+#: Tasks at most: where there are more buckets, some follow each other in a task. Buckets that are counted together.
+MOST_TASKS, STRIDE = 20_000, 4096
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -53,7 +53,7 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows: in
     scattered = cut(plain.unionByName(spread), "scattered")
     counts = scattered.groupBy("__bucket").agg(F.count("*").alias("__n"))
     first = offsets(counts.withColumnRenamed("__bucket", "__of"))
-    dealt = scattered.repartition(min(-(-buckets // TASK_BUCKETS), MOST_TASKS), "__bucket").sortWithinPartitions("__bucket").groupBy("__bucket").agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
+    dealt = scattered.repartition(min(buckets, MOST_TASKS), "__bucket").sortWithinPartitions("__bucket").groupBy("__bucket").agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
     shuffled = dealt.select("__bucket", F.shuffle("__rows", F.lit(seed)).alias("__rows"))
     placed = shuffled.join(F.broadcast(first) if buckets <= BROADCAST_ROWS else first, F.col("__bucket") == F.col("__of")).select("__first", F.posexplode("__rows").alias("__pos", "__row"))
     at = F.col("__first") + F.col("__pos")
