@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dot, norm, trigrams
-from .retrieval import ranked
-
+from .retrieval import ranked, with_batch
 
 
 def duplicate_conflicts(docs: DataFrame, most: int = 5) -> DataFrame:
@@ -46,29 +45,35 @@ def overlap_conflicts(overlap: DataFrame) -> DataFrame:
 def supersession_conflicts(docs: DataFrame, most: int = 5) -> DataFrame:
     """Pass 3: other documents of the tenant whose title begins, in either case, with the first 60 % of this one's, at least 5 characters.
 
-    Titles are one row each before they meet, on their first 5 characters; a title's documents are listed newest first.
+    Titles are one row each before they meet: one's start with all beginnings of the other, so that only what matches meets. A title's
+    documents are listed newest first.
     """
     live = docs.filter("status <> 'deleted'").select("document_id", "tenant_id", F.lower("title").alias("t"), "title", "created_at").filter(F.length("title") >= 5)
-    named = live.select("tenant_id", "t", "title").distinct().withColumn("head", F.substring("t", 1, 5))
-    own = named.withColumn("start", F.expr("left(t, greatest(CAST(length(t) * 6 DIV 10 AS INT), 5))")).select("tenant_id", "head", "start", F.col("title").alias("title_a"))
-    other = named.select("tenant_id", "head", F.col("t").alias("t_b"), F.col("title").alias("title_b"))
-    met = own.join(other, ["tenant_id", "head"]).filter(F.startswith("t_b", F.col("start")) & (F.col("title_a") != F.col("title_b"))).select("tenant_id", "title_a", "title_b")
+    named = live.select("tenant_id", "t", "title").distinct()
+    own = named.select("tenant_id", F.expr("left(t, greatest(CAST(length(t) * 6 DIV 10 AS INT), 5))").alias("start"), F.col("title").alias("title_a"))
+    other = named.select("tenant_id", F.explode(F.transform(F.sequence(F.lit(5), F.length("t")), lambda n: F.substring(F.col("t"), F.lit(1), n))).alias("start"), F.col("title").alias("title_b"))
+    met = own.join(other, ["tenant_id", "start"]).filter("title_a <> title_b").select("tenant_id", "title_a", "title_b")
     newest = ranked(live.select("tenant_id", F.col("title").alias("title_b"), F.col("document_id").alias("document_b_id"), "created_at"), ["tenant_id", "title_b"], F.desc("created_at"), F.desc("document_b_id"), most=most, name="r")
     for_title = ranked(met.join(newest, ["tenant_id", "title_b"]), ["tenant_id", "title_a"], F.desc("created_at"), F.desc("document_b_id"), most=most)
     out = live.select("tenant_id", F.col("title").alias("title_a"), F.col("document_id").alias("document_a_id")).join(for_title, ["tenant_id", "title_a"])
     return out.select("document_a_id", "document_b_id", F.lit(0.6).alias("confidence"))
 
 
+#: Vectors of a bucket of knn_join(), about, of which a vector meets one for each plane and one more.
+BUCKET_ROWS = 64
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int = 3, planes: int | None = None, tables: int = 6, seed: int = 7) -> DataFrame:
     """(left_id, right_id, distance, rank): the k nearest vectors of right for each of left, cosine, ids differing.
 
     Exact by default: left, a batch, meets all of right. With `planes`, both are bucketed in `tables` tables by that many seeded random
-    hyperplanes each, and meet inside a bucket and its neighbours at one flipped sign: approximate, without a scan of all pairs. Take one
-    plane more for each doubling of right beyond a few thousand rows.
+    hyperplanes each (0: one more for each doubling of right's counted rows), and meet inside a bucket and its neighbours at one flipped
+    sign: approximate, without a scan of all pairs.
     """
     a = left.select(F.col("document_id").alias("left_id"), F.col("embedding").alias("va"), norm(F.col("embedding")).alias("na"))
     b = right.select(F.col("document_id").alias("right_id"), F.col("embedding").alias("vb"), norm(F.col("embedding")).alias("nb"))
-    if planes:
+    if planes is not None:
+        planes = planes or max(3, (right.count() // BUCKET_ROWS).bit_length())
 
         def sign(v: Column, t: int, p: int) -> Column:
             normal = F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.lit(t), F.lit(p), i), F.lit(2001)) / 1000.0 - 1.0)
@@ -84,7 +89,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int = 3, planes: int | None =
         met = a.select("left_id", "bucket").join(b.select("right_id", "bucket"), "bucket").filter("left_id <> right_id").select("left_id", "right_id").distinct()
         pairs = met.join(a.drop("bucket").dropDuplicates(["left_id"]), "left_id").join(b.drop("bucket").dropDuplicates(["right_id"]), "right_id")
     else:
-        pairs = b.join(F.broadcast(a) if a.limit(5001).count() <= 5000 else a)
+        pairs = with_batch(b, a, [], "right_id")
     n = F.col("na") * F.col("nb")
     far = F.round(1 - F.when(n > 0, dot(F.col("va"), F.col("vb")) / n).otherwise(0.0), 6)
     met = pairs.filter("left_id <> right_id").select("left_id", "right_id", far.alias("distance"))
@@ -120,6 +125,18 @@ def conflict_tasks(conflicts: DataFrame, above: float = 0.5) -> DataFrame:
     return conflicts.filter(F.col("confidence") > above).select("conflict_id", F.lit("conflict_review").alias("task_type"), F.lit("new").alias("status"))
 
 
+def similar_claim_conflicts(claims: DataFrame, similar: DataFrame, least: float = 0.7) -> DataFrame:
+    """(claim_a, claim_b, predicate_a, predicate_b, confidence): active claims of one tenant on two predicates that `similar` (predicate_a,
+    predicate_b, similarity; normalised, of whatever measure) finds alike from `least` on, with different values. Confidence is 0.9 times the
+    similarity; each predicate and value is stood for by its surest claim."""
+    p, v = F.lower(F.trim("predicate")).alias("p"), F.lower(F.trim("object_value")).alias("value")
+    best = ranked(claims.filter("status = 'active'").select("tenant_id", p, v, "claim_id", "confidence"), ["tenant_id", "p", "value"], F.desc("confidence"), F.asc("claim_id"), most=1)
+    a, b = (best.select("tenant_id", F.col("p").alias(f"predicate_{s}"), F.col("value").alias(f"value_{s}"), F.col("claim_id").alias(f"claim_{s}")) for s in "ab")
+    near = similar.filter(F.col("similarity") >= least)
+    met = near.join(a, "predicate_a").join(b, ["tenant_id", "predicate_b"]).filter("value_a <> value_b")
+    return met.select("claim_a", "claim_b", "predicate_a", "predicate_b", F.round(F.col("similarity") * 0.9, 6).alias("confidence"))
+
+
 def claim_conflicts(claims: DataFrame, same_subject: bool = False) -> DataFrame:
     """(claim_a, claim_b, predicate): active claims of one tenant with one normalised predicate and different values, one pair for each two
     values: each value's surest claim stands for it, so that repeated claims don't multiply."""
@@ -134,14 +151,28 @@ def claim_conflicts(claims: DataFrame, same_subject: bool = False) -> DataFrame:
 def similar_predicates(claims: DataFrame, least: float = 0.45) -> DataFrame:
     """(predicate_a, predicate_b, similarity): pairs of distinct predicates whose trigram similarity is above `least`.
 
-    Distinct predicates only; two whose similarity is above t share one of the first n - ceil(t * n) + 1 of their trigrams, rarest first.
+    Distinct predicates only; two whose similarity is above t share one of the first n - ceil(t * n) + 1 of their trigrams, rarest first, and
+    the smaller set has more than t times the trigrams of the larger. Each carries 256 bits that its trigrams set: a bit that one has and
+    the other lacks stands for a trigram that isn't shared, which bounds what can be. Whole sets are compared for what is left.
     """
-    p = claims.select(F.lower(F.trim("predicate")).alias("p")).distinct().withColumn("g", trigrams(F.col("p")))
+    p = claims.select(F.lower(F.trim("predicate")).alias("p")).distinct().withColumn("g", trigrams(F.col("p"))).filter(F.size("g") > 0)
+    places = F.transform("g", lambda x: F.pmod(F.xxhash64(x), F.lit(256)))
+
+    def bits(k: int) -> Column:
+        here = F.filter(places, lambda x: F.floor(x / 64) == k)
+        return F.aggregate(here, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (x % 64).cast("int"))))
+
+    p = p.withColumn("n", F.size("g")).withColumns({f"b{k}": bits(k) for k in range(4)})
     grams = p.select("p", F.explode("g").alias("gram"))
     rare = grams.groupBy("gram").agg(F.count("*").alias("df"))
     ordered = grams.join(rare, "gram").groupBy("p").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("s"))
     heads = ordered.select("p", F.explode(F.transform(F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * F.lit(least)).cast("int") + 1), lambda x: x["gram"])).alias("gram"))
-    pairs = heads.select(F.col("p").alias("predicate_a"), "gram").join(heads.select(F.col("p").alias("predicate_b"), "gram"), "gram").filter("predicate_a < predicate_b").select("predicate_a", "predicate_b").distinct()
+    heads = heads.join(p.drop("g"), "p").withColumn("gram", F.xxhash64("gram"))
+    side = lambda s: heads.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in heads.columns if c != "gram"])
+    lacks = lambda x, y: " + ".join(f"bit_count(b{k}_{x} & ~b{k}_{y})" for k in range(4))
+    shared = f"least(n_a - ({lacks('a', 'b')}), n_b - ({lacks('b', 'a')}))"
+    possible = F.expr(f"p_a < p_b AND least(n_a, n_b) > {least} * greatest(n_a, n_b) AND {shared} * (1 + {least}) > {least} * (n_a + n_b)")
+    pairs = side("a").join(side("b"), "gram").filter(possible).select(F.col("p_a").alias("predicate_a"), F.col("p_b").alias("predicate_b")).distinct()
     full = pairs.join(p.select(F.col("p").alias("predicate_a"), F.col("g").alias("ga")), "predicate_a").join(p.select(F.col("p").alias("predicate_b"), F.col("g").alias("gb")), "predicate_b")
     both = F.size(F.array_intersect("ga", "gb"))
     return full.select("predicate_a", "predicate_b", F.round(both / (F.size("ga") + F.size("gb") - both), 6).alias("similarity")).filter(F.col("similarity") > least)

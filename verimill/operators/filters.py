@@ -23,8 +23,8 @@ def searchable(docs: DataFrame) -> DataFrame:
     return docs.filter((F.col("status") == "indexed") & ~F.col("review_status").isin(*HIDDEN))
 
 
-def by_source_type(docs: DataFrame, sources: DataFrame, source_type: str) -> DataFrame:
-    return docs.join(sources.filter(F.col("source_type") == source_type).select("source_id"), "source_id", "left_semi")
+def by_source_type(docs: DataFrame, sources: DataFrame, *source_types: str) -> DataFrame:
+    return docs.join(sources.filter(F.col("source_type").isin(*source_types)).select("source_id"), "source_id", "left_semi")
 
 
 def by_doc_type(docs: DataFrame, doc_type: str) -> DataFrame:
@@ -37,15 +37,11 @@ def by_metadata(docs: DataFrame, wanted: dict[str, str], column: str = "doc_meta
 
 
 def acl_visible(docs: DataFrame, acl: DataFrame, principals: DataFrame) -> DataFrame:
-    """(principal_id, document_id) of what each principal may read: documents without an access list, and those that name it.
-
-    Open documents are paired with the principals, who are the batch's users; listed ones come from one equi-join.
-    """
-    opened = docs.join(acl.select("document_id").distinct(), "document_id", "left_anti").select("document_id")
-    everyone = principals.select("principal_id").distinct().agg(F.collect_set("principal_id").alias("all"))
-    public = opened.join(F.broadcast(everyone)).select(F.explode("all").alias("principal_id"), "document_id")
-    named = acl.filter(F.col("permission").isin("read", "write", "admin")).join(principals.select("principal_id").distinct(), "principal_id").join(docs.select("document_id"), "document_id", "left_semi")
-    return public.unionByName(named.select("principal_id", "document_id").distinct())
+    """(principal_id, document_id) of what each principal may read: documents whose access list names it, and those without one, which are one
+    row with a null principal_id: everyone's. Who asks for one principal's takes its rows and the null ones."""
+    opened = docs.join(acl.select("document_id").distinct(), "document_id", "left_anti").select(F.lit(None).cast("long").alias("principal_id"), "document_id")
+    named = acl.filter(F.col("permission").isin("read", "write", "admin")).join(principals.select("principal_id").distinct(), "principal_id", "left_semi").join(docs.select("document_id"), "document_id", "left_semi")
+    return opened.unionByName(named.select("principal_id", "document_id").distinct())
 
 
 def validate_events(events: DataFrame, content: str = "content", required: dict[str, list[str]] | None = None, allowed: dict[str, list[str]] | None = None, minimum: dict[str, int] | None = None) -> DataFrame:

@@ -64,33 +64,34 @@ def grams_of(c: Column, sizes: Column) -> Column:
 
 
 def index_lookup(index: DataFrame, queries: DataFrame, most: int = 5) -> DataFrame:
-    """(query_id, subject, predicate, value, confidence, strategy, rank): entries of the index whose predicate holds the normalised query, or
-    else its last two words in order.
+    """(query_id, subject, predicate, value, confidence, strategy, rank): entries of the query's tenant whose predicate holds the normalised
+    query, or else its last two words in order.
 
-    Queries and predicates meet on the query's rarest run of three characters (fewer, if a word has fewer), which whatever holds it has too;
-    then the whole pattern is tested.
+    Queries and predicates meet on tenant and the query's rarest run of three characters (fewer, if a word has fewer), which whatever holds
+    it has too; then the whole pattern is tested.
     """
-    asked = queries.select("query_id", normalize_text(F.col("query_text")).alias("q")).filter("q <> ''").withColumn("w", F.split("q", " "))
-    predicates = index.select("predicate_normalized").distinct()
-    have = predicates.select("predicate_normalized", F.explode(grams_of(F.col("predicate_normalized"), F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("gram"))
-    often = have.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = queries.select("query_id", "tenant_id", normalize_text(F.col("query_text")).alias("q")).filter("q <> ''").withColumn("w", F.split("q", " "))
+    predicates = index.select("tenant_id", "predicate_normalized").distinct()
+    have = predicates.select("tenant_id", "predicate_normalized", F.explode(grams_of(F.col("predicate_normalized"), F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("gram"))
+    often = have.groupBy("tenant_id", "gram").agg(F.count("*").alias("n"))
 
     def meet(rows: DataFrame, grams: Column) -> DataFrame:
-        handle = rows.select("*", F.explode(grams).alias("gram")).join(often, "gram", "left")
+        handle = rows.select("*", F.explode(grams).alias("gram")).join(often, ["tenant_id", "gram"], "left")
         rarest = handle.groupBy(*rows.columns).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
-        return rarest.select(*rows.columns, F.col("g.gram").alias("gram")).join(have, "gram")
+        return rarest.select(*rows.columns, F.col("g.gram").alias("gram")).join(have, ["tenant_id", "gram"])
 
     three = lambda c: grams_of(c, F.array(F.least(F.length(c), F.lit(3))))
-    one = meet(asked.select("query_id", "q"), three(F.col("q"))).filter(F.contains("predicate_normalized", F.col("q"))).select("query_id", "predicate_normalized", F.lit(1).alias("strategy"))
-    missed = asked.join(one.select("query_id").distinct(), "query_id", "left_anti").filter(F.size("w") >= 2).select("query_id", F.element_at("w", -2).alias("a"), F.element_at("w", -1).alias("b"))
-    two = meet(missed, F.concat(three(F.col("a")), three(F.col("b")))).filter(F.expr("predicate_normalized LIKE concat('%', a, '%', b, '%')")).select("query_id", "predicate_normalized", F.lit(2).alias("strategy"))
-    hits = one.unionByName(two).join(index, "predicate_normalized")
+    one = meet(asked.select("query_id", "tenant_id", "q"), three(F.col("q"))).filter(F.contains("predicate_normalized", F.col("q"))).select("query_id", "tenant_id", "predicate_normalized", F.lit(1).alias("strategy"))
+    missed = asked.join(one.select("query_id").distinct(), "query_id", "left_anti").filter(F.size("w") >= 2).select("query_id", "tenant_id", F.element_at("w", -2).alias("a"), F.element_at("w", -1).alias("b"))
+    two = meet(missed, F.concat(three(F.col("a")), three(F.col("b")))).filter(F.expr("predicate_normalized LIKE concat('%', a, '%', b, '%')")).select("query_id", "tenant_id", "predicate_normalized", F.lit(2).alias("strategy"))
+    hits = one.unionByName(two).join(index, ["tenant_id", "predicate_normalized"])
     top = ranked(hits, ["query_id"], F.desc("confidence"), F.asc("subject"), F.asc("predicate"), most=most)
     return top.select("query_id", "subject", "predicate", "value", "confidence", "strategy", "rank")
 
 
 def structured_answers(queries: DataFrame, docs: DataFrame, conflicts: DataFrame) -> DataFrame:
     """(query_id, answer_type, answer) of structured queries of tenants: each aggregate is computed once and joined to who asks for it."""
+    # The words that decide, and the sentences of the answers.
     q = F.lower("query_text")
     kind = F.when(q.contains("how many") & q.contains("document"), "document_count").when(q.contains("quality") & (q.contains("score") | q.contains("overview")), "quality_overview").when(q.contains("conflict"), "conflict_summary").when(q.contains("latest") | q.contains("recent"), "latest_documents").otherwise("title_search")
     asked = queries.withColumn("answer_type", kind)
@@ -104,27 +105,44 @@ def structured_answers(queries: DataFrame, docs: DataFrame, conflicts: DataFrame
 
 
 def lexical_scores(postings: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, document_id, score): BM25 of the chunks that hold every term of the query. An equi-join on terms."""
-    stats = postings.groupBy("chunk_id").agg(F.sum("tf").alias("length"))
-    total = stats.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    asked = queries.withColumn("q", F.array_distinct(terms(F.col("query_text")))).select("query_id", F.size("q").alias("n_terms"), F.explode("q").alias("term"))
-    wanted = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    idf = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    hits = wanted.join(asked, "term").join(idf, "term").join(stats, "chunk_id").join(F.broadcast(total))
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    """(query_id, chunk_id, document_id, score): BM25 of the tenant's chunks that hold every term of the query.
+
+    A chunk that holds all terms holds the rarest; those chunks are looked up first, and only they are met with the other terms. Number of
+    chunks, their mean length and the terms' frequencies are the tenant's own.
+    """
+    stats = postings.groupBy("tenant_id", "chunk_id").agg(F.sum("tf").alias("length"))
+    total = stats.groupBy("tenant_id").agg(F.count("*").alias("chunks"), F.avg("length").alias("mean"))
+    asked = queries.withColumn("q", F.array_distinct(terms(F.col("query_text")))).select("query_id", "tenant_id", F.size("q").alias("n_terms"), F.explode("q").alias("term"))
+    wanted = postings.join(asked.select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi")
+    often = wanted.groupBy("tenant_id", "term").agg(F.count("*").alias("df"))
+    known = asked.join(often, ["tenant_id", "term"])
+    rarest = known.groupBy("query_id", "tenant_id").agg(F.min(F.struct("df", "term")).alias("r"), F.count("*").alias("k"), F.max("n_terms").alias("n_terms")).filter("k = n_terms").select("query_id", "tenant_id", F.col("r.term").alias("term"))
+    candidates = rarest.join(wanted, ["tenant_id", "term"]).select("query_id", "chunk_id")
+    hits = candidates.join(known, "query_id").join(wanted.select("chunk_id", "document_id", "term", "tf"), ["chunk_id", "term"]).join(stats.drop("tenant_id"), "chunk_id").join(total, "tenant_id")
+    weight = F.log(1 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     per = hits.groupBy("query_id", "chunk_id", "document_id").agg(F.sum(weight).alias("score"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
     return per.filter("found = n_terms").drop("found", "n_terms")
 
 
+#: Rows of a batch that is broadcast, and places that a larger one's partners are dealt to.
+BATCH_ROWS, BLOCKS = 5000, 64
+
+
+def with_batch(rows: DataFrame, batch: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """Every row with every row of the batch that has its keys. A batch of up to BATCH_ROWS, counted, is broadcast; a larger one goes to each
+    of BLOCKS blocks that the rows are dealt to by `spread`, so that no key is one task."""
+    if batch.limit(BATCH_ROWS + 1).count() <= BATCH_ROWS:
+        return rows.join(F.broadcast(batch), keys) if keys else rows.join(F.broadcast(batch))
+    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(spread), F.lit(BLOCKS)).cast("int"))
+    return dealt.join(batch.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))), [*keys, "__block"]).drop("__block")
+
+
 def semantic_distances(vectors: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
-    """(query_id, document_id, distance): cosine distance of every query vector of the batch to every document vector. The batch is the
-    broadcast side if its rows, counted, are at most 5,000; beyond that Spark decides."""
-    d = vectors.select("document_id", "embedding", norm(F.col("embedding")).alias("dn"))
-    q = queries.select("query_id", F.col("embedding").alias("qe"), norm(F.col("embedding")).alias("qn"))
-    few = q.limit(5001).count() <= 5000
-    pairs = d.join(F.broadcast(q) if few else q)
+    """(query_id, document_id, distance): cosine distance of every query vector of the batch to every vector of its tenant's documents."""
+    d = vectors.select("tenant_id", "document_id", "embedding", norm(F.col("embedding")).alias("dn"))
+    q = queries.select("tenant_id", "query_id", F.col("embedding").alias("qe"), norm(F.col("embedding")).alias("qn"))
     n = F.col("dn") * F.col("qn")
-    return pairs.select("query_id", "document_id", F.round(1 - F.when(n > 0, dot(F.col("embedding"), F.col("qe")) / n).otherwise(0.0), digits).alias("distance"))
+    return with_batch(d, q, ["tenant_id"], "document_id").select("query_id", "document_id", F.round(1 - F.when(n > 0, dot(F.col("embedding"), F.col("qe")) / n).otherwise(0.0), digits).alias("distance"))
 
 
 def fuse(semantic: DataFrame, lexical: DataFrame, boost: DataFrame | None = None, w_semantic: float = 1.0, w_lexical: float = 1.0, k: int = 60, boost_weight: float = 1.0) -> DataFrame:
@@ -137,19 +155,38 @@ def fuse(semantic: DataFrame, lexical: DataFrame, boost: DataFrame | None = None
     return out.join(boost, "document_id", "left").withColumn("score", score + F.coalesce("boost", F.lit(0.0)) * F.lit(boost_weight)).drop("boost")
 
 
-def hybrid_search(docs: DataFrame, vectors: DataFrame, postings: DataFrame, queries: DataFrame, boost: DataFrame | None = None, top_k: int = 20, w_semantic: float = 1.0, w_lexical: float = 1.0, k: int = 60, boost_weight: float = 1.0) -> DataFrame:
+def hybrid_search(docs: DataFrame, vectors: DataFrame, postings: DataFrame, queries: DataFrame, boost: DataFrame | None = None, top_k: int = 20, w_semantic: float = 1.0, w_lexical: float = 1.0, k: int = 60, boost_weight: float = 1.0, acl: DataFrame | None = None) -> DataFrame:
     """(query_id, document_id, semantic_rank, lexical_rank, score, rank) of the best documents of each query of the batch.
 
-    queries: query_id, query_text and embedding. Documents that may not be searched are dropped before ranking; each list is cut at 3 * top_k.
+    queries: query_id, tenant_id, query_text and embedding. A query sees its tenant's documents only. What may not be searched is dropped before
+    ranking, and so is what `docs` lacks: filters by source type, document type and metadata are applied to it by the caller. With `acl`
+    (document_id, principal_id, permission), documents that have a list are seen by queries whose principal_id it names. Each list is cut at
+    3 * top_k.
     """
-    open_ = searchable(docs).select("document_id")
-    dense = ranked(semantic_distances(vectors.join(open_, "document_id", "left_semi"), queries), ["query_id"], F.asc("distance"), F.asc("document_id"), most=3 * top_k)
-    best = lexical_scores(postings.join(open_, "document_id", "left_semi"), queries).groupBy("query_id", "document_id").agg(F.round(F.max("score"), 9).alias("s"))
+    open_ = searchable(docs).select("document_id", "tenant_id")
+    parts = [open_] if acl is None else [open_.join(acl, "document_id", "left_anti"), open_.join(acl, "document_id", "left_semi")]
+    dense = [semantic_distances(vectors.select("document_id", "embedding").join(p, "document_id"), queries) for p in parts]
+    best = lexical_scores(postings.join(open_.select("document_id"), "document_id", "left_semi"), queries).groupBy("query_id", "document_id").agg(F.round(F.max("score"), 9).alias("s"))
+    if acl is None:
+        near = dense[0]
+    else:
+        granted = acl.filter(F.col("permission").isin("read", "write", "admin")).select("document_id", "principal_id").distinct()
+        asking = queries.select("query_id", "principal_id")
+        named = lambda pairs: pairs.join(asking, "query_id").join(granted, ["document_id", "principal_id"], "left_semi").select(*pairs.columns)
+        near = dense[0].unionByName(named(dense[1]))
+        best = best.join(acl, "document_id", "left_anti").unionByName(named(best.join(acl, "document_id", "left_semi")))
+    semantic = ranked(near, ["query_id"], F.asc("distance"), F.asc("document_id"), most=3 * top_k)
     sparse = ranked(best, ["query_id"], F.desc("s"), F.asc("document_id"), most=3 * top_k)
-    fused = fuse(dense, sparse, boost, w_semantic, w_lexical, k, boost_weight).withColumn("score", F.round("score", 9))
+    fused = fuse(semantic, sparse, boost, w_semantic, w_lexical, k, boost_weight).withColumn("score", F.round("score", 9))
     return ranked(fused, ["query_id"], F.desc("score"), F.asc("document_id"), most=top_k)
 
 
+def provenance(results: DataFrame, docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Results with what shows where a document comes from: title, path, document type, version, quality and source name and type."""
+    d = docs.select("document_id", "title", "source_path", "doc_type", "version", "quality_score", "source_id")
+    return results.join(d, "document_id").join(sources.select("source_id", F.col("name").alias("source_name"), "source_type"), "source_id", "left")
+
+
 def rerank(results: DataFrame, scores: DataFrame | None = None, top_k: int = 5) -> DataFrame:
     """Results by an external score (query_id, document_id, text score), the fused rank breaking ties; without scores the first top_k stay."""
     if scores is None:
@@ -203,5 +240,5 @@ def embedded_search(docs: DataFrame, texts: DataFrame, postings: DataFrame, quer
     from ..functions.extension import embed
 
     vectors, cache = embed(texts.select("document_id", "text"), embedder, text="text")
-    asked, _ = embed(queries.select("query_id", "query_text"), embedder, cache, text="query_text")
-    return hybrid_search(docs, vectors.select("document_id", "embedding"), postings, asked.select("query_id", "query_text", "embedding"), top_k=top_k)
+    asked, _ = embed(queries.select("query_id", "tenant_id", "query_text"), embedder, cache, text="query_text")
+    return hybrid_search(docs, vectors.select("document_id", "embedding"), postings, asked.select("query_id", "tenant_id", "query_text", "embedding"), top_k=top_k)

@@ -31,7 +31,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         CASE WHEN doc_id % 17 = 0 THEN NULL ELSE CAST((doc_id * 37) % 101 AS DOUBLE) / 100 END AS quality_score,
         CASE doc_id % 5 WHEN 0 THEN 'warm' WHEN 1 THEN 'cold' ELSE 'hot' END AS index_tier, doc_id % 9 AS access_count,
         CASE WHEN doc_id % 10 = 0 THEN NULL ELSE plus_minutes(stamp('2024-01-31 00:00:00'), -1440 * (doc_id % 120)) END AS last_accessed_at,
-        plus_minutes(stamp('2024-01-01 00:00:00'), doc_id) AS created_at, concat('/', lang, '/', doc_id % 7, '/doc', doc_id, '.md') AS source_path FROM {documents}""",
+        plus_minutes(stamp('2024-01-01 00:00:00'), CASE WHEN doc_id % 19 = 0 THEN doc_id - 600000 ELSE doc_id END) AS created_at, concat('/', lang, '/', doc_id % 7, '/doc', doc_id, '.md') AS source_path FROM {documents}""",
     "chunks": (
         """SELECT document_id * 1000000 + pos AS chunk_id, document_id, tenant_id, CAST(pos AS BIGINT) AS chunk_index, chunk_text, sha2(chunk_text, 256) AS chunk_hash
         FROM (SELECT document_id, tenant_id, posexplode(split(text, '\\n')) AS (pos, chunk_text) FROM {docs}) WHERE length(chunk_text) >= 10""",
@@ -45,8 +45,8 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         CASE l_linestatus WHEN 'O' THEN 'active' ELSE 'superseded' END AS status, CAST(l_shipdate AS DATE) AS valid_from FROM {lineitem}""",
     "claim_docs": """SELECT o_orderkey AS document_id, CAST(n_regionkey AS BIGINT) AS tenant_id, o_orderpriority AS source_id, o_orderdate AS created_at,
         CASE o_orderstatus WHEN 'F' THEN 'deleted' ELSE 'indexed' END AS status, c_name AS title FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
-    "conflicts": """SELECT doc_id AS conflict_id, doc_id AS document_a_id, (doc_id * 7 + 3) % 1000 AS document_b_id, doc_id % 5 AS tenant_id,
-        CASE doc_id % 4 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'overlap' WHEN 2 THEN 'supersession' ELSE 'contradiction' END AS conflict_type,
+    "conflicts": """SELECT doc_id AS conflict_id, doc_id AS document_a_id, (doc_id * 7 + 3) % (SELECT count(*) FROM {documents}) AS document_b_id, doc_id % 5 AS tenant_id,
+        CASE doc_id % 8 WHEN 0 THEN 'duplicate' WHEN 2 THEN 'overlap' WHEN 4 THEN 'supersession' ELSE 'contradiction' END AS conflict_type,
         CAST((doc_id * 13) % 100 AS DOUBLE) / 100 AS confidence, CASE WHEN doc_id % 3 = 0 THEN 'resolved' ELSE 'new' END AS status FROM {documents} WHERE doc_id % 2 = 0""",
     "findings": """SELECT doc_id * 10 + doc_id % 4 AS finding_id, CASE WHEN doc_id % 31 = 0 THEN doc_id + 100000000 ELSE doc_id END AS document_id, doc_id % 5 AS tenant_id,
         CASE doc_id % 4 WHEN 0 THEN 'short_content' WHEN 1 THEN 'no_title' WHEN 2 THEN 'high_boilerplate' ELSE 'empty_content' END AS finding_type,

@@ -37,9 +37,8 @@ def _(v):
 
 @query(
     "b5_acl_visible",
-    """SELECT p.principal_id, d.document_id FROM {docs} d CROSS JOIN (SELECT DISTINCT principal_id FROM {acl} WHERE principal_id <> 5) p
-    WHERE NOT EXISTS (SELECT 1 FROM {acl} a WHERE a.document_id = d.document_id)
-    OR EXISTS (SELECT 1 FROM {acl} a WHERE a.document_id = d.document_id AND a.principal_id = p.principal_id AND a.permission IN ('read', 'write', 'admin'))""",
+    """SELECT CAST(NULL AS BIGINT) AS principal_id, document_id FROM {docs} WHERE document_id NOT IN (SELECT document_id FROM {acl})
+    UNION ALL SELECT DISTINCT principal_id, document_id FROM {acl} WHERE principal_id <> 5 AND permission IN ('read', 'write', 'admin') AND document_id IN (SELECT document_id FROM {docs})""",
 )
 def _(v):
     return fl.acl_visible(v("docs"), v("acl"), v("acl").filter("principal_id <> 5").select("principal_id"))

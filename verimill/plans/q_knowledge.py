@@ -27,9 +27,6 @@ def _grams(c: str) -> str:
     return f"list_distinct(flatten(list_transform({_terms(c)}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
-_SHORT = "split_part(query_text, ' ', 1) || ' ' || split_part(query_text, ' ', 2)"
-
-
 @query("f1_normalize", f"SELECT document_id, {_norm('title')} AS normalized FROM {{docs}}")
 def _(v):
     return v("docs").select("document_id", tx.normalize_text(F.col("title")).alias("normalized"))
@@ -99,15 +96,20 @@ def _(v):
     return v("vectors").select("document_id", tx.is_zero_vector(F.col("embedding")).alias("is_zero"))
 
 
-_SEARCH = f"""WITH s AS (SELECT document_id FROM {{docs}} WHERE status = 'indexed' AND review_status NOT IN ('quarantined', 'rejected', 'superseded')),
-q AS (SELECT query_id, {_SHORT} AS query_text, v.embedding FROM {{queries}} JOIN {{vectors}} v ON v.document_id = query_id),
-d AS (SELECT q.query_id, v.document_id, round(1 - list_cosine_similarity(v.embedding, q.embedding), 6) AS distance FROM {{vectors}} v JOIN s ON s.document_id = v.document_id CROSS JOIN q),
+_ASKING = "q AS (SELECT query_id, tenant_id, query_text, v.embedding FROM {queries} JOIN {vectors} v ON v.document_id = query_id)"
+
+
+def _search_sql(asking: str = _ASKING, docs: str = "", seen: str = "true") -> str:
+    """The ranked lists and their fusion for the queries q. `docs` narrows the documents; `seen` is the access test of a query x document s."""
+    return f"""WITH s AS (SELECT document_id, tenant_id FROM {{docs}} WHERE status = 'indexed' AND review_status NOT IN ('quarantined', 'rejected', 'superseded'){docs}),
+{asking},
+d AS (SELECT q.query_id, v.document_id, round(1 - list_cosine_similarity(v.embedding, q.embedding), 6) AS distance FROM {{vectors}} v JOIN s ON s.document_id = v.document_id JOIN q ON q.tenant_id = s.tenant_id WHERE {seen}),
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, document_id) AS rank FROM d QUALIFY rank <= 60),
-p AS (SELECT * FROM {{postings}} WHERE document_id IN (SELECT document_id FROM s)), st AS (SELECT chunk_id, sum(tf) AS l FROM p GROUP BY 1), tot AS (SELECT count(*) AS n, avg(l) AS m FROM st),
-qt AS (SELECT query_id, unnest(list_distinct({_terms('query_text')})) AS term FROM q), nt AS (SELECT query_id, count(*) AS k FROM qt GROUP BY 1),
-idf AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM qt) GROUP BY 1),
-h AS (SELECT query_id, chunk_id, document_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))) AS score, count(*) AS c FROM qt JOIN p USING (term) JOIN idf USING (term) JOIN st USING (chunk_id) CROSS JOIN tot GROUP BY ALL),
-b AS (SELECT query_id, document_id, round(max(score), 9) AS s FROM h JOIN nt USING (query_id) WHERE c = k GROUP BY ALL),
+p AS (SELECT * FROM {{postings}} WHERE document_id IN (SELECT document_id FROM s)), st AS (SELECT tenant_id, chunk_id, sum(tf) AS l FROM p GROUP BY 1, 2), tot AS (SELECT tenant_id, count(*) AS n, avg(l) AS m FROM st GROUP BY 1),
+qt AS (SELECT query_id, tenant_id, unnest(list_distinct({_terms('query_text')})) AS term FROM q), nt AS (SELECT query_id, count(*) AS k FROM qt GROUP BY 1),
+idf AS (SELECT tenant_id, term, count(*) AS df FROM p WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2),
+h AS (SELECT query_id, p.chunk_id, p.document_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))) AS score, count(*) AS c FROM qt JOIN p ON p.tenant_id = qt.tenant_id AND p.term = qt.term JOIN idf ON idf.tenant_id = qt.tenant_id AND idf.term = qt.term JOIN st ON st.chunk_id = p.chunk_id JOIN tot ON tot.tenant_id = qt.tenant_id GROUP BY ALL),
+b AS (SELECT h.query_id, h.document_id, round(max(score), 9) AS s FROM h JOIN nt ON nt.query_id = h.query_id JOIN q ON q.query_id = h.query_id JOIN s ON s.document_id = h.document_id WHERE c = k AND {seen} GROUP BY ALL),
 lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, document_id) AS rank FROM b QUALIFY rank <= 60),
 fb AS (SELECT document_id, sum(rating) / greatest(count(*), 1) * 0.1 AS boost FROM {{feedback}} GROUP BY 1),
 f AS (SELECT coalesce(dr.query_id, lr.query_id) AS query_id, coalesce(dr.document_id, lr.document_id) AS document_id, dr.rank AS semantic_rank, lr.rank AS lexical_rank FROM dr FULL JOIN lr ON dr.query_id = lr.query_id AND dr.document_id = lr.document_id),
@@ -115,15 +117,44 @@ g AS (SELECT f.*, round(coalesce(1.0 / (60 + semantic_rank), 0) + coalesce(1.0 /
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM g QUALIFY rank <= 20) """
 
 
+_SEARCH = _search_sql()
+
+
 def search_inputs(v):
-    q = v("queries").withColumn("query_text", F.concat_ws(" ", F.split_part("query_text", F.lit(" "), F.lit(1)), F.split_part("query_text", F.lit(" "), F.lit(2))))
-    return q.join(v("vectors").select(F.col("document_id").alias("query_id"), "embedding"), "query_id")
+    return v("queries").join(v("vectors").select(F.col("document_id").alias("query_id"), "embedding"), "query_id")
 
 
 def search(v, q):
     return rt.hybrid_search(v("docs"), v("vectors"), v("postings"), q, an.feedback_boost(v("feedback")))
 
 
+def _open(v):
+    from ..operators.filters import searchable
+
+    return searchable(v("docs")).select("document_id")
+
+
+def open_vectors(v):
+    """Vectors of the documents that may be searched, with their tenant."""
+    from ..operators.filters import searchable
+
+    return v("vectors").join(searchable(v("docs")).select("document_id", "tenant_id"), "document_id")
+
+
+_SEEN = "(s.document_id NOT IN (SELECT document_id FROM {acl}) OR (s.document_id, q.query_id % 6) IN (SELECT (document_id, principal_id) FROM {acl} WHERE permission IN ('read', 'write', 'admin')))"
+_NARROW = " AND source_id IN (SELECT source_id FROM {sources} WHERE source_type IN ('sharepoint', 'jira', 'notion')) AND doc_type IN ('en', 'de') AND quality_score > 0.1"
+
+
+@query("i22_filtered_search", _search_sql(docs=_NARROW, seen=_SEEN) + "SELECT query_id, r.document_id, score, CAST(rank AS BIGINT) AS rank, title, source_path, doc_type, version, quality_score, c.name AS source_name, source_type FROM r JOIN {docs} x ON x.document_id = r.document_id JOIN {sources} c ON c.source_id = x.source_id")
+def _(v):
+    from ..operators import filters as fl
+
+    docs = fl.by_source_type(v("docs"), v("sources"), "sharepoint", "jira", "notion").filter("doc_type IN ('en', 'de') AND quality_score > 0.1")
+    q = search_inputs(v).withColumn("principal_id", F.col("query_id") % 6)
+    found = rt.hybrid_search(docs, v("vectors"), v("postings"), q, an.feedback_boost(v("feedback")), acl=v("acl"))
+    return rt.provenance(found, docs, v("sources")).select("query_id", "document_id", "score", "rank", "title", "source_path", "doc_type", "version", "quality_score", "source_name", "source_type")
+
+
 @query("i22_hybrid_search", _SEARCH + "SELECT query_id, document_id, CAST(semantic_rank AS BIGINT) AS semantic_rank, CAST(lexical_rank AS BIGINT) AS lexical_rank, score, CAST(rank AS BIGINT) AS rank FROM r")
 def _(v):
     return search(v, search_inputs(v)).select("query_id", "document_id", "semantic_rank", "lexical_rank", "score", "rank")
@@ -131,28 +162,21 @@ def _(v):
 
 @query("e1_semantic_rank", _SEARCH + "SELECT query_id, document_id, distance, CAST(rank AS BIGINT) AS rank FROM dr")
 def _(v):
-    from ..operators.filters import searchable
-
-    near = rt.semantic_distances(v("vectors").join(searchable(v("docs")).select("document_id"), "document_id", "left_semi"), search_inputs(v))
-    return rt.ranked(near, ["query_id"], F.asc("distance"), F.asc("document_id"), most=60)
+    return rt.ranked(rt.semantic_distances(open_vectors(v), search_inputs(v)), ["query_id"], F.asc("distance"), F.asc("document_id"), most=60)
 
 
 @query("e2_f7_lexical_rank", _SEARCH + "SELECT query_id, document_id, s AS score, CAST(rank AS BIGINT) AS rank FROM lr")
 def _(v):
-    from ..operators.filters import searchable
-
-    p = v("postings").join(searchable(v("docs")).select("document_id"), "document_id", "left_semi")
+    p = v("postings").join(_open(v), "document_id", "left_semi")
     best = rt.lexical_scores(p, search_inputs(v)).groupBy("query_id", "document_id").agg(F.round(F.max("score"), 9).alias("score"))
     return rt.ranked(best, ["query_id"], F.desc("score"), F.asc("document_id"), most=60)
 
 
 @query("c3_c4_fused_lists", _SEARCH + "SELECT query_id, document_id, CAST(semantic_rank AS BIGINT) AS semantic_rank, CAST(lexical_rank AS BIGINT) AS lexical_rank, score FROM g")
 def _(v):
-    from ..operators.filters import searchable
-
-    q, open_ = search_inputs(v), searchable(v("docs")).select("document_id")
-    dense = rt.ranked(rt.semantic_distances(v("vectors").join(open_, "document_id", "left_semi"), q), ["query_id"], F.asc("distance"), F.asc("document_id"), most=60)
-    best = rt.lexical_scores(v("postings").join(open_, "document_id", "left_semi"), q).groupBy("query_id", "document_id").agg(F.round(F.max("score"), 9).alias("s"))
+    q = search_inputs(v)
+    dense = rt.ranked(rt.semantic_distances(open_vectors(v), q), ["query_id"], F.asc("distance"), F.asc("document_id"), most=60)
+    best = rt.lexical_scores(v("postings").join(_open(v), "document_id", "left_semi"), q).groupBy("query_id", "document_id").agg(F.round(F.max("score"), 9).alias("s"))
     fused = rt.fuse(dense, rt.ranked(best, ["query_id"], F.desc("s"), F.asc("document_id"), most=60), an.feedback_boost(v("feedback")))
     return fused.withColumn("score", F.round("score", 9)).select("query_id", "document_id", "semantic_rank", "lexical_rank", "score")
 
@@ -219,29 +243,36 @@ def _(v):
     return cl.build_index(v("claims"), v("claim_docs")).select("tenant_id", "subject_normalized", "predicate_normalized", "subject", "predicate", "value", "confidence", "claim_count", F.size("source_document_ids").cast("long").alias("n_docs"), F.array_join("source_claim_ids", ",").alias("claim_ids"))
 
 
-_LOOKUP = f"""u AS (SELECT subject_normalized, predicate_normalized, arg_min(subject, k) AS subject, arg_min(predicate, k) AS predicate, arg_min(value, k) AS value, max(confidence) AS confidence FROM (SELECT *, row_number() OVER (ORDER BY confidence DESC, tenant_id) AS k FROM i) GROUP BY ALL),
-n AS (SELECT query_id, {_norm('query_text')} AS q FROM ({_ASKED})), w AS (SELECT query_id, q, string_split(q, ' ') AS w FROM n WHERE q <> ''), one AS (SELECT query_id, u.*, 1 AS strategy FROM w JOIN u ON contains(predicate_normalized, q)),
-two AS (SELECT query_id, u.*, 2 AS strategy FROM w JOIN u ON predicate_normalized LIKE concat('%', w[-2], '%', w[-1], '%') WHERE len(w) >= 2 AND query_id NOT IN (SELECT query_id FROM one)),
+def _lookup_sql(asking: str = f"({_ASKED})") -> str:
+    return f"""n AS (SELECT query_id, tenant_id, {_norm('query_text')} AS q FROM {asking}), w AS (SELECT query_id, tenant_id, q, string_split(q, ' ') AS w FROM n WHERE q <> ''), one AS (SELECT query_id, i.*, 1 AS strategy FROM w JOIN i ON i.tenant_id = w.tenant_id AND contains(predicate_normalized, q)),
+two AS (SELECT query_id, i.*, 2 AS strategy FROM w JOIN i ON i.tenant_id = w.tenant_id AND predicate_normalized LIKE concat('%', w[-2], '%', w[-1], '%') WHERE len(w) >= 2 AND query_id NOT IN (SELECT query_id FROM one)),
 l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, subject, predicate) AS rank FROM (SELECT * FROM one UNION ALL SELECT * FROM two) QUALIFY rank <= 5)"""
 
 
-def one_index(v):
-    """The index over all tenants, one entry for each subject and predicate."""
-    full = cl.build_index(v("claims"), v("claim_docs"))
-    best = F.min(F.struct((-F.col("confidence")).alias("c"), "tenant_id", "subject", "predicate", "value"))
-    return full.groupBy("subject_normalized", "predicate_normalized").agg(best.alias("b")).select("subject_normalized", "predicate_normalized", "b.subject", "b.predicate", "b.value", (-F.col("b.c")).alias("confidence"))
+def index(v):
+    return cl.build_index(v("claims"), v("claim_docs")).select("tenant_id", "subject_normalized", "predicate_normalized", "subject", "predicate", "value", "confidence")
 
 
-@query("i19_index_lookup", "WITH " + _INDEX + ", " + _LOOKUP + " SELECT query_id, subject, predicate, value, confidence, strategy, CAST(rank AS BIGINT) AS rank FROM l")
+@query("i19_index_lookup", "WITH " + _INDEX + ", " + _lookup_sql() + " SELECT query_id, subject, predicate, value, confidence, strategy, CAST(rank AS BIGINT) AS rank FROM l")
 def _(v):
-    return rt.index_lookup(one_index(v), asked(v))
+    return rt.index_lookup(index(v), asked(v))
+
 
+#: The benchmark's questions, and of those made of documents' words every fiftieth, with numbers that don't meet.
+_BOTH = f"q AS (SELECT query_id, tenant_id, query_text, v.embedding FROM (SELECT query_id, tenant_id, query_text, query_id AS vec FROM {{queries}} UNION ALL SELECT query_id + 1000000000, tenant_id, query_text, query_id FROM ({_ASKED}) WHERE query_id % 50 = 0) JOIN {{vectors}} v ON v.document_id = vec)"
 
-@query("i26_i27_retrieve", None)
+
+@query(
+    "i26_i27_retrieve",
+    _search_sql(_BOTH).rstrip() + ", " + _INDEX + ", " + _lookup_sql("q") + f", ro AS (SELECT query_id, {_route_case(0)} AS query_type, {_route_case(2)} AS reason FROM q), " + _CONF.rstrip()
+    + """, lh AS (SELECT query_id, count(*) AS hits, max(confidence) AS ic FROM l GROUP BY 1)
+SELECT ro.query_id, CASE WHEN lh.hits > 0 THEN 'index' ELSE query_type END AS routed_to, CASE WHEN lh.hits > 0 THEN 'knowledge_index_hit' ELSE reason END AS reason, CAST(coalesce(lh.hits, 0) AS BIGINT) AS index_hits,
+CAST(CASE WHEN lh.hits > 0 THEN greatest(coalesce(round(sure, 3), 0), ic) ELSE coalesce(round(sure, 3), 0) END AS DOUBLE) AS retrieval_confidence, coalesce(lh.hits, 0) > 0 OR query_type = 'structured' OR coalesce(sure > 0.3 AND k.hits >= 2, false) AS answerable
+FROM ro LEFT JOIN lh ON lh.query_id = ro.query_id LEFT JOIN k ON k.query_id = ro.query_id AND query_type = 'rag'""",
+)
 def _(v):
-    q = search_inputs(v).unionByName(asked(v).filter("query_id % 50 = 8"), allowMissingColumns=True)
-    have = search_inputs(v).select("query_id", "embedding")
-    return rt.retrieve(q, one_index(v), lambda rag: search(v, rag.drop("embedding").join(have, "query_id"))).orderBy("query_id")
+    more = asked(v).filter("query_id % 50 = 0").join(v("vectors").select(F.col("document_id").alias("query_id"), "embedding"), "query_id").withColumn("query_id", F.col("query_id") + 1_000_000_000)
+    return rt.retrieve(search_inputs(v).unionByName(more), index(v), lambda rag: search(v, rag))
 
 
 @query("i28_feedback_intake", "SELECT feedback_id, rating BETWEEN -1 AND 1 AND (outcome IS NULL OR outcome IN ('resolved', 'partially_resolved', 'unresolved', 'escalated')) AS valid FROM {feedback}")
@@ -319,27 +350,46 @@ def _(v):
     return cf.supersession_conflicts(v("docs"))
 
 
-_KNN = "knn AS (SELECT a.document_id AS left_id, b.document_id AS right_id, round(1 - list_cosine_similarity(a.embedding, b.embedding), 6) AS distance, row_number() OVER (PARTITION BY a.document_id ORDER BY round(1 - list_cosine_similarity(a.embedding, b.embedding), 6), b.document_id) AS rank FROM {vectors} a JOIN {vectors} b ON a.document_id <> b.document_id WHERE a.document_id % 10 = 0 QUALIFY rank <= 3)"
+_KNN = "knn AS (SELECT a.document_id AS left_id, b.document_id AS right_id, round(1 - list_cosine_similarity(a.embedding, b.embedding), 6) AS distance, row_number() OVER (PARTITION BY a.document_id ORDER BY round(1 - list_cosine_similarity(a.embedding, b.embedding), 6), b.document_id) AS rank FROM {vectors} a JOIN {vectors} b ON a.document_id <> b.document_id WHERE a.document_id % 50 = 0 QUALIFY rank <= 3)"
 
 
 @query("c10_knn_join", f"WITH {_KNN} SELECT left_id, right_id, distance, CAST(rank AS BIGINT) AS rank FROM knn")
 def _(v):
-    return cf.knn_join(v("vectors").filter("document_id % 10 = 0"), v("vectors"))
+    return cf.knn_join(v("vectors").filter("document_id % 50 = 0"), v("vectors"))
 
 
 @query("c10_knn_join_bucketed")
 def _(v):
-    return cf.knn_join(v("vectors"), v("vectors"), planes=4)
+    return cf.knn_join(v("vectors"), v("vectors"), planes=0)
+
+
+_NEAR = "pr AS (SELECT least(left_id, right_id) AS a, greatest(left_id, right_id) AS b, min(distance) AS d FROM knn WHERE distance <= 0.9 GROUP BY ALL), cd AS (SELECT a AS document_a_id, b AS document_b_id, round(greatest(0, 1 - d / 0.9), 3) AS confidence FROM pr JOIN {docs} x ON x.document_id = a AND x.status <> 'deleted' JOIN {docs} y ON y.document_id = b AND y.status <> 'deleted' WHERE x.content_hash <> y.content_hash)"
+
+
+def near_documents(v):
+    """The stated query set, every fiftieth document, against all."""
+    return cf.contradiction_conflicts(cf.knn_join(v("vectors").filter("document_id % 50 = 0"), v("vectors")), v("docs"), 0.9)
 
 
-@query("i13_contradiction", f"WITH {_KNN}, pr AS (SELECT least(left_id, right_id) AS a, greatest(left_id, right_id) AS b, min(distance) AS d FROM knn WHERE distance <= 0.5 GROUP BY ALL) SELECT a AS document_a_id, b AS document_b_id, round(greatest(0, 1 - d / 0.5), 3) AS confidence FROM pr JOIN {{docs}} x ON x.document_id = a AND x.status <> 'deleted' JOIN {{docs}} y ON y.document_id = b AND y.status <> 'deleted' WHERE x.content_hash <> y.content_hash")
+@query("i13_contradiction", f"WITH {_KNN}, {_NEAR} SELECT * FROM cd")
 def _(v):
-    return cf.contradiction_conflicts(cf.knn_join(v("vectors").filter("document_id % 10 = 0"), v("vectors")), v("docs"), 0.5)
+    return near_documents(v)
 
 
-@query("i14_conflict_fan_out", "WITH l AS (SELECT tenant_id, content_hash, document_id, row_number() OVER (PARTITION BY tenant_id, content_hash ORDER BY document_id) AS p FROM {docs} WHERE status <> 'deleted') SELECT sha256(concat('duplicate|', a.document_id, '|', b.document_id)) AS conflict_id, 'conflict_review' AS task_type, 'new' AS status FROM l a JOIN l b ON a.tenant_id = b.tenant_id AND a.content_hash = b.content_hash AND b.p <= 5 AND b.p < a.p")
+@query("i13_contradiction_all")
 def _(v):
-    return cf.conflict_tasks(cf.all_conflicts(duplicate=cf.duplicate_conflicts(v("docs"))))
+    """All documents, by buckets: see c10_recall_of_buckets for how many neighbours they find."""
+    return cf.contradiction_conflicts(cf.knn_join(v("vectors"), v("vectors"), planes=0), v("docs"), 0.9)
+
+
+_DUPLICATES = "lg AS (SELECT tenant_id, content_hash, document_id, row_number() OVER (PARTITION BY tenant_id, content_hash ORDER BY document_id) AS p FROM {docs} WHERE status <> 'deleted'), du AS (SELECT a.document_id AS document_a_id, b.document_id AS document_b_id, 1.0 AS confidence FROM lg a JOIN lg b ON a.tenant_id = b.tenant_id AND a.content_hash = b.content_hash AND b.p <= 5 AND b.p < a.p)"
+_NEWER = "tl AS (SELECT document_id, tenant_id, title, lower(title) AS t, created_at FROM {docs} WHERE status <> 'deleted' AND length(title) >= 5), su AS (SELECT a.document_id AS document_a_id, b.document_id AS document_b_id, 0.6 AS confidence FROM tl a JOIN tl b ON a.tenant_id = b.tenant_id AND starts_with(b.t, left(a.t, greatest(length(a.t) * 6 // 10, 5))) AND a.title <> b.title QUALIFY row_number() OVER (PARTITION BY a.document_id ORDER BY b.created_at DESC, b.document_id DESC) <= 5)"
+
+
+@query("i14_conflict_fan_out", f"WITH {_DUPLICATES}, {_OVERLAP}, {_NEWER}, {_KNN}, {_NEAR}, al AS (SELECT 'duplicate' AS kind, * FROM du UNION ALL SELECT 'overlap', document_a_id, document_b_id, least(ratio, 1.0) FROM oz WHERE ratio > 0.3 UNION ALL SELECT 'supersession', * FROM su UNION ALL SELECT 'contradiction', * FROM cd) SELECT sha256(concat(kind, '|', document_a_id, '|', document_b_id)) AS conflict_id, 'conflict_review' AS task_type, 'new' AS status FROM al WHERE confidence > 0.5")
+def _(v):
+    overlap = cf.overlap_conflicts(cf.chunk_overlap(v("chunks"), v("docs")))
+    return cf.conflict_tasks(cf.all_conflicts(duplicate=cf.duplicate_conflicts(v("docs")), overlap=overlap, supersession=cf.supersession_conflicts(v("docs")), contradiction=near_documents(v)))
 
 
 @query("i14_flagged_documents", "SELECT d.document_id, CASE WHEN k.document_id IS NOT NULL THEN 'conflicts_detected' END AS conflict_status FROM {docs} d LEFT JOIN (SELECT DISTINCT unnest([document_a_id, document_b_id]) AS document_id FROM {conflicts}) k ON k.document_id = d.document_id")
@@ -353,10 +403,10 @@ def _(v):
 
 
 def titles_as_claims(v):
-    return v("docs").filter("document_id % 3 = 0").select("tenant_id", "document_id", F.col("title").alias("predicate"), F.col("lang").alias("object_value"), F.lit("active").alias("status"))
+    return v("docs").select("tenant_id", "document_id", F.col("document_id").alias("claim_id"), F.col("title").alias("predicate"), F.col("lang").alias("object_value"), F.coalesce("quality_score", F.lit(0.0)).alias("confidence"), F.lit("active").alias("status"))
 
 
-_SIM = f"tp AS (SELECT DISTINCT lower(trim(title)) AS p FROM {{docs}} WHERE document_id % 3 = 0), tg AS (SELECT p, {_grams('p')} AS g FROM tp), sim AS (SELECT a.p AS predicate_a, b.p AS predicate_b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM tg a JOIN tg b ON a.p < b.p WHERE len(list_concat(a.g, b.g)) > 0 AND round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) > 0.45)"
+_SIM = f"tp AS (SELECT DISTINCT lower(trim(title)) AS p FROM {{docs}}), tg AS (SELECT p, {_grams('p')} AS g FROM tp), sim AS (SELECT a.p AS predicate_a, b.p AS predicate_b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM tg a JOIN tg b ON a.p < b.p WHERE len(list_concat(a.g, b.g)) > 0 AND round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) > 0.45)"
 
 
 @query("c8_similar_predicates", f"WITH {_SIM} SELECT predicate_a, predicate_b, similarity FROM sim")
@@ -364,6 +414,12 @@ def _(v):
     return cf.similar_predicates(titles_as_claims(v))
 
 
+@query("c7_similar_claim_conflicts", f"WITH {_SIM}, bs AS (SELECT tenant_id, lower(trim(title)) AS p, concat('d', document_id % 3) AS x, document_id AS claim_id FROM {{docs}} QUALIFY row_number() OVER (PARTITION BY tenant_id, p, x ORDER BY coalesce(quality_score, 0) DESC, document_id) = 1) SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, predicate_a, predicate_b, round(similarity * 0.9, 6) AS confidence FROM sim JOIN bs a ON a.p = predicate_a JOIN bs b ON b.p = predicate_b AND a.tenant_id = b.tenant_id WHERE similarity >= 0.46 AND a.x <> b.x")
+def _(v):
+    claims = titles_as_claims(v).withColumn("object_value", F.concat(F.lit("d"), F.col("document_id") % 3))
+    return cf.similar_claim_conflicts(claims, cf.similar_predicates(claims), 0.46)
+
+
 @query("d7_claim_clusters", "SELECT c.tenant_id, lower(trim(predicate)) AS predicate, CAST(count(DISTINCT lower(trim(object_value))) AS BIGINT) AS variants, CAST(count(*) AS BIGINT) AS claims, string_agg(claim_id, ',' ORDER BY confidence DESC, claim_id, object_value, title) AS members FROM {claims} c JOIN {claim_docs} d ON d.document_id = c.document_id AND d.status <> 'deleted' WHERE c.status = 'active' GROUP BY ALL HAVING count(DISTINCT lower(trim(object_value))) >= 2")
 def _(v):
     return cl.claim_clusters(v("claims"), v("claim_docs")).withColumn("members", F.array_join(F.transform("members", lambda m: m["claim_id"]), ","))
@@ -385,22 +441,25 @@ def _(v):
     return cl.extract_claims(v("chunks"), passes=2).select("document_id", "chunk_id", "subject", "predicate", "object_value")
 
 
-@query("i15_parse_claims", """SELECT turn + conv_id * 1000 AS reply_id, concat('S', turn) AS subject, 'says' AS predicate, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 20) AS object_value, CAST(CASE WHEN turn % 2 = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence FROM {conversations} WHERE role = 'assistant' AND left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 20) <> ''""")
+@query("i15_parse_claims", """SELECT turn + conv_id * 1000 AS reply_id, concat('S', turn) AS subject, 'says' AS predicate, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS object_value, CAST(CASE WHEN turn % 2 = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence FROM {conversations} WHERE role = 'assistant' AND regexp_replace(text, '[^A-Za-z ]', '', 'g') <> ''""")
 def _(v):
-    said = F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 20)
+    said = F.regexp_replace("text", "[^A-Za-z ]", "")
     raw = F.concat(F.lit("<think>hm [no]</think>Here:\n```json\n[{\"subject\": \"S"), F.col("turn"), F.lit("\", \"predicate\": \"says\", \"object_value\": \""), said, F.when(F.col("turn") % 2 == 0, "\", \"confidence\": 0.9}]\n```").otherwise("\"}]\n```"))
     replies = v("conversations").filter("role = 'assistant'").select((F.col("turn") + F.col("conv_id") * 1000).alias("reply_id"), raw.alias("raw"))
     return cl.parse_claims(replies).select("reply_id", "subject", "predicate", "object_value", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query("i34_normalize_predicates", f"WITH {_SIM}, mp AS (SELECT predicate_b AS o, min(predicate_a) AS c FROM sim GROUP BY 1) SELECT document_id, coalesce(c, title) AS predicate, c IS NOT NULL AND c <> title AS changed FROM {{docs}} LEFT JOIN mp ON o = lower(trim(title)) WHERE document_id % 3 = 0")
+@query("i34_normalize_predicates", f"WITH {_SIM}, mp AS (SELECT predicate_b AS o, min(predicate_a) AS c FROM sim GROUP BY 1) SELECT document_id, coalesce(c, title) AS predicate, c IS NOT NULL AND c <> title AS changed FROM {{docs}} LEFT JOIN mp ON o = lower(trim(title))")
 def _(v):
     claims = titles_as_claims(v)
     return cl.normalize_predicates(claims, cl.propose_mapping(cf.similar_predicates(claims))).select("document_id", "predicate", "changed")
 
 
-@query("i35_lint", "WITH " + _INDEX + f""", ac AS (SELECT {_norm('subject')} AS s, {_norm('predicate')} AS p, object_value, valid_from FROM {{claims}} WHERE status = 'active'), pr AS (SELECT s, p, count(DISTINCT lower(trim(object_value))) AS n, max(valid_from) AS latest FROM ac GROUP BY ALL)
-SELECT 'contradiction' AS kind, s AS subject, p AS predicate FROM pr WHERE n > 1 UNION ALL SELECT 'stale', s, p FROM pr WHERE latest < DATE '1998-11-01' UNION ALL SELECT DISTINCT 'duplicate', subject_normalized, predicate_normalized FROM i WHERE (subject_normalized, lower(trim(value))) IN (SELECT (subject_normalized, lower(trim(value))) FROM i GROUP BY subject_normalized, lower(trim(value)) HAVING count(DISTINCT predicate_normalized) > 1)""")
+_LINT = f"""ac AS (SELECT {_norm('subject')} AS s, {_norm('predicate')} AS p, object_value, valid_from FROM {{claims}} WHERE status = 'active'), pa AS (SELECT s, p, count(DISTINCT lower(trim(object_value))) AS n, max(valid_from) AS latest FROM ac GROUP BY ALL),
+lt AS (SELECT 'contradiction' AS kind, s AS subject, p AS predicate FROM pa WHERE n > 1 UNION ALL SELECT 'stale', s, p FROM pa WHERE latest < DATE '1998-11-01' UNION ALL SELECT DISTINCT 'duplicate', subject_normalized, predicate_normalized FROM i WHERE (subject_normalized, lower(trim(value))) IN (SELECT (subject_normalized, lower(trim(value))) FROM i GROUP BY subject_normalized, lower(trim(value)) HAVING count(DISTINCT predicate_normalized) > 1))"""
+
+
+@query("i35_lint", f"WITH {_INDEX}, {_LINT} SELECT * FROM lt")
 def _(v):
     return cl.lint(cl.build_index(v("claims"), v("claim_docs")), v("claims"), F.expr("TIMESTAMP_NTZ '1999-11-01 00:00:00'"))
 

@@ -17,7 +17,7 @@ from ..operators import versions as vs
 from ..sources import feeds as fd
 from ..sources import text as st
 from ..streaming import jobs
-from .q_knowledge import _INDEX, _SEARCH, search, search_inputs, titles_as_claims
+from .q_knowledge import _INDEX, _LINT, _SEARCH, search, search_inputs, titles_as_claims
 from .registry import now, query
 
 _DECIDE = "SELECT conflict_id, CASE conflict_id % 10 WHEN 0 THEN 'keep_a' WHEN 2 THEN 'keep_b' WHEN 4 THEN 'keep_both' WHEN 6 THEN 'reject_both' END AS resolution FROM {conflicts} WHERE conflict_id % 10 < 8"
@@ -85,12 +85,11 @@ def _(v):
     return verdicts(v)
 
 
-_TOP = "tp AS (SELECT conflict_id FROM {conflicts} WHERE status = 'new' AND conflict_type = 'overlap' ORDER BY confidence DESC, conflict_id LIMIT 50)"
+_TOP = "tp AS (SELECT conflict_id FROM {conflicts} WHERE status = 'new' AND conflict_type = 'contradiction' ORDER BY confidence DESC, conflict_id LIMIT 50)"
 
 
 def auto(v):
-    rows = v("conflicts").withColumn("conflict_type", F.when(F.col("conflict_type") == "overlap", "contradiction").otherwise("x"))
-    return gv.auto_resolve(rows, verdicts(v))
+    return gv.auto_resolve(v("conflicts"), verdicts(v))
 
 
 @query("i32_auto_resolve", f"WITH {_VERDICT}, {_TOP} SELECT tp.conflict_id, resolution FROM tp JOIN vd ON vd.conflict_id = tp.conflict_id WHERE resolution IN ('keep_a', 'keep_b') AND confidence >= 0.85")
@@ -246,7 +245,7 @@ def _(v):
 
 
 _GOLD = _SEARCH.rstrip() + """, lb AS (SELECT q.query_id, v.label FROM q JOIN {vectors} v ON v.document_id = q.query_id), go AS (SELECT lb.query_id, v.document_id, CAST(1 + v.document_id % 3 AS DOUBLE) AS grade FROM lb JOIN {vectors} v ON v.label = lb.label WHERE v.document_id % 4 = 0),
-rn AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, document_id) AS rank FROM d QUALIFY rank <= 10), """
+rn AS (SELECT query_id, document_id, rank FROM r WHERE rank <= 10), """
 
 
 def gold(v):
@@ -255,10 +254,8 @@ def gold(v):
 
 
 def nearest(v):
-    from ..operators.filters import searchable
-
-    near = rt.semantic_distances(v("vectors").join(searchable(v("docs")).select("document_id"), "document_id", "left_semi"), search_inputs(v))
-    return rt.ranked(near, ["query_id"], F.asc("distance"), F.asc("document_id"), most=10)
+    """The first ten of the search, which is what is evaluated."""
+    return search(v, search_inputs(v)).filter("rank <= 10").select("query_id", "document_id", "rank")
 
 
 def _metrics(gain: str) -> str:
@@ -281,10 +278,11 @@ def _(v):
     return ev.summary(ev.query_metrics(nearest(v), gold(v), 5))
 
 
-@query("e10_set_operations", "SELECT query_id, CAST(len(list_intersect(list(document_id), [x FOR x IN range(0, 500) IF x % 4 = 0])) AS BIGINT) AS common FROM (SELECT query_id, document_id FROM {feedback} JOIN (SELECT DISTINCT document_id % 40 AS query_id FROM {docs}) ON document_id % 40 = query_id GROUP BY ALL) GROUP BY 1")
+@query("e10_set_operations", "SELECT a.query_id, CAST(len(list_intersect(a.ids, coalesce(b.ids, []))) AS BIGINT) AS common FROM (SELECT document_id % 40 AS query_id, list(DISTINCT document_id) AS ids FROM {feedback} GROUP BY 1) a LEFT JOIN (SELECT document_id % 40 AS query_id, list(DISTINCT document_id) AS ids FROM {acl} GROUP BY 1) b ON b.query_id = a.query_id")
 def _(v):
-    ids = v("feedback").select("document_id").distinct().groupBy((F.col("document_id") % 40).alias("query_id")).agg(F.collect_list("document_id").alias("ids"))
-    return ids.select("query_id", F.size(F.array_intersect("ids", F.transform(F.sequence(F.lit(0), F.lit(124)), lambda x: (x * 4).cast("long")))).cast("long").alias("common"))
+    seen, listed = (v(x).select((F.col("document_id") % 40).alias("query_id"), "document_id").distinct() for x in ("feedback", "acl"))
+    both = seen.join(listed, ["query_id", "document_id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("common"))
+    return seen.select("query_id").distinct().join(both, "query_id", "left").fillna(0, ["common"])
 
 
 @query("i41_documents_with_chunks", "SELECT d.document_id, string_agg(left(chunk_hash, 8), ',' ORDER BY chunk_index) AS chunks, CAST(coalesce(any_value(f.n), 0) AS BIGINT) AS accesses, CAST(any_value(f.last) AS STRING) AS last_access FROM {docs} d LEFT JOIN {chunks} c ON c.document_id = d.document_id LEFT JOIN (SELECT document_id, count(*) AS n, date_trunc('second', max(created_at)) AS last FROM {feedback} GROUP BY 1) f ON f.document_id = d.document_id GROUP BY d.document_id")
@@ -313,10 +311,19 @@ def _(v):
     return v("findings").join(gone, "finding_id", "left_anti").select("finding_id")
 
 
-@query("i36_curation", "WITH " + _INDEX + " SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'entries' AS kind FROM i) GROUP BY 1")
+_CANON = "nc AS (SELECT * REPLACE (concat('Return flag of the part ', CAST(substr(subject, 6) AS BIGINT) % 100) AS predicate) FROM {claims}), "
+
+
+@query("i36_curation", "WITH " + _CANON + (_INDEX + ", " + _LINT).replace("{claims}", "nc") + " SELECT 'entry' AS kind, subject_normalized AS subject, predicate_normalized AS predicate FROM i UNION ALL SELECT * FROM lt")
 def _(v):
-    claims = cl.normalize_predicates(v("claims"), v("claims").select(F.lower(F.trim("predicate")).alias("original"), F.col("predicate").alias("canonical")).distinct()).drop("changed")
-    return cl.build_index(claims, v("claim_docs")).groupBy(F.lit("entries").alias("kind")).agg(F.count("*").alias("n"))
+    """Predicates of parts are mapped to those of a hundred families; then the index, and what lint finds in it."""
+    claims = v("claims")
+    family = F.concat(F.lit("Return flag of the part "), F.substring("subject", 6, 20).cast("long") % 100)
+    mapping = claims.select(F.lower(F.trim("predicate")).alias("original"), family.alias("canonical")).distinct()
+    curated = cl.normalize_predicates(claims, mapping).drop("changed")
+    entries = cl.build_index(curated, v("claim_docs"))
+    found = cl.lint(entries, curated, F.expr("TIMESTAMP_NTZ '1999-11-01 00:00:00'")).select("kind", "subject", "predicate")
+    return entries.select(F.lit("entry").alias("kind"), F.col("subject_normalized").alias("subject"), F.col("predicate_normalized").alias("predicate")).unionByName(found)
 
 
 @query("a3_route_by_suffix", "SELECT document_id, CASE lang WHEN 'en' THEN 'text' WHEN 'de' THEN 'csv' WHEN 'fr' THEN 'unsupported' ELSE 'unknown' END AS format FROM {docs}")
@@ -500,9 +507,9 @@ def _(v):
 
 @query("c10_recall_of_buckets")
 def _(v):
-    """Share of the exact nearest neighbours that the bucketed join finds, for one vector in ten."""
-    left = v("vectors").filter("document_id % 10 = 0")
-    exact, near = cf.knn_join(left, v("vectors")), cf.knn_join(left, v("vectors"), planes=4)
+    """Share of the exact nearest neighbours that the bucketed join finds, for every fiftieth vector."""
+    left = v("vectors").filter("document_id % 50 = 0")
+    exact, near = cf.knn_join(left, v("vectors")), cf.knn_join(left, v("vectors"), planes=0)
     hit = exact.join(near, ["left_id", "right_id"], "left_semi").agg(F.count("*").alias("found"))
     return exact.agg(F.count("*").alias("wanted")).join(hit).withColumn("recall", F.round(F.col("found") / F.col("wanted"), 4))
 

@@ -29,14 +29,15 @@ def issues_to_documents(issues: DataFrame, comments: int = 10) -> DataFrame:
     return issues.select(F.col("key").alias("source_object_id"), f["summary"].alias("title"), F.concat_ws("/", f["project"]["key"], F.col("key")).alias("path"), text.alias("text"), meta.alias("metadata"))
 
 
-def flatten_tree(df: DataFrame, key: str, tree: str, depth: int = 6) -> DataFrame:
+def flatten_tree(df: DataFrame, key: str, tree: str) -> DataFrame:
     """(key, text, too_deep) of rich-text trees given as JSON strings: texts in order, a line break for hardBreak and behind each block.
 
-    Levels are unrolled to `depth`; nodes below it are counted in too_deep. Places are kept as arrays, so that order survives the joins.
+    Levels are unrolled until none has a node, so no text is too deep: too_deep, kept for callers that look at it, is 0. Places are kept as
+    arrays, so that order survives the joins.
     """
     level = df.select(key, F.try_parse_json(F.col(tree)).alias("node"), F.array(F.lit(0)).alias("place"))
     parts = None
-    for k in range(depth + 1):
+    while parts is None or not level.isEmpty():
         kind = F.try_variant_get("node", "$.type", "string")
         text = F.when(kind == "text", F.try_variant_get("node", "$.text", "string")).when(kind == "hardBreak", "\n")
         own = level.select(key, "place", text.alias("t"), F.lit(0).alias("deep"))
@@ -44,7 +45,6 @@ def flatten_tree(df: DataFrame, key: str, tree: str, depth: int = 6) -> DataFram
         parts = own.unionByName(end) if parts is None else parts.unionByName(own).unionByName(end)
         children = F.try_variant_get("node", "$.content", "array<variant>")
         level = level.select(key, "place", F.posexplode(children).alias("pos", "child")).select(key, F.col("child").alias("node"), F.concat("place", F.array(F.col("pos"))).alias("place"))
-    parts = parts.unionByName(level.select(key, "place", F.lit(None).cast("string").alias("t"), F.lit(1).alias("deep")))
     return parts.groupBy(key).agg(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("place", "t")))), lambda x: x["t"]), ""), r"^\s+|\s+$", "").alias("text"), F.sum("deep").alias("too_deep"))
 
 
