@@ -1,10 +1,11 @@
 """Golden values and plans of operators."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
-from verimill.operators import analytics, claims, conflicts, evaluation, governance, quality, retrieval, versions
+from verimill.operators import analytics, claims, conflicts, evaluation, filters, governance, quality, retrieval, versions
 
 
 def test_checks_of_a_document(spark):
@@ -118,3 +119,89 @@ def test_bucketed_neighbours_reach_the_exact_ones(spark):
     left = v.filter("document_id % 5 = 0")
     exact, near = conflicts.knn_join(left, v), conflicts.knn_join(left, v, planes=4)
     assert exact.join(near, ["left_id", "right_id"], "left_semi").count() / exact.count() >= 0.9
+
+
+def small_corpus(spark):
+    docs = spark.createDataFrame([(i, i % 2, "indexed", "published") for i in range(8)], "document_id long, tenant_id long, status string, review_status string")
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(8)], "document_id long, embedding array<double>")
+    postings = spark.createDataFrame([(i, i, i % 2, w, 1) for i in range(8) for w in ("red", "fox")], "chunk_id long, document_id long, tenant_id long, term string, tf long")
+    queries = spark.createDataFrame([(100 + t, t, "Red fox", [1.0, 1.0], 7) for t in (0, 1, 2)], "query_id long, tenant_id long, query_text string, embedding array<double>, principal_id long")
+    return docs, vectors, postings, queries
+
+
+def test_search_stays_inside_the_tenant_and_its_access_lists(spark):
+    docs, vectors, postings, queries = small_corpus(spark)
+    got = retrieval.hybrid_search(docs, vectors, postings, queries).collect()
+    assert {r.query_id for r in got} == {100, 101}
+    assert all(r.document_id % 2 == r.query_id - 100 and r.lexical_rank and r.semantic_rank for r in got) and len(got) == 8
+    acl = spark.createDataFrame([(0, 7, "read"), (2, 8, "read"), (4, 7, "none"), (1, 8, "admin")], "document_id long, principal_id long, permission string")
+    seen = {r.document_id for r in retrieval.hybrid_search(docs, vectors, postings, queries, acl=acl).collect()}
+    assert seen == {0, 3, 5, 6, 7}
+    index = spark.createDataFrame([(t, "s", "color of fox", "S", f"P{t}", "red", 0.9) for t in (0, 1)], "tenant_id long, subject_normalized string, predicate_normalized string, subject string, predicate string, value string, confidence double")
+    asked = spark.createDataFrame([(1, 0, "color fox"), (2, 1, "fox"), (3, 2, "fox")], "query_id long, tenant_id long, query_text string")
+    assert {(r.query_id, r.predicate) for r in retrieval.index_lookup(index, asked).collect()} == {(1, "P0"), (2, "P1")}
+
+
+def test_a_batch_over_the_broadcast_limit_is_dealt_to_blocks(spark, monkeypatch):
+    docs, vectors, _, queries = small_corpus(spark)
+    rows = vectors.join(docs.select("document_id", "tenant_id"), "document_id")
+    want = sorted(map(tuple, retrieval.semantic_distances(rows, queries).collect()))
+    near = sorted(map(tuple, conflicts.knn_join(vectors, vectors).collect()))
+    monkeypatch.setattr(retrieval, "BATCH_ROWS", 1)
+    df = conflicts.knn_join(vectors, vectors)
+    assert "Cartesian" not in plan(df) and "NestedLoop" not in plan(df)
+    assert sorted(map(tuple, df.collect())) == near
+    assert sorted(map(tuple, retrieval.semantic_distances(rows, queries).collect())) == want
+
+
+def test_open_documents_are_one_row_each(spark):
+    docs = spark.range(6).withColumnRenamed("id", "document_id")
+    acl = spark.createDataFrame([(0, 1, "read"), (1, 2, "none"), (9, 1, "read"), (2, 3, "write")], "document_id long, principal_id long, permission string")
+    got = {tuple(r) for r in filters.acl_visible(docs, acl, acl.filter("principal_id < 3")).collect()}
+    assert got == {(None, 3), (None, 4), (None, 5), (1, 0)}
+
+
+def test_similar_predicates_against_all_pairs(spark):
+    rng = random.Random(3)
+    names = sorted({" ".join(rng.choice(["return", "flag", "flags", "of", "the", "part", "parts", "é"]) for _ in range(rng.randint(1, 5))) for _ in range(120)})
+
+    def grams(t):
+        return {f"  {w} "[i : i + 3] for w in t.split() for i in range(len(w) + 1)}
+
+    for least in (0.3, 0.45, 0.8):
+        want = {(a, b) for a in names for b in names if a < b and round(len(grams(a) & grams(b)) / len(grams(a) | grams(b)), 6) > least}
+        got = {(r.predicate_a, r.predicate_b) for r in conflicts.similar_predicates(spark.createDataFrame([(n,) for n in names], "predicate string"), least).collect()}
+        assert got == want
+
+
+def test_one_title_head_in_many_titles_pairs_only_what_matches(spark):
+    """20,000 titles begin alike; those whose whole start another one has are met, and nothing else."""
+    n = 20_000
+    rows = spark.range(n).select(F.col("id").alias("document_id"), F.lit(1).alias("tenant_id"), F.concat(F.lit("The "), F.sha2(F.col("id").cast("string"), 256)).alias("title"), F.lit("indexed").alias("status"), F.timestamp_seconds("id").alias("created_at"))
+    more = spark.createDataFrame([(n, "A guide to foxes"), (n + 1, "A guide to foxes, second edition")], "document_id long, title string").select("document_id", F.lit(1).alias("tenant_id"), "title", F.lit("indexed").alias("status"), F.timestamp_seconds("document_id").alias("created_at"))
+    got = conflicts.supersession_conflicts(rows.unionByName(more)).collect()
+    assert {(r.document_a_id, r.document_b_id) for r in got} == {(n, n + 1)}
+
+
+def test_admission_in_stretches_is_that_of_the_whole(spark):
+    from verimill.streaming.admission import admit
+
+    rng = random.Random(4)
+    at, rows = 0, []
+    for i in range(200):
+        at += rng.choice([1, 2, 5, 61, 200])
+        rows.append((1, i, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=at)))
+    want, _ = admit([r[2].timestamp() for r in rows], [], 3, 60)
+    df = spark.createDataFrame(rows, "tenant_id long, request_id long, at timestamp_ntz")
+    got = {r.request_id: r.accepted for r in governance.admitted(df, 3).collect()}
+    assert [got[i] for i in range(200)] == list(want)
+
+
+def test_rich_text_of_any_depth(spark):
+    from verimill.sources import feeds
+
+    node = '{"type": "text", "text": "deep"}'
+    for _ in range(12):
+        node = '{"type": "list", "content": [' + node + "]}"
+    got = feeds.flatten_tree(spark.createDataFrame([(1, node)], "k long, tree string"), "k", "tree").first()
+    assert (got["text"], got["too_deep"]) == ("deep", 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESOLUTIONS = ("keep_a", "keep_b", "keep_both", "reject_both", "dismiss")
@@ -125,7 +125,8 @@ def soft_delete(docs: DataFrame, claims: DataFrame, gone: DataFrame) -> tuple[Da
 def admitted(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
     """requests (tenant_id, request_id, at) with accepted: at most `limit` accepted in any trailing window; refused ones don't count.
 
-    Sequential for each tenant, so a state function over time-ordered batches; the batch twin of the streaming operator.
+    Sequential, so a state function over time-ordered batches; the batch twin of the streaming operator. A pause longer than the window leaves
+    nothing in it, so a tenant's history is cut there and its stretches are groups of their own.
     """
     import pandas as pd
 
@@ -136,5 +137,10 @@ def admitted(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
         pdf["accepted"], _ = admit([t.timestamp() for t in pdf["at"]], [], limit, seconds)
         return pdf
 
-    return requests.select("tenant_id", "request_id", "at").groupBy("tenant_id").applyInPandas(run, "tenant_id long, request_id long, at timestamp_ntz, accepted boolean")
+    own = Window.partitionBy("tenant_id").orderBy("at", "request_id")
+    paused = F.col("at") > F.lag("at").over(own) + F.make_interval(secs=F.lit(seconds))
+    cut = requests.select("tenant_id", "request_id", "at").withColumn("__paused", F.coalesce(paused, F.lit(False)).cast("int"))
+    cut = cut.withColumn("__stretch", F.sum("__paused").over(own)).drop("__paused")
+    out = cut.groupBy("tenant_id", "__stretch").applyInPandas(run, "tenant_id long, request_id long, at timestamp_ntz, __stretch long, accepted boolean")
+    return out.drop("__stretch")
 
