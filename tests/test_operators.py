@@ -183,9 +183,11 @@ def test_one_title_head_in_many_titles_pairs_only_what_matches(spark):
     assert {(r.document_a_id, r.document_b_id) for r in got} == {(n, n + 1)}
 
 
-def test_admission_in_stretches_is_that_of_the_whole(spark):
+@pytest.mark.parametrize("stretch", [1, 7, 20_000])
+def test_admission_in_stretches_is_that_of_the_whole(spark, monkeypatch, stretch):
     from verimill.streaming.admission import admit
 
+    monkeypatch.setattr(governance, "STRETCH_ROWS", stretch)
     rng = random.Random(4)
     at, rows = 0, []
     for i in range(200):

@@ -122,11 +122,16 @@ def soft_delete(docs: DataFrame, claims: DataFrame, gone: DataFrame) -> tuple[Da
     return d, c
 
 
+#: Requests of a stretch that admitted() looks at as one group, about.
+STRETCH_ROWS = 20_000
+
+
 def admitted(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
     """requests (tenant_id, request_id, at) with accepted: at most `limit` accepted in any trailing window; refused ones don't count.
 
     Sequential, so a state function over time-ordered batches; the batch twin of the streaming operator. A pause longer than the window leaves
-    nothing in it, so a tenant's history is cut there and its stretches are groups of their own.
+    nothing in it, so a tenant's history is cut at the first pause after each STRETCH_ROWS requests, and
+    the stretches are groups of their own.
     """
     import pandas as pd
 
@@ -139,8 +144,9 @@ def admitted(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
 
     own = Window.partitionBy("tenant_id").orderBy("at", "request_id")
     paused = F.col("at") > F.lag("at").over(own) + F.make_interval(secs=F.lit(seconds))
-    cut = requests.select("tenant_id", "request_id", "at").withColumn("__paused", F.coalesce(paused, F.lit(False)).cast("int"))
-    cut = cut.withColumn("__stretch", F.sum("__paused").over(own)).drop("__paused")
+    numbered = requests.select("tenant_id", "request_id", "at").withColumns({"__n": F.row_number().over(own), "__paused": paused})
+    begun = F.coalesce(F.max(F.when(F.col("__paused"), F.col("__n"))).over(own), F.lit(0))
+    cut = numbered.withColumn("__stretch", F.floor(begun / STRETCH_ROWS)).drop("__n", "__paused")
     out = cut.groupBy("tenant_id", "__stretch").applyInPandas(run, "tenant_id long, request_id long, at timestamp_ntz, __stretch long, accepted boolean")
     return out.drop("__stretch")
 
