@@ -207,3 +207,55 @@ def test_rich_text_of_any_depth(spark):
         node = '{"type": "list", "content": [' + node + "]}"
     got = feeds.flatten_tree(spark.createDataFrame([(1, node)], "k long, tree string"), "k", "tree").first()
     assert (got["text"], got["too_deep"]) == ("deep", 0)
+
+
+def test_support_decides_what_else_is_equal(spark):
+    docs = spark.createDataFrame([(i, "2024-01-01", "same", 1) for i in (1, 2, 3)], "document_id long, created_at string, text string, authority int").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    claims = spark.createDataFrame([(0, 2, "Owner ", "Ann", "active"), (0, 3, "owner", "ann", "active"), (0, 1, "owner", "Bob", "active"), (0, 1, "owner", "ann", "superseded"), (1, 1, "owner", "ann", "active")], "tenant_id long, document_id long, predicate string, object_value string, status string")
+    support = governance.claim_support(claims)
+    assert {tuple(r) for r in support.collect()} == {(2, 1), (3, 1)}
+    met = spark.createDataFrame([(1, 3, 2), (2, 2, 2), (3, 1, 2)], "conflict_id long, document_a_id long, document_b_id long")
+    assert {tuple(r) for r in governance.heuristic_verdicts(met, docs, support).collect()} == {(1, "keep_both", 0.5), (2, "keep_both", 0.5), (3, "keep_b", 0.55)}
+
+
+def test_erasure_takes_what_documents_own(spark):
+    docs = spark.createDataFrame([(1, 3), (2, 4)], "document_id long, tenant_id long")
+    owned = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "document_id long, note string")
+    left = governance.erase_tenant({"docs": docs, "owned": owned, "free": owned.select("note")}, 3, {"document_id": docs})
+    assert [r.document_id for r in left["docs"].collect()] == [2]
+    assert {r.note for r in left["owned"].collect()} == {"b", "c"} and left["free"].count() == 3
+
+
+def test_evidence_groups_versions_and_flags_conflicts(spark):
+    docs = spark.createDataFrame([(1, "h1", "s", "T", 1, 0.9), (2, "h2", "s", "T", 2, 0.9), (3, "h2", "s", "U", 1, 0.9), (4, "h4", "r", "V", 1, None), (5, "h5", "r", "W", 1, 0.1)], "document_id long, content_hash string, source_id string, title string, version long, quality_score double")
+    results = spark.createDataFrame([(7, d, d) for d in range(1, 6)], "query_id long, document_id long, rank long")
+    conflicts = spark.createDataFrame([(4, 2, "new"), (1, 4, "new"), (2, 2, "new")], "document_a_id long, document_b_id long, status string")
+    got = {(r.document_id, r.versions, r.conflicting) for r in retrieval.evidence(results, docs, conflicts).collect()}
+    assert got == {(2, 2, True), (4, 1, True)}
+    assert retrieval.evidence(results.limit(0), docs, conflicts).count() == 0
+
+
+def test_title_search_is_literal_and_shares_equal_queries(spark):
+    docs = spark.createDataFrame([(i, 0, f"100% Wool {i}", "indexed", 0.5, i) for i in range(30)] + [(99, 1, "100% wool", "indexed", 0.5, 99), (98, 0, None, "indexed", 0.5, 98)], "document_id long, tenant_id long, title string, status string, quality_score double, created_at long")
+    queries = spark.createDataFrame([(1, 0, "0% WOOL"), (2, 0, "0% wool"), (3, 0, "1_0"), (4, 0, ""), (5, 0, None), (6, 1, "wo")], "query_id long, tenant_id long, query_text string")
+    rows = retrieval.answer_documents(queries, docs).collect()
+    of = lambda q: [r.document_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == q]
+    assert of(1) == of(2) == list(range(29, 19, -1)) and of(6) == [99] and not of(3) + of(4) + of(5)
+
+
+def test_one_predicate_of_very_many_claims(spark):
+    """A cluster's row doesn't grow with its claims."""
+    n = 20_000
+    rows = spark.range(n).select(F.lit(0).alias("tenant_id"), F.col("id").alias("document_id"), F.col("id").alias("claim_id"), F.lit("s").alias("subject"), F.lit("Owner").alias("predicate"), (F.col("id") % 3).cast("string").alias("object_value"), (1 / (F.col("id") + 1)).alias("confidence"), F.lit("active").alias("status"))
+    docs = spark.range(n).select(F.col("id").alias("document_id"), F.lit("indexed").alias("status"), F.lit("t").alias("title"))
+    assert [tuple(r) for r in claims.claim_clusters(rows, docs).collect()] == [(0, "owner", 3, n, 0, "0")]
+    assert claims.cluster_members(rows, docs).count() == n
+    assert [tuple(r)[5:] for r in claims.build_index(rows, docs).collect()] == [("0", 1.0, n, n)]
+
+
+def test_export_writes_a_folder_a_tenant(spark, tmp_path):
+    from verimill.sources import feeds
+
+    docs = spark.createDataFrame([(1, 3, "a"), (2, 4, None)], "document_id long, tenant_id long, title string")
+    feeds.export_tenants({"docs": docs}, str(tmp_path))
+    assert {tuple(r) for r in spark.read.json(str(tmp_path / "docs")).select("document_id", "tenant_id", "title").collect()} == {(1, 3, "a"), (2, 4, None)}

@@ -1,4 +1,4 @@
-"""Where users' models plug in: embedder, reranker, extractor. Defaults are deterministic stand-ins."""
+"""Where users' models plug in: embedder, reranker, extractor, quality assessor, contradiction detector. Defaults are deterministic stand-ins."""
 
 from __future__ import annotations
 
@@ -38,6 +38,31 @@ def rerank_scores(results: DataFrame, texts: DataFrame, queries: DataFrame, scor
     return rows.select("query_id", "document_id", scorer(F.col("query_text"), F.col("text")).alias("rerank_score"))
 
 
+def assess(docs: DataFrame, *assessors: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(document_id, finding_type, severity, penalty): the findings of all assessors, each a function of the documents to such rows; a model
+    comes as one that uses mapInPandas or a pandas_udf."""
+    columns = ["document_id", "finding_type", "severity", "penalty"]
+    out = assessors[0](docs).select(*columns)
+    for assessor in assessors[1:]:
+        out = out.unionByName(assessor(docs).select(*columns))
+    return out
+
+
+def contradictions(pairs: DataFrame, texts: DataFrame, detector: Callable[[Column, Column], Column], least: float = 0.0) -> DataFrame:
+    """(document_a_id, document_b_id, confidence) of candidate pairs that a detector of two text columns gives `least` or more; a model comes as
+    a pandas_udf. Pairs of a document that `texts` lacks are left out."""
+    side = lambda s: texts.select(F.col("document_id").alias(f"document_{s}_id"), F.col("text").alias(s))
+    scored = pairs.select("document_a_id", "document_b_id").distinct().join(side("a"), "document_a_id").join(side("b"), "document_b_id")
+    return scored.select("document_a_id", "document_b_id", detector(F.col("a"), F.col("b")).alias("confidence")).filter(F.col("confidence") >= least)
+
+
+def unlike_terms(a: Column, b: Column) -> Column:
+    """Share of both texts' distinct terms that only one has; 0 for two texts without a term."""
+    x, y = F.array_distinct(terms(a)), F.array_distinct(terms(b))
+    every = F.size(F.array_union(x, y))
+    return F.when(every > 0, 1 - F.size(F.array_intersect(x, y)) / every).otherwise(0.0)
+
+
 def term_overlap(query: Column, passage: Column) -> Column:
     """Share of the query's distinct terms that the passage has."""
     q = F.array_distinct(terms(query))

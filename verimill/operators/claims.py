@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_reply, normalize_text
@@ -53,12 +53,24 @@ def first_claims(claims: DataFrame) -> DataFrame:
     return ranked(rows, ["document_id", "__subject", "__predicate", "__object_value"], F.asc("chunk_id"), F.asc("subject"), F.asc("predicate"), F.asc("object_value"), most=1, name="__r").drop("__r", "__subject", "__predicate", "__object_value")
 
 
-def claim_clusters(claims: DataFrame, docs: DataFrame, min_variants: int = 2) -> DataFrame:
-    """(tenant_id, predicate, variants, claims, members): predicates of active claims with several values; members best first."""
+def live_claims(claims: DataFrame, docs: DataFrame) -> DataFrame:
+    """(tenant_id, predicate, value, claim_id, document_id, object_value, confidence, title): active claims of documents that aren't deleted."""
     rows = claims.filter("status = 'active'").join(docs.filter("status <> 'deleted'").select("document_id", "title"), "document_id")
-    member = F.struct((-F.col("confidence")).alias("order"), "claim_id", "object_value", "title")
-    per = rows.groupBy("tenant_id", F.lower(F.trim("predicate")).alias("predicate")).agg(F.countDistinct(F.lower(F.trim("object_value"))).alias("variants"), F.count("*").alias("claims"), F.array_sort(F.collect_list(member)).alias("members"))
-    return per.filter(F.col("variants") >= min_variants)
+    return rows.select("tenant_id", F.lower(F.trim("predicate")).alias("predicate"), F.lower(F.trim("object_value")).alias("value"), "claim_id", "document_id", "object_value", "confidence", "title")
+
+
+def claim_clusters(claims: DataFrame, docs: DataFrame, min_variants: int = 2) -> DataFrame:
+    """(tenant_id, predicate, variants, claims, best_claim_id, best_value): predicates of active claims with several values, one row each, and
+    the surest claim. Values are counted where they are, so that a predicate of very many claims is no single group."""
+    per = live_claims(claims, docs).groupBy("tenant_id", "predicate", "value").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("confidence")).alias("c"), "claim_id", "object_value")).alias("b"))
+    out = per.groupBy("tenant_id", "predicate").agg(F.count_if(F.col("value").isNotNull()).alias("variants"), F.sum("n").alias("claims"), F.min("b").alias("b"))
+    return out.filter(F.col("variants") >= min_variants).select("tenant_id", "predicate", "variants", "claims", F.col("b.claim_id").alias("best_claim_id"), F.col("b.object_value").alias("best_value"))
+
+
+def cluster_members(claims: DataFrame, docs: DataFrame, min_variants: int = 2) -> DataFrame:
+    """(tenant_id, predicate, claim_id, object_value, confidence, title): the claims of each cluster, a row each, in no order."""
+    clusters = claim_clusters(claims, docs, min_variants).select("tenant_id", "predicate")
+    return live_claims(claims, docs).join(clusters, ["tenant_id", "predicate"], "left_semi").select("tenant_id", "predicate", "claim_id", "object_value", "confidence", "title")
 
 
 def cluster_variants(claims: DataFrame) -> DataFrame:
@@ -68,14 +80,25 @@ def cluster_variants(claims: DataFrame) -> DataFrame:
     return best.select("tenant_id", F.col("p").alias("predicate"), "value", F.col("b.claim_id").alias("claim_id"), (-F.col("b.c")).alias("confidence"), "claims")
 
 
-def build_index(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    """The knowledge index: active claims of documents that may be used, by normalised subject and predicate; the surest value stands."""
+def usable_claims(claims: DataFrame, docs: DataFrame) -> DataFrame:
+    """Active claims of documents that are neither deleted nor quarantined, with subject_normalized and predicate_normalized."""
     usable = docs.filter("status NOT IN ('deleted', 'quarantined')").select("document_id")
     rows = claims.filter("status = 'active'").join(usable, "document_id", "left_semi")
-    rows = rows.withColumns({"subject_normalized": normalize_text(F.col("subject")), "predicate_normalized": normalize_text(F.col("predicate"))})
+    return rows.withColumns({"subject_normalized": normalize_text(F.col("subject")), "predicate_normalized": normalize_text(F.col("predicate"))})
+
+
+def index_sources(claims: DataFrame, docs: DataFrame) -> DataFrame:
+    """(tenant_id, subject_normalized, predicate_normalized, claim_id, document_id): the claims behind each entry of the index, a row each."""
+    return usable_claims(claims, docs).select("tenant_id", "subject_normalized", "predicate_normalized", "claim_id", "document_id")
+
+
+def build_index(claims: DataFrame, docs: DataFrame) -> DataFrame:
+    """The knowledge index: active claims of documents that may be used, by normalised subject and predicate; the surest value stands. How many
+    claims and documents an entry rests on is counted; index_sources lists them."""
+    rows = usable_claims(claims, docs)
     best = F.min(F.struct((-F.col("confidence")).alias("c"), "claim_id", "subject", "predicate", "object_value"))
-    per = rows.groupBy("tenant_id", "subject_normalized", "predicate_normalized").agg(best.alias("b"), F.count("*").alias("claim_count"), F.sort_array(F.collect_set("document_id")).alias("source_document_ids"), F.sort_array(F.collect_list("claim_id")).alias("source_claim_ids"))
-    return per.select("tenant_id", "subject_normalized", "predicate_normalized", F.col("b.subject").alias("subject"), F.col("b.predicate").alias("predicate"), F.col("b.object_value").alias("value"), (-F.col("b.c")).alias("confidence"), "claim_count", "source_document_ids", "source_claim_ids")
+    per = rows.groupBy("tenant_id", "subject_normalized", "predicate_normalized").agg(best.alias("b"), F.count("*").alias("claim_count"), F.countDistinct("document_id").alias("document_count"))
+    return per.select("tenant_id", "subject_normalized", "predicate_normalized", F.col("b.subject").alias("subject"), F.col("b.predicate").alias("predicate"), F.col("b.object_value").alias("value"), (-F.col("b.c")).alias("confidence"), "claim_count", "document_count")
 
 
 def normalize_predicates(claims: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -97,8 +120,9 @@ def lint(index: DataFrame, claims: DataFrame, now: Column, peers: float = 0.6) -
     per = active.groupBy("s", "p").agg(F.countDistinct(F.lower(F.trim("object_value"))).alias("n"), F.max("valid_from").alias("latest"))
     contradiction = per.filter("n > 1").select(F.lit("contradiction").alias("kind"), F.col("s").alias("subject"), F.col("p").alias("predicate"))
     stale = per.filter(F.col("latest") < F.add_months(now.cast("date"), -12)).select(F.lit("stale").alias("kind"), F.col("s").alias("subject"), F.col("p").alias("predicate"))
-    twin = Window.partitionBy("subject_normalized", F.lower(F.trim("value")))
-    duplicate = index.withColumn("n", F.size(F.collect_set("predicate_normalized").over(twin))).filter("n > 1").select(F.lit("duplicate").alias("kind"), F.col("subject_normalized").alias("subject"), F.col("predicate_normalized").alias("predicate"))
+    entries = index.withColumn("v", F.lower(F.trim("value")))
+    twins = entries.groupBy("subject_normalized", "v").agg(F.countDistinct("predicate_normalized").alias("n")).filter("n > 1")
+    duplicate = entries.join(twins, ["subject_normalized", "v"], "left_semi").select(F.lit("duplicate").alias("kind"), F.col("subject_normalized").alias("subject"), F.col("predicate_normalized").alias("predicate"))
     subjects = index.select("subject_normalized").distinct()
     usual = index.select("subject_normalized", "predicate_normalized").distinct().groupBy("predicate_normalized").agg(F.count("*").alias("n")).join(F.broadcast(subjects.agg(F.count("*").alias("all")))).filter(F.col("n") >= F.col("all") * peers).select("predicate_normalized")
     # at most 1 / peers times as many rows as the index has: each usual predicate is held by that share of the subjects

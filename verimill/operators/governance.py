@@ -49,18 +49,34 @@ def parse_verdicts(replies: DataFrame) -> DataFrame:
     return replies.select("reply_id", v.alias("v")).select("reply_id", F.when(F.col("v.resolution").isin("keep_a", "keep_b", "keep_both"), F.col("v.resolution")).otherwise("keep_both").alias("resolution"), F.least(F.greatest(F.coalesce("v.confidence", F.lit(0.5)), F.lit(0.0)), F.lit(1.0)).alias("confidence"), F.col("v.reason").alias("reason"))
 
 
-def heuristic_verdicts(conflicts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(conflict_id, resolution, confidence): recency, then source authority, then length as specificity; equal documents are both kept.
+def source_authority(docs: DataFrame, sources: DataFrame, *order: str) -> DataFrame:
+    """docs with authority: the place of its source's type in `order`, the least trusted first; others and documents without a source 0."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("source_type"))
+    known = sources.select("source_id", place.alias("authority"))
+    return docs.join(known, "source_id", "left").withColumn("authority", F.coalesce("authority", F.lit(0)))
+
+
+def claim_support(claims: DataFrame) -> DataFrame:
+    """(document_id, support): how many statements (predicate and value) of a document's active claims another document of its tenant makes too."""
+    said = claims.filter("status = 'active'").select("tenant_id", "document_id", F.lower(F.trim("predicate")).alias("p"), F.lower(F.trim("object_value")).alias("v")).distinct()
+    shared = said.groupBy("tenant_id", "p", "v").agg(F.count("*").alias("n")).filter("n > 1")
+    return said.join(shared, ["tenant_id", "p", "v"], "left_semi").groupBy("document_id").agg(F.count("*").alias("support"))
+
+
+def heuristic_verdicts(conflicts: DataFrame, docs: DataFrame, support: DataFrame | None = None) -> DataFrame:
+    """(conflict_id, resolution, confidence): recency, then source authority (docs.authority), then length as specificity, then consistency with
+    what others claim (`support`: document_id, support; 0 where it lacks a document); equal documents are both kept.
 
     A deterministic stand-in for a model's judgement; a verdict table takes its place.
     """
-    side = lambda s: docs.select(F.col("document_id").alias(f"document_{s}_id"), F.struct("created_at", "authority", F.length("text").alias("size")).alias(s))
+    backed = docs.withColumn("support", F.lit(0)) if support is None else docs.join(support.select("document_id", "support"), "document_id", "left").fillna(0, ["support"])
+    side = lambda s: backed.select(F.col("document_id").alias(f"document_{s}_id"), F.struct("created_at", "authority", F.length("text").alias("size"), "support").alias(s))
     j = conflicts.join(side("a"), "document_a_id").join(side("b"), "document_b_id")
     a, b = F.col("a"), F.col("b")
     days = F.abs(F.datediff(a["created_at"], b["created_at"]))
     newer = F.when(a["created_at"] > b["created_at"], "keep_a").otherwise("keep_b")
-    out = F.when(days >= 1, newer).when(a["authority"] != b["authority"], F.when(a["authority"] > b["authority"], "keep_a").otherwise("keep_b")).when(a["size"] != b["size"], F.when(a["size"] > b["size"], "keep_a").otherwise("keep_b")).otherwise("keep_both")
-    sure = F.when(days >= 1, 0.9).when(a["authority"] != b["authority"], 0.85).when(a["size"] != b["size"], 0.6).otherwise(0.5)
+    out = F.when(days >= 1, newer).when(a["authority"] != b["authority"], F.when(a["authority"] > b["authority"], "keep_a").otherwise("keep_b")).when(a["size"] != b["size"], F.when(a["size"] > b["size"], "keep_a").otherwise("keep_b")).when(a["support"] != b["support"], F.when(a["support"] > b["support"], "keep_a").otherwise("keep_b")).otherwise("keep_both")
+    sure = F.when(days >= 1, 0.9).when(a["authority"] != b["authority"], 0.85).when(a["size"] != b["size"], 0.6).when(a["support"] != b["support"], 0.55).otherwise(0.5)
     return j.select("conflict_id", out.alias("resolution"), sure.alias("confidence"))
 
 
@@ -108,9 +124,19 @@ def purge(tables: dict[str, DataFrame], due: DataFrame, key: str = "document_id"
     return left, total
 
 
-def erase_tenant(tables: dict[str, DataFrame], tenant: int) -> dict[str, DataFrame]:
-    """Every table without a tenant's rows; at rest this drops partitions."""
-    return {name: df.filter(F.col("tenant_id") != tenant) if "tenant_id" in df.columns else df for name, df in tables.items()}
+def erase_tenant(tables: dict[str, DataFrame], tenant: int, owners: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Every table without a tenant's rows; at rest this drops partitions. Tables without tenant_id lose what belongs to the tenant's rows of
+    an owner (`owners`: key column to a table with it and tenant_id, the first that fits counts); what has neither stays as it is."""
+
+    def left(df: DataFrame) -> DataFrame:
+        if "tenant_id" in df.columns:
+            return df.filter(F.col("tenant_id") != tenant)
+        for key, owner in (owners or {}).items():
+            if key in df.columns:
+                return df.join(owner.filter(F.col("tenant_id") == tenant).select(key).distinct(), key, "left_anti")
+        return df
+
+    return {name: left(df) for name, df in tables.items()}
 
 
 def soft_delete(docs: DataFrame, claims: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -63,6 +63,20 @@ def grams_of(c: Column, sizes: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length(c)), of)))
 
 
+def threes(c: Column) -> Column:
+    """Distinct runs of three characters; of a shorter text, itself."""
+    return grams_of(c, F.array(F.least(F.length(c), F.lit(3))))
+
+
+def meet(rows: DataFrame, grams: Column, texts: DataFrame, text: str) -> DataFrame:
+    """rows (tenant_id, ...) with the texts of their tenant that hold the rarest of the row's `grams`, of up to three characters each."""
+    have = texts.select("tenant_id", text, F.explode(grams_of(F.col(text), F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("gram"))
+    often = have.groupBy("tenant_id", "gram").agg(F.count("*").alias("n"))
+    handle = rows.select("*", F.explode(grams).alias("gram")).join(often, ["tenant_id", "gram"], "left")
+    rarest = handle.groupBy(*rows.columns).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    return rarest.select(*rows.columns, F.col("g.gram").alias("gram")).join(have, ["tenant_id", "gram"])
+
+
 def index_lookup(index: DataFrame, queries: DataFrame, most: int = 5) -> DataFrame:
     """(query_id, subject, predicate, value, confidence, strategy, rank): entries of the query's tenant whose predicate holds the normalised
     query, or else its last two words in order.
@@ -72,36 +86,71 @@ def index_lookup(index: DataFrame, queries: DataFrame, most: int = 5) -> DataFra
     """
     asked = queries.select("query_id", "tenant_id", normalize_text(F.col("query_text")).alias("q")).filter("q <> ''").withColumn("w", F.split("q", " "))
     predicates = index.select("tenant_id", "predicate_normalized").distinct()
-    have = predicates.select("tenant_id", "predicate_normalized", F.explode(grams_of(F.col("predicate_normalized"), F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("gram"))
-    often = have.groupBy("tenant_id", "gram").agg(F.count("*").alias("n"))
-
-    def meet(rows: DataFrame, grams: Column) -> DataFrame:
-        handle = rows.select("*", F.explode(grams).alias("gram")).join(often, ["tenant_id", "gram"], "left")
-        rarest = handle.groupBy(*rows.columns).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
-        return rarest.select(*rows.columns, F.col("g.gram").alias("gram")).join(have, ["tenant_id", "gram"])
-
-    three = lambda c: grams_of(c, F.array(F.least(F.length(c), F.lit(3))))
-    one = meet(asked.select("query_id", "tenant_id", "q"), three(F.col("q"))).filter(F.contains("predicate_normalized", F.col("q"))).select("query_id", "tenant_id", "predicate_normalized", F.lit(1).alias("strategy"))
+    one = meet(asked.select("query_id", "tenant_id", "q"), threes(F.col("q")), predicates, "predicate_normalized").filter(F.contains("predicate_normalized", F.col("q"))).select("query_id", "tenant_id", "predicate_normalized", F.lit(1).alias("strategy"))
     missed = asked.join(one.select("query_id").distinct(), "query_id", "left_anti").filter(F.size("w") >= 2).select("query_id", "tenant_id", F.element_at("w", -2).alias("a"), F.element_at("w", -1).alias("b"))
-    two = meet(missed, F.concat(three(F.col("a")), three(F.col("b")))).filter(F.expr("predicate_normalized LIKE concat('%', a, '%', b, '%')")).select("query_id", "tenant_id", "predicate_normalized", F.lit(2).alias("strategy"))
+    two = meet(missed, F.concat(threes(F.col("a")), threes(F.col("b"))), predicates, "predicate_normalized").filter(F.expr("predicate_normalized LIKE concat('%', a, '%', b, '%')")).select("query_id", "tenant_id", "predicate_normalized", F.lit(2).alias("strategy"))
     hits = one.unionByName(two).join(index, ["tenant_id", "predicate_normalized"])
     top = ranked(hits, ["query_id"], F.desc("confidence"), F.asc("subject"), F.asc("predicate"), most=most)
     return top.select("query_id", "subject", "predicate", "value", "confidence", "strategy", "rank")
 
 
+def answer_kind(query_text: str = "query_text") -> Column:
+    # The words that decide.
+    q = F.lower(query_text)
+    return F.when(q.contains("how many") & q.contains("document"), "document_count").when(q.contains("quality") & (q.contains("score") | q.contains("overview")), "quality_overview").when(q.contains("conflict"), "conflict_summary").when(q.contains("latest") | q.contains("recent"), "latest_documents").otherwise("title_search")
+
+
+def answer_documents(queries: DataFrame, docs: DataFrame, most: int = 10) -> DataFrame:
+    """(query_id, answer_type, document_id, title, status, quality_score, rank): the documents that answer a structured query, newest first.
+
+    A query for the latest documents gets those of its tenant; a title search those whose title holds the query, whatever the case. Equal
+    queries of a tenant are searched once. Null and empty queries find nothing.
+    """
+    asked = queries.select("query_id", "tenant_id", F.lower("query_text").alias("q"), answer_kind().alias("answer_type"))
+    live = docs.filter("status <> 'deleted'").select("tenant_id", "document_id", "title", "status", "quality_score", "created_at", F.lower("title").alias("t"))
+    newest = (F.desc("created_at"), F.asc("document_id"))
+    latest = asked.filter("answer_type = 'latest_documents'").join(ranked(live, ["tenant_id"], *newest, most=most), "tenant_id")
+    searches = asked.filter("answer_type = 'title_search' AND q <> ''")
+    wanted = searches.select("tenant_id", "q").distinct()
+    held = meet(wanted, threes(F.col("q")), live.select("tenant_id", "t").distinct(), "t").filter(F.contains("t", F.col("q"))).select("tenant_id", "q", "t")
+    titles = searches.join(ranked(held.join(live, ["tenant_id", "t"]), ["tenant_id", "q"], *newest, most=most), ["tenant_id", "q"])
+    columns = ["query_id", "answer_type", "document_id", "title", "status", "quality_score", "rank"]
+    return latest.select(*columns).unionByName(titles.select(*columns))
+
+
 def structured_answers(queries: DataFrame, docs: DataFrame, conflicts: DataFrame) -> DataFrame:
     """(query_id, answer_type, answer) of structured queries of tenants: each aggregate is computed once and joined to who asks for it."""
-    # The words that decide, and the sentences of the answers.
-    q = F.lower("query_text")
-    kind = F.when(q.contains("how many") & q.contains("document"), "document_count").when(q.contains("quality") & (q.contains("score") | q.contains("overview")), "quality_overview").when(q.contains("conflict"), "conflict_summary").when(q.contains("latest") | q.contains("recent"), "latest_documents").otherwise("title_search")
-    asked = queries.withColumn("answer_type", kind)
+    # The sentences of the answers.
+    asked = queries.withColumn("answer_type", answer_kind())
     counts = document_counts(docs).select("tenant_id", F.lit("document_count").alias("answer_type"), F.format_string("Total: %d documents (%d indexed, %d quarantined)", "total", "indexed", "quarantined").alias("answer"))
     quality = quality_overview(docs).select("tenant_id", F.lit("quality_overview").alias("answer_type"), F.format_string("Average quality: %.2f (range: %.2f-%.2f, %d high quality, %d low quality)", "avg_score", "min_score", "max_score", "high_quality", "low_quality").alias("answer"))
     per = conflict_summary(conflicts).groupBy("tenant_id").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "status"))).alias("parts"))
     summary = per.select("tenant_id", F.lit("conflict_summary").alias("answer_type"), F.concat(F.col("total"), F.lit(" conflicts: "), F.array_join(F.transform("parts", lambda p: F.concat_ws(" ", -p["n"], p["status"])), ", ")).alias("answer"))
     latest = docs.filter("status <> 'deleted'").groupBy("tenant_id").agg(F.count("*").alias("n")).select("tenant_id", F.lit("latest_documents").alias("answer_type"), F.concat(F.lit("Latest "), F.least("n", F.lit(10)), F.lit(" documents retrieved")).alias("answer"))
     made = counts.unionByName(quality).unionByName(summary).unionByName(latest)
-    return asked.join(made, ["tenant_id", "answer_type"], "left").select("query_id", "answer_type", "answer")
+    found = answer_documents(asked.filter("answer_type = 'title_search'"), docs).groupBy("query_id").agg(F.count("*").alias("found"))
+    title = F.when(F.col("answer_type") == "title_search", F.concat(F.lit("Found "), F.coalesce("found", F.lit(0)), F.lit(" documents matching query")))
+    return asked.join(made, ["tenant_id", "answer_type"], "left").join(found, "query_id", "left").select("query_id", "answer_type", F.coalesce("answer", title).alias("answer"))
+
+
+def evidence(results: DataFrame, docs: DataFrame, conflicts: DataFrame, per_source: int = 3, least: float = 0.2) -> DataFrame:
+    """(query_id, document_id, rank, versions, conflicting): what of the results goes before a model.
+
+    Documents below `least` quality are left out, of equal texts the best ranked stays, of the documents of one source and title the newest
+    version (`versions` says how many there were), and of a source at most `per_source`. conflicting: an open conflict names this document and
+    another of the same evidence.
+    """
+    d = docs.select("document_id", "content_hash", "source_id", "title", "version", "quality_score")
+    found = results.select("query_id", "document_id", "rank").join(d, "document_id").filter(F.coalesce("quality_score", F.lit(1.0)) >= least)
+    once = ranked(found, ["query_id", "content_hash"], F.asc("rank"), most=1, name="h")
+    of_title = once.withColumn("versions", F.count("*").over(Window.partitionBy("query_id", "source_id", "title")))  # a query has top_k rows
+    newest = ranked(of_title, ["query_id", "source_id", "title"], F.desc("version"), F.asc("rank"), most=1, name="v")
+    kept = ranked(newest, ["query_id", "source_id"], F.asc("rank"), most=per_source, name="s").select("query_id", "document_id", "rank", "versions")
+    sides = F.explode(F.array(F.struct(F.col("document_a_id").alias("document_id"), F.col("document_b_id").alias("other")), F.struct(F.col("document_b_id").alias("document_id"), F.col("document_a_id").alias("other")))).alias("x")
+    open_ = conflicts.filter("status = 'new' AND document_a_id <> document_b_id").select(sides).select("x.*")
+    met = kept.select("query_id", "document_id").join(open_, "document_id").join(kept.select("query_id", F.col("document_id").alias("other")), ["query_id", "other"], "left_semi")
+    hit = met.select("query_id", "document_id").distinct().withColumn("conflicting", F.lit(True))
+    return kept.join(hit, ["query_id", "document_id"], "left").fillna(False, ["conflicting"])
 
 
 def lexical_scores(postings: DataFrame, queries: DataFrame) -> DataFrame:

@@ -42,6 +42,15 @@ def line_changes(pairs: DataFrame) -> DataFrame:
     return net.groupBy("document_id", "version").agg(F.sum(F.greatest("n", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("removed"))
 
 
+def version_diffs(versions: DataFrame, claims: DataFrame) -> DataFrame:
+    """(document_id, version, added, removed, claims_changed): lines that each version changed; the newest also has the number of claims whose
+    value an active claim replaces, older ones 0."""
+    lines = line_changes(version_pairs(versions))
+    newest = versions.groupBy("document_id").agg(F.max("version").alias("version"))
+    changed = claim_changes(claims).groupBy("document_id").agg(F.count("*").alias("claims_changed")).join(newest, "document_id")
+    return lines.join(changed, ["document_id", "version"], "left").fillna(0, ["claims_changed"])
+
+
 def replaced_claims(claims: DataFrame) -> DataFrame:
     """Superseded claims whose predicate is active in the same document."""
     active = claims.filter("status = 'active'").select("document_id", F.lower("predicate").alias("__p"))

@@ -55,7 +55,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         CASE doc_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'approved' ELSE 'rejected' END AS status, plus_minutes(stamp('2024-01-02 00:00:00'), doc_id) AS created_at FROM {documents}""",
     "usage": """SELECT event_id, user_id % 5 AS tenant_id, event_type, CAST(1 + event_id % 3 AS BIGINT) AS quantity, value AS latency_ms, ts AS created_at FROM {events}""",
     "audit": """SELECT event_id, user_id AS actor, event_type AS action, CASE user_id % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'source' ELSE 'claim' END AS resource_type, event_id % 100 AS resource_id, ts AS created_at FROM {events}""",
-    "feedback": """SELECT event_id AS feedback_id, event_id % 500 AS document_id, CAST(event_id % 3 - 1 AS BIGINT) AS rating, CASE event_id % 4 WHEN 0 THEN 'resolved' ELSE NULL END AS outcome, ts AS created_at FROM {events}""",
+    "feedback": """SELECT event_id AS feedback_id, event_id % (SELECT greatest(CAST(floor(count(*) / 2) AS BIGINT), 1) FROM {documents}) AS document_id, event_id % (SELECT greatest(CAST(floor(count(*) / 2) AS BIGINT), 1) FROM {documents}) * 1000000 + event_id % 3 AS chunk_id, CAST(event_id % 3 - 1 AS BIGINT) AS rating, CASE event_id % 4 WHEN 0 THEN 'resolved' ELSE NULL END AS outcome, ts AS created_at FROM {events}""",
     "acl": """SELECT doc_id AS document_id, 'user' AS principal_type, doc_id % 6 AS principal_id, CASE doc_id % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'write' WHEN 2 THEN 'admin' ELSE 'none' END AS permission FROM {documents} WHERE doc_id % 3 = 0""",
     "cursors": """SELECT source_id, source_type, CASE WHEN tenant_id = 0 THEN NULL ELSE plus_minutes(stamp('2024-01-31 00:00:00'), -10 * (1 + tenant_id)) END AS last_sync_at, CASE WHEN tenant_id = 4 THEN 'running' ELSE 'idle' END AS sync_status FROM {sources}""",
     "versions": (

@@ -188,6 +188,11 @@ def _(v):
     return an.feedback_boost(v("feedback"))
 
 
+@query("d10_feedback_boost_by_chunk", "SELECT chunk_id, sum(rating) / greatest(count(*), 1) * 0.1 AS boost FROM {feedback} GROUP BY 1")
+def _(v):
+    return an.feedback_boost(v("feedback"), "chunk_id")
+
+
 @query("d11_feedback_log_boost", "SELECT document_id, round(avg(rating) * ln(count(*) + 1) * 0.1, 9) AS boost FROM {feedback} GROUP BY 1")
 def _(v):
     return an.feedback_log_boost(v("feedback")).withColumn("boost", F.round("boost", 9))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import extension as ex
 from ..functions import text as tx
 from ..operators import analytics as an
 from ..operators import claims as cl
@@ -221,26 +222,37 @@ def _(v):
     return rt.route(asked(v)).select("query_id", "query_type", "confidence", "reason")
 
 
-_ANSWERS = f"""WITH a AS (SELECT query_id, tenant_id, CASE WHEN q LIKE '%how many%' AND q LIKE '%document%' THEN 'document_count' WHEN q LIKE '%quality%' AND (q LIKE '%score%' OR q LIKE '%overview%') THEN 'quality_overview' WHEN q LIKE '%conflict%' THEN 'conflict_summary' WHEN q LIKE '%latest%' OR q LIKE '%recent%' THEN 'latest_documents' ELSE 'title_search' END AS answer_type FROM (SELECT *, lower(query_text) AS q FROM ({_ASKED}))),
+_ANSWERS = f"""WITH a AS (SELECT query_id, tenant_id, q, CASE WHEN q LIKE '%how many%' AND q LIKE '%document%' THEN 'document_count' WHEN q LIKE '%quality%' AND (q LIKE '%score%' OR q LIKE '%overview%') THEN 'quality_overview' WHEN q LIKE '%conflict%' THEN 'conflict_summary' WHEN q LIKE '%latest%' OR q LIKE '%recent%' THEN 'latest_documents' ELSE 'title_search' END AS answer_type FROM (SELECT *, lower(query_text) AS q FROM ({_ASKED}))),
 m AS (SELECT tenant_id, 'document_count' AS answer_type, format('Total: {{:d}} documents ({{:d}} indexed, {{:d}} quarantined)', count(*), count(*) FILTER (status = 'indexed'), count(*) FILTER (status = 'quarantined')) AS answer FROM {{docs}} WHERE status <> 'deleted' GROUP BY 1
 UNION ALL SELECT tenant_id, 'quality_overview', format('Average quality: {{:.2f}} (range: {{:.2f}}-{{:.2f}}, {{:d}} high quality, {{:d}} low quality)', round(avg(quality_score), 2), min(quality_score), max(quality_score), count(*) FILTER (quality_score >= 0.8), count(*) FILTER (quality_score < 0.5)) FROM {{docs}} WHERE status <> 'deleted' AND quality_score IS NOT NULL GROUP BY 1
 UNION ALL SELECT tenant_id, 'conflict_summary', concat(sum(n), ' conflicts: ', string_agg(concat(n, ' ', status), ', ' ORDER BY n DESC, status)) FROM (SELECT tenant_id, status, count(*) AS n FROM {{conflicts}} GROUP BY ALL) GROUP BY 1
-UNION ALL SELECT tenant_id, 'latest_documents', concat('Latest ', least(count(*), 10), ' documents retrieved') FROM {{docs}} WHERE status <> 'deleted' GROUP BY 1)
-SELECT query_id, a.answer_type, answer FROM a LEFT JOIN m ON a.tenant_id = m.tenant_id AND a.answer_type = m.answer_type"""
+UNION ALL SELECT tenant_id, 'latest_documents', concat('Latest ', least(count(*), 10), ' documents retrieved') FROM {{docs}} WHERE status <> 'deleted' GROUP BY 1),
+lv AS (SELECT * FROM {{docs}} WHERE status <> 'deleted'), td AS (SELECT query_id, answer_type, document_id, title, status, quality_score, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, document_id) AS rank
+FROM a JOIN lv ON lv.tenant_id = a.tenant_id AND (answer_type = 'latest_documents' OR (answer_type = 'title_search' AND q <> '' AND contains(lower(title), q))) QUALIFY rank <= 10), tn AS (SELECT query_id, count(*) AS n FROM td WHERE answer_type = 'title_search' GROUP BY 1) """
 
 
-@query("i21_structured_answers", _ANSWERS)
+@query("i21_structured_answers", _ANSWERS + "SELECT a.query_id, a.answer_type, CASE WHEN a.answer_type = 'title_search' THEN concat('Found ', coalesce(n, 0), ' documents matching query') ELSE answer END AS answer FROM a LEFT JOIN m ON a.tenant_id = m.tenant_id AND a.answer_type = m.answer_type LEFT JOIN tn ON tn.query_id = a.query_id")
 def _(v):
     return rt.structured_answers(asked(v), v("docs"), v("conflicts"))
 
 
-_INDEX = f"""i AS (SELECT tenant_id, s AS subject_normalized, p AS predicate_normalized, arg_min(subject, o) AS subject, arg_min(predicate, o) AS predicate, arg_min(object_value, o) AS value, max(confidence) AS confidence, count(*) AS claim_count, count(DISTINCT document_id) AS n_docs, string_agg(claim_id, ',' ORDER BY claim_id) AS claim_ids
+@query("i21_answer_documents", _ANSWERS + "SELECT query_id, answer_type, document_id, title, status, quality_score, CAST(rank AS BIGINT) AS rank FROM td")
+def _(v):
+    return rt.answer_documents(asked(v), v("docs"))
+
+
+_INDEX = f"""i AS (SELECT tenant_id, s AS subject_normalized, p AS predicate_normalized, arg_min(subject, o) AS subject, arg_min(predicate, o) AS predicate, arg_min(object_value, o) AS value, max(confidence) AS confidence, count(*) AS claim_count, count(DISTINCT document_id) AS document_count
 FROM (SELECT c.*, {_norm('subject')} AS s, {_norm('predicate')} AS p, row_number() OVER (ORDER BY confidence DESC, claim_id) AS o FROM {{claims}} c WHERE status = 'active' AND document_id IN (SELECT document_id FROM {{claim_docs}} WHERE status NOT IN ('deleted', 'quarantined'))) GROUP BY ALL)"""
 
 
-@query("i18_d12_knowledge_index", "WITH " + _INDEX + " SELECT tenant_id, subject_normalized, predicate_normalized, subject, predicate, value, confidence, CAST(claim_count AS BIGINT) AS claim_count, CAST(n_docs AS BIGINT) AS n_docs, claim_ids FROM i")
+@query("i18_d12_knowledge_index", "WITH " + _INDEX + " SELECT tenant_id, subject_normalized, predicate_normalized, subject, predicate, value, confidence, CAST(claim_count AS BIGINT) AS claim_count, CAST(document_count AS BIGINT) AS document_count FROM i")
+def _(v):
+    return cl.build_index(v("claims"), v("claim_docs"))
+
+
+@query("i18_index_sources", f"SELECT tenant_id, {_norm('subject')} AS subject_normalized, {_norm('predicate')} AS predicate_normalized, claim_id, document_id FROM {{claims}} WHERE status = 'active' AND document_id IN (SELECT document_id FROM {{claim_docs}} WHERE status NOT IN ('deleted', 'quarantined'))")
 def _(v):
-    return cl.build_index(v("claims"), v("claim_docs")).select("tenant_id", "subject_normalized", "predicate_normalized", "subject", "predicate", "value", "confidence", "claim_count", F.size("source_document_ids").cast("long").alias("n_docs"), F.array_join("source_claim_ids", ",").alias("claim_ids"))
+    return cl.index_sources(v("claims"), v("claim_docs"))
 
 
 def _lookup_sql(asking: str = f"({_ASKED})") -> str:
@@ -292,6 +304,25 @@ def gate_findings(v):
     return ql.quality_findings(v("docs"), chunks)
 
 
+_NO_SOURCE = " UNION ALL SELECT document_id, 'no_source', 'info', 0.05 FROM {docs} WHERE source_id IS NULL"
+
+
+def without_source(docs):
+    """An assessor of a user's own: documents that name no source."""
+    return docs.filter("source_id IS NULL").select("document_id", F.lit("no_source").alias("finding_type"), F.lit("info").alias("severity"), F.lit(0.05).alias("penalty"))
+
+
+@query("k3_assessed_findings", f"WITH {_FINDINGS} SELECT document_id, finding_type, severity, CAST(penalty AS DOUBLE) AS penalty FROM (SELECT * FROM fd{_NO_SOURCE})")
+def _(v):
+    chunks = v("chunks").withColumn("embedded", (F.col("document_id") % 7 != 0) | (F.col("chunk_index") > 0))
+    return ex.assess(v("docs"), lambda docs: ql.quality_findings(docs, chunks), without_source)
+
+
+@query("k3_detected_contradictions", f"SELECT document_a_id, document_b_id, round(c, 9) AS confidence FROM (SELECT document_a_id, document_b_id, 1 - len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS c FROM (SELECT DISTINCT document_a_id, document_b_id, list_distinct({_terms('a.text')}) AS x, list_distinct({_terms('b.text')}) AS y FROM {{conflicts}} JOIN {{docs}} a ON a.document_id = document_a_id JOIN {{docs}} b ON b.document_id = document_b_id)) WHERE c >= 0.5")
+def _(v):
+    return ex.contradictions(v("conflicts"), v("docs"), ex.unlike_terms, 0.5).withColumn("confidence", F.round("confidence", 9))
+
+
 @query("i5_quality_findings", f"WITH {_FINDINGS} SELECT document_id, finding_type, severity, CAST(penalty AS DOUBLE) AS penalty FROM fd")
 def _(v):
     return gate_findings(v)
@@ -420,9 +451,17 @@ def _(v):
     return cf.similar_claim_conflicts(claims, cf.similar_predicates(claims), 0.46)
 
 
-@query("d7_claim_clusters", "SELECT c.tenant_id, lower(trim(predicate)) AS predicate, CAST(count(DISTINCT lower(trim(object_value))) AS BIGINT) AS variants, CAST(count(*) AS BIGINT) AS claims, string_agg(claim_id, ',' ORDER BY confidence DESC, claim_id, object_value, title) AS members FROM {claims} c JOIN {claim_docs} d ON d.document_id = c.document_id AND d.status <> 'deleted' WHERE c.status = 'active' GROUP BY ALL HAVING count(DISTINCT lower(trim(object_value))) >= 2")
+_LIVE = "lv AS (SELECT c.tenant_id, lower(trim(predicate)) AS predicate, lower(trim(object_value)) AS value, claim_id, object_value, confidence, title FROM {claims} c JOIN {claim_docs} d ON d.document_id = c.document_id AND d.status <> 'deleted' WHERE c.status = 'active'), cu AS (SELECT tenant_id, predicate, CAST(count(DISTINCT value) AS BIGINT) AS variants, CAST(count(*) AS BIGINT) AS claims, arg_min(claim_id, (-confidence, claim_id)) AS best_claim_id, arg_min(object_value, (-confidence, claim_id)) AS best_value FROM lv GROUP BY ALL HAVING count(DISTINCT value) >= 2)"
+
+
+@query("d7_claim_clusters", f"WITH {_LIVE} SELECT * FROM cu")
+def _(v):
+    return cl.claim_clusters(v("claims"), v("claim_docs"))
+
+
+@query("d7_cluster_members", f"WITH {_LIVE} SELECT tenant_id, predicate, claim_id, object_value, confidence, title FROM lv WHERE (tenant_id, predicate) IN (SELECT (tenant_id, predicate) FROM cu)")
 def _(v):
-    return cl.claim_clusters(v("claims"), v("claim_docs")).withColumn("members", F.array_join(F.transform("members", lambda m: m["claim_id"]), ","))
+    return cl.cluster_members(v("claims"), v("claim_docs"))
 
 
 @query("d8_cluster_variants", "SELECT tenant_id, lower(trim(predicate)) AS predicate, lower(trim(object_value)) AS value, arg_min(claim_id, (-confidence, claim_id)) AS claim_id, max(confidence) AS confidence, CAST(count(*) AS BIGINT) AS claims FROM {claims} WHERE status = 'active' GROUP BY ALL")

@@ -72,12 +72,15 @@ def _(v):
     return gv.parse_verdicts(v("conversations").select((F.col("conv_id") * 1000 + t).alias("reply_id"), raw.alias("raw"))).select("reply_id", "resolution", "confidence")
 
 
-_VERDICT = """vd AS (SELECT conflict_id, CASE WHEN abs(date_diff('day', CAST(a.created_at AS DATE), CAST(b.created_at AS DATE))) >= 1 THEN CASE WHEN a.created_at > b.created_at THEN 'keep_a' ELSE 'keep_b' END WHEN a.version <> b.version THEN CASE WHEN a.version > b.version THEN 'keep_a' ELSE 'keep_b' END WHEN length(a.text) <> length(b.text) THEN CASE WHEN length(a.text) > length(b.text) THEN 'keep_a' ELSE 'keep_b' END ELSE 'keep_both' END AS resolution,
-CAST(CASE WHEN abs(date_diff('day', CAST(a.created_at AS DATE), CAST(b.created_at AS DATE))) >= 1 THEN 0.9 WHEN a.version <> b.version THEN 0.85 WHEN length(a.text) <> length(b.text) THEN 0.6 ELSE 0.5 END AS DOUBLE) AS confidence FROM {conflicts} c JOIN {docs} a ON a.document_id = document_a_id JOIN {docs} b ON b.document_id = document_b_id)"""
+_VERDICT = """sd AS (SELECT DISTINCT tenant_id, document_id, lower(trim(title)) AS p, lower(trim(lang)) AS o FROM {docs}), sp AS (SELECT document_id, count(*) AS support FROM sd JOIN (SELECT tenant_id, p, o FROM sd GROUP BY ALL HAVING count(*) > 1) USING (tenant_id, p, o) GROUP BY 1),
+jd AS (SELECT d.*, CASE source_type WHEN 'file_upload' THEN 1 WHEN 'jira' THEN 2 WHEN 'notion' THEN 3 WHEN 'sharepoint' THEN 4 ELSE 0 END AS authority, coalesce(support, 0) AS support FROM {docs} d LEFT JOIN {sources} s ON s.source_id = d.source_id LEFT JOIN sp ON sp.document_id = d.document_id),
+vd AS (SELECT conflict_id, CASE WHEN k = 'none' THEN 'keep_both' WHEN CASE k WHEN 'recency' THEN a.created_at > b.created_at WHEN 'authority' THEN a.authority > b.authority WHEN 'size' THEN length(a.text) > length(b.text) ELSE a.support > b.support END THEN 'keep_a' ELSE 'keep_b' END AS resolution,
+CAST(CASE k WHEN 'recency' THEN 0.9 WHEN 'authority' THEN 0.85 WHEN 'size' THEN 0.6 WHEN 'support' THEN 0.55 ELSE 0.5 END AS DOUBLE) AS confidence FROM (SELECT conflict_id, a, b, CASE WHEN abs(date_diff('day', CAST(a.created_at AS DATE), CAST(b.created_at AS DATE))) >= 1 THEN 'recency' WHEN a.authority <> b.authority THEN 'authority' WHEN length(a.text) <> length(b.text) THEN 'size' WHEN a.support <> b.support THEN 'support' ELSE 'none' END AS k FROM {conflicts} c JOIN jd a ON a.document_id = document_a_id JOIN jd b ON b.document_id = document_b_id))"""
 
 
 def verdicts(v):
-    return gv.heuristic_verdicts(v("conflicts"), v("docs").withColumn("authority", F.col("version")))
+    judged = gv.source_authority(v("docs"), v("sources"), "file_upload", "jira", "notion", "sharepoint")
+    return gv.heuristic_verdicts(v("conflicts"), judged, gv.claim_support(titles_as_claims(v)))
 
 
 @query("i33_heuristic_verdicts", f"WITH {_VERDICT} SELECT * FROM vd")
@@ -127,9 +130,15 @@ def _(v):
     return gv.purge({k: v(k) for k in ("docs", "chunks", "claims", "findings", "acl")}, due)[1].select("table_name", "purged")
 
 
-@query("i45_tenant_erasure", "SELECT 'docs' AS table_name, CAST(count(*) AS BIGINT) AS n FROM {docs} WHERE tenant_id <> 3 UNION ALL SELECT 'chunks', count(*) FROM {chunks} WHERE tenant_id <> 3 UNION ALL SELECT 'claims', count(*) FROM {claims} WHERE tenant_id <> 3 UNION ALL SELECT 'usage', count(*) FROM {usage} WHERE tenant_id <> 3")
+#: What has tenant_id, and what a document or a source of the tenant owns.
+_OWN = "tenants sources docs chunks claims claim_docs conflicts findings reviews usage postings queries".split()
+_OWNED = {"vectors": "document_id", "feedback": "document_id", "acl": "document_id", "versions": "document_id", "cursors": "source_id"}
+_ERASED = " UNION ALL ".join([f"SELECT '{t}' AS table_name, count(*) AS n FROM {{{t}}} WHERE tenant_id <> 3" for t in _OWN] + [f"SELECT '{t}', count(*) FROM {{{t}}} WHERE {k} NOT IN (SELECT {k} FROM {{{'docs' if k == 'document_id' else 'sources'}}} WHERE tenant_id = 3)" for t, k in _OWNED.items()])
+
+
+@query("i45_tenant_erasure", f"SELECT table_name, CAST(n AS BIGINT) AS n FROM ({_ERASED})")
 def _(v):
-    left = gv.erase_tenant({k: v(k) for k in ("docs", "chunks", "claims", "usage")}, 3)
+    left = gv.erase_tenant({k: v(k) for k in (*_OWN, *_OWNED)}, 3, {"document_id": v("docs"), "source_id": v("sources")})
     out = None
     for k, df in left.items():
         row = df.agg(F.count("*").alias("n")).select(F.lit(k).alias("table_name"), "n")
@@ -293,11 +302,15 @@ def _(v):
     return rows.select("document_id", F.array_join(F.transform("c", lambda x: x["h"]), ",").alias("chunks"), "accesses", "last_access")
 
 
-@query("i50_evidence", _SEARCH + "SELECT query_id, document_id FROM (SELECT query_id, r.document_id, rank, source_id, row_number() OVER (PARTITION BY query_id, content_hash ORDER BY rank) AS h FROM r JOIN {docs} x ON x.document_id = r.document_id WHERE coalesce(quality_score, 1) >= 0.2 QUALIFY h = 1) QUALIFY row_number() OVER (PARTITION BY query_id, source_id ORDER BY rank) <= 3")
+@query(
+    "i50_evidence",
+    _SEARCH.rstrip() + """, e1 AS (SELECT query_id, r.document_id, rank, source_id, title, x.version FROM r JOIN {docs} x ON x.document_id = r.document_id WHERE coalesce(quality_score, 1) >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id, content_hash ORDER BY rank) = 1),
+e2 AS (SELECT *, count(*) OVER (PARTITION BY query_id, source_id, title) AS versions FROM e1 QUALIFY row_number() OVER (PARTITION BY query_id, source_id, title ORDER BY version DESC, rank) = 1), e3 AS (SELECT * FROM e2 QUALIFY row_number() OVER (PARTITION BY query_id, source_id ORDER BY rank) <= 3),
+op AS (SELECT document_a_id AS x, document_b_id AS y FROM {conflicts} WHERE status = 'new' AND document_a_id <> document_b_id UNION ALL SELECT document_b_id, document_a_id FROM {conflicts} WHERE status = 'new' AND document_a_id <> document_b_id), fl AS (SELECT DISTINCT a.query_id, a.document_id FROM e3 a JOIN op ON x = a.document_id JOIN e3 b ON b.query_id = a.query_id AND b.document_id = y)
+SELECT e3.query_id, e3.document_id, CAST(rank AS BIGINT) AS rank, CAST(versions AS BIGINT) AS versions, fl.document_id IS NOT NULL AS conflicting FROM e3 LEFT JOIN fl ON fl.query_id = e3.query_id AND fl.document_id = e3.document_id""",
+)
 def _(v):
-    found = search(v, search_inputs(v)).join(v("docs").select("document_id", "content_hash", "source_id", "quality_score"), "document_id").filter(F.coalesce("quality_score", F.lit(1.0)) >= 0.2)
-    once = rt.ranked(found, ["query_id", "content_hash"], F.asc("rank"), most=1, name="h")
-    return rt.ranked(once, ["query_id", "source_id"], F.asc("rank"), most=3, name="s").select("query_id", "document_id")
+    return rt.evidence(search(v, search_inputs(v)), v("docs"), v("conflicts"))
 
 
 @query("c17_acl_without_deleted", "SELECT document_id, principal_id FROM {acl} WHERE document_id NOT IN (SELECT document_id FROM {docs} WHERE status = 'deleted' AND tenant_id = 1)")
@@ -532,3 +545,28 @@ def _(v):
 @query("i40_version_history", "SELECT document_id, CAST(count(*) AS BIGINT) AS versions, CAST(count(DISTINCT content_snapshot) AS BIGINT) AS contents, CAST(max(version) AS BIGINT) AS latest FROM {versions} GROUP BY 1")
 def _(v):
     return vs.history(v("versions"))
+
+
+@query("i40_version_diffs", "WITH pr AS (SELECT * FROM (SELECT *, lag(content_snapshot) OVER (PARTITION BY document_id ORDER BY version) AS p FROM {versions}) WHERE p IS NOT NULL), ln AS (SELECT document_id, version, line, sum(n) AS n FROM (SELECT document_id, version, unnest(string_split(content_snapshot, chr(10))) AS line, 1 AS n FROM pr UNION ALL SELECT document_id, version, unnest(string_split(p, chr(10))), -1 FROM pr) GROUP BY ALL), df AS (SELECT document_id, version, sum(greatest(n, 0)) AS added, sum(greatest(-n, 0)) AS removed FROM ln GROUP BY ALL), nw AS (SELECT document_id, object_value AS new_value FROM {claims} WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY confidence DESC, claim_id) = 1), ch AS (SELECT document_id, count(*) AS n FROM (SELECT DISTINCT c.document_id, c.object_value FROM {claims} c JOIN nw ON nw.document_id = c.document_id WHERE c.status = 'superseded' AND c.object_value <> new_value) GROUP BY 1), tv AS (SELECT document_id, max(version) AS version FROM {versions} GROUP BY 1) SELECT df.document_id, df.version, CAST(added AS BIGINT) AS added, CAST(removed AS BIGINT) AS removed, CAST(CASE WHEN tv.version IS NOT NULL THEN coalesce(ch.n, 0) ELSE 0 END AS BIGINT) AS claims_changed FROM df LEFT JOIN tv ON tv.document_id = df.document_id AND tv.version = df.version LEFT JOIN ch ON ch.document_id = df.document_id")
+def _(v):
+    return vs.version_diffs(v("versions"), wide_claims(v))
+
+
+_FILES = "fi AS (SELECT concat('/', document_id, CASE lang WHEN 'en' THEN '.md' WHEN 'de' THEN '.csv' WHEN 'fr' THEN '.pdf' ELSE '.bin' END) AS path, CASE lang WHEN 'en' THEN 'text' WHEN 'de' THEN 'csv' WHEN 'fr' THEN 'unsupported' ELSE 'unknown' END AS format, text, strlen(text) AS length FROM {docs}), fo AS (SELECT *, CASE WHEN length = 0 OR length > 2097 OR format = 'unknown' THEN 'skipped' WHEN format = 'unsupported' THEN 'failed' ELSE 'success' END AS outcome FROM fi)"
+
+
+def files(v):
+    """Documents as the files of a directory."""
+    lang = F.col("lang")
+    suffix = F.when(lang == "en", ".md").when(lang == "de", ".csv").when(lang == "fr", ".pdf").otherwise(".bin")
+    return v("docs").select(F.concat(F.lit("/"), "document_id", suffix).alias("path"), F.octet_length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"))
+
+
+@query("a2_ingested_files", f"WITH {_FILES} SELECT path, format, sha256(text) AS h FROM fo WHERE outcome = 'success'")
+def _(v):
+    return st.ingest_files(files(v), 0.002)[0].select("path", "format", F.sha2("text", 256).alias("h"))
+
+
+@query("a2_ingest_outcomes", f"WITH {_FILES} SELECT outcome, CAST(count(*) AS BIGINT) AS n FROM fo GROUP BY 1")
+def _(v):
+    return st.ingest_files(files(v), 0.002)[1]

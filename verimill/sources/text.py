@@ -21,10 +21,15 @@ def route_by_suffix(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumn("format", F.coalesce(F.element_at(known, suffix(F.col(path))), F.lit("unknown")))
 
 
-def ingest_directory(spark: SparkSession, path: str, max_mb: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Files of a directory tree as (path, format, text), and (outcome, n): success, skipped (too large or unknown) or failed (known, but not
-    decoded here). Spark's file sources don't list empty files at all."""
-    files = route_by_suffix(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+def ingest_directory(spark: SparkSession, path: str, max_mb: float = 50) -> tuple[DataFrame, DataFrame]:
+    """Files of a directory tree as (path, format, text), and (outcome, n); see ingest_files. Spark's file sources don't list empty files."""
+    return ingest_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), max_mb)
+
+
+def ingest_files(files: DataFrame, max_mb: float = 50) -> tuple[DataFrame, DataFrame]:
+    """Files (path, length, content) as (path, format, text), and (outcome, n): success, skipped (empty, too large or unknown) or failed
+    (known, but not decoded here)."""
+    files = route_by_suffix(files)
     outcome = F.when((F.col("length") == 0) | (F.col("length") > max_mb * 1024 * 1024) | (F.col("format") == "unknown"), "skipped").when(F.col("format") == "unsupported", "failed").otherwise("success")
     files = files.withColumn("outcome", outcome)
     good = files.filter("outcome = 'success'").select("path", "format", F.decode("content", "UTF-8").alias("text"))
