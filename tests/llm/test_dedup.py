@@ -138,6 +138,22 @@ def test_suffix_dedup_in_many_segments_and_buckets(odd, rows, monkeypatch):
     assert not brute_removed(rows) - got
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_suffix_dedup_of_grams_dealt_by_strings(odd, rows, spark, monkeypatch, hot):
+    """Passages that many documents share in different surroundings, at a bound that makes their grams hot."""
+    monkeypatch.setattr(segments.segments, "__defaults__", (1500, 0))
+    monkeypatch.setattr(suffix_dedup, "HOT_GRAM", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", 7)
+    got = Counter(map(tuple, suffix_dedup.op7_suffix_dedup(odd).collect()))
+    assert not brute_removed(rows) - got and sum(got.values()) == len(rows)
+    rng = random.Random(hot)
+    word = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    shared, other = word(330), word(199)
+    more = [(i, word(rng.randint(0, 150)) + shared[rng.randint(0, 140) :] + word(rng.randint(0, 9)) + (other if i % 3 else "") + word(rng.randint(0, 150))) for i in range(60)]
+    got = Counter(map(tuple, suffix_dedup.op7_suffix_dedup(spark.createDataFrame(more, "doc_id long, text string")).collect()))
+    assert got == brute_removed(more) and any(r[2] for r in got)
+
+
 @pytest.mark.parametrize("alphabet", [b"ab", b"abcdefghijklmnop", b"\0a"])
 def test_reach_against_brute_force(alphabet):
     rng = random.Random(len(alphabet))

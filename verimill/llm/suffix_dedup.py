@@ -25,6 +25,10 @@ LENGTH = 200
 GRAM = 100
 #: Suffixes of a bucket, about.
 BUCKET_SUFFIXES = 40_000
+#: Occurrences of a gram up to which its suffixes are one bucket's; those of a commoner one are dealt by their strings.
+HOT_GRAM = 400_000
+#: Contexts of which a task gathers the strings before it sends them.
+HOT_CONTEXTS = 2_000
 #: Contexts that a task gathers before it sends them.
 GATHERED = 100_000
 #: Leading tokens that splitters are drawn from: so many of each of so many segments. They balance the buckets and decide nothing else.
@@ -262,16 +266,58 @@ def judged(suffixes: DataFrame) -> DataFrame:
     return made.select(F.explode("members").alias("m"), "before", "behind").select("m.seg", "m.places", "before", "behind")
 
 
+def judged_by_strings(suffixes: DataFrame) -> DataFrame:
+    """As judged(), without a bucket: for grams so common that their contexts are too many for one task.
+
+    Each of the up to 101 strings of LENGTH bytes that hold the gram in a context is dealt by its place and 128 bits of BLAKE2b of its bytes, and
+    counted; a context is covered by those that come more than once. Equal strings of a task are one row.
+    """
+    schema = pa.schema([("o", pa.int32()), ("key", pa.binary()), ("times", pa.int64()), ("ids", pa.list_(pa.int64()))])
+    hot = cut(suffixes.withColumn("id", F.monotonically_increasing_id()), "hot")
+    contexts = hot.select("id", "left", "right", F.expr("aggregate(members, 0L, (a, m) -> a + octet_length(m.places) DIV 4)").alias("times"))
+
+    def rows(found: dict[tuple[int, bytes], list]) -> pa.RecordBatch:
+        columns = [pa.array([o for o, _ in found], pa.int32()), pa.array([k for _, k in found], pa.binary()), pa.array([t for t, _ in found.values()], pa.int64()), pa.array([i for _, i in found.values()], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, bytes], list] = {}
+        seen = 0
+        for batch in batches:
+            for i, a, b, n in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                whole = a + b
+                for o in range(max(0, LENGTH - len(b)), len(a) + 1):
+                    at = len(a) - o
+                    entry = found.setdefault((o, hashlib.blake2b(whole[at : at + LENGTH], digest_size=16).digest()), [0, []])
+                    entry[0] += n
+                    entry[1].append(i)
+                seen += 1
+                if seen % HOT_CONTEXTS == 0:
+                    yield rows(found)
+                    found = {}
+        if found:
+            yield rows(found)
+
+    met = contexts.mapInArrow(run, "o int, key binary, times long, ids array<long>")
+    repeated = met.groupBy("o", "key").agg(F.sum("times").alias("n")).filter("n > 1").select("o", "key")
+    hits = met.join(repeated, ["o", "key"], "left_semi").select(F.explode("ids").alias("id"), "o").groupBy("id").agg(F.max("o").alias("before"), F.max(LENGTH - F.col("o")).alias("behind"))
+    return hot.join(hits, "id").select(F.explode("members").alias("m"), "before", "behind").select("m.seg", "m.places", "before", "behind")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Segments of docs with `spans`: (places, before, behind) of what is repeated in them. For covered()."""
     segs = cut(segments(docs), "segments")
     counted = cut(first_pass(segs), "counted")
-    often = counted.groupBy("gram").agg(F.sum("n").alias("m")).filter("m > 1").select("gram")
-    grams = cut(counted.join(often, "gram", "left_semi").groupBy("seg").agg(F.collect_list("gram").alias("grams"), F.sum("n").alias("n")), "grams")
+    often = counted.groupBy("gram").agg(F.sum("n").alias("m")).filter("m > 1").select("gram", (F.col("m") > HOT_GRAM).alias("hot"))
+    of = lambda hot, c: F.when(F.col("hot") == hot, F.col(c))
+    grams = cut(counted.join(often, "gram").groupBy("seg").agg(F.collect_list(of(False, "gram")).alias("grams"), F.collect_list(of(True, "gram")).alias("hot"), F.sum(of(False, "n")).alias("n")), "grams")
     drop_cut(counted)
     many = grams.agg(F.sum("n")).first()[0] or 0
     flagged = segs.join(grams.select("seg", "grams"), "seg")
     found = judged(second_pass(flagged, splitters(flagged, max(1, -(-many // BUCKET_SUFFIXES)))))
+    hottest = grams.filter(F.size("hot") > 0).select("seg", F.col("hot").alias("grams"))
+    if not hottest.isEmpty():
+        found = found.unionByName(judged_by_strings(second_pass(segs.join(hottest, "seg"), [])))
     spans = cut(found.groupBy("seg").agg(F.collect_list(F.struct("places", "before", "behind")).alias("spans")), "spans")
     drop_cut(grams)
     return segs.join(spans, "seg", "left")
