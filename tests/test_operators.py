@@ -5,7 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from verimill.operators import analytics, claims, conflicts, evaluation, filters, governance, quality, retrieval, versions
+from verimill.operators import analytics, claims, conflicts, evaluation, filters, governance, graph, quality, retrieval, versions
 
 
 def test_checks_of_a_document(spark):
@@ -183,6 +183,46 @@ def test_one_title_head_in_many_titles_pairs_only_what_matches(spark):
     assert {(r.document_a_id, r.document_b_id) for r in got} == {(n, n + 1)}
 
 
+@pytest.mark.parametrize("hot", [0, 1, 3, 1_000])
+def test_chunk_overlap_against_all_pairs(spark, monkeypatch, hot):
+    """Common chunk hashes meet by sets, rare ones by documents; repeated chunks, two tenants, and hashes that few documents hold."""
+    monkeypatch.setattr(conflicts, "HOT_CHUNK", hot)
+    rng = random.Random(6)
+    held = {d: [rng.choice("hhffabcdefgijklmnop") for _ in range(rng.randint(0, 6))] for d in range(60)}
+    docs = spark.createDataFrame([(d, d % 2, f"c{d}", max(len(c), 1), "indexed") for d, c in held.items()], "document_id long, tenant_id long, content_hash string, chunk_count long, status string")
+    chunks = spark.createDataFrame([(d, d % 2, h) for d, c in held.items() for h in c], "document_id long, tenant_id long, chunk_hash string")
+    want = set()
+    for a in held:
+        met = sorted((-sum(h in held[a] for h in held[b]), b) for b in held if a != b and a % 2 == b % 2)
+        want |= {(a, b, -n, i + 1) for i, (n, b) in enumerate(x for x in met if x[0] < -1) if i < 5}
+    got = conflicts.chunk_overlap(chunks, docs).collect()
+    assert {(r.document_a_id, r.document_b_id, r.shared, r["rank"]) for r in got} == want and len(got) == len(want)
+
+
+def test_one_chunk_and_one_predicate_in_many_documents(spark):
+    """20,000 documents with one header and footer, and as many values of one predicate: no pair of all with all is made."""
+    n = 20_000
+    docs = spark.range(n).select(F.col("id").alias("document_id"), F.lit(1).alias("tenant_id"), F.col("id").alias("content_hash"), F.lit(3).alias("chunk_count"), F.lit("indexed").alias("status"))
+    chunks = docs.select("document_id", "tenant_id", F.explode(F.array(F.lit("head"), F.lit("foot"), F.col("document_id").cast("string"))).alias("chunk_hash"))
+    got = conflicts.chunk_overlap(chunks, docs)
+    assert got.count() == 5 * n and got.filter("shared <> 2").count() == 0
+    assert [r.document_b_id for r in got.filter("document_a_id = 2").orderBy("rank").collect()] == [0, 1, 3, 4, 5]
+    claims_of = spark.range(n).select(F.lit(1).alias("tenant_id"), F.col("id").alias("document_id"), F.col("id").alias("claim_id"), F.lit("s").alias("subject"), F.lit("Owner").alias("predicate"), F.col("id").cast("string").alias("object_value"), (1 / (F.col("id") + 1)).alias("confidence"), F.lit("active").alias("status"))
+    star = conflicts.claim_conflicts(claims_of)
+    assert star.count() == n - 1 and star.filter(f"claim_a <> 0 OR variants <> {n}").count() == 0
+    links = graph.claim_links(claims_of)
+    assert links.count() == n and links.filter(f"agreeing <> 0 OR contradicting <> {n - 1}").count() == 0
+
+
+def test_claim_links_count_what_edges_list(spark):
+    rng = random.Random(8)
+    rows = [(i % 2, rng.randint(0, 12), i, rng.choice(["p", " P", "q"]), rng.choice(["x", "X ", "y", None]), "active") for i in range(80)]
+    df = spark.createDataFrame(rows, "tenant_id long, document_id long, claim_id long, predicate string, object_value string, status string")
+    seen = {(t, p.strip().lower(), x.strip().lower(), d) for t, d, _, p, x, _ in rows if x is not None}
+    want = {(*r, min(o[3] for o in seen if o[:3] == r[:3]), sum(o[:3] == r[:3] for o in seen) - 1, sum(o[:2] == r[:2] and o[2] != r[2] and o[3] != r[3] for o in seen)) for r in seen}
+    assert {tuple(r) for r in graph.claim_links(df).collect()} == want
+
+
 @pytest.mark.parametrize("stretch", [1, 7, 20_000])
 def test_admission_in_stretches_is_that_of_the_whole(spark, monkeypatch, stretch):
     from verimill.streaming.admission import admit

@@ -22,18 +22,39 @@ def duplicate_conflicts(docs: DataFrame, most: int = 5) -> DataFrame:
     return live.join(first, ["tenant_id", "content_hash"]).filter("place_b < place").select(F.col("document_id").alias("document_a_id"), "document_b_id", F.lit(1.0).alias("confidence"))
 
 
+#: A chunk hash that more documents of a tenant hold is met by sets of such hashes in chunk_overlap(), not by documents.
+HOT_CHUNK = 256
+
+
 def chunk_overlap(chunks: DataFrame, docs: DataFrame, most: int = 5) -> DataFrame:
-    """Pass 2: (document_a_id, document_b_id, shared, ratio, rank): pairs of one tenant with more than one chunk of b in a.
+    """Pass 2: (document_a_id, document_b_id, shared, ratio, rank): pairs of one tenant with more than one chunk of b in a, the first `most` for a.
 
     Each distinct hash of a is met with every chunk of b. Copies of documents are left to pass 1: they are one document here, the first.
+    Documents meet on hashes that up to HOT_CHUNK of them hold. Those of the others, headers and footers, form a document's set; each two
+    sets that occur meet once, and a set's first most + 1 documents by what they share and id stand for all that share no rarer hash:
+    anything behind them is behind them for every document of the set. So nothing is lost, and a common line isn't all pairs.
     """
     live = docs.filter("status <> 'deleted'")
     first = Window.partitionBy("tenant_id", "content_hash")
     once = live.withColumn("first_id", F.min("document_id").over(first)).filter("document_id = first_id").select("document_id", "tenant_id", "chunk_count")
-    rows = chunks.join(once.select("document_id"), "document_id", "left_semi").select("tenant_id", "chunk_hash", "document_id")
-    a = rows.distinct().withColumnRenamed("document_id", "document_a_id")
-    b = rows.groupBy("tenant_id", "chunk_hash", "document_id").agg(F.count("*").alias("n")).withColumnRenamed("document_id", "document_b_id")
-    pairs = a.join(b, ["tenant_id", "chunk_hash"]).filter("document_a_id <> document_b_id").groupBy("document_a_id", "document_b_id").agg(F.sum("n").alias("shared")).filter("shared > 1")
+    rows = chunks.join(once.select("document_id"), "document_id", "left_semi").groupBy("tenant_id", "chunk_hash", "document_id").agg(F.count("*").alias("n"))
+    keys = ["tenant_id", "chunk_hash"]
+    common = rows.groupBy(*keys).agg(F.count("*").alias("holders")).filter(F.col("holders") > HOT_CHUNK).select(*keys)
+    rare = rows.join(common, keys, "left_anti")
+    a, b = rare.select(*keys, F.col("document_id").alias("document_a_id")), rare.select(*keys, F.col("document_id").alias("document_b_id"), "n")
+    met = a.join(b, keys).filter("document_a_id <> document_b_id").groupBy("tenant_id", "document_a_id", "document_b_id").agg(F.sum("n").alias("rarer"))
+
+    held = rows.join(common, keys, "left_semi")
+    sets = held.groupBy("tenant_id", "document_id").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "chunk_hash", "n")))), 256).alias("set"))
+    items = held.join(sets.groupBy("tenant_id", "set").agg(F.min("document_id").alias("document_id")), ["tenant_id", "document_id"])
+    both = items.select(*keys, F.col("set").alias("set_a")).join(items.select(*keys, F.col("set").alias("set_b"), "n"), keys).groupBy("tenant_id", "set_a", "set_b").agg(F.sum("n").alias("common"))
+    of = lambda s: sets.select("tenant_id", F.col("document_id").alias(f"document_{s}_id"), F.col("set").alias(f"set_{s}"))
+    heads = ranked(of("b"), ["tenant_id", "set_b"], F.asc("document_b_id"), most=most + 1, name="place").drop("place")
+    heads = ranked(both.filter("common > 1").join(heads, ["tenant_id", "set_b"]), ["tenant_id", "set_a"], F.desc("common"), F.asc("document_b_id"), most=most + 1, name="place")
+    by_sets = of("a").join(heads, ["tenant_id", "set_a"]).filter("document_a_id <> document_b_id").select("document_a_id", "document_b_id", F.col("common").alias("shared"))
+    full = met.join(of("a"), ["tenant_id", "document_a_id"], "left").join(of("b"), ["tenant_id", "document_b_id"], "left").join(both, ["tenant_id", "set_a", "set_b"], "left")
+    by_rows = full.select("document_a_id", "document_b_id", (F.col("rarer") + F.coalesce("common", F.lit(0))).alias("shared"))
+    pairs = by_rows.unionByName(by_sets).groupBy("document_a_id", "document_b_id").agg(F.max("shared").alias("shared")).filter("shared > 1")
     sized = pairs.join(once.select(F.col("document_id").alias("document_b_id"), "chunk_count"), "document_b_id").withColumn("ratio", F.round(F.col("shared") / F.greatest("chunk_count", F.lit(1)), 6))
     return ranked(sized, ["document_a_id"], F.desc("shared"), F.asc("document_b_id"), most=most).select("document_a_id", "document_b_id", "shared", "ratio", "rank")
 
@@ -138,14 +159,20 @@ def similar_claim_conflicts(claims: DataFrame, similar: DataFrame, least: float
 
 
 def claim_conflicts(claims: DataFrame, same_subject: bool = False) -> DataFrame:
-    """(claim_a, claim_b, predicate): active claims of one tenant with one normalised predicate and different values, one pair for each two
-    values: each value's surest claim stands for it, so that repeated claims don't multiply."""
+    """(claim_a, claim_b, predicate, value_a, value_b, variants): active claims of one tenant with one normalised predicate and different values.
+
+    Each value is stood for by its surest claim and meets that of the predicate's surest value: one row for each further value. The values of
+    a predicate, `variants` many, all conflict with each other, so the predicate is the class and no two of its values need a row of their own.
+    Claims without a value conflict with none; cluster_variants() has the claims of each value.
+    """
     p, v = F.lower(F.trim("predicate")).alias("p"), F.lower(F.trim("object_value")).alias("value")
     keys = ["tenant_id", "p", *(["subject"] if same_subject else [])]
-    best = claims.filter("status = 'active'").select("tenant_id", "subject", p, v, "claim_id", "confidence")
+    best = claims.filter("status = 'active' AND object_value IS NOT NULL").select("tenant_id", "subject", p, v, "claim_id", "confidence")
     best = ranked(best, [*keys, "value"], F.desc("confidence"), F.asc("claim_id"), most=1)
-    a, b = (best.select(*keys, F.col("value").alias(f"value_{s}"), F.col("claim_id").alias(f"claim_{s}")) for s in "ab")
-    return a.join(b, keys).filter("value_a < value_b").select("claim_a", "claim_b", F.col("p").alias("predicate"), "value_a", "value_b")
+    surest = F.struct((-F.col("confidence")).alias("below"), "claim_id", "value")
+    heads = best.groupBy(*keys).agg(F.min(surest).alias("head"), F.count("*").alias("variants")).filter("variants > 1")
+    met = best.join(heads, keys).filter(F.col("value") != F.col("head.value"))
+    return met.select(F.col("head.claim_id").alias("claim_a"), F.col("claim_id").alias("claim_b"), F.col("p").alias("predicate"), F.col("head.value").alias("value_a"), F.col("value").alias("value_b"), "variants")
 
 
 def similar_predicates(claims: DataFrame, least: float = 0.45) -> DataFrame:

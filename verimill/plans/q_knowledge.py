@@ -428,7 +428,7 @@ def _(v):
     return cf.flag_documents(v("docs"), v("conflicts")).select("document_id", "conflict_status")
 
 
-@query("c7_claim_conflicts", "WITH b AS (SELECT *, lower(trim(predicate)) AS p, lower(trim(object_value)) AS x FROM {claims} WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY tenant_id, p, x ORDER BY confidence DESC, claim_id) = 1) SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, a.p AS predicate, a.x AS value_a, b.x AS value_b FROM b a JOIN b ON a.tenant_id = b.tenant_id AND a.p = b.p AND a.x < b.x")
+@query("c7_claim_conflicts", "WITH b AS (SELECT tenant_id, claim_id, confidence, lower(trim(predicate)) AS p, lower(trim(object_value)) AS x FROM {claims} WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY tenant_id, p, x ORDER BY confidence DESC, claim_id) = 1), h AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, p ORDER BY confidence DESC, claim_id) AS r, count(*) OVER (PARTITION BY tenant_id, p) AS variants FROM b) SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, a.p AS predicate, a.x AS value_a, b.x AS value_b, a.variants FROM h a JOIN h b ON a.tenant_id = b.tenant_id AND a.p = b.p AND a.r = 1 AND b.r > 1")
 def _(v):
     return cf.claim_conflicts(v("claims"))
 

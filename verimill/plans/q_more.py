@@ -224,6 +224,14 @@ def _(v):
     return gr.claim_edges(narrow_claims(v), None)
 
 
+@query(
+    "i39_claim_links",
+    "WITH r AS (SELECT DISTINCT tenant_id, lower(trim(predicate)) AS predicate, lower(trim(object_value)) AS value, document_id FROM {claims} WHERE status = 'active') SELECT tenant_id, predicate, value, document_id, CAST(min(document_id) OVER v AS BIGINT) AS class_id, CAST(count(*) OVER v - 1 AS BIGINT) AS agreeing, CAST(count(*) OVER p - count(*) OVER v - count(*) OVER d + 1 AS BIGINT) AS contradicting FROM r WINDOW v AS (PARTITION BY tenant_id, predicate, value), p AS (PARTITION BY tenant_id, predicate), d AS (PARTITION BY tenant_id, predicate, document_id)",
+)
+def _(v):
+    return gr.claim_links(v("claims"))
+
+
 @query("i39_similar_claim_edges")
 def _(v):
     return gr.claim_edges(titles_as_claims(v), 0.5)
