@@ -22,6 +22,16 @@ def duplicate_conflicts(docs: DataFrame, most: int = 5) -> DataFrame:
     return live.join(first, ["tenant_id", "content_hash"]).filter("place_b < place").select(F.col("document_id").alias("document_a_id"), "document_b_id", F.lit(1.0).alias("confidence"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as written to the folder that spark.checkpoint.dir names; only a local session may do without, and has a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
+        context.setCheckpointDir("/tmp/verimill-scratch")
+    return df.checkpoint()
+
+
 #: A chunk hash that more documents of a tenant hold is met by sets of such hashes in chunk_overlap(), not by documents.
 HOT_CHUNK = 256
 
@@ -38,6 +48,7 @@ def chunk_overlap(chunks: DataFrame, docs: DataFrame, most: int = 5) -> DataFram
     first = Window.partitionBy("tenant_id", "content_hash")
     once = live.withColumn("first_id", F.min("document_id").over(first)).filter("document_id = first_id").select("document_id", "tenant_id", "chunk_count")
     rows = chunks.join(once.select("document_id"), "document_id", "left_semi").groupBy("tenant_id", "chunk_hash", "document_id").agg(F.count("*").alias("n"))
+    rows = checkpointed(rows)  # read six times
     keys = ["tenant_id", "chunk_hash"]
     common = rows.groupBy(*keys).agg(F.count("*").alias("holders")).filter(F.col("holders") > HOT_CHUNK).select(*keys)
     rare = rows.join(common, keys, "left_anti")
