@@ -14,9 +14,13 @@ BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """A given table, with only the named columns."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
+
+
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """The table `documents`, with only the named columns."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*cols)
+    return table(spark, sf_dir, "documents", *cols)
 
 
 def words(text: Column) -> Column:

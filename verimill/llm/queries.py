@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, license_scan, matroska, mixing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup
-from .common import documents
+from . import bpe, decontamination, language_id, license_scan, matroska, mixing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup
+from .common import documents, table
 
 QUERIES = {
     "op1_mixing": lambda spark, sf_dir: mixing.op1_mixing(documents(spark, sf_dir, "doc_id", "text", "source")),
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_simhash": lambda spark, sf_dir: simhash.op8_simhash(documents(spark, sf_dir, "doc_id", "text")),
     "op9_bpe": lambda spark, sf_dir: bpe.op9_bpe(documents(spark, sf_dir, "doc_id", "text")),
     "op10_sharding": lambda spark, sf_dir: sharding.op10_sharding(documents(spark, sf_dir, "doc_id", "text")),
+    "op13_decontamination": lambda spark, sf_dir: decontamination.op13_decontamination(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")),
 }
 
-ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op3_quality_rules": quality_rules.ORACLE}
+ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op13_decontamination": decontamination.ORACLE}
