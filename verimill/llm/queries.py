@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, language_id, license_scan, matroska, mixing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup
+from . import bpe, decontamination, language_id, license_scan, matroska, mixing, phrases, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, va_file
 from .common import documents, table
 
 QUERIES = {
@@ -16,7 +16,9 @@ QUERIES = {
     "op8_simhash": lambda spark, sf_dir: simhash.op8_simhash(documents(spark, sf_dir, "doc_id", "text")),
     "op9_bpe": lambda spark, sf_dir: bpe.op9_bpe(documents(spark, sf_dir, "doc_id", "text")),
     "op10_sharding": lambda spark, sf_dir: sharding.op10_sharding(documents(spark, sf_dir, "doc_id", "text")),
+    "op11_clustering": lambda spark, sf_dir: va_file.op11_clustering(table(spark, sf_dir, "embeddings", "vec_id", "embedding")),
+    "op12_phrases": lambda spark, sf_dir: phrases.op12_phrases(documents(spark, sf_dir, "lang", "text")),
     "op13_decontamination": lambda spark, sf_dir: decontamination.op13_decontamination(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")),
 }
 
-ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op13_decontamination": decontamination.ORACLE}
+ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op11_clustering": va_file.ORACLE, "op12_phrases": phrases.ORACLE, "op13_decontamination": decontamination.ORACLE}
