@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from verimill.llm import decontamination
+from verimill.llm import decontamination, phrases
 from verimill.llm.fm_index import Index, TwoWay
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -106,3 +106,47 @@ def test_spans_are_removed(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     got = {r.doc_id: (r.text, r.n_hit) for r in decontamination.removed(docs, bench).collect()}
     assert got == {1: ("keep this and that", 10), 2: ("a b c", 0), 3: (None, 0)}
+
+
+def collocations(rows, least, most):
+    counts, total = {}, Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            own = counts.setdefault(lang, Counter())
+            for k in (1, 2, 3, 4):
+                own.update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, own in counts.items():
+        found = {p: a for p, a in own.items() if len(p) > 1 and a >= least}
+        longer = Counter()
+        for p, a in found.items():
+            for sub in {p[i : i + m] for m in range(2, len(p)) for i in range(len(p) - m + 1)}:
+                longer[sub] = max(longer[sub], a)
+        kept = []
+        for p, a in found.items():
+            if 100 * longer[p] < 80 * a:
+                score, k = min((2000000 * a // (own[p[:k]] + own[p[k:]]), k) for k in range(1, len(p)))
+                kept.append((-score, -a, " ".join(p).encode(), own[p[:k]], own[p[k:]]))
+        out += [(lang, r, p.decode(), -a, left, right, total[lang], -s) for r, (s, a, p, left, right) in enumerate(sorted(kept)[:most], 1)]
+    return sorted(out, key=str)
+
+
+def test_phrases(spark, odd, rows, empty):
+    texts = [(r[2], r[1]) for r in rows]
+    for least, most in ((30, 2000), (2, 40)):
+        got = sorted(map(tuple, phrases.op12_phrases(odd, least, most).collect()), key=str)
+        assert got == collocations(texts, least, most)
+    assert phrases.op12_phrases(empty).count() == 0
+
+
+def test_phrase_shards_and_languages(spark):
+    """Many small shards of languages with odd names give the same counts, whatever a filter lets through."""
+    rng = random.Random(5)
+    texts = [(rng.choice(["en", "a\nb", "a", None, "und", ""]), " ".join(rng.choice("ab.cd") + rng.choice("xyz") for _ in range(rng.randrange(200)))) for _ in range(60)]
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(3)
+    assert phrases.shards(docs, 500).count() > 10
+    got = sorted(map(tuple, phrases.op12_phrases(docs, 5, 100).collect()), key=str)
+    assert got == collocations(texts, 5, 100)

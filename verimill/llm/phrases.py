@@ -140,7 +140,8 @@ def joined(words: pa.Array, rows: np.ndarray) -> pa.Array:
 
 
 def phrase_counts(table: DataFrame, frequent: Bloom, pairs: Bloom | None) -> DataFrame:
-    """(lang, words, phrase, n) of each shard: its phrases of two words; or, with `pairs`, those of three and four words all of whose pairs it has."""
+    """(key, n) of each shard: its phrases of two words; or, with `pairs`, those of three and four words all of whose pairs it has. A key is the
+    language, a line feed, which no phrase has, and the phrase: one string makes the smallest rows to shuffle."""
     spark = table.sparkSession
     held = spark.sparkContext.broadcast((frequent.bits, frequent.words, *((pairs.bits, pairs.words) if pairs else ())))
 
@@ -169,9 +170,9 @@ def phrase_counts(table: DataFrame, frequent: Bloom, pairs: Bloom | None) -> Dat
                 for rows, n in phrases_of(TwoWay(y, len(known) + 1, LONGEST), hashes, filters[1] if len(filters) > 1 else None):
                     for at in range(0, len(rows), 200_000):
                         part = rows[at : at + 200_000]
-                        yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(part), np.int32))), pa.array(np.full(len(part), rows.shape[1], np.int32)), joined(names, part), pa.array(n[at : at + 200_000])], ["lang", "words", "phrase", "n"])
+                        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(lang, joined(names, part), "\n"), pa.array(n[at : at + 200_000])], ["key", "n"])
 
-    return table.select("lang", "words", "text").mapInArrow(run, "lang string, words int, phrase string, n long")
+    return table.select("lang", "words", "text").mapInArrow(run, "key string, n long")
 
 
 def phrases_of(index: TwoWay, hashes: np.ndarray, pairs: Bloom | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -205,8 +206,9 @@ def frequent_phrases(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataF
     one = one.filter(F.col("n") >= least).select("lang", F.lit(1).alias("words"), "phrase", "n")
     frequent, found, pairs = bloom(one), [], None
     for name in ("pairs", "longer"):
-        summed = phrase_counts(table, frequent, pairs).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        found.append(cut(summed, name))
+        summed = phrase_counts(table, frequent, pairs).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        summed = summed.withColumn("phrase", F.substring_index("key", "\n", -1))
+        found.append(cut(summed.select(F.expr("left(key, length(key) - length(phrase) - 1)").alias("lang"), F.size(F.split("phrase", " ")).alias("words"), "phrase", "n"), name))
         pairs = pairs or bloom(found[0])
     drop_cut(table)
     return one.unionByName(found[0]).unionByName(found[1]), sizes
