@@ -1,10 +1,15 @@
-"""Versions: upsert, version log, line changes, claim changes, re-embedding plan."""
+"""Versions: upsert, version log, ordered line diffs, claim changes, re-embedding plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.linediff import hunks
+
 KEY = ["tenant_id", "source_id", "source_object_id"]
 
 
@@ -35,11 +40,36 @@ def version_pairs(versions: DataFrame) -> DataFrame:
     return versions.withColumn("previous", F.lag("content_snapshot").over(w)).filter("previous IS NOT NULL")
 
 
+HUNKS = "array<struct<old_first:int,old_lines:int,new_first:int,new_lines:int,lines:array<string>>>"
+
+
+def line_diffs(pairs: DataFrame, context: int = 3) -> DataFrame:
+    """(document_id, version, added, removed, hunks) of pairs (document_id, version, previous, content_snapshot): the ordered line diff of each
+    pair, with the hunks of a unified diff. A line that moved is removed and added. Null texts are empty."""
+    kinds = pa.schema([("added", pa.int64()), ("removed", pa.int64()), ("hunks", pa.list_(pa.struct([*[(c, pa.int32()) for c in ("old_first", "old_lines", "new_first", "new_lines")], ("lines", pa.list_(pa.string()))])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # a row has two whole texts
+                rows = batch.slice(at, 64)
+                found = [hunks(a or "", b or "", context) for a, b in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)]
+                made = [pa.array([f[k] for f in found], field.type) for k, field in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *made], ["document_id", "version", *kinds.names])
+
+    return pairs.select(F.col("document_id").cast("long").alias("document_id"), F.col("version").cast("long").alias("version"), "previous", "content_snapshot").mapInArrow(run, f"document_id long, version long, added long, removed long, hunks {HUNKS}")
+
+
+def unified(old: Column, new: Column) -> Column:
+    """The text of a unified diff of the column `hunks`, between versions named `old` and `new`; empty without a change."""
+    span = lambda h, s: F.concat(h[f"{s}_first"].cast("string"), F.when(h[f"{s}_lines"] != 1, F.concat(F.lit(","), h[f"{s}_lines"])).otherwise(""))
+    line = lambda x: F.when(F.endswith(x, F.lit("\n")), x).otherwise(F.concat(x, F.lit("\n")))
+    part = lambda h: F.concat(F.lit("@@ -"), span(h, "old"), F.lit(" +"), span(h, "new"), F.lit(" @@\n"), F.array_join(F.transform(h["lines"], line), ""))
+    return F.when(F.size("hunks") == 0, "").otherwise(F.concat(F.lit("--- "), old, F.lit("\n+++ "), new, F.lit("\n"), F.array_join(F.transform("hunks", part), "")))
+
+
 def line_changes(pairs: DataFrame) -> DataFrame:
-    """(document_id, version, added, removed): lines that one version has more often than the other, counted with repeats."""
-    side = lambda c, sign: pairs.select("document_id", "version", F.explode(F.split(c, "\n")).alias("line")).groupBy("document_id", "version", "line").agg((F.count("*") * sign).alias("n"))
-    net = side("content_snapshot", 1).unionByName(side("previous", -1)).groupBy("document_id", "version", "line").agg(F.sum("n").alias("n"))
-    return net.groupBy("document_id", "version").agg(F.sum(F.greatest("n", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("removed"))
+    """(document_id, version, added, removed): lines of the ordered diff of each pair."""
+    return line_diffs(pairs).drop("hunks")
 
 
 def version_diffs(versions: DataFrame, claims: DataFrame) -> DataFrame:

@@ -184,11 +184,33 @@ def _(v):
     return vs.version_pairs(v("versions")).select("document_id", "version", F.sha2("content_snapshot", 256).alias("h1"), F.sha2("previous", 256).alias("h0"))
 
 
-@query("f15_i40_line_changes", "WITH pr AS (SELECT * FROM (SELECT *, lag(content_snapshot) OVER (PARTITION BY document_id ORDER BY version) AS p FROM {versions}) WHERE p IS NOT NULL), ln AS (SELECT document_id, version, line, sum(n) AS n FROM (SELECT document_id, version, unnest(string_split(content_snapshot, chr(10))) AS line, 1 AS n FROM pr UNION ALL SELECT document_id, version, unnest(string_split(p, chr(10))), -1 FROM pr) GROUP BY ALL) SELECT document_id, version, CAST(sum(greatest(n, 0)) AS BIGINT) AS added, CAST(sum(greatest(-n, 0)) AS BIGINT) AS removed FROM ln GROUP BY ALL")
+# The fixture's versions keep their order, so that counting lines, each with what ends it, gives what aligning them does.
+_LINES = "pr AS (SELECT * FROM (SELECT *, lag(content_snapshot) OVER (PARTITION BY document_id ORDER BY version) AS p FROM {versions}) WHERE p IS NOT NULL), cut AS (SELECT document_id, version, 1 AS n, string_split(content_snapshot, chr(10)) AS s FROM pr UNION ALL SELECT document_id, version, -1, string_split(p, chr(10)) FROM pr), ln AS (SELECT document_id, version, line, sum(n) AS n FROM (SELECT document_id, version, n, unnest(s) AS x, generate_subscripts(s, 1) AS i, len(s) AS k, CASE WHEN i < k THEN concat(x, chr(10)) ELSE x END AS line FROM cut) WHERE line <> '' GROUP BY ALL)"
+
+
+@query("f15_i40_line_changes", "WITH " + _LINES + " SELECT document_id, version, CAST(sum(greatest(n, 0)) AS BIGINT) AS added, CAST(sum(greatest(-n, 0)) AS BIGINT) AS removed FROM ln GROUP BY ALL")
 def _(v):
     return vs.line_changes(vs.version_pairs(v("versions")))
 
 
+def revised(v):
+    """A later version of each document: the first two lines moved to the end, each seventh changed, each eleventh gone."""
+    lines = F.split("text", "\n")
+    kept = F.filter(F.transform(lines, lambda x, i: F.when(i % 7 == 3, F.concat(x, F.lit(" (revised)"))).otherwise(x)), lambda x, i: i % 11 != 5)
+    after = F.concat(F.slice(kept, F.lit(3), F.greatest(F.size(kept) - 2, F.lit(0))), F.slice(kept, 1, 2))
+    return v("docs").filter("text IS NOT NULL").select("document_id", "version", F.col("text").alias("previous"), F.array_join(after, "\n").alias("content_snapshot"))
+
+
+@query("f15_ordered_line_diff")
+def _(v):
+    return vs.line_diffs(revised(v)).select("document_id", "version", "added", "removed", F.to_json("hunks").alias("hunks"))
+
+
+@query("i40_unified_diff")
+def _(v):
+    return vs.line_diffs(revised(v)).select("document_id", "version", vs.unified(F.concat(F.lit("v"), "version"), F.concat(F.lit("v"), F.col("version") + 1)).alias("diff"))
+
+
 def wide_claims(v):
     return v("claims").withColumn("predicate", F.concat(F.lit("Flag "), F.col("tenant_id")))
 
@@ -555,7 +577,7 @@ def _(v):
     return vs.history(v("versions"))
 
 
-@query("i40_version_diffs", "WITH pr AS (SELECT * FROM (SELECT *, lag(content_snapshot) OVER (PARTITION BY document_id ORDER BY version) AS p FROM {versions}) WHERE p IS NOT NULL), ln AS (SELECT document_id, version, line, sum(n) AS n FROM (SELECT document_id, version, unnest(string_split(content_snapshot, chr(10))) AS line, 1 AS n FROM pr UNION ALL SELECT document_id, version, unnest(string_split(p, chr(10))), -1 FROM pr) GROUP BY ALL), df AS (SELECT document_id, version, sum(greatest(n, 0)) AS added, sum(greatest(-n, 0)) AS removed FROM ln GROUP BY ALL), nw AS (SELECT document_id, object_value AS new_value FROM {claims} WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY confidence DESC, claim_id) = 1), ch AS (SELECT document_id, count(*) AS n FROM (SELECT DISTINCT c.document_id, c.object_value FROM {claims} c JOIN nw ON nw.document_id = c.document_id WHERE c.status = 'superseded' AND c.object_value <> new_value) GROUP BY 1), tv AS (SELECT document_id, max(version) AS version FROM {versions} GROUP BY 1) SELECT df.document_id, df.version, CAST(added AS BIGINT) AS added, CAST(removed AS BIGINT) AS removed, CAST(CASE WHEN tv.version IS NOT NULL THEN coalesce(ch.n, 0) ELSE 0 END AS BIGINT) AS claims_changed FROM df LEFT JOIN tv ON tv.document_id = df.document_id AND tv.version = df.version LEFT JOIN ch ON ch.document_id = df.document_id")
+@query("i40_version_diffs", "WITH " + _LINES + ", df AS (SELECT document_id, version, sum(greatest(n, 0)) AS added, sum(greatest(-n, 0)) AS removed FROM ln GROUP BY ALL), nw AS (SELECT document_id, object_value AS new_value FROM {claims} WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY confidence DESC, claim_id) = 1), ch AS (SELECT document_id, count(*) AS n FROM (SELECT DISTINCT c.document_id, c.object_value FROM {claims} c JOIN nw ON nw.document_id = c.document_id WHERE c.status = 'superseded' AND c.object_value <> new_value) GROUP BY 1), tv AS (SELECT document_id, max(version) AS version FROM {versions} GROUP BY 1) SELECT df.document_id, df.version, CAST(added AS BIGINT) AS added, CAST(removed AS BIGINT) AS removed, CAST(CASE WHEN tv.version IS NOT NULL THEN coalesce(ch.n, 0) ELSE 0 END AS BIGINT) AS claims_changed FROM df LEFT JOIN tv ON tv.document_id = df.document_id AND tv.version = df.version LEFT JOIN ch ON ch.document_id = df.document_id")
 def _(v):
     return vs.version_diffs(v("versions"), wide_claims(v))
 
