@@ -72,8 +72,8 @@ def test_claims(spark):
 
 
 def test_lint_gap(spark):
-    index = spark.createDataFrame([(s, p, "v") for s in "abc" for p in ("x", "y")] + [("d", "x", "v")], "subject_normalized string, predicate_normalized string, value string")
-    none = spark.createDataFrame([], "subject string, predicate string, object_value string, status string, valid_from date")
+    index = spark.createDataFrame([(1, s, p, "v") for s in "abc" for p in ("x", "y")] + [(1, "d", "x", "v")] + [(2, "e", "z", "v")], "tenant_id long, subject_normalized string, predicate_normalized string, value string")
+    none = spark.createDataFrame([], "tenant_id long, subject string, predicate string, object_value string, status string, valid_from date")
     got = claims.lint(index, none, F.lit("2024-01-01").cast("timestamp_ntz")).filter("kind = 'gap'").collect()
     assert [(r.subject, r.predicate) for r in got] == [("d", "y")]
 
@@ -108,7 +108,7 @@ def test_top_k_is_cut_before_the_shuffle(spark):
 
 
 def test_similar_predicates_have_no_cross_join(spark):
-    c = spark.createDataFrame([("return flag of part",), ("return flags of part",), ("other thing",)], "predicate string")
+    c = spark.createDataFrame([(1, "return flag of part"), (1, "return flags of part"), (1, "other thing"), (2, "return flag of parts")], "tenant_id long, predicate string")
     df = conflicts.similar_predicates(c, 0.45)
     assert "NestedLoop" not in plan(df) and "Cartesian" not in plan(df)
     assert [(r.predicate_a, r.predicate_b) for r in df.collect()] == [("return flag of part", "return flags of part")]
@@ -170,7 +170,7 @@ def test_similar_predicates_against_all_pairs(spark):
 
     for least in (0.3, 0.45, 0.8):
         want = {(a, b) for a in names for b in names if a < b and round(len(grams(a) & grams(b)) / len(grams(a) | grams(b)), 6) > least}
-        got = {(r.predicate_a, r.predicate_b) for r in conflicts.similar_predicates(spark.createDataFrame([(n,) for n in names], "predicate string"), least).collect()}
+        got = {(r.predicate_a, r.predicate_b) for r in conflicts.similar_predicates(spark.createDataFrame([(1, n) for n in names], "tenant_id long, predicate string"), least).collect()}
         assert got == want
 
 

@@ -12,27 +12,36 @@ def by_document(conflicts: DataFrame) -> DataFrame:
 
 
 def quality_by_source(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    live = docs.filter((F.col("status") != "deleted") & F.col("quality_score").isNotNull())
-    per = live.groupBy("source_id").agg(
+    """(tenant_id, source_id, documents, avg_quality, min_quality, low_quality, quarantined, name, source_type), worst first in each tenant.
+
+    Documents without a score count as documents; those without a known source are left out; quarantined is what review says.
+    """
+    per = docs.filter("status <> 'deleted'").groupBy("tenant_id", "source_id").agg(
         F.count("*").alias("documents"),
         F.round(F.avg("quality_score"), 6).alias("avg_quality"),
         F.round(F.min("quality_score"), 3).alias("min_quality"),
         F.count_if(F.col("quality_score") < 0.5).alias("low_quality"),
-        F.count_if(F.col("status") == "quarantined").alias("quarantined"),
+        F.count_if(F.col("review_status") == "quarantined").alias("quarantined"),
     )
-    return per.join(sources.select("source_id", "name", "source_type"), "source_id", "left").orderBy(F.asc_nulls_last("avg_quality"), "source_id")
+    return per.join(sources.select("source_id", "name", "source_type"), "source_id").orderBy("tenant_id", F.asc_nulls_last("avg_quality"), "source_id")
 
 
-def hotspots(conflicts: DataFrame, docs: DataFrame, most: int = 20) -> DataFrame:
-    """Documents with the most conflicts; aggregated before documents are joined."""
-    per = by_document(conflicts).groupBy("document_id").agg(F.count("*").alias("conflicts"), F.count_if(F.col("status") == "new").alias("unresolved"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
-    return docs.filter("status <> 'deleted'").select("document_id", "title", "source_id").join(per, "document_id").orderBy(F.desc("conflicts"), F.desc("unresolved"), "document_id").limit(most)
+def hotspots(conflicts: DataFrame, docs: DataFrame, sources: DataFrame, most: int = 20) -> DataFrame:
+    """(tenant_id, document_id, title, source_name, conflicts, unresolved, avg_confidence, rank): each tenant's `most` documents with the most
+    unresolved conflicts, then the most conflicts, ties by id. Conflicts are counted before documents are joined."""
+    per = by_document(conflicts).groupBy("tenant_id", "document_id").agg(F.count("*").alias("conflicts"), F.count_if(F.col("status") == "new").alias("unresolved"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+    named = docs.select("document_id", "title", "source_id").join(sources.select("source_id", F.col("name").alias("source_name")), "source_id")
+    order = Window.partitionBy("tenant_id").orderBy(F.desc("unresolved"), F.desc("conflicts"), "document_id")
+    top = per.join(named, "document_id").withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)
+    return top.select("tenant_id", "document_id", "title", "source_name", "conflicts", "unresolved", "avg_confidence", "rank")
 
 
-def claim_stability(claims: DataFrame) -> DataFrame:
-    total = F.count("*")
-    gone = F.count_if(F.col("status") == "superseded")
-    return claims.agg(total.alias("total"), F.count_if(F.col("status") == "active").alias("active"), gone.alias("superseded"), F.count_if(F.col("status") == "rejected").alias("rejected"), F.countDistinct("document_id").alias("documents"), F.when(total > 0, F.round(1 - gone / total, 4)).otherwise(1.0).alias("stability"))
+def claim_stability(claims: DataFrame, docs: DataFrame) -> DataFrame:
+    """Per tenant of the claims' documents: claims in all and by state, documents that have any, and the share that wasn't superseded."""
+    rows = claims.drop("tenant_id").join(docs.select("document_id", "tenant_id"), "document_id")
+    state = lambda s: F.count_if(F.col("status") == s)
+    per = rows.groupBy("tenant_id").agg(F.count("*").alias("total"), state("active").alias("active"), state("superseded").alias("superseded"), state("rejected").alias("rejected"), F.countDistinct("document_id").alias("documents"))
+    return per.withColumn("stability", F.round(1 - F.col("superseded") / F.col("total"), 4))
 
 
 def since(df: DataFrame, now: Column, period: str, at: str = "created_at") -> DataFrame:
@@ -64,20 +73,28 @@ def check_quota(quota: DataFrame) -> DataFrame:
     return quota.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull())
 
 
-def source_tree(docs: DataFrame, conflicts: DataFrame, claims: DataFrame | None = None) -> DataFrame:
-    """Counts for each source and for each folder in it; folder NULL is the source's own row. A path without a folder is '(root)'."""
+def source_tree(sources: DataFrame, docs: DataFrame, conflicts: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """Counts for each source, also one without documents, and for each folder in it; folder NULL is the source's own row.
+
+    A document's folder is metadata's folder_path (if there is a map doc_metadata), else what stands before the last slash of its path, else
+    '(root)'. Quarantined is what review says; conflicted documents are named by an open conflict.
+    """
     touched = by_document(conflicts.filter("status = 'new'")).select("document_id").distinct().withColumn("conflicted", F.lit(1))
-    folder = F.coalesce(F.nullif(F.regexp_extract("source_path", r"^(.*)/[^/]*$", 1), F.lit("")), F.lit("(root)"))
-    rows = docs.filter("status <> 'deleted'").withColumn("folder", folder).join(touched, "document_id", "left")
+    set_ = lambda c: F.nullif(c, F.lit(""))
+    folder = [set_(F.regexp_extract("source_path", r"^(.*)/[^/]*$", 1)), F.lit("(root)")]
+    if "doc_metadata" in docs.columns:
+        at = F.coalesce(set_(F.col("doc_metadata")["source_path"]), set_(F.col("doc_metadata")["path"]), "source_path")
+        folder = [set_(F.col("doc_metadata")["folder_path"]), set_(F.regexp_extract(at, r"^(.*)/[^/]*$", 1)), F.lit("(root)")]
+    rows = docs.filter("status <> 'deleted'").withColumn("folder", F.coalesce(*folder)).join(touched, "document_id", "left")
     if claims is not None:
         active = claims.filter("status = 'active'").groupBy("document_id").agg(F.count("*").alias("active_claims"))
         rows = rows.join(active, "document_id", "left")
     else:
         rows = rows.withColumn("active_claims", F.lit(0).cast("long"))
-    return rows.rollup("source_id", "folder").agg(
+    per = rows.rollup("source_id", "folder").agg(
         F.count("*").alias("documents"),
         F.count_if(F.col("status") == "indexed").alias("indexed"),
-        F.count_if(F.col("status") == "quarantined").alias("quarantined"),
+        F.count_if(F.col("review_status") == "quarantined").alias("quarantined"),
         F.count("conflicted").alias("conflicted"),
         F.round(F.avg("quality_score"), 6).alias("avg_quality"),
         F.min("quality_score").alias("min_quality"),
@@ -85,6 +102,8 @@ def source_tree(docs: DataFrame, conflicts: DataFrame, claims: DataFrame | None
         F.coalesce(F.sum("active_claims"), F.lit(0)).alias("active_claims"),
         F.grouping_id().alias("g"),
     ).filter("g < 3").drop("g")
+    named = sources.select("source_id", "tenant_id", "name", "source_type")
+    return named.join(per, "source_id", "left").fillna(0, ["documents", "indexed", "quarantined", "conflicted", "active_claims"])
 
 
 def feedback_boost(feedback: DataFrame, key: str = "document_id", weight: float = 0.1) -> DataFrame:

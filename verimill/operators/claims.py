@@ -102,39 +102,42 @@ def build_index(claims: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def normalize_predicates(claims: DataFrame, mapping: DataFrame) -> DataFrame:
-    """claims with the predicate of active ones replaced by mapping (original, canonical), and changed."""
-    m = mapping.select(F.col("original").alias("__o"), F.col("canonical").alias("__c"))
-    out = claims.join(m, (F.lower(F.trim("predicate")) == F.col("__o")) & (F.col("status") == "active"), "left")
+    """claims with the predicate of active ones replaced by their tenant's mapping (tenant_id, original, canonical), and changed."""
+    m = mapping.select(F.col("tenant_id").alias("__t"), F.col("original").alias("__o"), F.col("canonical").alias("__c"))
+    out = claims.join(m, (F.col("tenant_id") == F.col("__t")) & (F.lower(F.trim("predicate")) == F.col("__o")) & (F.col("status") == "active"), "left").drop("__t")
     return out.withColumn("changed", F.col("__c").isNotNull() & (F.col("__c") != F.col("predicate"))).withColumn("predicate", F.coalesce("__c", "predicate")).drop("__o", "__c")
 
 
 def propose_mapping(similar: DataFrame) -> DataFrame:
-    """(original, canonical): each predicate's smallest similar one, a stand-in for a model's proposal."""
-    return similar.groupBy(F.col("predicate_b").alias("original")).agg(F.min("predicate_a").alias("canonical"))
+    """(tenant_id, original, canonical): each predicate's smallest similar one in its tenant, a stand-in for a model's proposal."""
+    return similar.groupBy("tenant_id", F.col("predicate_b").alias("original")).agg(F.min("predicate_a").alias("canonical"))
 
 
 def lint(index: DataFrame, claims: DataFrame, now: Column, peers: float = 0.6) -> DataFrame:
-    """(kind, subject, predicate) findings: contradiction (several values), duplicate (one subject and value under two predicates), stale
-    (newest validity a year or more before now), gap (a predicate that `peers` of all subjects hold and this one lacks)."""
+    """(tenant_id, kind, subject, predicate) findings inside each tenant: contradiction (several values), duplicate (one subject and value under
+    two predicates), stale (newest validity a year or more before now), gap (a predicate that `peers` of all subjects hold and this one lacks)."""
     active = claims.filter("status = 'active'").withColumns({"s": normalize_text(F.col("subject")), "p": normalize_text(F.col("predicate"))})
-    per = active.groupBy("s", "p").agg(F.countDistinct(F.lower(F.trim("object_value"))).alias("n"), F.max("valid_from").alias("latest"))
-    contradiction = per.filter("n > 1").select(F.lit("contradiction").alias("kind"), F.col("s").alias("subject"), F.col("p").alias("predicate"))
-    stale = per.filter(F.col("latest") < F.add_months(now.cast("date"), -12)).select(F.lit("stale").alias("kind"), F.col("s").alias("subject"), F.col("p").alias("predicate"))
+    per = active.groupBy("tenant_id", "s", "p").agg(F.countDistinct(F.lower(F.trim("object_value"))).alias("n"), F.max("valid_from").alias("latest"))
+    named = lambda df, kind, s, p: df.select("tenant_id", F.lit(kind).alias("kind"), F.col(s).alias("subject"), F.col(p).alias("predicate"))
+    contradiction = named(per.filter("n > 1"), "contradiction", "s", "p")
+    stale = named(per.filter(F.col("latest") < F.add_months(now.cast("date"), -12)), "stale", "s", "p")
+    own = ["tenant_id", "subject_normalized", "predicate_normalized"]
     entries = index.withColumn("v", F.lower(F.trim("value")))
-    twins = entries.groupBy("subject_normalized", "v").agg(F.countDistinct("predicate_normalized").alias("n")).filter("n > 1")
-    duplicate = entries.join(twins, ["subject_normalized", "v"], "left_semi").select(F.lit("duplicate").alias("kind"), F.col("subject_normalized").alias("subject"), F.col("predicate_normalized").alias("predicate"))
-    subjects = index.select("subject_normalized").distinct()
-    usual = index.select("subject_normalized", "predicate_normalized").distinct().groupBy("predicate_normalized").agg(F.count("*").alias("n")).join(F.broadcast(subjects.agg(F.count("*").alias("all")))).filter(F.col("n") >= F.col("all") * peers).select("predicate_normalized")
-    # at most 1 / peers times as many rows as the index has: each usual predicate is held by that share of the subjects
-    gap = subjects.join(usual.agg(F.collect_list("predicate_normalized").alias("u"))).select("subject_normalized", F.explode("u").alias("predicate_normalized")).join(index.select("subject_normalized", "predicate_normalized"), ["subject_normalized", "predicate_normalized"], "left_anti")
-    gap = gap.select(F.lit("gap").alias("kind"), F.col("subject_normalized").alias("subject"), F.col("predicate_normalized").alias("predicate"))
-    return contradiction.unionByName(stale).unionByName(duplicate.distinct()).unionByName(gap)
+    twins = entries.groupBy("tenant_id", "subject_normalized", "v").agg(F.countDistinct("predicate_normalized").alias("n")).filter("n > 1")
+    duplicate = named(entries.join(twins, ["tenant_id", "subject_normalized", "v"], "left_semi"), "duplicate", *own[1:])
+    subjects = index.select(*own[:2]).distinct()
+    held = index.select(*own).distinct()
+    usual = held.groupBy("tenant_id", "predicate_normalized").agg(F.count("*").alias("n")).join(subjects.groupBy("tenant_id").agg(F.count("*").alias("all")), "tenant_id").filter(F.col("n") >= F.col("all") * peers)
+    # at most 1 / peers times as many rows as the index has: each usual predicate is held by that share of its tenant's subjects
+    gap = subjects.join(usual.select("tenant_id", "predicate_normalized"), "tenant_id").join(held, own, "left_anti")
+    return contradiction.unionByName(stale).unionByName(duplicate.distinct()).unionByName(named(gap, "gap", *own[1:]))
 
 
 def synthesize_topics(claims: DataFrame, most: int = 20) -> DataFrame:
-    """(topic, claim_count, documents, confidence, summary): the claims on each subject, surest first; the summary lists the first `most`."""
-    rows = claims.filter("status = 'active'")
-    top = ranked(rows, ["subject"], F.desc("confidence"), F.asc("claim_id"), most=most, name="r")
-    text = top.groupBy("subject").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat_ws(" ", "predicate", F.lit("="), "object_value").alias("t")))), lambda x: x["t"]), "; ").alias("summary"))
-    per = rows.groupBy("subject").agg(F.count("*").alias("claim_count"), F.countDistinct("document_id").alias("documents"), F.round(F.avg("confidence"), 6).alias("confidence"))
-    return per.join(text, "subject").withColumnRenamed("subject", "topic")
+    """(tenant_id, topic, claim_count, documents, confidence, summary): a tenant's claims on each subject, surest first; the summary lists the
+    first `most`."""
+    rows, own = claims.filter("status = 'active'"), ["tenant_id", "subject"]
+    top = ranked(rows, own, F.desc("confidence"), F.asc("claim_id"), most=most, name="r")
+    text = top.groupBy(*own).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat_ws(" ", "predicate", F.lit("="), "object_value").alias("t")))), lambda x: x["t"]), "; ").alias("summary"))
+    per = rows.groupBy(*own).agg(F.count("*").alias("claim_count"), F.countDistinct("document_id").alias("documents"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return per.join(text, own).withColumnRenamed("subject", "topic")

@@ -158,14 +158,14 @@ def conflict_tasks(conflicts: DataFrame, above: float = 0.5) -> DataFrame:
 
 
 def similar_claim_conflicts(claims: DataFrame, similar: DataFrame, least: float = 0.7) -> DataFrame:
-    """(claim_a, claim_b, predicate_a, predicate_b, confidence): active claims of one tenant on two predicates that `similar` (predicate_a,
-    predicate_b, similarity; normalised, of whatever measure) finds alike from `least` on, with different values. Confidence is 0.9 times the
+    """(claim_a, claim_b, predicate_a, predicate_b, confidence): active claims of one tenant on two predicates that `similar`
+    (tenant_id, predicate_a, predicate_b, similarity; normalised, of whatever measure) finds alike from `least` on, with different values. Confidence is 0.9 times the
     similarity; each predicate and value is stood for by its surest claim."""
     p, v = F.lower(F.trim("predicate")).alias("p"), F.lower(F.trim("object_value")).alias("value")
     best = ranked(claims.filter("status = 'active'").select("tenant_id", p, v, "claim_id", "confidence"), ["tenant_id", "p", "value"], F.desc("confidence"), F.asc("claim_id"), most=1)
     a, b = (best.select("tenant_id", F.col("p").alias(f"predicate_{s}"), F.col("value").alias(f"value_{s}"), F.col("claim_id").alias(f"claim_{s}")) for s in "ab")
     near = similar.filter(F.col("similarity") >= least)
-    met = near.join(a, "predicate_a").join(b, ["tenant_id", "predicate_b"]).filter("value_a <> value_b")
+    met = near.join(a, ["tenant_id", "predicate_a"]).join(b, ["tenant_id", "predicate_b"]).filter("value_a <> value_b")
     return met.select("claim_a", "claim_b", "predicate_a", "predicate_b", F.round(F.col("similarity") * 0.9, 6).alias("confidence"))
 
 
@@ -187,13 +187,13 @@ def claim_conflicts(claims: DataFrame, same_subject: bool = False) -> DataFrame:
 
 
 def similar_predicates(claims: DataFrame, least: float = 0.45) -> DataFrame:
-    """(predicate_a, predicate_b, similarity): pairs of distinct predicates whose trigram similarity is above `least`.
+    """(tenant_id, predicate_a, predicate_b, similarity): pairs of distinct predicates of a tenant whose trigram similarity is above `least`.
 
     Distinct predicates only; two whose similarity is above t share one of the first n - ceil(t * n) + 1 of their trigrams, rarest first, and
     the smaller set has more than t times the trigrams of the larger. Each carries 256 bits that its trigrams set: a bit that one has and
     the other lacks stands for a trigram that isn't shared, which bounds what can be. Whole sets are compared for what is left.
     """
-    p = claims.select(F.lower(F.trim("predicate")).alias("p")).distinct().withColumn("g", trigrams(F.col("p"))).filter(F.size("g") > 0)
+    p = claims.select("tenant_id", F.lower(F.trim("predicate")).alias("p")).distinct().withColumn("g", trigrams(F.col("p"))).filter(F.size("g") > 0)
     places = F.transform("g", lambda x: F.pmod(F.xxhash64(x), F.lit(256)))
 
     def bits(k: int) -> Column:
@@ -201,16 +201,17 @@ def similar_predicates(claims: DataFrame, least: float = 0.45) -> DataFrame:
         return F.aggregate(here, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (x % 64).cast("int"))))
 
     p = p.withColumn("n", F.size("g")).withColumns({f"b{k}": bits(k) for k in range(4)})
-    grams = p.select("p", F.explode("g").alias("gram"))
-    rare = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = grams.join(rare, "gram").groupBy("p").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("s"))
-    heads = ordered.select("p", F.explode(F.transform(F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * F.lit(least)).cast("int") + 1), lambda x: x["gram"])).alias("gram"))
-    heads = heads.join(p.drop("g"), "p").withColumn("gram", F.xxhash64("gram"))
-    side = lambda s: heads.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in heads.columns if c != "gram"])
+    grams = p.select("tenant_id", "p", F.explode("g").alias("gram"))
+    rare = grams.groupBy("tenant_id", "gram").agg(F.count("*").alias("df"))
+    ordered = grams.join(rare, ["tenant_id", "gram"]).groupBy("tenant_id", "p").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("s"))
+    heads = ordered.select("tenant_id", "p", F.explode(F.transform(F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * F.lit(least)).cast("int") + 1), lambda x: x["gram"])).alias("gram"))
+    heads = heads.join(p.drop("g"), ["tenant_id", "p"]).withColumn("gram", F.xxhash64("gram"))
+    side = lambda s: heads.select("tenant_id", "gram", *[F.col(c).alias(f"{c}_{s}") for c in heads.columns if c not in ("tenant_id", "gram")])
     lacks = lambda x, y: " + ".join(f"bit_count(b{k}_{x} & ~b{k}_{y})" for k in range(4))
     shared = f"least(n_a - ({lacks('a', 'b')}), n_b - ({lacks('b', 'a')}))"
     possible = F.expr(f"p_a < p_b AND least(n_a, n_b) > {least} * greatest(n_a, n_b) AND {shared} * (1 + {least}) > {least} * (n_a + n_b)")
-    pairs = side("a").join(side("b"), "gram").filter(possible).select(F.col("p_a").alias("predicate_a"), F.col("p_b").alias("predicate_b")).distinct()
-    full = pairs.join(p.select(F.col("p").alias("predicate_a"), F.col("g").alias("ga")), "predicate_a").join(p.select(F.col("p").alias("predicate_b"), F.col("g").alias("gb")), "predicate_b")
+    pairs = side("a").join(side("b"), ["tenant_id", "gram"]).filter(possible).select("tenant_id", F.col("p_a").alias("predicate_a"), F.col("p_b").alias("predicate_b")).distinct()
+    of = lambda s: p.select("tenant_id", F.col("p").alias(f"predicate_{s}"), F.col("g").alias(f"g{s}"))
+    full = pairs.join(of("a"), ["tenant_id", "predicate_a"]).join(of("b"), ["tenant_id", "predicate_b"])
     both = F.size(F.array_intersect("ga", "gb"))
-    return full.select("predicate_a", "predicate_b", F.round(both / (F.size("ga") + F.size("gb") - both), 6).alias("similarity")).filter(F.col("similarity") > least)
+    return full.select("tenant_id", "predicate_a", "predicate_b", F.round(both / (F.size("ga") + F.size("gb") - both), 6).alias("similarity")).filter(F.col("similarity") > least)

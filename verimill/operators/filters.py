@@ -67,20 +67,6 @@ def listing(df: DataFrame, **wanted: str | None) -> DataFrame:
     return reduce(lambda d, kv: d if kv[1] is None else d.filter(F.col(kv[0]) == kv[1]), wanted.items(), df)
 
 
-def title_search(docs: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
-    """(query_id, document_id, rank): the newest documents whose title holds the query, letters of either case.
-
-    Both sides are keyed by the query's rarest handle that titles have too: their words. A query without a letter or digit finds nothing.
-    """
-    word = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")))
-    titles = docs.select("document_id", "title", "created_at", word(F.col("title")).alias("w"))
-    # a word inside the query is whole in the title too; its first and last may be parts of longer ones, and then a one-word query is matched by parts
-    asked = queries.select("query_id", F.lower("query_text").alias("asked"), F.element_at(F.filter(F.split(F.lower("query_text"), r"[^\p{L}\p{N}]+"), lambda x: x != ""), 1).alias("w"))
-    hits = titles.join(asked, "w").filter(F.contains(F.lower("title"), F.col("asked"))).select("query_id", "document_id", "created_at").distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("created_at"), F.desc("document_id"))
-    return hits.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most).select("query_id", "document_id", "rank")
-
-
 def eligible_chunks(chunks: DataFrame, least: int = 30, most: int = 50) -> DataFrame:
     """Chunks that claims are extracted from: long enough, and the first `most` of each document."""
     order = Window.partitionBy("document_id").orderBy("chunk_index")

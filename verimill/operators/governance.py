@@ -81,12 +81,14 @@ def heuristic_verdicts(conflicts: DataFrame, docs: DataFrame, support: DataFrame
 
 
 def auto_resolve(conflicts: DataFrame, verdicts: DataFrame, most: int = 50, least: float = 0.85) -> tuple[DataFrame, DataFrame]:
-    """Decisions for the surest `most` open contradictions whose verdict is keep_a or keep_b at `least` or more; and (judged, auto, kept)."""
-    top = conflicts.filter("status = 'new' AND conflict_type = 'contradiction'").orderBy(F.desc("confidence"), "conflict_id").limit(most).select("conflict_id")
+    """Decisions for each tenant's surest `most` open contradictions whose verdict is keep_a or keep_b at `least` or more; and per tenant
+    (judged, auto_resolved, kept_open)."""
+    order = Window.partitionBy("tenant_id").orderBy(F.desc("confidence"), "conflict_id")
+    top = conflicts.filter("status = 'new' AND conflict_type = 'contradiction'").withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most).select("tenant_id", "conflict_id")
     judged = top.join(verdicts, "conflict_id")
     auto = F.col("resolution").isin("keep_a", "keep_b") & (F.col("confidence") >= least)
-    stats = judged.agg(F.count("*").alias("judged"), F.count_if(auto).alias("auto_resolved"), F.count_if(~auto).alias("kept_open"))
-    return judged.filter(auto).select("conflict_id", "resolution"), stats
+    stats = judged.groupBy("tenant_id").agg(F.count("*").alias("judged"), F.count_if(auto).alias("auto_resolved"), F.count_if(~auto).alias("kept_open"))
+    return judged.filter(auto).select("tenant_id", "conflict_id", "resolution"), stats
 
 
 def tier_sweep(docs: DataFrame, now: Column) -> DataFrame:

@@ -20,14 +20,14 @@ def claim_edges(claims: DataFrame, least: float | None = 0.5) -> DataFrame:
     kind is contradiction if some such claims differ in value, else agreement. None for `least` takes equal predicates only.
     """
     rows = claim_values(claims)
-    same = rows.select(F.col("p").alias("a")).distinct().withColumn("b", F.col("a"))
+    same = rows.select("tenant_id", F.col("p").alias("a")).distinct().withColumn("b", F.col("a"))
     met = same
     if least is not None:
-        near = similar_predicates(claims.filter("status = 'active'"), least).select(F.col("predicate_a").alias("a"), F.col("predicate_b").alias("b"))
+        near = similar_predicates(claims.filter("status = 'active'"), least).select("tenant_id", F.col("predicate_a").alias("a"), F.col("predicate_b").alias("b"))
         met = same.unionByName(near)
     left = rows.select("tenant_id", F.col("p").alias("a"), F.col("value").alias("va"), F.col("document_id").alias("da"))
     right = rows.select("tenant_id", F.col("p").alias("b"), F.col("value").alias("vb"), F.col("document_id").alias("db"))
-    pairs = left.join(met, "a").join(right, ["tenant_id", "b"]).filter("da <> db AND (a <> b OR da < db)")
+    pairs = left.join(met, ["tenant_id", "a"]).join(right, ["tenant_id", "b"]).filter("da <> db AND (a <> b OR da < db)")
     ends = pairs.select(F.least("da", "db").alias("source"), F.greatest("da", "db").alias("target"), (F.col("va") != F.col("vb")).alias("differs"))
     return ends.groupBy("source", "target").agg(F.when(F.max("differs"), "contradiction").otherwise("agreement").alias("kind"), F.count("*").alias("shared"))
 

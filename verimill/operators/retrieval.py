@@ -100,20 +100,28 @@ def answer_kind(query_text: str = "query_text") -> Column:
     return F.when(q.contains("how many") & q.contains("document"), "document_count").when(q.contains("quality") & (q.contains("score") | q.contains("overview")), "quality_overview").when(q.contains("conflict"), "conflict_summary").when(q.contains("latest") | q.contains("recent"), "latest_documents").otherwise("title_search")
 
 
+def title_search(docs: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
+    """docs with query_id and rank: the newest documents of the query's tenant, deleted ones left out, whose title holds the query anywhere,
+    letters of either case. Equal queries of a tenant are searched once. Null and empty queries find nothing; % and _ stand for themselves."""
+    asked = queries.select("query_id", "tenant_id", F.lower("query_text").alias("q")).filter("q <> ''")
+    live = docs.filter("status <> 'deleted'").withColumn("t", F.lower("title"))
+    wanted = asked.select("tenant_id", "q").distinct()
+    held = meet(wanted, threes(F.col("q")), live.select("tenant_id", "t").distinct(), "t").filter(F.contains("t", F.col("q"))).select("tenant_id", "q", "t")
+    top = ranked(held.join(live, ["tenant_id", "t"]), ["tenant_id", "q"], F.desc("created_at"), F.asc("document_id"), most=most)
+    return asked.join(top, ["tenant_id", "q"]).drop("q", "t")
+
+
 def answer_documents(queries: DataFrame, docs: DataFrame, most: int = 10) -> DataFrame:
     """(query_id, answer_type, document_id, title, status, quality_score, rank): the documents that answer a structured query, newest first.
 
     A query for the latest documents gets those of its tenant; a title search those whose title holds the query, whatever the case. Equal
     queries of a tenant are searched once. Null and empty queries find nothing.
     """
-    asked = queries.select("query_id", "tenant_id", F.lower("query_text").alias("q"), answer_kind().alias("answer_type"))
-    live = docs.filter("status <> 'deleted'").select("tenant_id", "document_id", "title", "status", "quality_score", "created_at", F.lower("title").alias("t"))
-    newest = (F.desc("created_at"), F.asc("document_id"))
-    latest = asked.filter("answer_type = 'latest_documents'").join(ranked(live, ["tenant_id"], *newest, most=most), "tenant_id")
-    searches = asked.filter("answer_type = 'title_search' AND q <> ''")
-    wanted = searches.select("tenant_id", "q").distinct()
-    held = meet(wanted, threes(F.col("q")), live.select("tenant_id", "t").distinct(), "t").filter(F.contains("t", F.col("q"))).select("tenant_id", "q", "t")
-    titles = searches.join(ranked(held.join(live, ["tenant_id", "t"]), ["tenant_id", "q"], *newest, most=most), ["tenant_id", "q"])
+    asked = queries.select("query_id", "tenant_id", "query_text", answer_kind().alias("answer_type"))
+    live = docs.select("tenant_id", "document_id", "title", "status", "quality_score", "created_at")
+    newest = ranked(live.filter("status <> 'deleted'"), ["tenant_id"], F.desc("created_at"), F.asc("document_id"), most=most)
+    latest = asked.filter("answer_type = 'latest_documents'").join(newest, "tenant_id")
+    titles = title_search(live, asked.filter("answer_type = 'title_search'"), most).withColumn("answer_type", F.lit("title_search"))
     columns = ["query_id", "answer_type", "document_id", "title", "status", "quality_score", "rank"]
     return latest.select(*columns).unionByName(titles.select(*columns))
 

@@ -43,8 +43,8 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     "claims": """SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS claim_id, l_orderkey AS document_id, l_orderkey % 5 AS tenant_id,
         concat('Part#', l_partkey) AS subject, concat('Return flag of the part ', l_partkey) AS predicate, l_returnflag AS object_value, round(1 - l_discount, 2) AS confidence,
         CASE l_linestatus WHEN 'O' THEN 'active' ELSE 'superseded' END AS status, CAST(l_shipdate AS DATE) AS valid_from FROM {lineitem}""",
-    "claim_docs": """SELECT o_orderkey AS document_id, CAST(n_regionkey AS BIGINT) AS tenant_id, o_orderpriority AS source_id, o_orderdate AS created_at,
-        CASE o_orderstatus WHEN 'F' THEN 'deleted' ELSE 'indexed' END AS status, c_name AS title FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
+    "claim_docs": """SELECT o_orderkey AS document_id, o_orderkey % 5 AS tenant_id, o_orderpriority AS source_id, o_orderdate AS created_at,
+        CASE o_orderstatus WHEN 'F' THEN 'deleted' ELSE 'indexed' END AS status, c_name AS title FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
     "conflicts": """SELECT doc_id AS conflict_id, doc_id AS document_a_id, (doc_id * 7 + 3) % (SELECT count(*) FROM {documents}) AS document_b_id, doc_id % 5 AS tenant_id,
         CASE doc_id % 8 WHEN 0 THEN 'duplicate' WHEN 2 THEN 'overlap' WHEN 4 THEN 'supersession' ELSE 'contradiction' END AS conflict_type,
         CAST((doc_id * 13) % 100 AS DOUBLE) / 100 AS confidence, CASE WHEN doc_id % 3 = 0 THEN 'resolved' ELSE 'new' END AS status FROM {documents} WHERE doc_id % 2 = 0""",

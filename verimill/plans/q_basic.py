@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as an
 from ..operators import filters as fl
+from ..operators import retrieval as rt
 from .registry import now, query
 
 
@@ -72,15 +73,18 @@ def _(v):
     return fl.listing(v("audit"), resource_type="source", action="click").select("event_id", "actor", "action", "resource_type", F.col("created_at").cast("string").alias("created_at"))
 
 
+_TITLE_ASKED = "SELECT document_id AS query_id, tenant_id, upper(substr(title, 3, 3 + CAST(document_id % 7 AS INT))) AS query_text FROM {docs} WHERE document_id % 10 = 0"
+
+
 @query(
     "b8_title_search",
-    """SELECT query_id, document_id, CAST(r AS BIGINT) AS rank FROM (SELECT q.query_id, d.document_id, row_number() OVER (PARTITION BY q.query_id ORDER BY d.created_at DESC, d.document_id DESC) AS r
-    FROM {docs} d JOIN (SELECT doc_id AS query_id, split_part(text, ' ', 1) AS q FROM {documents} WHERE doc_id % 50 = 0 AND regexp_matches(split_part(text, ' ', 1), '^[\\p{L}\\p{N}]+$')) q
-    ON list_contains(string_split_regex(lower(d.title), '[^\\p{L}\\p{N}]+'), lower(q.q))) WHERE r <= 10""".replace("\\\\", "\\"),
+    f"""SELECT query_id, document_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, document_id) AS BIGINT) AS rank FROM ({_TITLE_ASKED}) q JOIN {{docs}} d ON d.tenant_id = q.tenant_id
+    WHERE d.status <> 'deleted' AND query_text <> '' AND contains(lower(d.title), lower(query_text)) QUALIFY rank <= 10""",
 )
 def _(v):
-    asked = v("documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.split_part(F.col("text"), F.lit(" "), F.lit(1)).alias("query_text")).filter(F.col("query_text").rlike(r"^[\p{L}\p{N}]+$"))
-    return fl.title_search(v("docs"), asked)
+    """Parts of titles, mostly of words, are sought in all titles of their tenant."""
+    asked = v("docs").filter("document_id % 10 = 0").select(F.col("document_id").alias("query_id"), "tenant_id", F.upper(F.substring("title", F.lit(3), 3 + (F.col("document_id") % 7).cast("int"))).alias("query_text"))
+    return rt.title_search(v("docs"), asked).select("query_id", "document_id", "rank")
 
 
 @query(
@@ -136,22 +140,23 @@ def _(v):
     return v("claim_docs").select("document_id").join(per, "document_id", "left").fillna(0, ["claims"])
 
 
-@query("d1_quality_by_source", """SELECT d.source_id, CAST(count(*) AS BIGINT) AS documents, round(avg(quality_score), 6) AS avg_quality, round(min(quality_score), 3) AS min_quality, CAST(count(*) FILTER (quality_score < 0.5) AS BIGINT) AS low_quality,
-    CAST(count(*) FILTER (d.status = 'quarantined') AS BIGINT) AS quarantined, any_value(s.name) AS name, any_value(s.source_type) AS source_type FROM {docs} d LEFT JOIN {sources} s ON d.source_id = s.source_id WHERE d.status <> 'deleted' AND quality_score IS NOT NULL GROUP BY d.source_id""")
+@query("d1_quality_by_source", """SELECT d.tenant_id, d.source_id, CAST(count(d.document_id) AS BIGINT) AS documents, round(avg(d.quality_score), 6) AS avg_quality, round(min(d.quality_score), 3) AS min_quality, CAST(count(*) FILTER (WHERE d.quality_score < 0.5) AS BIGINT) AS low_quality,
+    CAST(count(*) FILTER (WHERE d.review_status = 'quarantined') AS BIGINT) AS quarantined, s.name, s.source_type FROM {docs} d JOIN {sources} s ON d.source_id = s.source_id WHERE d.status != 'deleted' GROUP BY d.tenant_id, d.source_id, s.name, s.source_type""")
 def _(v):
     return an.quality_by_source(v("docs"), v("sources"))
 
 
-@query("d2_hotspots", """SELECT d.document_id, any_value(d.title) AS title, any_value(d.source_id) AS source_id, CAST(count(*) AS BIGINT) AS conflicts, CAST(count(*) FILTER (c.status = 'new') AS BIGINT) AS unresolved, round(avg(c.confidence), 6) AS avg_confidence
-    FROM {docs} d JOIN {conflicts} c ON d.document_id = c.document_a_id OR d.document_id = c.document_b_id WHERE d.status <> 'deleted' GROUP BY d.document_id ORDER BY conflicts DESC, unresolved DESC, d.document_id LIMIT 20""")
+@query("d2_hotspots", """SELECT cc.tenant_id, d.document_id, d.title, s.name AS source_name, CAST(count(cc.conflict_id) AS BIGINT) AS conflicts, CAST(count(*) FILTER (WHERE cc.status = 'new') AS BIGINT) AS unresolved, round(avg(cc.confidence), 6) AS avg_confidence,
+    CAST(row_number() OVER (PARTITION BY cc.tenant_id ORDER BY count(*) FILTER (WHERE cc.status = 'new') DESC, count(cc.conflict_id) DESC, d.document_id) AS BIGINT) AS rank
+    FROM {conflicts} cc JOIN {docs} d ON (cc.document_a_id = d.document_id OR cc.document_b_id = d.document_id) JOIN {sources} s ON d.source_id = s.source_id GROUP BY cc.tenant_id, d.document_id, d.title, s.name QUALIFY rank <= 20""")
 def _(v):
-    return an.hotspots(v("conflicts"), v("docs"))
+    return an.hotspots(v("conflicts"), v("docs"), v("sources"))
 
 
-@query("d3_claim_stability", """SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (status = 'active') AS BIGINT) AS active, CAST(count(*) FILTER (status = 'superseded') AS BIGINT) AS superseded, CAST(count(*) FILTER (status = 'rejected') AS BIGINT) AS rejected,
-    CAST(count(DISTINCT document_id) AS BIGINT) AS documents, round(1 - count(*) FILTER (status = 'superseded') / count(*), 4) AS stability FROM {claims}""")
+@query("d3_claim_stability", """SELECT d.tenant_id, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE c.status = 'active') AS BIGINT) AS active, CAST(count(*) FILTER (WHERE c.status = 'superseded') AS BIGINT) AS superseded, CAST(count(*) FILTER (WHERE c.status = 'rejected') AS BIGINT) AS rejected,
+    CAST(count(DISTINCT c.document_id) AS BIGINT) AS documents, round(1.0 - count(*) FILTER (WHERE c.status = 'superseded') / count(*), 4) AS stability FROM {claims} c JOIN {claim_docs} d ON c.document_id = d.document_id GROUP BY d.tenant_id""")
 def _(v):
-    return an.claim_stability(v("claims"))
+    return an.claim_stability(v("claims"), v("claim_docs"))
 
 
 for _period, _days in (("day", 1), ("week", 7), ("month", 30)):
@@ -175,12 +180,20 @@ def _(v):
     return an.quota_view(v("tenants"), v("docs"), v("sources"), v("usage"), now()).select("tenant_id", "plan", "documents", "queries", "query_quantity", "sources")
 
 
-@query("d9_source_tree", """WITH t AS (SELECT DISTINCT unnest([document_a_id, document_b_id]) AS document_id FROM {conflicts} WHERE status = 'new'), k AS (SELECT document_id, count(*) AS n FROM {claims} WHERE status = 'active' GROUP BY 1),
-    r AS (SELECT d.*, coalesce(nullif(regexp_extract(source_path, '^(.*)/[^/]*$', 1), ''), '(root)') AS folder, t.document_id AS hit, k.n FROM {docs} d LEFT JOIN t ON d.document_id = t.document_id LEFT JOIN k ON k.document_id = d.document_id WHERE d.status <> 'deleted')
-    SELECT source_id, folder, CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (status = 'indexed') AS BIGINT) AS indexed, CAST(count(*) FILTER (status = 'quarantined') AS BIGINT) AS quarantined, CAST(count(hit) AS BIGINT) AS conflicted,
-    round(avg(quality_score), 6) AS avg_quality, min(quality_score) AS min_quality, CAST(sum(chunk_count) AS BIGINT) AS chunks, CAST(coalesce(sum(n), 0) AS BIGINT) AS active_claims FROM r GROUP BY GROUPING SETS ((source_id, folder), (source_id))""")
+_TREE = """WITH t AS (SELECT DISTINCT unnest([document_a_id, document_b_id]) AS document_id FROM {conflicts} WHERE status = 'new'), k AS (SELECT document_id, count(*) AS n FROM {claims} WHERE status = 'active' GROUP BY 1),
+    own AS (SELECT * FROM {sources} UNION ALL SELECT 'src-empty', 3, 'Empty', 'notion', false, 15),
+    r AS (SELECT d.*, CASE WHEN d.document_id % 10 = 3 THEN 'from/metadata' WHEN source_path LIKE '%/%' THEN regexp_replace(source_path, '/[^/]*$', '') ELSE '(root)' END AS folder, t.document_id AS hit, k.n FROM {docs} d LEFT JOIN t ON d.document_id = t.document_id LEFT JOIN k ON k.document_id = d.document_id),
+    g AS (SELECT s.source_id, s.tenant_id, s.name, s.source_type, r.folder, GROUPING(r.folder) AS whole, CAST(count(r.document_id) AS BIGINT) AS documents, CAST(count(r.document_id) FILTER (WHERE r.status = 'indexed') AS BIGINT) AS indexed, CAST(count(r.document_id) FILTER (WHERE r.review_status = 'quarantined') AS BIGINT) AS quarantined, CAST(count(hit) AS BIGINT) AS conflicted,
+    round(avg(quality_score), 6) AS avg_quality, min(quality_score) AS min_quality, CAST(sum(chunk_count) AS BIGINT) AS chunks, CAST(coalesce(sum(n), 0) AS BIGINT) AS active_claims FROM own s LEFT JOIN r ON r.source_id = s.source_id AND r.status != 'deleted' GROUP BY GROUPING SETS ((s.source_id, s.tenant_id, s.name, s.source_type, r.folder), (s.source_id, s.tenant_id, s.name, s.source_type)))
+    SELECT * EXCLUDE (whole) FROM g WHERE whole = 1 OR folder IS NOT NULL"""
+
+
+@query("d9_source_tree", _TREE)
 def _(v):
-    return an.source_tree(v("docs"), v("conflicts"), v("claims"))
+    """With a source that has no document, and a folder in the metadata of each tenth document."""
+    sources = v("sources").unionByName(v("sources").limit(1).select(F.lit("src-empty").alias("source_id"), F.lit(3).cast("long").alias("tenant_id"), F.lit("Empty").alias("name"), F.lit("notion").alias("source_type"), F.lit(False).alias("auto_sync"), F.lit(15).cast("long").alias("interval_minutes")))
+    docs = v("docs").withColumn("doc_metadata", F.when(F.col("document_id") % 10 == 3, F.create_map(F.lit("folder_path"), F.lit("from/metadata"))))
+    return an.source_tree(sources, docs, v("conflicts"), v("claims"))
 
 
 @query("d10_feedback_boost", "SELECT document_id, sum(rating) / greatest(count(*), 1) * 0.1 AS boost FROM {feedback} GROUP BY 1")

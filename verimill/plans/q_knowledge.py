@@ -437,15 +437,15 @@ def titles_as_claims(v):
     return v("docs").select("tenant_id", "document_id", F.col("document_id").alias("claim_id"), F.col("title").alias("predicate"), F.col("lang").alias("object_value"), F.coalesce("quality_score", F.lit(0.0)).alias("confidence"), F.lit("active").alias("status"))
 
 
-_SIM = f"tp AS (SELECT DISTINCT lower(trim(title)) AS p FROM {{docs}}), tg AS (SELECT p, {_grams('p')} AS g FROM tp), sim AS (SELECT a.p AS predicate_a, b.p AS predicate_b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM tg a JOIN tg b ON a.p < b.p WHERE len(list_concat(a.g, b.g)) > 0 AND round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) > 0.45)"
+_SIM = f"tp AS (SELECT DISTINCT tenant_id, lower(trim(title)) AS p FROM {{docs}}), tg AS (SELECT tenant_id, p, {_grams('p')} AS g FROM tp), sim AS (SELECT a.tenant_id, a.p AS predicate_a, b.p AS predicate_b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM tg a JOIN tg b ON a.tenant_id = b.tenant_id AND a.p < b.p WHERE len(list_concat(a.g, b.g)) > 0 AND round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) > 0.45)"
 
 
-@query("c8_similar_predicates", f"WITH {_SIM} SELECT predicate_a, predicate_b, similarity FROM sim")
+@query("c8_similar_predicates", f"WITH {_SIM} SELECT tenant_id, predicate_a, predicate_b, similarity FROM sim")
 def _(v):
     return cf.similar_predicates(titles_as_claims(v))
 
 
-@query("c7_similar_claim_conflicts", f"WITH {_SIM}, bs AS (SELECT tenant_id, lower(trim(title)) AS p, concat('d', document_id % 3) AS x, document_id AS claim_id FROM {{docs}} QUALIFY row_number() OVER (PARTITION BY tenant_id, p, x ORDER BY coalesce(quality_score, 0) DESC, document_id) = 1) SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, predicate_a, predicate_b, round(similarity * 0.9, 6) AS confidence FROM sim JOIN bs a ON a.p = predicate_a JOIN bs b ON b.p = predicate_b AND a.tenant_id = b.tenant_id WHERE similarity >= 0.46 AND a.x <> b.x")
+@query("c7_similar_claim_conflicts", f"WITH {_SIM}, bs AS (SELECT tenant_id, lower(trim(title)) AS p, concat('d', document_id % 3) AS x, document_id AS claim_id FROM {{docs}} QUALIFY row_number() OVER (PARTITION BY tenant_id, p, x ORDER BY coalesce(quality_score, 0) DESC, document_id) = 1) SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, predicate_a, predicate_b, round(similarity * 0.9, 6) AS confidence FROM sim JOIN bs a ON a.p = predicate_a AND a.tenant_id = sim.tenant_id JOIN bs b ON b.p = predicate_b AND b.tenant_id = sim.tenant_id WHERE similarity >= 0.46 AND a.x <> b.x")
 def _(v):
     claims = titles_as_claims(v).withColumn("object_value", F.concat(F.lit("d"), F.col("document_id") % 3))
     return cf.similar_claim_conflicts(claims, cf.similar_predicates(claims), 0.46)
@@ -488,14 +488,14 @@ def _(v):
     return cl.parse_claims(replies).select("reply_id", "subject", "predicate", "object_value", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query("i34_normalize_predicates", f"WITH {_SIM}, mp AS (SELECT predicate_b AS o, min(predicate_a) AS c FROM sim GROUP BY 1) SELECT document_id, coalesce(c, title) AS predicate, c IS NOT NULL AND c <> title AS changed FROM {{docs}} LEFT JOIN mp ON o = lower(trim(title))")
+@query("i34_normalize_predicates", f"WITH {_SIM}, mp AS (SELECT tenant_id, predicate_b AS o, min(predicate_a) AS c FROM sim GROUP BY ALL) SELECT document_id, coalesce(c, title) AS predicate, c IS NOT NULL AND c <> title AS changed FROM {{docs}} d LEFT JOIN mp ON o = lower(trim(title)) AND mp.tenant_id = d.tenant_id")
 def _(v):
     claims = titles_as_claims(v)
     return cl.normalize_predicates(claims, cl.propose_mapping(cf.similar_predicates(claims))).select("document_id", "predicate", "changed")
 
 
-_LINT = f"""ac AS (SELECT {_norm('subject')} AS s, {_norm('predicate')} AS p, object_value, valid_from FROM {{claims}} WHERE status = 'active'), pa AS (SELECT s, p, count(DISTINCT lower(trim(object_value))) AS n, max(valid_from) AS latest FROM ac GROUP BY ALL),
-lt AS (SELECT 'contradiction' AS kind, s AS subject, p AS predicate FROM pa WHERE n > 1 UNION ALL SELECT 'stale', s, p FROM pa WHERE latest < DATE '1998-11-01' UNION ALL SELECT DISTINCT 'duplicate', subject_normalized, predicate_normalized FROM i WHERE (subject_normalized, lower(trim(value))) IN (SELECT (subject_normalized, lower(trim(value))) FROM i GROUP BY subject_normalized, lower(trim(value)) HAVING count(DISTINCT predicate_normalized) > 1))"""
+_LINT = f"""ac AS (SELECT tenant_id, {_norm('subject')} AS s, {_norm('predicate')} AS p, object_value, valid_from FROM {{claims}} WHERE status = 'active'), pa AS (SELECT tenant_id, s, p, count(DISTINCT lower(trim(object_value))) AS n, max(valid_from) AS latest FROM ac GROUP BY ALL),
+lt AS (SELECT tenant_id, 'contradiction' AS kind, s AS subject, p AS predicate FROM pa WHERE n > 1 UNION ALL SELECT tenant_id, 'stale', s, p FROM pa WHERE latest < DATE '1998-11-01' UNION ALL SELECT DISTINCT tenant_id, 'duplicate', subject_normalized, predicate_normalized FROM i WHERE (tenant_id, subject_normalized, lower(trim(value))) IN (SELECT (tenant_id, subject_normalized, lower(trim(value))) FROM i GROUP BY tenant_id, subject_normalized, lower(trim(value)) HAVING count(DISTINCT predicate_normalized) > 1))"""
 
 
 @query("i35_lint", f"WITH {_INDEX}, {_LINT} SELECT * FROM lt")
@@ -503,7 +503,7 @@ def _(v):
     return cl.lint(cl.build_index(v("claims"), v("claim_docs")), v("claims"), F.expr("TIMESTAMP_NTZ '1999-11-01 00:00:00'"))
 
 
-@query("i37_topics", """SELECT subject AS topic, CAST(count(*) AS BIGINT) AS claim_count, CAST(count(DISTINCT document_id) AS BIGINT) AS documents, round(avg(confidence), 6) AS confidence, string_agg(CASE WHEN r <= 20 THEN concat_ws(' ', predicate, '=', object_value) END, '; ' ORDER BY r) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, claim_id) AS r FROM {claims} WHERE status = 'active') GROUP BY 1""")
+@query("i37_topics", """SELECT tenant_id, subject AS topic, CAST(count(*) AS BIGINT) AS claim_count, CAST(count(DISTINCT document_id) AS BIGINT) AS documents, round(avg(confidence), 6) AS confidence, string_agg(CASE WHEN r <= 20 THEN concat_ws(' ', predicate, '=', object_value) END, '; ' ORDER BY r) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, subject ORDER BY confidence DESC, claim_id) AS r FROM {claims} WHERE status = 'active') GROUP BY tenant_id, subject""")
 def _(v):
     return cl.synthesize_topics(v("claims"))
 

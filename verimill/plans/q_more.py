@@ -88,19 +88,19 @@ def _(v):
     return verdicts(v)
 
 
-_TOP = "tp AS (SELECT conflict_id FROM {conflicts} WHERE status = 'new' AND conflict_type = 'contradiction' ORDER BY confidence DESC, conflict_id LIMIT 50)"
+_TOP = "tp AS (SELECT tenant_id, conflict_id FROM {conflicts} WHERE status = 'new' AND conflict_type = 'contradiction' QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY confidence DESC, conflict_id) <= 50)"
 
 
 def auto(v):
     return gv.auto_resolve(v("conflicts"), verdicts(v))
 
 
-@query("i32_auto_resolve", f"WITH {_VERDICT}, {_TOP} SELECT tp.conflict_id, resolution FROM tp JOIN vd ON vd.conflict_id = tp.conflict_id WHERE resolution IN ('keep_a', 'keep_b') AND confidence >= 0.85")
+@query("i32_auto_resolve", f"WITH {_VERDICT}, {_TOP} SELECT tp.tenant_id, tp.conflict_id, resolution FROM tp JOIN vd ON vd.conflict_id = tp.conflict_id WHERE resolution IN ('keep_a', 'keep_b') AND confidence >= 0.85")
 def _(v):
     return auto(v)[0]
 
 
-@query("i32_auto_resolve_stats", f"WITH {_VERDICT}, {_TOP} SELECT CAST(count(*) AS BIGINT) AS judged, CAST(count(*) FILTER (resolution IN ('keep_a', 'keep_b') AND confidence >= 0.85) AS BIGINT) AS auto_resolved, CAST(count(*) FILTER (NOT (resolution IN ('keep_a', 'keep_b') AND confidence >= 0.85)) AS BIGINT) AS kept_open FROM tp JOIN vd ON vd.conflict_id = tp.conflict_id")
+@query("i32_auto_resolve_stats", f"WITH {_VERDICT}, {_TOP} SELECT tp.tenant_id, CAST(count(*) AS BIGINT) AS judged, CAST(count(*) FILTER (resolution IN ('keep_a', 'keep_b') AND confidence >= 0.85) AS BIGINT) AS auto_resolved, CAST(count(*) FILTER (NOT (resolution IN ('keep_a', 'keep_b') AND confidence >= 0.85)) AS BIGINT) AS kept_open FROM tp JOIN vd ON vd.conflict_id = tp.conflict_id GROUP BY tp.tenant_id")
 def _(v):
     return auto(v)[1]
 
@@ -357,16 +357,16 @@ def _(v):
 _CANON = "nc AS (SELECT * REPLACE (concat('Return flag of the part ', CAST(substr(subject, 6) AS BIGINT) % 100) AS predicate) FROM {claims}), "
 
 
-@query("i36_curation", "WITH " + _CANON + (_INDEX + ", " + _LINT).replace("{claims}", "nc") + " SELECT 'entry' AS kind, subject_normalized AS subject, predicate_normalized AS predicate FROM i UNION ALL SELECT * FROM lt")
+@query("i36_curation", "WITH " + _CANON + (_INDEX + ", " + _LINT).replace("{claims}", "nc") + " SELECT tenant_id, 'entry' AS kind, subject_normalized AS subject, predicate_normalized AS predicate FROM i UNION ALL SELECT * FROM lt")
 def _(v):
     """Predicates of parts are mapped to those of a hundred families; then the index, and what lint finds in it."""
     claims = v("claims")
     family = F.concat(F.lit("Return flag of the part "), F.substring("subject", 6, 20).cast("long") % 100)
-    mapping = claims.select(F.lower(F.trim("predicate")).alias("original"), family.alias("canonical")).distinct()
+    mapping = claims.select("tenant_id", F.lower(F.trim("predicate")).alias("original"), family.alias("canonical")).distinct()
     curated = cl.normalize_predicates(claims, mapping).drop("changed")
     entries = cl.build_index(curated, v("claim_docs"))
-    found = cl.lint(entries, curated, F.expr("TIMESTAMP_NTZ '1999-11-01 00:00:00'")).select("kind", "subject", "predicate")
-    return entries.select(F.lit("entry").alias("kind"), F.col("subject_normalized").alias("subject"), F.col("predicate_normalized").alias("predicate")).unionByName(found)
+    found = cl.lint(entries, curated, F.expr("TIMESTAMP_NTZ '1999-11-01 00:00:00'")).select("tenant_id", "kind", "subject", "predicate")
+    return entries.select("tenant_id", F.lit("entry").alias("kind"), F.col("subject_normalized").alias("subject"), F.col("predicate_normalized").alias("predicate")).unionByName(found)
 
 
 @query("a3_route_by_suffix", "SELECT document_id, CASE lang WHEN 'en' THEN 'text' WHEN 'de' THEN 'csv' WHEN 'fr' THEN 'unsupported' ELSE 'unknown' END AS format FROM {docs}")
