@@ -103,7 +103,7 @@ def source_tree(sources: DataFrame, docs: DataFrame, conflicts: DataFrame, claim
         F.grouping_id().alias("g"),
     ).filter("g < 3").drop("g")
     named = sources.select("source_id", "tenant_id", "name", "source_type")
-    return named.join(per, "source_id", "left").fillna(0, ["documents", "indexed", "quarantined", "conflicted", "active_claims"])
+    return named.join(per, "source_id", "left").fillna(0, ["documents", "indexed", "quarantined", "conflicted", "chunks", "active_claims"])
 
 
 def feedback_boost(feedback: DataFrame, key: str = "document_id", weight: float = 0.1) -> DataFrame:

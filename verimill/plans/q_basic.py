@@ -184,7 +184,7 @@ _TREE = """WITH t AS (SELECT DISTINCT unnest([document_a_id, document_b_id]) AS
     own AS (SELECT * FROM {sources} UNION ALL SELECT 'src-empty', 3, 'Empty', 'notion', false, 15),
     r AS (SELECT d.*, CASE WHEN d.document_id % 10 = 3 THEN 'from/metadata' WHEN source_path LIKE '%/%' THEN regexp_replace(source_path, '/[^/]*$', '') ELSE '(root)' END AS folder, t.document_id AS hit, k.n FROM {docs} d LEFT JOIN t ON d.document_id = t.document_id LEFT JOIN k ON k.document_id = d.document_id),
     g AS (SELECT s.source_id, s.tenant_id, s.name, s.source_type, r.folder, GROUPING(r.folder) AS whole, CAST(count(r.document_id) AS BIGINT) AS documents, CAST(count(r.document_id) FILTER (WHERE r.status = 'indexed') AS BIGINT) AS indexed, CAST(count(r.document_id) FILTER (WHERE r.review_status = 'quarantined') AS BIGINT) AS quarantined, CAST(count(hit) AS BIGINT) AS conflicted,
-    round(avg(quality_score), 6) AS avg_quality, min(quality_score) AS min_quality, CAST(sum(chunk_count) AS BIGINT) AS chunks, CAST(coalesce(sum(n), 0) AS BIGINT) AS active_claims FROM own s LEFT JOIN r ON r.source_id = s.source_id AND r.status != 'deleted' GROUP BY GROUPING SETS ((s.source_id, s.tenant_id, s.name, s.source_type, r.folder), (s.source_id, s.tenant_id, s.name, s.source_type)))
+    round(avg(quality_score), 6) AS avg_quality, min(quality_score) AS min_quality, CAST(coalesce(sum(chunk_count), 0) AS BIGINT) AS chunks, CAST(coalesce(sum(n), 0) AS BIGINT) AS active_claims FROM own s LEFT JOIN r ON r.source_id = s.source_id AND r.status != 'deleted' GROUP BY GROUPING SETS ((s.source_id, s.tenant_id, s.name, s.source_type, r.folder), (s.source_id, s.tenant_id, s.name, s.source_type)))
     SELECT * EXCLUDE (whole) FROM g WHERE whole = 1 OR folder IS NOT NULL"""
 
 
