@@ -65,6 +65,36 @@ def test_matroska_cues_and_unknown_sizes():
     assert (p["track"], p["timestamp_ns"], p["size"]) == ([2], [5_000_000], [4])
 
 
+def test_matroska_live_recordings_and_deep_nesting():
+    """Clusters of unknown size end where the next begins, however many; masters nest to any depth."""
+    block = matroska.element(matroska.SIMPLE_BLOCK, b"\x81" + struct.pack(">hB", 0, 0x80) + b"data")
+    ident = lambda x: x.to_bytes((x.bit_length() + 7) // 8, "big")
+    cluster = lambda k: ident(matroska.CLUSTER) + b"\x01" + b"\xff" * 7 + matroska.element(matroska.TIMESTAMP, k.to_bytes(4, "big")) + block
+    data = ident(matroska.SEGMENT) + b"\x01" + b"\xff" * 7 + b"".join(cluster(k) for k in range(5000)) + matroska.element(matroska.CUES, b"")
+    t = matroska.packets(data)
+    assert t["cluster"] == list(range(5000)) and t["timestamp_ns"] == [k * 1_000_000 for k in range(5000)] and set(t["size"]) == {4}
+    two = matroska.packets(data + data)
+    assert two["cluster"] == list(range(10_000))
+    deep = block
+    for _ in range(5000):
+        deep = matroska.element(matroska.BLOCK_GROUP, deep)
+    assert matroska.packets(matroska.element(matroska.SEGMENT, deep))["size"] == [4]
+
+
+def test_matroska_any_damage_is_a_row(spark):
+    rng = random.Random(9)
+    good = matroska.mux(b"y" * 192 * 30)
+    files = []
+    for k in range(300):
+        data = bytearray(good)
+        for _ in range(rng.randrange(1, 6)):
+            at = rng.randrange(min(len(data), 400)) if rng.random() < 0.7 else rng.randrange(len(data))
+            data[at : at + rng.randrange(3)] = rng.randbytes(rng.randrange(3))
+        files.append((k, bytes(data[: rng.randrange(len(data))] if rng.random() < 0.2 else data)))
+    table = matroska.packet_table(spark.createDataFrame(files, "doc_id long, media binary")).collect()
+    assert {r.doc_id for r in table if r.error} and all((r.error is None) == (r.size is not None) for r in table)
+
+
 def test_matroska_damaged_files_give_an_error(spark):
     whole = matroska.mux(b"x" * 192 * 20)
     uneven = matroska.element(matroska.CLUSTER, matroska.element(matroska.SIMPLE_BLOCK, b"\x81" + struct.pack(">hB", 0, 0x80 | matroska.FIXED << 1) + b"\x02abcd"))

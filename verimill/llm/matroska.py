@@ -20,6 +20,9 @@ CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 #: Elements that hold elements.
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
+SEEK_HEAD, ATTACHMENTS, CHAPTERS, TAGS = 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367
+#: Levels of the elements that end one of unknown size, which those with a level may be.
+LEVELS = {EBML: 0, SEGMENT: 0} | dict.fromkeys((SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, ATTACHMENTS, CHAPTERS, TAGS), 1)
 NO_LACING, XIPH, FIXED, EBML_LACING = range(4)
 LACING = ("none", "xiph", "fixed", "ebml")
 
@@ -109,18 +112,34 @@ def read_vint(data: bytes, at: int, keep_marker: bool) -> tuple[int, int, int]:
 
 
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
-    """(id, place of the element, begin and end of its body) of all elements, masters before what they hold."""
-    while at < end:
+    """(id, place of the element, begin and end of its body) of all elements, masters before what they hold.
+
+    An element of unknown size, as live recordings have, ends where an element of its own level or of a parent's begins, at its parent's end at
+    the latest; the end given for it is its parent's. Open masters are a stack, so nesting may be of any depth.
+    """
+    open_ = [(end, -1)]  # the end of each master and, if its size is unknown, its level
+    while True:
+        while len(open_) > 1 and at >= open_[-1][0]:
+            open_.pop()
+        stop, _ = open_[-1]
+        if at >= stop:
+            return
         start = at
         ident, _, at = read_vint(data, at, True)
         size, _, at = read_vint(data, at, False)
-        stop = end if size < 0 else at + size
-        if stop > end:
+        while len(open_) > 1 and LEVELS.get(ident, 9) <= open_[-1][1]:
+            open_.pop()
+        stop = open_[-1][0]
+        body = stop if size < 0 else at + size
+        if body > stop:
             raise ValueError(f"the element at byte {start} ends behind its parent")
-        yield ident, start, at, stop
+        if size < 0 and ident not in LEVELS:
+            raise ValueError(f"the element at byte {start} can't be of unknown size")
+        yield ident, start, at, body
         if ident in MASTERS:
-            yield from elements(data, at, stop)
-        at = stop
+            open_.append((body, LEVELS.get(ident, -1) if size < 0 else -1))
+        else:
+            at = body
 
 
 def lace_sizes(data: bytes, kind: int, at: int, end: int) -> tuple[list[int], int]:
@@ -179,6 +198,8 @@ def packets(data: bytes) -> dict[str, list]:
             track, _, at = read_vint(data, begin, False)
             relative, flags = struct.unpack_from(">hB", data, at)
             kind = flags >> 1 & 3
+            if abs(base + relative) * scale >= 1 << 63:
+                raise ValueError(f"the block at byte {start} has a time beyond 292 years")
             sizes, at = lace_sizes(data, kind, at + 3, end)
             for size in sizes:
                 for k, v in (("track", track), ("timestamp_ns", (base + relative) * scale), ("keyframe", bool(flags & 0x80)), ("lacing", kind), ("offset", at), ("size", size), ("cluster", len(out["clusters"]) - 1)):
