@@ -18,6 +18,8 @@ SPREAD = 16
 COPIES = 4096
 #: Tasks at most: where there are more buckets, some follow each other in a task. Buckets that are counted together.
 MOST_TASKS, STRIDE = 20_000, 4096
+#: Places that rows are dealt to where the keys of spread rows are too many to broadcast.
+PLACES = 16
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -33,9 +35,10 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows: in
     Spark's shuffle(), a seeded Fisher-Yates; buckets in turn then make one permutation of all rows, which is dealt to the shards like cards.
     The number of buckets follows the rows and bytes of the input, so that a bucket stays as large as it is. Equal rows that would fill
     much of a bucket are told apart by an occurrence number, which the hash takes too; being equal, they are made from one of them and their
-    count. Repeated rows are kept, each with a place of its own; nulls are values like others; an empty table gives an empty one. Seed, rows
+    count. Repeated rows are kept, each with a place of its own; columns named shard or slot are replaced, those of maps can't be hashed; nulls are values like others; an empty table gives an empty one. Seed, rows
     and number of buckets decide the order.
     """
+    df = df.drop("shard", "slot")
     columns = df.columns
     row, of = F.struct(*columns), F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
     hashed = df.select(row.alias("__row"), of.alias("__hash"), row_bytes(df).alias("__bytes"))
@@ -43,8 +46,12 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows: in
     buckets = max(1, -(-total.n // bucket_rows), -(-total.b // bucket_bytes))
     hot = hashed.groupBy("__hash").agg(F.count("*").alias("__n"), F.sum("__bytes").alias("__b"))
     hot = cut(hot.filter((F.col("__n") > max(1, bucket_rows // SPREAD)) | (F.col("__n") > 1) & (F.col("__b") > bucket_bytes // SPREAD)).select(F.col("__hash").alias("__is")), "hot")
-    few = F.broadcast(hot)  # at most SPREAD of them for each bucket's rows and for its bytes
-    on = F.col("__hash") == F.col("__is")
+    # at most SPREAD of them for each bucket's rows and for its bytes: broadcast if they are few, else copied to the places their rows are dealt to
+    if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        few, on = F.broadcast(hot), F.col("__hash") == F.col("__is")
+    else:
+        few = hot.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))))
+        hashed, on = hashed.withColumn("__at", F.pmod(F.monotonically_increasing_id(), F.lit(PLACES)).cast("int")), (F.col("__hash") == F.col("__is")) & (F.col("__at") == F.col("__place"))
     plain = hashed.join(few, on, "left_anti").select("__row", F.pmod("__hash", F.lit(buckets)).alias("__bucket"))
     equal = hashed.join(few, on, "left_semi").groupBy("__row").agg(F.first("__hash").alias("__hash"), F.count("*").alias("__n"))
     parts = equal.select("__row", "__hash", "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(COPIES).cast("long"))).alias("__from")).repartition("__hash", "__from")
