@@ -4,7 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from verimill.operators import postings, retrieval, vectors
+from verimill.operators import conflicts, graph, postings, retrieval, vectors
 from verimill.operators.conflicts import checkpointed
 
 
@@ -49,3 +49,34 @@ def test_vector_index(spark):
     assert model.usual < len(model.centroids)
     every = vectors.search(index, model, held, queries, probes=len(model.centroids), rerank=3000)
     assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.select(*every.columns).collect()))
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_cosine_join_against_all_pairs(spark, dense):
+    rng = random.Random(12)
+    make = lambda: [rng.gauss(0, 1) for _ in range(6)] if dense else [float(rng.choice([0, 0, 0, 0, 1, 2])) for _ in range(24)]
+    rows = [(i % 2, i, make()) for i in range(160)] + [(0, 500, [0.0] * (6 if dense else 24)), (0, 501, None)]
+    rows += [(0, 502, rows[0][2]), (1, 503, rows[0][2])]
+    unit = lambda v: sum(x * x for x in v) ** 0.5
+    want = {}
+    for t, i, v in rows:
+        for u, j, w in rows:
+            if t == u and i < j and v and w and unit(v) and unit(w):
+                c = round(sum(x * y for x, y in zip(v, w, strict=True)) / unit(v) / unit(w), 6)
+                if c >= 0.7:
+                    want[t, i, j] = c
+    df = spark.createDataFrame(rows, "tenant_id long, key long, embedding array<double>")
+    got = {(r.tenant_id, r.a, r.b): r.similarity for r in conflicts.cosine_join(df, 0.7).collect()}
+    assert got.keys() == want.keys() and len(got) > 5
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in got)
+
+
+def test_related_documents_of_one_predicate_stay_linear(spark):
+    """20,000 documents share a predicate: 20 rows for each, not a pair of each two."""
+    n = 20_000
+    docs = spark.range(n).select(F.col("id").alias("document_id"), (F.col("id") % 2).alias("tenant_id"), F.lit("t").alias("title"), F.when(F.col("id") == 2, "deleted").otherwise("indexed").alias("status"))
+    claims = docs.select("document_id", F.lit(9).alias("tenant_id"), F.lit("Retention").alias("predicate"), F.concat(F.lit("v"), F.col("document_id") % 3).alias("object_value"), F.lit("active").alias("status"))
+    found = checkpointed(graph.related(claims, docs))
+    assert found.count() == 20 * (n - 1)
+    assert [r.related_id for r in found.filter("document_id = 6").orderBy("rank").collect()] == [x for x in range(0, 46, 2) if x not in (2, 6)][:20]
+    assert found.filter("related_id % 2 <> document_id % 2").count() == 0

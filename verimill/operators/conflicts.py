@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -165,7 +166,7 @@ def similar_claim_conflicts(claims: DataFrame, similar: DataFrame, least: float
     best = ranked(claims.filter("status = 'active'").select("tenant_id", p, v, "claim_id", "confidence"), ["tenant_id", "p", "value"], F.desc("confidence"), F.asc("claim_id"), most=1)
     a, b = (best.select("tenant_id", F.col("p").alias(f"predicate_{s}"), F.col("value").alias(f"value_{s}"), F.col("claim_id").alias(f"claim_{s}")) for s in "ab")
     near = similar.filter(F.col("similarity") >= least)
-    met = near.join(a, ["tenant_id", "predicate_a"]).join(b, ["tenant_id", "predicate_b"]).filter("value_a <> value_b")
+    met = near.join(a, ["tenant_id", "predicate_a"]).join(b, ["tenant_id", "predicate_b"]).filter("value_a <> value_b AND (predicate_a <> predicate_b OR value_a < value_b)")
     return met.select("claim_a", "claim_b", "predicate_a", "predicate_b", F.round(F.col("similarity") * 0.9, 6).alias("confidence"))
 
 
@@ -215,3 +216,35 @@ def similar_predicates(claims: DataFrame, least: float = 0.45) -> DataFrame:
     full = pairs.join(of("a"), ["tenant_id", "predicate_a"]).join(of("b"), ["tenant_id", "predicate_b"])
     both = F.size(F.array_intersect("ga", "gb"))
     return full.select("tenant_id", "predicate_a", "predicate_b", F.round(both / (F.size("ga") + F.size("gb") - both), 6).alias("similarity")).filter(F.col("similarity") > least)
+
+
+def cosine_join(vectors: DataFrame, least: float = 0.7) -> DataFrame:
+    """(tenant_id, a, b, similarity): every pair a < b of a tenant's keys whose vectors have a cosine of `least` (above 0) or more; exact.
+
+    vectors: tenant_id, key and embedding; zero vectors and null ones are like none. Places are ordered from the rarest to the commonest. The
+    part of a vector behind a place whose norm is below `least` can't reach it alone, so two such vectors share a place of their prefixes; of
+    the first they share, what both have there and the norms behind it bound the cosine. Who passes is compared in full. Vectors without
+    zeros share all places, and then only the bound helps.
+    """
+    unit = vectors.withColumn("n", norm(F.col("embedding"))).filter("n > 0").select("tenant_id", "key", F.transform("embedding", lambda x: F.try_divide(x, F.col("n"))).alias("u"))
+    places = unit.select("tenant_id", "key", F.posexplode("u").alias("place", "x")).filter("x <> 0")
+    often = places.groupBy("tenant_id", "place").agg(F.count("*").alias("df"))
+    from_end = Window.partitionBy("tenant_id", "key").orderBy(F.desc("df"), F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)  # a vector's places
+    tail = places.join(often, ["tenant_id", "place"]).withColumn("tail", F.sum(F.col("x") * F.col("x")).over(from_end))
+    slack = 1e-9
+    heads = tail.filter(F.col("tail") >= least * least - slack).withColumn("behind", F.sqrt(F.greatest(F.col("tail") - F.col("x") * F.col("x"), F.lit(0.0))))
+    side = lambda s: heads.select("tenant_id", "place", F.col("key").alias(s), F.col("x").alias(f"x{s}"), F.col("behind").alias(f"behind_{s}"))
+    possible = (F.col("a") < F.col("b")) & (F.col("xa") * F.col("xb") + F.col("behind_a") * F.col("behind_b") >= least - slack)
+    pairs = side("a").join(side("b"), ["tenant_id", "place"]).filter(possible).select("tenant_id", "a", "b").distinct()
+    of = lambda s: unit.select("tenant_id", F.col("key").alias(s), F.col("u").alias(f"u{s}"))
+    full = pairs.join(of("a"), ["tenant_id", "a"]).join(of("b"), ["tenant_id", "b"])
+    return full.select("tenant_id", "a", "b", F.round(dot(F.col("ua"), F.col("ub")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def predicates_by_meaning(claims: DataFrame, embedder: Callable[[Column], Column], least: float = 0.7) -> DataFrame:
+    """(tenant_id, predicate_a, predicate_b, similarity) for similar_claim_conflicts(): a tenant's distinct active predicates whose embeddings
+    have a cosine of `least` or more, each with itself too, at 1: claims on one predicate conflict as well."""
+    own = claims.filter("status = 'active'").select("tenant_id", F.lower(F.trim("predicate")).alias("key")).distinct()
+    made = checkpointed(own.withColumn("embedding", embedder(F.col("key"))))
+    near = cosine_join(made, least).select("tenant_id", F.col("a").alias("predicate_a"), F.col("b").alias("predicate_b"), "similarity")
+    return near.unionByName(own.select("tenant_id", F.col("key").alias("predicate_a"), F.col("key").alias("predicate_b"), F.lit(1.0).alias("similarity")))

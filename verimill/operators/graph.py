@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .conflicts import similar_predicates
+from .conflicts import checkpointed, similar_predicates
 from .retrieval import ranked
 
 
@@ -48,6 +48,33 @@ def claim_links(claims: DataFrame) -> DataFrame:
     return met.select("tenant_id", F.col("p").alias("predicate"), "value", "document_id", "class_id", (F.col("same") - 1).alias("agreeing"), (F.col("whole") - F.col("same") - F.col("own") + 1).alias("contradicting"))
 
 
+def related(claims: DataFrame, docs: DataFrame, least: float = 0.45, most: int = 20) -> DataFrame:
+    """(document_id, related_id, title, predicate, this_value, related_value, similarity, rank): the documents of a document's tenant with active
+    claims on an equal predicate, or one whose trigram similarity is above `least`: the first `most` by id, each with its most similar
+    predicate (ties by predicate and values).
+
+    Of a predicate's documents only the first most + 1 by id can be among anyone's first `most`, and the same holds for what all predicates
+    similar to one have together. So each predicate has most + 1 candidates, and no two documents of a class are paired beyond those: a
+    predicate that very many documents share costs most + 1 rows for each of them.
+    """
+    live = docs.filter("status <> 'deleted'").select("document_id", "tenant_id", "title")
+    held = claims.filter("status = 'active'").drop("tenant_id", "title").join(live, "document_id").select("tenant_id", F.lower("predicate").alias("p"), "document_id", F.col("object_value").alias("value"))
+    own = checkpointed(held.groupBy("tenant_id", "p", "document_id").agg(F.min("value").alias("value")))
+    heads = ranked(own, ["tenant_id", "p"], F.asc("document_id"), most=most + 1, name="place").select("tenant_id", F.col("p").alias("b"), F.col("document_id").alias("related_id"), F.col("value").alias("related_value"))
+    names = own.select("tenant_id", F.col("p").alias("predicate")).distinct()
+    near = similar_predicates(names, least).select("tenant_id", F.col("predicate_a").alias("a"), F.col("predicate_b").alias("b"), "similarity")
+    trimmed = names.select("tenant_id", F.col("predicate").alias("p"), F.lower(F.trim("predicate")).alias("t"))
+    ends = lambda df: df.join(trimmed.select("tenant_id", F.col("t").alias("a"), F.col("p").alias("pa")), ["tenant_id", "a"]).join(trimmed.select("tenant_id", F.col("t").alias("b"), F.col("p").alias("pb")), ["tenant_id", "b"]).select("tenant_id", F.col("pa").alias("a"), F.col("pb").alias("b"), "similarity")
+    near = ends(near.unionByName(near.select("tenant_id", F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(trimmed.select("tenant_id", F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1.0).alias("similarity")).distinct()))
+    best = F.min(F.struct((-F.col("similarity")).alias("s"), "related_value")).alias("x")
+    for_predicate = ranked(near.join(heads, ["tenant_id", "b"]).groupBy("tenant_id", "a", "related_id").agg(best), ["tenant_id", "a"], F.asc("related_id"), most=most + 1, name="place")
+    met = own.join(for_predicate.select("tenant_id", F.col("a").alias("p"), "related_id", "x"), ["tenant_id", "p"]).filter("document_id <> related_id")
+    per = met.groupBy("document_id", "related_id").agg(F.min(F.struct(F.col("x.s").alias("s"), "p", "value", F.col("x.related_value").alias("related_value"))).alias("y"))
+    top = ranked(per, ["document_id"], F.asc("related_id"), most=most)
+    named = top.join(live.select(F.col("document_id").alias("related_id"), "title"), "related_id")
+    return named.select("document_id", "related_id", "title", F.col("y.p").alias("predicate"), F.col("y.value").alias("this_value"), F.col("y.related_value").alias("related_value"), (-F.col("y.s")).alias("similarity"), "rank")
+
+
 def siblings(docs: DataFrame, most: int = 10) -> DataFrame:
     """(document_id, sibling_id, rank): the first other documents of the same source by title.
 
