@@ -102,7 +102,7 @@ def _(v):
     return gr.related(titles_as_claims(v), v("docs"))
 
 
-@query("i38_related_on_one_predicate", f"WITH live AS (SELECT * FROM {{claim_docs}} WHERE status <> 'deleted'), cv AS (SELECT l.tenant_id, concat('flag ', l.tenant_id) AS p, c.document_id, min(object_value) AS x FROM {{claims}} c JOIN live l ON l.document_id = c.document_id WHERE c.status = 'active' GROUP BY ALL), sb AS (SELECT DISTINCT tenant_id, p AS a, p AS b, 1.0 AS similarity FROM cv) {_RELATED}")
+@query("i38_related_on_one_predicate", f"WITH live AS (SELECT * FROM {{claim_docs}} WHERE status <> 'deleted'), cv AS (SELECT l.tenant_id, concat('flag ', l.tenant_id) AS p, c.document_id, min(object_value) AS x FROM {{claims}} c JOIN live l ON l.document_id = c.document_id WHERE c.status = 'active' GROUP BY ALL), sb AS (SELECT DISTINCT tenant_id, p AS a, p AS b, CAST(1 AS DOUBLE) AS similarity FROM cv) {_RELATED}")
 def _(v):
     """All documents of a tenant have claims on one predicate."""
     return gr.related(wide_claims(v), v("claim_docs"))
