@@ -85,9 +85,10 @@ def test_resolution_precedence(spark):
 
 
 def test_line_changes_count_repeats(spark):
-    v = spark.createDataFrame([(1, 1, "a\na\nb"), (1, 2, "a\nb\nc\nc")], "document_id long, version long, content_snapshot string")
-    r = versions.line_changes(versions.version_pairs(v)).first()
-    assert (r.added, r.removed) == (2, 1)
+    """A last line without an end isn't the line that has one."""
+    v = spark.createDataFrame([(1, 1, "a\na\nb\n"), (1, 2, "a\nb\nc\nc\n"), (2, 1, "a\na\nb"), (2, 2, "a\nb\nc\nc")], "document_id long, version long, content_snapshot string")
+    got = {r.document_id: (r.added, r.removed) for r in versions.line_changes(versions.version_pairs(v)).collect()}
+    assert got == {1: (2, 1), 2: (3, 2)}
 
 
 def plan(df):
