@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linediff import hunks
+from .conflicts import checkpointed
 
 KEY = ["tenant_id", "source_id", "source_object_id"]
 
@@ -101,3 +102,79 @@ def reembedding_plan(before: DataFrame, after: DataFrame) -> DataFrame:
     b = after.select("document_id", "chunk_index", F.col("chunk_hash").alias("h1"))
     action = F.when(F.col("h0").isNull(), "new").when(F.col("h1").isNull(), "removed").when(F.col("h0") == F.col("h1"), "unchanged").otherwise("changed")
     return a.join(b, ["document_id", "chunk_index"], "full_outer").select("document_id", "chunk_index", action.alias("action"))
+
+
+def longest_rising(runs: list[tuple[int, int, int]]) -> list[int]:
+    """Places of runs (start before, start after, chunks), by rising start after, whose starts before rise and that have the most chunks together.
+
+    Of equally good choices, that whose last run starts earlier before, and so on back. O(n log n) in the number of runs.
+    """
+    place = {s: k + 1 for k, s in enumerate(sorted(r[0] for r in runs))}
+    tree: list[tuple[int, int]] = [(0, -1)] * (len(runs) + 1)
+    back = []
+    for k, (start, _, n) in enumerate(runs):
+        i, best = place[start] - 1, (0, -1)
+        while i:
+            best, i = max(best, tree[i], key=lambda x: x[0]), i & (i - 1)
+        back.append(best[1])
+        i, mine = place[start], (best[0] + n, k)
+        while i < len(tree):
+            if mine[0] > tree[i][0]:
+                tree[i] = mine
+            i += i & -i
+    i, best = len(runs), (0, -1)
+    while i:
+        best, i = max(best, tree[i], key=lambda x: x[0]), i & (i - 1)
+    out, k = [], best[1]
+    while k >= 0:
+        out.append(k)
+        k = back[k]
+    return out[::-1]
+
+
+def aligned_plan(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(document_id, chunk_index, old_index, action, embed) for chunk tables (document_id, chunk_index, chunk_hash): one row for each chunk of the
+    later version, and one with a null chunk_index for each removed chunk.
+
+    The k-th chunk with a hash is met with the k-th of the version before; those that keep their order, the longest such sequence, are unchanged,
+    the others moved. Between two unchanged chunks the k-th of the rest is the k-th rest of before, changed; what is over is new or removed.
+    embed says that no vector of the document's version before has this hash. Chunks in a row are one run, so Python sees a document's runs,
+    which follow its edits, not its chunks. Null hashes are never met.
+    """
+    nth = Window.partitionBy("document_id", "chunk_hash").orderBy("chunk_index")
+    pos = Window.partitionBy("document_id").orderBy("chunk_index")
+    placed = lambda d, i, p: d.select("document_id", F.col("chunk_index").alias(i), "chunk_hash", F.row_number().over(nth).alias("k"), F.row_number().over(pos).alias(p))
+    a, b = checkpointed(placed(before, "old_index", "p0")), checkpointed(placed(after, "chunk_index", "p1"))
+    both = a.join(b, ["document_id", "chunk_hash", "k"]).select("document_id", "p0", "p1")
+    order = Window.partitionBy("document_id").orderBy("p1")
+    starts = (F.lag("p0").over(order) + 1 == F.col("p0")) & (F.lag("p1").over(order) + 1 == F.col("p1"))
+    both = both.withColumn("run", F.sum(F.when(starts, 0).otherwise(1)).over(order))
+    both = checkpointed(both)
+    runs = both.groupBy("document_id", "run").agg(F.min("p0").alias("start0"), F.min("p1").alias("start1"), F.count("*").alias("n"))
+
+    def pick(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("start1")
+        kept = longest_rising(list(zip(*(rows.column(c).to_pylist() for c in ("start0", "start1", "n")), strict=True)))
+        return rows.take(pa.array(kept, pa.int64())).select(["document_id", "run"])
+
+    several = runs.join(runs.groupBy("document_id").agg(F.count("*").alias("__m")).filter("__m > 1").select("document_id"), "document_id", "left_semi")
+    chosen = several.select(F.col("document_id").cast("long").alias("document_id"), F.col("run").cast("long").alias("run"), "start0", "start1", "n").groupBy("document_id").applyInArrow(pick, "document_id long, run long")
+    single = runs.join(several.select("document_id").distinct(), "document_id", "left_anti").select("document_id", "run")
+    stays = both.join(chosen.unionByName(single), ["document_id", "run"], "left_semi").withColumn("stays", F.lit(True))
+    met = both.select("document_id", "p0", "p1").join(stays.select("document_id", "p0", "p1", "stays"), ["document_id", "p0", "p1"], "left")
+    met = checkpointed(met)
+
+    gap = lambda p: F.count("stays").over(Window.partitionBy("document_id").orderBy(p))
+    free = Window.partitionBy("document_id", "gap")
+    old = a.join(met.select("document_id", "p0", F.col("p1").alias("mate"), "stays"), ["document_id", "p0"], "left").withColumn("gap", gap("p0")).filter("mate IS NULL")
+    new = b.join(met.select("document_id", "p1", F.col("p0").alias("mate"), "stays"), ["document_id", "p1"], "left").withColumn("gap", gap("p1"))
+    old = old.select("document_id", "gap", F.row_number().over(free.orderBy("p0")).alias("g"), F.col("old_index").alias("was"))
+    rest = new.filter("mate IS NULL").select("document_id", "gap", F.row_number().over(free.orderBy("p1")).alias("g"), "chunk_index", "chunk_hash")
+    pairs = rest.join(old, ["document_id", "gap", "g"], "full_outer")
+    action = F.when(F.col("chunk_index").isNull(), "removed").when(F.col("was").isNull(), "new").otherwise("changed")
+    known = a.select("document_id", "chunk_hash", F.lit(True).alias("known")).distinct()
+    edited = pairs.withColumn("action", action).join(known, ["document_id", "chunk_hash"], "left")
+    edited = edited.select("document_id", "chunk_index", F.col("was").alias("old_index"), "action", (F.col("chunk_index").isNotNull() & F.col("known").isNull()).alias("embed"))
+    kept = new.filter("mate IS NOT NULL").withColumnRenamed("mate", "p0").join(a.select("document_id", "p0", "old_index"), ["document_id", "p0"])
+    kept = kept.select("document_id", "chunk_index", "old_index", F.when(F.col("stays"), "unchanged").otherwise("moved").alias("action"), F.lit(False).alias("embed"))
+    return kept.unionByName(edited)

@@ -34,4 +34,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from . import q_basic, q_knowledge, q_more, q_search  # noqa: E402, F401
+from . import q_basic, q_change, q_knowledge, q_more, q_search  # noqa: E402, F401
