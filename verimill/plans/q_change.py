@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import claim_udtf
 from ..operators import incremental as inc
 from ..operators import versions as vs
 from ..operators.claims import usable_claims
 from ..operators.conflicts import checkpointed
+from ..sources import delta_feed
 from ..sources.buckets import Buckets, scratch
 from ..streaming import stored as sd
-from .q_knowledge import _norm
+from .q_knowledge import _EXTRACTED, _norm
 from .q_more import _UPSERT, stored
 from .registry import query
 
@@ -138,3 +140,37 @@ def _(v):
     finally:
         spark.conf.set(name, before)
     return spark.read.parquet(f"{at}/out").select("delivery_id", "taken")
+
+
+@query("k3_claims_by_table_function", _EXTRACTED)
+def _(v):
+    """i16_extract_claims as SQL with a table function."""
+    chunks = v("chunks").select("document_id", "chunk_id", "chunk_index", "chunk_text")
+    claim_udtf.register(chunks.sparkSession, "extract_claims")
+    return chunks.sparkSession.sql("SELECT document_id, chunk_id, subject, predicate, object_value FROM extract_claims(TABLE(SELECT * FROM {chunks}))", chunks=chunks)
+
+
+_FEED = """WITH ff AS (SELECT *, CASE WHEN document_id % 6 = 3 THEN 'deleted' ELSE 'updated' END AS e FROM {docs} WHERE document_id IS NOT NULL)
+SELECT CAST(document_id AS VARCHAR) AS source_object_id, CASE WHEN document_id % 3 = 0 AND e = 'updated' THEN CAST(2 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS version, CASE WHEN document_id % 3 = 0 AND e = 'deleted' THEN 'deleted' ELSE 'indexed' END AS status FROM ff"""
+
+
+@query("j6_feed_stream", _FEED)
+def _(v):
+    """Documents as a feed of pages of some hundred items: a first run with all, a second with the changed and the deleted."""
+    docs = v("docs")
+    spark = docs.sparkSession
+    at = scratch(spark)
+    text = F.concat(F.lit("A document with this content hash stands in the feed: "), F.coalesce("content_hash", F.lit("none")))
+    item = docs.select(F.col("document_id").alias("id"), F.lit(False).alias("deleted"), text.alias("content"), F.lit("2024-01-01T00:00:00+00:00").alias("at"), F.floor(F.col("document_id") / 100).alias("page"))
+    changed = item.filter("id % 3 = 0").withColumns({"deleted": F.col("id") % 6 == 3, "content": F.concat("content", F.lit(", revised")), "at": F.lit("2024-01-02T00:00:00+00:00")})
+    delta_feed.register(spark)
+    table = Buckets(spark, f"{at}/documents", ("source", "source_object_id"), sd.DOCUMENTS)
+    for run, rows in ((1, item), (2, changed)):
+        rows.repartition("page").write.partitionBy("page").json(f"{at}/feed/run={run}")
+        events = spark.readStream.format("delta_feed").option("path", f"{at}/feed").load()
+        run_on = sd.sync_changed(events, table).option("checkpointLocation", f"{at}/cursor").start()
+        try:
+            run_on.processAllAvailable()
+        finally:
+            run_on.stop()
+    return table.read().select("source_object_id", "version", "status")

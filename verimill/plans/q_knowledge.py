@@ -474,8 +474,11 @@ def _(v):
     return cl.first_claims(v("claims").withColumn("chunk_id", F.col("claim_id"))).select("document_id", "claim_id")
 
 
-@query("i16_extract_claims", r"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS r FROM {chunks} WHERE length(trim(chunk_text)) >= 30 QUALIFY r <= 50), m AS (SELECT document_id, chunk_id, unnest(regexp_extract_all(chunk_text, '([\p{L}]+ (?:is|was|est|ist|es) [\p{L}]+)', 1)) AS m FROM e)
-SELECT document_id, chunk_id, split_part(m, ' ', 1) AS subject, split_part(m, ' ', 2) AS predicate, split_part(m, ' ', 3) AS object_value FROM m QUALIFY row_number() OVER (PARTITION BY document_id, lower(split_part(m, ' ', 1)), lower(split_part(m, ' ', 2)), lower(split_part(m, ' ', 3)) ORDER BY chunk_id, split_part(m, ' ', 1), split_part(m, ' ', 2), split_part(m, ' ', 3)) = 1""")
+_EXTRACTED = r"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS r FROM {chunks} WHERE length(trim(chunk_text)) >= 30 QUALIFY r <= 50), m AS (SELECT document_id, chunk_id, unnest(regexp_extract_all(chunk_text, '([\p{L}]+ (?:is|was|est|ist|es) [\p{L}]+)', 1)) AS m FROM e)
+SELECT document_id, chunk_id, split_part(m, ' ', 1) AS subject, split_part(m, ' ', 2) AS predicate, split_part(m, ' ', 3) AS object_value FROM m QUALIFY row_number() OVER (PARTITION BY document_id, lower(split_part(m, ' ', 1)), lower(split_part(m, ' ', 2)), lower(split_part(m, ' ', 3)) ORDER BY chunk_id, split_part(m, ' ', 1), split_part(m, ' ', 2), split_part(m, ' ', 3)) = 1"""
+
+
+@query("i16_extract_claims", _EXTRACTED)
 def _(v):
     return cl.extract_claims(v("chunks"), passes=2).select("document_id", "chunk_id", "subject", "predicate", "object_value")
 
