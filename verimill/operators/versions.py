@@ -139,42 +139,39 @@ def aligned_plan(before: DataFrame, after: DataFrame) -> DataFrame:
     The k-th chunk with a hash is met with the k-th of the version before; those that keep their order, the longest such sequence, are unchanged,
     the others moved. Between two unchanged chunks the k-th of the rest is the k-th rest of before, changed; what is over is new or removed.
     embed says that no vector of the document's version before has this hash. Chunks in a row are one run, so Python sees a document's runs,
-    which follow its edits, not its chunks. Null hashes are never met.
+    which follow its edits, not its chunks. Null hashes are never met. Hashes are compared by their MD5, 16 bytes, and chunks are shuffled once, by
+    document; all windows and groups keep that partitioning.
     """
-    nth = Window.partitionBy("document_id", "chunk_hash").orderBy("chunk_index")
-    pos = Window.partitionBy("document_id").orderBy("chunk_index")
-    placed = lambda d, i, p: d.select("document_id", F.col("chunk_index").alias(i), "chunk_hash", F.row_number().over(nth).alias("k"), F.row_number().over(pos).alias(p))
-    a, b = checkpointed(placed(before, "old_index", "p0")), checkpointed(placed(after, "chunk_index", "p1"))
-    both = a.join(b, ["document_id", "chunk_hash", "k"]).select("document_id", "p0", "p1")
-    order = Window.partitionBy("document_id").orderBy("p1")
-    starts = (F.lag("p0").over(order) + 1 == F.col("p0")) & (F.lag("p1").over(order) + 1 == F.col("p1"))
-    both = both.withColumn("run", F.sum(F.when(starts, 0).otherwise(1)).over(order))
-    both = checkpointed(both)
-    runs = both.groupBy("document_id", "run").agg(F.min("p0").alias("start0"), F.min("p1").alias("start1"), F.count("*").alias("n"))
+    own = lambda *c: Window.partitionBy("document_id", *c)
+    side = lambda d, k: d.select("document_id", F.lit(k).alias("side"), F.col("chunk_index").alias("at"), F.unhex(F.md5("chunk_hash")).alias("h"))
+    old, new = F.col("side") == 0, F.col("side") == 1
+    rows = side(before, 0).unionByName(side(after, 1)).withColumn("pos", F.row_number().over(own("side").orderBy("at")))
+    rows = rows.withColumn("k", F.row_number().over(own("side", "h").orderBy("pos")))
+    other = lambda c: F.when(F.col("h").isNotNull(), F.when(new, F.max(F.when(old, F.col(c))).over(own("h", "k"))).otherwise(F.max(F.when(new, F.col(c))).over(own("h", "k"))))
+    rows = rows.withColumns({"mate": other("pos"), "mate_at": other("at"), "known": F.max(old & F.col("h").isNotNull()).over(own("h"))}).drop("h", "k")
+    p0, p1 = F.when(old, F.col("pos")).otherwise(F.col("mate")), F.when(new, F.col("pos")).otherwise(F.col("mate"))
+    rows = rows.withColumns({"p0": p0, "p1": p1, "met": F.col("mate").isNotNull()}).drop("mate")
+    order = own("side", "met").orderBy("pos")
+    goes_on = F.coalesce((F.lag("p0").over(order) + 1 == F.col("p0")) & (F.lag("p1").over(order) + 1 == F.col("p1")), F.lit(False))
+    rows = rows.withColumn("run", F.last(F.when(F.col("met") & ~goes_on, F.col("p1")), ignorenulls=True).over(order))
+    rows = checkpointed(rows)
+    runs = rows.filter(new & F.col("met")).groupBy("document_id", "run").agg(F.min("p0").alias("start0"), F.min("p1").alias("start1"), F.count("*").alias("n"))
 
     def pick(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("start1")
-        kept = longest_rising(list(zip(*(rows.column(c).to_pylist() for c in ("start0", "start1", "n")), strict=True)))
-        return rows.take(pa.array(kept, pa.int64())).select(["document_id", "run"])
-
-    several = runs.join(runs.groupBy("document_id").agg(F.count("*").alias("__m")).filter("__m > 1").select("document_id"), "document_id", "left_semi")
-    chosen = several.select(F.col("document_id").cast("long").alias("document_id"), F.col("run").cast("long").alias("run"), "start0", "start1", "n").groupBy("document_id").applyInArrow(pick, "document_id long, run long")
-    single = runs.join(several.select("document_id").distinct(), "document_id", "left_anti").select("document_id", "run")
-    stays = both.join(chosen.unionByName(single), ["document_id", "run"], "left_semi").withColumn("stays", F.lit(True))
-    met = both.select("document_id", "p0", "p1").join(stays.select("document_id", "p0", "p1", "stays"), ["document_id", "p0", "p1"], "left")
-    met = checkpointed(met)
-
-    gap = lambda p: F.count("stays").over(Window.partitionBy("document_id").orderBy(p))
-    free = Window.partitionBy("document_id", "gap")
-    old = a.join(met.select("document_id", "p0", F.col("p1").alias("mate"), "stays"), ["document_id", "p0"], "left").withColumn("gap", gap("p0")).filter("mate IS NULL")
-    new = b.join(met.select("document_id", "p1", F.col("p0").alias("mate"), "stays"), ["document_id", "p1"], "left").withColumn("gap", gap("p1"))
-    old = old.select("document_id", "gap", F.row_number().over(free.orderBy("p0")).alias("g"), F.col("old_index").alias("was"))
-    rest = new.filter("mate IS NULL").select("document_id", "gap", F.row_number().over(free.orderBy("p1")).alias("g"), "chunk_index", "chunk_hash")
-    pairs = rest.join(old, ["document_id", "gap", "g"], "full_outer")
-    action = F.when(F.col("chunk_index").isNull(), "removed").when(F.col("was").isNull(), "new").otherwise("changed")
-    known = a.select("document_id", "chunk_hash", F.lit(True).alias("known")).distinct()
-    edited = pairs.withColumn("action", action).join(known, ["document_id", "chunk_hash"], "left")
-    edited = edited.select("document_id", "chunk_index", F.col("was").alias("old_index"), "action", (F.col("chunk_index").isNotNull() & F.col("known").isNull()).alias("embed"))
-    kept = new.filter("mate IS NOT NULL").withColumnRenamed("mate", "p0").join(a.select("document_id", "p0", "old_index"), ["document_id", "p0"])
-    kept = kept.select("document_id", "chunk_index", "old_index", F.when(F.col("stays"), "unchanged").otherwise("moved").alias("action"), F.lit(False).alias("embed"))
-    return kept.unionByName(edited)
+        found = table.sort_by("start1")
+        kept = longest_rising(list(zip(*(found.column(c).to_pylist() for c in ("start0", "start1", "n")), strict=True)))
+        return found.take(pa.array(kept, pa.int64())).select(["document_id", "run"])
+
+    runs = runs.withColumn("of", F.count("*").over(own()))
+    kinds = "document_id long, run long"
+    several = runs.filter("of > 1").select(F.col("document_id").cast("long").alias("document_id"), F.col("run").cast("long").alias("run"), "start0", "start1", "n")
+    chosen = several.groupBy("document_id").applyInArrow(pick, kinds).unionByName(runs.filter("of = 1").select("document_id", F.col("run").cast("long").alias("run")))
+    rows = rows.join(chosen.withColumn("stays", F.lit(True)), ["document_id", "run"], "left")
+
+    rows = rows.withColumn("gap", F.count("stays").over(own("side").orderBy("pos")))
+    rows = rows.withColumn("g", F.row_number().over(own("side", "met", "gap").orderBy("pos")))
+    rows = rows.withColumns({"was": F.max(F.when(old, F.col("at"))).over(own("met", "gap", "g")), "paired": F.max(new).over(own("met", "gap", "g"))})
+    action = F.when(F.col("stays"), "unchanged").when(F.col("met"), "moved").when(old, "removed").when(F.col("was").isNull(), "new").otherwise("changed")
+    rows = rows.filter(new | (~F.col("met") & ~F.col("paired")))
+    was = F.when(F.col("met"), F.col("mate_at")).otherwise(F.col("was"))
+    return rows.select("document_id", F.when(new, F.col("at")).alias("chunk_index"), was.alias("old_index"), action.alias("action"), (new & ~F.coalesce("known", F.lit(False))).alias("embed"))

@@ -49,7 +49,8 @@ _EDITED = "ch AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY
 def _(v):
     """A chunk put before all others, and each fifth one changed where its text is the document's only one."""
     w = Window.partitionBy("document_id")
-    rows = v("chunks").withColumns({"r": F.row_number().over(w.orderBy("chunk_index")), "n": F.count("*").over(Window.partitionBy("document_id", "chunk_hash"))})
+    rows = v("chunks").select("document_id", "chunk_index", "chunk_hash").withColumn("r", F.row_number().over(w.orderBy("chunk_index")))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("document_id", "chunk_hash")))
     edited = F.when((F.col("r") % 5 == 3) & (F.col("n") == 1), F.concat(F.lit("edited "), "chunk_hash")).otherwise(F.col("chunk_hash"))
     after = rows.select("document_id", (F.col("chunk_index") + 1).alias("chunk_index"), edited.alias("chunk_hash"))
     first = v("chunks").select("document_id").distinct().select("document_id", F.lit(0).cast("long").alias("chunk_index"), F.lit("first").alias("chunk_hash"))
