@@ -139,8 +139,8 @@ def aligned_plan(before: DataFrame, after: DataFrame) -> DataFrame:
     The k-th chunk with a hash is met with the k-th of the version before; those that keep their order, the longest such sequence, are unchanged,
     the others moved. Between two unchanged chunks the k-th of the rest is the k-th rest of before, changed; what is over is new or removed.
     embed says that no vector of the document's version before has this hash. Chunks in a row are one run, so Python sees a document's runs,
-    which follow its edits, not its chunks. Null hashes are never met. Hashes are compared by their MD5, 16 bytes, and chunks are shuffled once, by
-    document; all windows and groups keep that partitioning.
+    which follow its edits, not its chunks. Null hashes are never met. Hashes are compared by their MD5, 16 bytes, and windows by
+    document take the place of joins of the two versions; only the chosen runs are joined.
     """
     own = lambda *c: Window.partitionBy("document_id", *c)
     side = lambda d, k: d.select("document_id", F.lit(k).alias("side"), F.col("chunk_index").alias("at"), F.unhex(F.md5("chunk_hash")).alias("h"))
