@@ -77,6 +77,13 @@ def test_frontmatter(spark):
     assert [k[0] for k in kinds] == ["number", "boolean", "integer", "string"]
 
 
+def test_frontmatter_values(spark):
+    rows = spark.createDataFrame([("Yes", "boolean", True), ("NO", "boolean", False), ("False", "boolean", False), ("yess", "string", None), ("5.", "number", None), (".5", "number", None), ("-3", "integer", None), ("", "string", None), (None, "string", None)], "v string, kind string, truth boolean")
+    assert all(r.got == r.kind and r.is_true == r.truth for r in rows.withColumns({"got": st.value_type(F.col("v")), "is_true": st.as_boolean(F.col("v"))}).collect())
+    r = st.parse_text(spark.createDataFrame([("---\ntags:\n- a\nquoted: ''\nname: x\n---\nbody",)], "text string")).first()
+    assert r.frontmatter == {"name": "x"}
+
+
 def test_html(spark):
     assert one(spark, st.html_to_text(F.col("x")), x="<h1>Title</h1><p>Hello <b>world</b> &amp; you</p>") == "Title\nHello world & you"
 

@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from verimill.operators import analytics, claims, conflicts, governance, retrieval
+from verimill.operators import analytics, claims, conflicts, governance, quality, retrieval
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +59,20 @@ def test_auto_resolve_takes_each_tenants_surest(spark):
     decided, stats = governance.auto_resolve(open_, verdicts, most=2)
     assert sorted(r.conflict_id for r in decided.collect()) == [103, 104, 203, 204]
     assert {r.tenant_id: r.auto_resolved for r in stats.collect()} == {1: 2, 2: 2}
+
+
+def test_retention_follows_each_tenants_switch_and_days(spark):
+    tenants = spark.createDataFrame([(1, 30, True), (2, None, True), (3, 30, False), (4, 30, None)], "tenant_id long, retention_days int, hard_delete_enabled boolean")
+    now = F.expr("TIMESTAMP_NTZ '2024-06-30 00:00:00'")
+    rows = [(t * 10 + k, t, status, day) for t in (1, 2, 3, 4, 5) for k, (status, day) in enumerate([("deleted", "2024-05-01"), ("deleted", "2024-06-20"), ("indexed", "2020-01-01"), ("deleted", "2023-01-01")])]
+    docs = spark.createDataFrame(rows, "document_id long, tenant_id long, status string, d string").withColumn("created_at", F.col("d").cast("timestamp_ntz"))
+    assert sorted(r.document_id for r in governance.retention_due(docs, tenants, now).collect()) == [10, 13, 23]
+
+
+def test_duplicates_stay_in_their_tenant(spark):
+    rows = [(1, 1, "h"), (2, 1, "h"), (3, 2, "h"), (4, 1, None), (5, 1, None), (6, 2, "g")] + [(n, 3, "many") for n in range(100, 400)]
+    docs = spark.createDataFrame([(*r, "indexed") for r in rows] + [(7, 1, "h", "deleted")], "document_id long, tenant_id long, content_hash string, status string")
+    got = {tuple(r) for r in quality.exact_duplicates(docs).collect()}
+    assert got == {(1, 1, 2), (2, 1, 2), (4, 4, 2), (5, 4, 2)} | {(n, 100, 300) for n in range(100, 400)}
+    pairs = {(r.document_a_id, r.document_b_id) for r in conflicts.duplicate_conflicts(docs).collect()}
+    assert pairs == {(2, 1)} | {(a, b) for a in range(100, 400) for b in range(100, min(a, 105))}

@@ -15,12 +15,12 @@ from .retrieval import ranked, with_batch
 def duplicate_conflicts(docs: DataFrame, most: int = 5) -> DataFrame:
     """Pass 1: (document_a_id, document_b_id, confidence): a later document and up to `most` earlier ones with its content.
 
-    The earlier ones are the group's first, so a group of n copies gives at most n * most rows.
+    The earlier ones are the group's first, so a group of n copies gives at most n * most rows. Spark cuts each task's rows of a group to
+    those before it shuffles them, and the join with them can split a group that very many share.
     """
-    w = Window.partitionBy("tenant_id", "content_hash").orderBy("document_id")
-    live = docs.filter("status <> 'deleted'").select("tenant_id", "content_hash", "document_id").withColumn("place", F.row_number().over(w))
-    first = live.filter(F.col("place") <= most).select("tenant_id", "content_hash", F.col("document_id").alias("document_b_id"), F.col("place").alias("place_b"))
-    return live.join(first, ["tenant_id", "content_hash"]).filter("place_b < place").select(F.col("document_id").alias("document_a_id"), "document_b_id", F.lit(1.0).alias("confidence"))
+    live = docs.filter("status <> 'deleted'").select("tenant_id", "content_hash", F.col("document_id").alias("document_a_id"))
+    first = ranked(live.withColumnRenamed("document_a_id", "document_b_id"), ["tenant_id", "content_hash"], F.asc("document_b_id"), most=most, name="place")
+    return live.join(first, ["tenant_id", "content_hash"]).filter("document_b_id < document_a_id").select("document_a_id", "document_b_id", F.lit(1.0).alias("confidence"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -46,8 +46,7 @@ def chunk_overlap(chunks: DataFrame, docs: DataFrame, most: int = 5) -> DataFram
     anything behind them is behind them for every document of the set. So nothing is lost, and a common line isn't all pairs.
     """
     live = docs.filter("status <> 'deleted'")
-    first = Window.partitionBy("tenant_id", "content_hash")
-    once = live.withColumn("first_id", F.min("document_id").over(first)).filter("document_id = first_id").select("document_id", "tenant_id", "chunk_count")
+    once = live.groupBy("tenant_id", "content_hash").agg(F.min_by(F.struct("document_id", "chunk_count"), "document_id").alias("first")).select("first.document_id", "tenant_id", "first.chunk_count")
     rows = chunks.join(once.select("document_id"), "document_id", "left_semi").groupBy("tenant_id", "chunk_hash", "document_id").agg(F.count("*").alias("n"))
     rows = checkpointed(rows)  # read six times
     keys = ["tenant_id", "chunk_hash"]

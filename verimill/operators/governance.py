@@ -112,7 +112,10 @@ def tier_embeddings(chunks: DataFrame, swept: DataFrame) -> DataFrame:
 
 
 def retention_due(docs: DataFrame, tenants: DataFrame, now: Column) -> DataFrame:
-    old = docs.filter("status = 'deleted'").join(tenants.select("tenant_id", "retention_days"), "tenant_id")
+    """(document_id) of deleted documents older than their tenant's retention_days, 365 where it is null; only of tenants whose
+    hard_delete_enabled is true."""
+    kept = tenants.filter("hard_delete_enabled").select("tenant_id", F.coalesce(F.col("retention_days").cast("int"), F.lit(365)).alias("retention_days"))
+    old = docs.filter("status = 'deleted'").join(kept, "tenant_id")
     return old.filter(F.col("created_at") < now - F.make_interval(days=F.col("retention_days"))).select("document_id")
 
 

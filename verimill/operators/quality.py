@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_count
@@ -107,7 +107,12 @@ def schema_scores(findings: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """(document_id, first_id, copies) of live documents whose content another has too, in one tenant. A window, so copies aren't paired."""
-    w = Window.partitionBy("tenant_id", "content_hash")
+    """(document_id, first_id, copies) of live documents whose content another has too, in one tenant.
+
+    Hashes are counted first, so only what repeats is joined, with one row a hash; a hash that very many share is partly counted before
+    the shuffle, and its rows can be split among tasks of the join, which those of a window can't.
+    """
     live = docs.filter("status <> 'deleted'").select("document_id", "tenant_id", "content_hash")
-    return live.withColumns({"copies": F.count("*").over(w), "first_id": F.min("document_id").over(w)}).filter("copies > 1").select("document_id", "first_id", "copies")
+    groups = live.groupBy("tenant_id", "content_hash").agg(F.min("document_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
+    same = (F.col("l.tenant_id").eqNullSafe(F.col("g.tenant_id"))) & F.col("l.content_hash").eqNullSafe(F.col("g.content_hash"))
+    return live.alias("l").join(groups.alias("g"), same).select("l.document_id", "first_id", "copies")

@@ -20,7 +20,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         CASE r_regionkey % 3 WHEN 0 THEN 100 WHEN 1 THEN 10000 ELSE 1000000 END AS max_documents,
         CASE r_regionkey % 3 WHEN 0 THEN 1000 WHEN 1 THEN 50000 ELSE 1000000 END AS max_queries_per_month,
         CASE r_regionkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 10 ELSE 100 END AS max_sources,
-        CASE r_regionkey % 2 WHEN 0 THEN 30 ELSE 365 END AS retention_days FROM {region}""",
+        CASE r_regionkey % 3 WHEN 0 THEN 30 WHEN 1 THEN 90 END AS retention_days, r_regionkey <> 3 AS hard_delete_enabled FROM {region}""",
     "sources": """SELECT source_id, number % 5 AS tenant_id, concat('Source ', number) AS name,
         CASE number % 4 WHEN 0 THEN 'sharepoint' WHEN 1 THEN 'jira' WHEN 2 THEN 'notion' ELSE 'file_upload' END AS source_type, number % 3 = 0 AS auto_sync, 15 * (1 + number % 4) AS interval_minutes
         FROM (SELECT DISTINCT source AS source_id, CAST(substr(source, 4) AS BIGINT) AS number FROM {documents} WHERE source IS NOT NULL) AS s""",

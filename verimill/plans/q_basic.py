@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as an
 from ..operators import filters as fl
+from ..operators import governance as gv
 from ..operators import retrieval as rt
 from .registry import now, query
 
@@ -128,10 +129,9 @@ def _(v):
     return v("findings").join(v("docs"), "document_id", "left_anti").select("finding_id", "document_id")
 
 
-@query("c12_retention_due", "SELECT document_id FROM {docs} d JOIN {tenants} t ON d.tenant_id = t.tenant_id WHERE d.created_at < stamp('2024-01-31 00:00:00') - to_days(CAST(t.retention_days AS INT))")
+@query("c12_retention_due", "SELECT d.document_id FROM {docs} d JOIN {tenants} t ON d.tenant_id = t.tenant_id WHERE d.status = 'deleted' AND t.hard_delete_enabled = true AND d.created_at < stamp('2024-01-31 00:00:00') - to_days(CAST(coalesce(t.retention_days, 365) AS INT))")
 def _(v):
-    old = v("docs").join(v("tenants").select("tenant_id", "retention_days"), "tenant_id")
-    return old.filter(F.col("created_at") < now() - F.make_interval(days=F.col("retention_days"))).select("document_id")
+    return gv.retention_due(v("docs"), v("tenants"), now())
 
 
 @query("c13_claims_per_document", "SELECT d.document_id, CAST(count(c.claim_id) AS BIGINT) AS claims FROM {claim_docs} d LEFT JOIN {claims} c ON c.document_id = d.document_id GROUP BY d.document_id")

@@ -121,7 +121,7 @@ def _(v):
     return gv.tier_embeddings(chunks, gv.tier_sweep(v("docs"), now())).select("chunk_id", F.col("embedding").isNotNull().alias("kept"))
 
 
-_DUE = "du AS (SELECT document_id FROM {docs} d JOIN {tenants} t ON d.tenant_id = t.tenant_id WHERE d.status = 'deleted' AND d.created_at < stamp('2024-01-31 12:00:00') - to_days(CAST(t.retention_days AS INT)))"
+_DUE = "du AS (SELECT document_id FROM {docs} d JOIN {tenants} t ON d.tenant_id = t.tenant_id WHERE d.status = 'deleted' AND t.hard_delete_enabled = true AND d.created_at < stamp('2024-01-31 12:00:00') - to_days(CAST(coalesce(t.retention_days, 365) AS INT)))"
 
 
 @query("i44_retention_purge", f"WITH {_DUE} SELECT 'docs' AS table_name, CAST(count(*) AS BIGINT) AS purged FROM {{docs}} WHERE document_id IN (SELECT document_id FROM du) UNION ALL SELECT 'chunks', count(*) FROM {{chunks}} WHERE document_id IN (SELECT document_id FROM du) UNION ALL SELECT 'claims', count(*) FROM {{claims}} WHERE document_id IN (SELECT document_id FROM du) UNION ALL SELECT 'findings', count(*) FROM {{findings}} WHERE document_id IN (SELECT document_id FROM du) UNION ALL SELECT 'acl', count(*) FROM {{acl}} WHERE document_id IN (SELECT document_id FROM du)")
@@ -375,11 +375,13 @@ def _(v):
     return st.route_by_suffix(v("docs").withColumn("path", F.concat("source_path", ext))).select("document_id", "format")
 
 
-@query("a4_a5_parse_text", "SELECT document_id, concat('T', document_id) AS title, '1.0' AS version, 'number' AS version_type, sha256(trim(text)) AS body FROM {docs}")
+@query("a4_a5_parse_text", "SELECT document_id, concat('T', document_id) AS title, CASE document_id % 4 WHEN 0 THEN '1.0' WHEN 1 THEN 'Yes' WHEN 2 THEN 'no' ELSE '7' END AS version, CASE document_id % 4 WHEN 0 THEN 'number' WHEN 3 THEN 'integer' ELSE 'boolean' END AS version_type, CASE document_id % 4 WHEN 1 THEN 'true' WHEN 2 THEN 'false' END AS version_bool, sha256(trim(text)) AS body FROM {docs}")
 def _(v):
-    raw = v("docs").select("document_id", F.concat(F.lit("---\ntitle: 'T"), "document_id", F.lit("'\nVersion: 1.0\nowner: me\n---\n"), "text").alias("text"))
+    kind = F.element_at(F.array(*map(F.lit, ("1.0", "Yes", "no", "7"))), (F.col("document_id") % 4 + 1).cast("int"))
+    raw = v("docs").select("document_id", F.concat(F.lit("---\ntitle: 'T"), "document_id", F.lit("'\nVersion: "), kind, F.lit("\nempty:\nowner: me\n---\n"), "text").alias("text"))
     out = st.parse_text(raw)
-    return out.select("document_id", "title", F.col("frontmatter")["version"].alias("version"), st.value_type(F.col("frontmatter")["version"]).alias("version_type"), F.sha2("body", 256).alias("body"))
+    version = F.col("frontmatter")["version"]
+    return out.filter(~F.map_contains_key("frontmatter", F.lit("empty"))).select("document_id", "title", version.alias("version"), st.value_type(version).alias("version_type"), st.as_boolean(version).cast("string").alias("version_bool"), F.sha2("body", 256).alias("body"))
 
 
 _HTML = r"regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
@@ -460,7 +462,7 @@ def _(v):
 
 @query("i1_recursive_chunks")
 def _(v):
-    return ch.chunk_documents(v("docs"), 128, 20)
+    return ch.split_documents(v("docs"), 128, 20)
 
 
 @query("i2_chunk_locations", "SELECT chunk_id, CAST(strpos(text, chunk_text) - 1 AS BIGINT) AS start, CASE WHEN strpos(text, chunk_text) - 1 < length(text) // 2 THEN 'first half' ELSE 'second half' END AS section_title FROM {chunks} c JOIN {docs} d ON d.document_id = c.document_id")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Suffixes that are read, by format.
 SUFFIXES = {"txt": "text", "md": "text", "markdown": "text", "html": "html", "htm": "html", "csv": "csv", "tsv": "csv", "json": "json", "pdf": "unsupported", "docx": "unsupported", "xlsx": "unsupported", "pptx": "unsupported"}
+# Words of a block's values that are booleans, in lower case.
+TRUE, FALSE = ("true", "yes"), ("false", "no")
 # Entities that HTML text may hold.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
 
@@ -37,21 +39,27 @@ def ingest_files(files: DataFrame, max_mb: float = 50) -> tuple[DataFrame, DataF
 
 
 def frontmatter(text: Column) -> tuple[Column, Column]:
-    """(map of key to value, body) of a text that may begin with a block between --- lines; keys in lower case with _ for blanks, quotes off."""
+    """(map of key to value, body) of a text that may begin with a block between --- lines; keys in lower case with _ for blanks, quotes off.
+    Keys without a value are left out."""
     block = F.regexp_extract(text, r"(?s)^---\s*\n(.*?)\n---\s*(?:\n|$)", 1)
     lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^\s*[^:#\s][^:]*:"))
     key = lambda x: F.regexp_replace(F.lower(F.trim(F.regexp_extract(x, r"^([^:]*):", 1))), r"[\s-]+", "_")
     value = lambda x: F.regexp_replace(F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)), "^[\"'](.*)[\"']$", "$1")
     # of repeated keys the last counts
-    pairs = F.transform(lines, lambda x: F.struct(key(x).alias("key"), value(x).alias("value")))
+    pairs = F.filter(F.transform(lines, lambda x: F.struct(key(x).alias("key"), value(x).alias("value"))), lambda p: p["value"] != "")
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["key"] == p["key"]))
     has = text.rlike(r"(?s)^---\s*\n(.*?)\n---\s*(?:\n|$)")
     return F.when(has, F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>")), F.when(has, F.regexp_replace(text, r"(?s)^---\s*\n(.*?)\n---\s*(?:\n|$)", "")).otherwise(text)
 
 
+def as_boolean(c: Column) -> Column:
+    """What true, yes, false or no in any case stand for; null for anything else."""
+    return F.when(F.lower(c).isin(*TRUE), True).when(F.lower(c).isin(*FALSE), False)
+
+
 def value_type(c: Column) -> Column:
-    """boolean, integer, number or string."""
-    return F.when(F.lower(c).isin("true", "false"), "boolean").when(c.try_cast("bigint").isNotNull() & c.rlike(r"^-?\d+$"), "integer").when(c.try_cast("double").isNotNull() & c.rlike(r"^-?\d+\.\d+$"), "number").otherwise("string")
+    """boolean (true, false, yes, no), integer, number or string."""
+    return F.when(as_boolean(c).isNotNull(), "boolean").when(c.try_cast("bigint").isNotNull() & c.rlike(r"^-?\d+$"), "integer").when(c.try_cast("double").isNotNull() & c.rlike(r"^-?(\d+\.\d*|\.\d+)$"), "number").otherwise("string")
 
 
 def parse_text(df: DataFrame) -> DataFrame:
