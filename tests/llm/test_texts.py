@@ -137,6 +137,10 @@ def regex_of(template):
             out += ")?"
         elif part.startswith("<<any:"):
             out += rf"(?:\S+ ){{0,{part[6:-2]}}}"
+        elif part.startswith("<<like:"):
+            out += f"(?:{part[7:-2]}) "
+        elif part.startswith("<<not:"):
+            out += f"(?!(?:{part[6:-2]}) )"
         else:
             out += "".join(re.escape(w) + " " for w in license_scan.tokens(part))
     return re.compile(out)
@@ -144,14 +148,15 @@ def regex_of(template):
 
 def test_templates_against_regular_expressions():
     rng = random.Random(2)
-    templates = [*license_scan.TEMPLATES.values(), "a <<optional>>b <<optional>>c <<end>>d <<end>><<any:2>> a b", "<<any:1>> x <<optional>>y<<end>> x"]
+    templates = [*license_scan.TEMPLATES.values(), "a <<optional>>b <<optional>>c <<end>>d <<end>><<any:2>> a b", "<<any:1>> x <<optional>>y<<end>> x", "a <<like:[0-9]+>><<optional>> b<<end>><<not:[bc]>><<any:1>>"]
     for t in templates:
-        words = sorted({*license_scan.tokens(re.sub("<<[^>]*>>", " ", t)), "other"})
+        words = sorted({*license_scan.tokens(re.sub("<<[^>]*>>", " ", t)), "other", "2", "3", "v3", "0", "version"})
         auto, pattern = license_scan.Automaton(t), regex_of(t)
         for _ in range(400):
             text = [rng.choice(words) for _ in range(rng.randint(1, 12))]
             if rng.random() < 0.5:
                 kept = re.sub(r"<<any:\d+>>", lambda m: " ".join(rng.choice(words) for _ in range(rng.randint(0, int(m[0][6:-2])))), t)
+                kept = re.sub(r"<<like:[^>]*>>", lambda m: rng.choice(["1", "2", "3", "v3"]), kept)
                 text = license_scan.tokens(re.sub("<<[^>]*>>", " ", kept))
             assert license_scan.matches_whole(" ".join(text), t) == bool(pattern.fullmatch("".join(w + " " for w in text)))
 
@@ -165,6 +170,36 @@ def test_template_rejects_changed_wording():
         license_scan.Automaton("a <<optional>> b")
 
 
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        ("Licensed under the Apache License, version 1.1", set()),
+        ("Licensed under the Apache License, version 2.0.", {"apache"}),
+        ("Licensed under the Apache License 2.0", {"apache"}),
+        ("Licensed under the Apache License", {"apache"}),
+        ("This work is licensed under the GNU General Public License, version 99", set()),
+        ("This work is licensed under the GNU General Public License, version 3.", {"gpl-3"}),
+        ("This work is licensed under the GNU General Public License v2.0", {"gpl-2"}),
+        ("This work is licensed under the GNU General Public License version 2.1", set()),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1", {"lgpl-2.1"}),
+        ("This work is licensed under the GNU Affero General Public License", {"agpl"}),
+        ("Licensed under CC BY-SA 3.0", {"cc-by-sa-3.0"}),
+        ("Licensed under CC BY 4.0", {"cc-by"}),
+        ("Licensed under CC BY 5.0", set()),
+        ("Licensed under the Creative Commons CC0 1.0 Universal", {"cc0"}),
+    ],
+)
+def test_versions_are_mandatory_wording(text, labels):
+    automata = license_scan.compile_templates(license_scan.TEMPLATES)
+    for t in (text, f"Before it. {text} and after"):
+        assert set(license_scan.scan(license_scan.tokens(t), automata)[0]) == {f"template:{x}" for x in labels}
+
+
+def test_a_template_begins_with_a_word():
+    with pytest.raises(ValueError):
+        license_scan.Automaton("<<optional>>a <<end>><<like:[0-9]>> b")
+
+
 def test_language_id(spark, odd, rows):
     got = language_id.op6_language_id(odd).collect()
     assert len(got) == len(rows)

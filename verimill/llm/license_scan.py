@@ -13,12 +13,17 @@ from .common import in_arrow
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Phrases of the base scan and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Templates by label. Text in <<optional>> ... <<end>> may be absent; <<any:n>> stands for up to n words that the licensor fills in:
-#: names, titles, years and numbers of versions. Each restriction of Creative Commons is a license, and so a template, of its own.
-CC = "Licensed under <<optional>>a <<end>><<optional>>the <<end>><<optional>>Creative Commons Attribution {0} <<end>>CC BY {1} 4.0"
-GNU = "This <<any:1>> is licensed under the GNU {0} General Public License<<optional>>, version <<any:2>><<end>>"
+#: Templates by label. Text in <<optional>> ... <<end>> may be absent; <<any:n>> stands for up to n words that the licensor fills in: names,
+#: titles and years; <<like:p>> for one word that the pattern p fits; <<not:p>> for no word, but the next mustn't fit p. Versions are
+#: mandatory wording: a text that names another one is no match. Each restriction of Creative Commons is a license, and so a template, of
+#: its own, and so is each version; a label without a version is 4.0, or for GNU's short form, that none is named.
+CC = "Licensed under <<optional>>a <<end>><<optional>>the <<end>><<optional>>Creative Commons Attribution {0} <<end>>CC BY {1} {2}<<not:[0-9]>>"
+OTHER_VERSION = r"<<not:v|version|v?[0-9]+>>"
+GNU = "This <<any:1>> is licensed under the GNU {0} General Public License"
+ZERO = "<<optional>> 0<<end>>"
+GNU_VERSION = "<<optional>>, version <<end>><<like:v?{0}>>{1}<<not:[0-9]+>>"
 NOTICE = """<<any:6>> is free software: you can redistribute it and/or modify it under the terms of the GNU {0} General Public License as published by
-the Free Software Foundation<<optional>>, either<<end>><<optional>>;<<end>> version <<any:2>> of the License<<optional>>, or (at your option) any
+the Free Software Foundation<<optional>>, either<<end>><<optional>>;<<end>> version {1} of the License<<optional>>, or (at your option) any
 later version<<end>>"""
 AS_IS = """THIS SOFTWARE IS PROVIDED BY <<any:8>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
 MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<any:8>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
@@ -29,20 +34,23 @@ BSD = """Redistribution and use in source and binary forms, with or without modi
 <<optional>>1. <<end>>Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 <<optional>>2. <<end>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
 in the documentation and/or other materials provided with the distribution. """
+#: Versions of Creative Commons and what labels say of them, and the restrictions in short and in full.
+CC_VERSIONS = {"4.0": "", "3.0": "3.0", "2.5": "2.5", "2.0": "2.0", "1.0": "1.0"}
+RESTRICTIONS = {"": "", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives", "NC-SA": "NonCommercial ShareAlike", "NC-ND": "NonCommercial NoDerivatives"}
 TEMPLATES = {
-    "template:cc-by": CC.format("", ""),
-    "template:cc-by-sa": CC.format("ShareAlike", "SA"),
-    "template:cc-by-nc": CC.format("NonCommercial", "NC"),
-    "template:cc-by-nd": CC.format("NoDerivatives", "ND"),
-    "template:cc-by-nc-sa": CC.format("NonCommercial ShareAlike", "NC-SA"),
-    "template:cc-by-nc-nd": CC.format("NonCommercial NoDerivatives", "NC-ND"),
-    "template:gpl": GNU.format(""),
-    "template:lgpl": GNU.format("Lesser"),
-    "template:agpl": GNU.format("Affero"),
-    "template:gpl-notice": "This " + NOTICE.format(""),
-    "template:lgpl-notice": "This " + NOTICE.format("Lesser"),
-    "template:agpl-notice": "This " + NOTICE.format("Affero"),
-    "template:apache": "Licensed under the Apache License<<optional>>, version 2.0<<end>>",
+    **{f"template:cc-by{'-' * bool(short) + short.lower()}{'-' * bool(label) + label}": CC.format(name, short, version) for version, label in CC_VERSIONS.items() for short, name in RESTRICTIONS.items()},
+    "template:cc0": "Licensed under <<optional>>the <<end>><<optional>>Creative Commons <<end>>CC0 1.0<<optional>> Universal<<end>><<not:[0-9]>>",
+    "template:gpl": GNU.format("") + OTHER_VERSION,
+    "template:lgpl": GNU.format("Lesser") + OTHER_VERSION,
+    "template:agpl": GNU.format("Affero") + OTHER_VERSION,
+    **{f"template:gpl-{v}": GNU.format("") + GNU_VERSION.format(v, ZERO) for v in (1, 2, 3)},
+    **{f"template:lgpl-{v}": GNU.format(name) + GNU_VERSION.format(v, ZERO) for v, name in ((2, "Library"), (3, "Lesser"))},
+    "template:lgpl-2.1": GNU.format("Lesser") + GNU_VERSION.format(2, " 1"),
+    "template:agpl-3": GNU.format("Affero") + GNU_VERSION.format(3, ZERO),
+    "template:gpl-notice": "This " + NOTICE.format("", "<<like:[123]>>" + ZERO),
+    "template:lgpl-notice": "This " + NOTICE.format("Lesser", "<<like:[23]>><<optional>><<like:[01]>><<end>>"),
+    "template:agpl-notice": "This " + NOTICE.format("Affero", "<<like:[123]>>" + ZERO),
+    "template:apache": "Licensed under the Apache License<<optional>><<optional>>, version <<end>>2.0<<end>>" + OTHER_VERSION,
     "template:apache-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You
 may obtain a copy of the License at <<optional>>http<<end>><<optional>>https<<end>>://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable
 law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
@@ -76,10 +84,11 @@ def tokens(text: str | None) -> list[str]:
 
 
 class Automaton:
-    """States are places in the template's token list: a word to read, an optional region to enter or skip, or words to let pass."""
+    """States are places in the template's token list: a word to read, by itself or by a pattern, an optional region to enter or skip, words
+    to let pass, or a look at the next word. A template can't begin with a pattern, since starts are looked up by word."""
 
     def __init__(self, template: str):
-        self.steps: list[tuple] = []  # ("word", w) | ("skip", target) | ("any", n)
+        self.steps: list[tuple] = []  # ("word", w) | ("like", p) | ("skip", target) | ("any", n) | ("not", p)
         opened: list[int] = []
         for part in re.split(r"(<<[^>]*>>)", template):
             if part == "<<optional>>":
@@ -89,6 +98,9 @@ class Automaton:
                 self.steps[opened.pop()] = ("skip", len(self.steps))
             elif part.startswith("<<any:"):
                 self.steps.append(("any", int(part[6:-2])))
+            elif part.startswith(("<<like:", "<<not:")):
+                kind, pattern = part[2:-2].split(":", 1)
+                self.steps.append((kind, re.compile(pattern)))
             elif not part.startswith("<<"):
                 self.steps += [("word", w) for w in tokens(part)]
         if opened:
@@ -98,19 +110,22 @@ class Automaton:
         skips: list[int] = []
         for i, (kind, value) in enumerate(self.steps):
             skips = [s for s in skips if s > i]
-            self.depth[i + 1] = self.depth[i] + (kind == "word" and not skips)
+            self.depth[i + 1] = self.depth[i] + (kind in ("word", "like") and not skips)
             if kind == "skip":
                 skips.append(value)
         self.mandatory = self.depth[-1]
-        self.first = {self.steps[s][1] for s, _ in self.closure({(0, 0)}) if s < len(self.steps) and self.steps[s][0] == "word"}
+        begin = [self.steps[s] for s, _ in self.closure({(0, 0)}, None) if s < len(self.steps)]
+        if any(kind == "like" for kind, _ in begin):
+            raise ValueError("a template can't begin with a pattern")
+        self.first = {value for kind, value in begin if kind == "word"}
 
-    def closure(self, states: set[tuple[int, int]]) -> set[tuple[int, int]]:
-        """States reachable without reading. A state is (place, words already let pass there)."""
+    def closure(self, states: set[tuple[int, int]], ahead: str | None) -> set[tuple[int, int]]:
+        """States reachable without reading the next word, `ahead` (None at the end). A state is (place, words already let pass there)."""
         todo, seen = list(states), set(states)
         while todo:
             place, _ = todo.pop()
             kind, value = self.steps[place] if place < len(self.steps) else ("end", 0)
-            more = [(place + 1, 0), (value, 0)] if kind == "skip" else [(place + 1, 0)] if kind == "any" else []
+            more = [(place + 1, 0), (value, 0)] if kind == "skip" else [(place + 1, 0)] if kind == "any" or kind == "not" and not (ahead and value.fullmatch(ahead)) else []
             for s in more:
                 if s not in seen:
                     seen.add(s)
@@ -119,7 +134,8 @@ class Automaton:
 
     def run(self, words: list[str], at: int) -> tuple[int, float]:
         """End of the longest match from word `at` (-1: none), and the share of mandatory words that the best try has read."""
-        states, end, best = self.closure({(0, 0)}), -1, 0
+        ahead = lambda: words[at] if at < len(words) else None
+        states, end, best = self.closure({(0, 0)}, ahead()), -1, 0
         while states:
             best = max(best, *(self.depth[p] for p, _ in states))
             if any(p == len(self.steps) for p, _ in states):
@@ -129,11 +145,12 @@ class Automaton:
             after = set()
             for place, passed in states:
                 kind, value = self.steps[place] if place < len(self.steps) else ("end", 0)
-                if kind == "word" and value == words[at]:
+                if kind == "word" and value == words[at] or kind == "like" and value.fullmatch(words[at]):
                     after.add((place + 1, 0))
                 elif kind == "any" and passed < value:
                     after.add((place, passed + 1))
-            states, at = self.closure(after), at + 1
+            at += 1
+            states = self.closure(after, ahead())
         return end, best / self.mandatory if self.mandatory else 1.0
 
 
