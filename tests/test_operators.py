@@ -300,3 +300,12 @@ def test_export_writes_a_folder_a_tenant(spark, tmp_path):
     docs = spark.createDataFrame([(1, 3, "a"), (2, 4, None)], "document_id long, tenant_id long, title string")
     feeds.export_tenants({"docs": docs}, str(tmp_path))
     assert {tuple(r) for r in spark.read.json(str(tmp_path / "docs")).select("document_id", "tenant_id", "title").collect()} == {(1, 3, "a"), (2, 4, None)}
+
+
+def test_only_searched_queries_show_documents(spark):
+    q = spark.createDataFrame([(1, "How many documents are there?"), (2, "What does the travel policy say about trains?")], "query_id long, query_text string")
+    kinds = {r.query_id: r.query_type for r in retrieval.route(q).collect()}
+    found = lambda rag: rag.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("rank")).withColumn("document_id", F.col("rank") * 10)
+    got = {(r.query_id, r.document_id, r["rank"]) for r in retrieval.searched(q, found).collect()}
+    assert kinds == {1: "structured", 2: "rag"}
+    assert got == {(2, k * 10, k) for k in range(1, 11)}

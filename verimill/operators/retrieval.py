@@ -281,6 +281,12 @@ def retrieve(queries: DataFrame, index: DataFrame, search: Callable[[DataFrame],
     )
 
 
+def searched(queries: DataFrame, search: Callable[[DataFrame], DataFrame], most: int = 10) -> DataFrame:
+    """(query_id, document_id, rank): the first `most` documents that retrieve() would show. Structured queries are answered without documents,
+    so they have none; an index hit doesn't take a RAG query's documents away."""
+    return search(route(queries).filter("query_type = 'rag'")).filter(F.col("rank") <= most).select("query_id", "document_id", "rank")
+
+
 def retrieval_log(answers: DataFrame, results: DataFrame, queries: DataFrame, now: Column) -> DataFrame:
     """Rows to append to the retrieval log: what was asked, where it went, and the documents returned in order."""
     returned = results.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "document_id"))), lambda x: x["document_id"]).alias("documents_returned"))
