@@ -86,8 +86,9 @@ def split_deep(sep: str) -> Callable[[Column], Column]:
 
 
 def joined(parts: Column, runs: Column, sep: str) -> Column:
-    """Structs of t, a run's parts joined by `sep`, and deep, whether it is to be split further."""
-    text = lambda r: F.array_join(F.transform(F.slice(parts, r[0] + 1, r[1] - r[0]), lambda x: x["t"]), sep)
+    """Structs of t, a run's parts joined by `sep`, and deep, whether it is to be split further. Parts are taken one by one, since a slice
+    would copy the whole array for each run."""
+    text = lambda r: F.array_join(F.transform(F.sequence(r[0], r[1] - 1), lambda i: parts[i]["t"]), sep)
     return F.transform(runs, lambda r: F.struct(text(r).alias("t"), (r[2] == 1).alias("deep")))
 
 
