@@ -33,6 +33,29 @@ def test_block_maxima_lose_nothing(spark, corpus, most, size):
         assert read[1] < 0.9 * read[0]
 
 
+def test_block_maxima_in_many_shards(spark, corpus):
+    """A rare term is in few shards, and equal queries are answered once; a shard gives its best documents only."""
+    found, queries = corpus
+    rare = spark.createDataFrame([(0, 0, 0, "rare", 1), (90, 30, 0, "rare", 2)], "chunk_id long, document_id long, tenant_id long, term string, tf long")
+    found = found.unionByName(rare)
+    queries = queries.unionByName(spark.createDataFrame([(200, 0, "rare"), (201, 0, "Rare rare"), (202, 1, "rare")], queries.schema))
+    whole, parts = checkpointed(postings.build(found, 8)), checkpointed(postings.build(found, 8, 24))
+    assert parts.select("tenant_id", "shard").distinct().count() > 5
+    want = sorted(map(tuple, postings.top(whole, queries, 5).collect()))
+    assert sorted(map(tuple, postings.top(parts, queries, 5).collect())) == want
+    assert [(q, d) for q, d, *_ in want if q >= 200] == [(q, d) for q in (200, 201) for d in sorted({0, 30})]
+    assert sorted(map(tuple, postings.skipped(parts, queries, 5).collect())) == sorted(map(tuple, postings.skipped(whole, queries, 5).collect()))
+
+
+def test_terms_of_a_chunk_are_counted_in_its_row(spark):
+    chunks = spark.createDataFrame([(1, 7, 0, "Der der, DER Rat 12"), (2, 7, 0, "... --"), (3, 8, 1, "x"), (4, 8, 1, None)], "chunk_id long, document_id long, tenant_id long, chunk_text string")
+    held = postings.count_terms(chunks)
+    assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.chunk_id, r.length, r.words.split("\n"), r.tfs) for r in held.collect()) == [(1, 5, ["12", "der", "rat"], [1, 3, 1]), (3, 1, ["x"], [1])]
+    rows = spark.createDataFrame([(1, 7, 0, t, n) for t, n in (("rat", 1), ("12", 1), ("der", 3))] + [(3, 8, 1, "x", 1)], "chunk_id long, document_id long, tenant_id long, term string, tf long")
+    assert sorted(map(tuple, retrieval.by_chunk(rows).collect())) == sorted(map(tuple, held.collect()))
+
+
 def test_vector_index(spark):
     rng = random.Random(11)
     centres = [[rng.gauss(0, 1) for _ in range(32)] for _ in range(20)]

@@ -12,7 +12,7 @@ from ..operators import postings as po
 from ..operators import retrieval as rt
 from ..operators import vectors as ve
 from ..operators.conflicts import checkpointed
-from .q_knowledge import _SIM, _open, _search_sql, _terms, open_vectors, search_inputs, titles_as_claims
+from .q_knowledge import _SIM, _search_sql, _terms, open_terms, open_vectors, search_inputs, titles_as_claims
 from .q_more import wide_claims
 from .registry import query
 
@@ -25,7 +25,7 @@ def word_pairs(v):
 
 
 def blocks(v, range_docs=po.RANGE_DOCS):
-    return checkpointed(po.build(v("postings").join(_open(v), "document_id", "left_semi"), range_docs))
+    return checkpointed(po.build(open_terms(v), range_docs))
 
 
 @query("f7_block_max_top", _search_sql(_PAIRS) + "SELECT query_id, document_id, s AS score, CAST(rank AS BIGINT) AS rank FROM lr")
