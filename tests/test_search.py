@@ -103,3 +103,13 @@ def test_related_documents_of_one_predicate_stay_linear(spark):
     assert found.count() == 20 * (n - 1)
     assert [r.related_id for r in found.filter("document_id = 6").orderBy("rank").collect()] == [x for x in range(0, 46, 2) if x not in (2, 6)][:20]
     assert found.filter("related_id % 2 <> document_id % 2").count() == 0
+
+
+def test_equal_queries_are_looked_up_once(spark, monkeypatch):
+    index = spark.createDataFrame([(t, f"s{i}", f"part {i}", f"s{i}", f"Part {i}", "v", 0.5) for t in range(2) for i in range(40)], "tenant_id long, subject_normalized string, predicate_normalized string, subject string, predicate string, value string, confidence double")
+    queries = spark.createDataFrame([(q, q % 2, "Part 7" if q < 30 else "part of 1 9") for q in range(50)], "query_id long, tenant_id long, query_text string")
+    sizes, plain = [], retrieval.meet
+    monkeypatch.setattr(retrieval, "meet", lambda rows, *a: sizes.append(rows.count()) or plain(rows, *a))
+    got = {(r.query_id, r.predicate, r.strategy, r["rank"]) for r in retrieval.index_lookup(index, queries).collect()}
+    assert got == {(q, "Part 7", 1, 1) for q in range(30)} | {(q, "Part 19", 2, 1) for q in range(30, 50)}
+    assert sizes == [4, 2]
