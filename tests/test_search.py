@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from verimill.operators import conflicts, graph, postings, retrieval, vectors
+from verimill.operators import blocks, conflicts, graph, postings, retrieval, vectors
 from verimill.operators.conflicts import checkpointed
 
 
@@ -113,3 +114,45 @@ def test_equal_queries_are_looked_up_once(spark, monkeypatch):
     got = {(r.query_id, r.predicate, r.strategy, r["rank"]) for r in retrieval.index_lookup(index, queries).collect()}
     assert got == {(q, "Part 7", 1, 1) for q in range(30)} | {(q, "Part 19", 2, 1) for q in range(30, 50)}
     assert sizes == [4, 2]
+
+
+def test_nearest_by_buckets_with_copies_parts_and_one_group_for_each_bucket(spark, monkeypatch):
+    """300 copies of a vector are one row, and small groups and parts give what one large group gives."""
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(500)] + [(1000 + i, [1.0] * 8) for i in range(300)] + [(2000, [0.0] * 8), (2001, None)]
+    v = spark.createDataFrame(rows, "document_id long, embedding array<double>")
+    want = sorted(map(tuple, conflicts.knn_join(v, v, planes=4).collect()))
+    assert [r[1:3] for r in want if r[0] in (1000, 1007)] == [(1001, 0.0), (1002, 0.0), (1003, 0.0), (1000, 0.0), (1001, 0.0), (1002, 0.0)]
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(blocks, "PART_ROWS", 60)
+    assert sorted(map(tuple, conflicts.knn_join(v, v, planes=4).collect())) == want
+    exact = sorted(map(tuple, conflicts.knn_join(v.filter("document_id % 50 = 0"), v).collect()))
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 5000)
+    assert sorted(map(tuple, conflicts.knn_join(v.filter("document_id % 50 = 0"), v).collect())) == exact
+    few = blocks.distinct_vectors(v, 4)
+    assert few.count() == 503 and few.agg(F.max(F.size("ids"))).first()[0] == 4
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Only what is alike leaves a task: no join of candidates is left in the plans."""
+    names = spark.createDataFrame([(1, f"part {i}") for i in range(20)], "tenant_id long, predicate string")
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "document_id long, embedding array<double>")
+    for df in (conflicts.similar_predicates(names), conflicts.cosine_join(vectors.selectExpr("1 AS tenant_id", "document_id AS key", "embedding")), conflicts.knn_join(vectors, vectors)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "SortMergeJoin" not in plan
+
+
+def test_pairs_across_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    names = spark.createDataFrame([(t, " ".join(rng.choice(["red", "reds", "fox", "foxes", "\U0001f98a", "né", "x1"]) for _ in range(4))) for t in (1, 2) for _ in range(150)] + [(1, None), (1, "..."), (None, "red fox")], "tenant_id long, predicate string")
+    want = sorted(map(tuple, conflicts.similar_predicates(names).collect()))
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(blocks, "PLACES", 8)
+    assert sorted(map(tuple, conflicts.similar_predicates(names).collect())) == want and len(want) > 50
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = random.Random(7)
+    x = [rng.random() * 2 - 1 for _ in range(2000)] + [k / 2e6 for k in range(-2001, 2001, 2)] + [1 - 1.0000000000000002, 0.0, 2.5e-7, -2.5e-7]
+    want = [r.r for r in spark.createDataFrame([(i, a) for i, a in enumerate(x)], "i long, x double").orderBy("i").select(F.round("x", 6).alias("r")).collect()]
+    assert blocks.rounded(np.array(x)).tolist() == want
