@@ -3,6 +3,7 @@
 import json
 import os
 
+from pyspark.sql import functions as F
 from test_streaming import events
 from verimill.sources.buckets import Buckets
 from verimill.streaming import jobs, stored
@@ -54,3 +55,27 @@ def test_the_stored_stream_is_the_plain_one(spark, tmp_path):
     audit = spark.read.schema(stored.AUDIT).parquet(*[str(tmp_path / f"audit/batch_{k}") for k in range(3)])
     assert audit.filter("action = 'rejected'").count() == sum(r["event"] == "renamed" or (r["event"] != "deleted" and len(r["content"]) < 50) for r in rows)
     assert audit.select("batch").distinct().count() == 3
+
+
+def test_deliveries_keep_one_state_for_a_bucket_of_keys(spark, tmp_path):
+    """600 keys in 4 buckets: 4 states and 4 timers at most, and no key's time is lost between batches."""
+    at = lambda hours: F.expr(f"TIMESTAMP '2024-01-01 00:00:00' + INTERVAL {hours} HOURS")
+    keys = spark.range(600).select(F.concat(F.lit("k\n"), "id").alias("idempotency_key"), (F.col("id") * 10).alias("n"))
+    part = lambda k, hours: keys.select("idempotency_key", (F.col("n") + k).alias("delivery_id"), at(hours).alias("at"))
+    states, taken = [], {}
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k, rows in enumerate([part(0, 0), part(1, 23), part(2, 25).unionByName(part(3, 26)), part(4, 52)]):
+            rows.write.mode("append").parquet(f"{tmp_path}/in")
+            stream = stored.deliveries(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), buckets=4)
+            run = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cursor").trigger(availableNow=True).start()
+            run.awaitTermination()
+            states += [s["numRowsTotal"] for p in run.recentProgress for s in p["stateOperators"]]
+    finally:
+        spark.conf.set(name, before)
+    for r in spark.read.parquet(f"{tmp_path}/out").collect():
+        taken.setdefault(r.delivery_id % 10, set()).add(r.taken)
+    assert taken == {0: {True}, 1: {False}, 2: {True}, 3: {False}, 4: {True}}
+    assert 0 < max(states) <= 4 * 3

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.readwriter import DataStreamWriter
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..sources.buckets import Buckets
 from .jobs import apply_changes, checked
@@ -55,44 +56,63 @@ def keep_boosts(feedback: DataFrame, table: Buckets, weight: float = 0.1):
 
 
 class Once(StatefulProcessor):
-    """Takes a key's first delivery, and the next behind `keep` seconds from it; the key's state goes when the watermark passes that time."""
+    """Takes a key's first delivery, and the next behind `keep` seconds from it. A group is a bucket of keys, whose state is one value: the keys
+    with the end of their time, in Arrow's format. A key goes once the watermark has reached that end, since rows up to there are dropped."""
 
     def __init__(self, keep: int) -> None:
         self.keep = keep * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.until = handle.getValueState("until", StructType([StructField("ms", LongType())]))
+        self.held = handle.getValueState("held", StructType([StructField("table", BinaryType()), StructField("timer", LongType())]))
+
+    def load(self, watermark: int) -> dict[str, int]:
+        """The keys whose time hasn't ended. Their timer, unless it has run out, is taken away."""
+        if not self.held.exists():
+            return {}
+        stored, timer = self.held.get()
+        if timer > watermark:
+            self.handle.deleteTimer(timer)
+        rows = pa.ipc.open_stream(stored).read_all()
+        return {k: u for k, u in zip(rows["key"].to_pylist(), rows["until"].to_pylist(), strict=True) if u > watermark}
+
+    def store(self, until: dict[str, int]) -> None:
+        if not until:
+            self.held.clear()
+            return
+        rows, out = pa.table({"key": pa.array(until.keys(), pa.string()), "until": pa.array(until.values(), pa.int64())}), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+            file.write_table(rows)
+        timer = min(until.values())
+        self.held.update((out.getvalue().to_pybytes(), timer))
+        self.handle.registerTimer(timer)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         pdf = pd.concat(list(rows)).sort_values(["ms", "delivery_id"])
-        until = self.until.get()[0] if self.until.exists() else None
-        taken, first = [], until
-        for ms in pdf["ms"].tolist():
-            taken.append(until is None or ms > until)
+        until, taken = self.load(timerValues.getCurrentWatermarkInMs()), []
+        for name, ms in zip(pdf["idempotency_key"].tolist(), pdf["ms"].tolist(), strict=True):
+            taken.append(ms > until.get(name, ms - 1))
             if taken[-1]:
-                until = ms + self.keep
-        if until != first:
-            if first is not None:
-                self.handle.deleteTimer(first)
-            self.until.update((until,))
-            self.handle.registerTimer(until)
+                until[name] = ms + self.keep
+        self.store(until)
         yield pdf[["idempotency_key", "delivery_id"]].assign(taken=taken)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.until.clear()
+        self.store(self.load(timerValues.getCurrentWatermarkInMs()))
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def deliveries(events: DataFrame, keep: int = 86400, delay: str = "1 hour") -> DataFrame:
+def deliveries(events: DataFrame, keep: int = 86400, delay: str = "1 hour", buckets: int = 256) -> DataFrame:
     """(idempotency_key, delivery_id, taken) of deliveries with a key: taken is the first of a key, and the first more than `keep` seconds
-    behind one that was. Rows behind the watermark are dropped by Spark. Needs the RocksDB state store."""
+    behind one that was. Rows behind the watermark are dropped by Spark. Keys are dealt to `buckets` by their hash, each with one state, since
+    the cost of a batch is that of the states it reads and writes; a stream keeps its number. Needs the RocksDB state store."""
     rows = events.select("idempotency_key", "delivery_id", "at").filter("idempotency_key IS NOT NULL").withWatermark("at", delay)
     shape = "idempotency_key string, delivery_id long, taken boolean"
-    return rows.withColumn("ms", F.unix_millis("at")).groupBy("idempotency_key").transformWithStateInPandas(Once(keep), shape, "Append", "EventTime")
+    dealt = rows.withColumns({"ms": F.unix_millis("at"), "bucket": F.pmod(F.xxhash64("idempotency_key"), F.lit(buckets))})
+    return dealt.groupBy("bucket").transformWithStateInPandas(Once(keep), shape, "Append", "EventTime")
 
 
 def replay(parts: list[DataFrame], folder: str, job: Callable[[DataFrame], DataStreamWriter], every: str = "parquet") -> None:
