@@ -156,3 +156,23 @@ def test_rounding_is_that_of_spark(spark):
     x = [rng.random() * 2 - 1 for _ in range(2000)] + [k / 2e6 for k in range(-2001, 2001, 2)] + [1 - 1.0000000000000002, 0.0, 2.5e-7, -2.5e-7]
     want = [r.r for r in spark.createDataFrame([(i, a) for i, a in enumerate(x)], "i long, x double").orderBy("i").select(F.round("x", 6).alias("r")).collect()]
     assert blocks.rounded(np.array(x)).tolist() == want
+
+
+def test_links_of_similar_claims_are_those_of_the_edges(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(40), t, rng.choice(["red fox", "red foxes", "Red Fox ", "blue sea", "blue seas", "..."]), rng.choice(["x", "y", None]), rng.choice(["active", "active", "superseded"])) for t in (0, 1) for _ in range(120)]
+    claims = spark.createDataFrame([(d * 2 + t, t, p, v, s) for d, t, p, v, s in rows], "document_id long, tenant_id long, predicate string, object_value string, status string")
+    got = [(r.document_id, r.agreeing, r.contradicting, r.class_id) for r in graph.similar_claim_links(claims, 0.5).collect()]
+    edges = graph.claim_edges(claims, 0.5).collect()
+    per, kinds = {}, {}
+    for d, agreeing, contradicting, _ in got:
+        per[d], kinds[d] = per.get(d, 0) + agreeing + contradicting, kinds.get(d, 0) + contradicting
+    want, bad = {d: 0 for d in per}, set()
+    for e in edges:
+        for end in (e.source, e.target):
+            want[end] += e.shared
+            if e.kind == "contradiction":
+                bad.add(end)
+    assert per == want and sum(want.values()) > 1000
+    assert {d for d, n in kinds.items() if n} == bad
+    assert all(c <= d for d, _, _, c in got)
