@@ -34,6 +34,25 @@ def test_block_maxima_lose_nothing(spark, corpus, most, size):
         assert read[1] < 0.9 * read[0]
 
 
+def test_sets_of_terms_are_scored_once(spark, corpus, monkeypatch):
+    """Queries with the same terms share their hits, also where the batch is too large to be broadcast; hybrid search asks so too."""
+    found, queries = corpus
+    queries = queries.unionByName(spark.createDataFrame([(200 + i, i % 2, "w3 W2 w3") for i in range(40)], queries.schema))
+    plain = retrieval.lexical_scores(found, queries).groupBy("query_id", "document_id").agg(F.round(F.max("score"), 9).alias("score"))
+    want = sorted(map(tuple, retrieval.ranked(plain, ["query_id"], F.desc("score"), F.asc("document_id"), most=7).select("query_id", "document_id", "score", "rank").collect()))
+    sets, scores = [], retrieval.lexical_scores
+    monkeypatch.setattr(retrieval, "lexical_scores", lambda held, batch: sets.append(batch.count()) or scores(held, batch))
+    docs = found.select("tenant_id", "document_id").distinct().withColumns({"status": F.lit("indexed"), "review_status": F.lit("published")})
+    vectors_, asked = docs.select("document_id", F.array(F.lit(1.0)).alias("embedding")), queries.withColumn("embedding", F.array(F.lit(1.0)))
+    hybrid = retrieval.hybrid_search(docs, vectors_, found, asked, top_k=3).filter("lexical_rank <= 7").select("query_id", "document_id", F.col("lexical_rank").alias("rank"))
+    assert sets.pop() < 30
+    shown = {(q, d, r) for q, d, _, r in want}
+    assert {tuple(r) for r in hybrid.collect()} <= shown and hybrid.filter("query_id >= 200").count() > 40
+    assert sorted(map(tuple, retrieval.lexical_best(found, queries, 7).collect())) == want
+    monkeypatch.setattr(retrieval, "BATCH_ROWS", 0)
+    assert sorted(map(tuple, retrieval.lexical_best(found, queries, 7).collect())) == want
+
+
 def test_block_maxima_in_many_shards(spark, corpus):
     """A rare term is in few shards, and equal queries are answered once; a shard gives its best documents only."""
     found, queries = corpus
