@@ -67,6 +67,24 @@ def test_block_maxima_in_many_shards(spark, corpus):
     assert sorted(map(tuple, postings.skipped(parts, queries, 5).collect())) == sorted(map(tuple, postings.skipped(whole, queries, 5).collect()))
 
 
+def test_blocks_are_made_from_rows_of_chunks(spark, corpus):
+    """Postings are made inside a range's group, never as rows that are sorted; a shard is dealt the blocks of the terms that it is asked for."""
+    found, queries = corpus
+    made = postings.build(found.filter("chunk_id < 60"), 2, 2)
+    assert "collect_list(struct(chunk_id" not in made._jdf.queryExecution().executedPlan().toString()
+    held = checkpointed(made)
+    rows = held.select("tenant_id", "term", "n", "most", F.explode("postings").alias("p")).groupBy("tenant_id", "term").agg(F.count("*").alias("n"), F.max("p.weight").alias("most"))
+    want = found.filter("chunk_id < 60").groupBy("tenant_id", "term").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, rows.drop("most").collect())) == sorted(map(tuple, want.collect()))
+    assert held.filter("n <> size(postings) OR most <> array_max(transform(postings, p -> p.weight))").count() == 0
+    holding = {(r.shard, r.term) for r in held.filter("tenant_id = 0 AND term IN ('w1', 'w2')").collect()}
+    one_term = sorted((s, t) for s, t in holding if t == ("w1", "w2")[s % 2])
+    assert {t for _, t in one_term} == {"w1", "w2"} and len(holding) > len(one_term)
+    asked = spark.createDataFrame([(0, s, s, [(t, 1.0)]) for s, t in one_term], "tenant_id long, shard long, asked long, wanted array<struct<term: string, idf: double>>")
+    each = postings.met(held, asked, ["most"], lambda shard, row: (np.array([len(shard.at)]),), "terms long")
+    assert {tuple(r) for r in each.collect()} == {(0, s, s, 1) for s, _ in one_term}
+
+
 def test_terms_of_a_chunk_are_counted_in_its_row(spark):
     chunks = spark.createDataFrame([(1, 7, 0, "Der der, DER Rat 12"), (2, 7, 0, "... --"), (3, 8, 1, "x"), (4, 8, 1, None)], "chunk_id long, document_id long, tenant_id long, chunk_text string")
     held = postings.count_terms(chunks)
